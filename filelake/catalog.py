@@ -50,3 +50,55 @@ def q_dedup_plan_newest(spark, sf_dir):
 @register("dedup_plan_largest")
 def q_dedup_plan_largest(spark, sf_dir):
     return _plan_cols(D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100, strategy="largest"))
+
+
+# --- snapshot ------------------------------------------------------------------
+
+from filelake.operators import snapshot as S  # noqa: E402
+
+
+def _snap(spark, sf_dir, keep=None):
+    man = FX.manifest(spark, sf_dir, keep)
+    return S.snapshot(man, ROOT, dirs=FX.directories(spark, man).select("path"))
+
+
+@register("snapshot_by_extension")
+def q_snapshot_by_extension(spark, sf_dir):
+    return _snap(spark, sf_dir).by_extension
+
+
+@register("snapshot_samples")
+def q_snapshot_samples(spark, sf_dir):
+    return _snap(spark, sf_dir).samples.select("ext", F.col("sample_rank").cast("bigint"), "path")
+
+
+@register("snapshot_top_dirs")
+def q_snapshot_top_dirs(spark, sf_dir):
+    return _snap(spark, sf_dir).top_dirs
+
+
+@register("snapshot_largest")
+def q_snapshot_largest(spark, sf_dir):
+    return _snap(spark, sf_dir).largest.select(F.col("rank").cast("bigint"), "path", "size_bytes")
+
+
+@register("snapshot_summary")
+def q_snapshot_summary(spark, sf_dir):
+    return _snap(spark, sf_dir).summary
+
+
+def _pair(spark, sf_dir):
+    return (_snap(spark, sf_dir, F.col("doc_id") % 13 != 0),
+            _snap(spark, sf_dir, F.col("doc_id") % 10 != 0))
+
+
+@register("snapshot_diff")
+def q_snapshot_diff(spark, sf_dir):
+    cur, prev = _pair(spark, sf_dir)
+    return S.snapshot_diff(cur, prev).drop("new_extension_counts")
+
+
+@register("snapshot_ext_changes")
+def q_snapshot_ext_changes(spark, sf_dir):
+    cur, prev = _pair(spark, sf_dir)
+    return S.ext_changes(cur, prev)

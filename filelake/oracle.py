@@ -100,3 +100,87 @@ FROM g"""
 ORACLE["dedup_plan_deepest"] = f"WITH {M}, {CAND}, " + _dedup_plan_sql(_DEEPEST)
 ORACLE["dedup_plan_newest"] = f"WITH {M}, {CAND}, " + _dedup_plan_sql("mtime_s DESC, path")
 ORACLE["dedup_plan_largest"] = f"WITH {M}, {CAND}, " + _dedup_plan_sql("size DESC, path")
+
+
+# --- snapshot -------------------------------------------------------------------
+
+_SNAP_SKIP = r"(^|/)(\.git|\.svn|\.hg|node_modules|__pycache__|\.venv|venv|\.pytest_cache|\.tox)(/|$)"
+_EXTRA_DIRS = "('empty'), ('e1'), ('e1/e2'), ('e1/e2/e3'), ('e4'), ('e4/.git')"
+
+
+def _snap_ctes(where: str = "", p: str = "") -> str:
+    """files (sf), folders below root (dirs) for one manifest; names prefixed by p."""
+    return f"""{p}m AS (
+  SELECT *, substr(path, 8) AS rel, regexp_replace(substr(path, 8), '/?[^/]*$', '') AS rel_parent
+  FROM {manifest_sql(where)} x
+), {p}sf AS (
+  SELECT path, size, lower(regexp_extract(name, '^.+([.][^.]+)$', 1)) AS ext,
+         CASE WHEN rel_parent = '' THEN NULL ELSE split_part(rel_parent, '/', 1) END AS top
+  FROM {p}m WHERE NOT regexp_matches(rel_parent, '{_SNAP_SKIP}')
+), {p}dirs AS (
+  SELECT DISTINCT array_to_string(list_slice(string_split(rel_parent, '/'), 1, i), '/') AS rel
+  FROM (SELECT rel_parent, unnest(generate_series(1, len(string_split(rel_parent, '/')))) AS i
+        FROM {p}m WHERE rel_parent <> '') t
+  UNION SELECT * FROM (VALUES {_EXTRA_DIRS}) v(rel)
+), {p}summary AS (
+  SELECT count(*) AS total_files, (SELECT count(*) FROM {p}dirs) AS total_dirs,
+         CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size_bytes FROM {p}sf
+), {p}byext AS (
+  SELECT ext, count(*) AS count, CAST(sum(size) AS BIGINT) AS size_bytes FROM {p}sf GROUP BY ext
+)"""
+
+
+ORACLE["snapshot_by_extension"] = f"WITH {_snap_ctes()} SELECT * FROM byext"
+ORACLE["snapshot_samples"] = f"""WITH {_snap_ctes()}
+SELECT ext, sample_rank, path FROM (
+  SELECT ext, path, row_number() OVER (PARTITION BY ext ORDER BY path) AS sample_rank FROM sf) t
+WHERE sample_rank <= 3"""
+ORACLE["snapshot_top_dirs"] = f"""WITH {_snap_ctes()}
+SELECT top, CAST(sum(size) AS BIGINT) AS size_bytes, CAST(sum(n) AS BIGINT) AS file_count FROM (
+  SELECT top, size, 1 AS n FROM sf WHERE top IS NOT NULL
+  UNION ALL
+  SELECT rel, 0, 0 FROM dirs WHERE NOT contains(rel, '/')
+     AND rel NOT IN ('.git', '.svn', '.hg', 'node_modules', '__pycache__', '.venv', 'venv', '.pytest_cache', '.tox')
+) u GROUP BY top"""
+ORACLE["snapshot_largest"] = f"""WITH {_snap_ctes()}
+SELECT row_number() OVER (ORDER BY size DESC, path) AS rank, path, size AS size_bytes
+FROM sf ORDER BY size DESC, path LIMIT 50"""
+ORACLE["snapshot_summary"] = f"WITH {_snap_ctes()} SELECT * FROM summary"
+
+_PAIR = _snap_ctes("doc_id % 13 <> 0", "c_") + ", " + _snap_ctes("doc_id % 10 <> 0", "p_")
+_EXT_CHANGES = """ch AS (
+  SELECT coalesce(c.ext, p.ext) AS ext,
+         CASE WHEN p.ext IS NULL THEN 'new' ELSE 'removed' END AS change,
+         coalesce(c.count, p.count) AS count
+  FROM c_byext c FULL OUTER JOIN p_byext p ON c.ext = p.ext
+  WHERE c.ext IS NULL OR p.ext IS NULL
+)"""
+
+
+def _fmt1_abs(x: str) -> str:
+    """Size text, 1 decimal, unit by absolute value (printf rounds like Python)."""
+    steps = ["B", "KB", "MB", "GB", "TB"]
+    whens = " ".join(
+        f"WHEN abs({x}) < {1024 ** (k + 1)} THEN printf('%.1f', {x} / {float(1024 ** k)}) || ' {u}'"
+        for k, u in enumerate(steps))
+    return f"(CASE {whens} ELSE printf('%.1f', {x} / {float(1024 ** 5)}) || ' PB' END)"
+
+
+ORACLE["snapshot_ext_changes"] = f"WITH {_PAIR}, {_EXT_CHANGES} SELECT * FROM ch"
+ORACLE["snapshot_diff"] = f"""WITH {_PAIR}, {_EXT_CHANGES},
+d AS (
+  SELECT CAST(greatest(c.total_files - p.total_files, 0) AS BIGINT) AS files_added,
+         CAST(greatest(p.total_files - c.total_files, 0) AS BIGINT) AS files_removed,
+         CAST(c.total_size_bytes - p.total_size_bytes AS BIGINT) AS size_change_bytes,
+         (SELECT count(*) FROM ch WHERE change = 'new') AS new_extensions,
+         (SELECT count(*) FROM ch WHERE change = 'removed') AS removed_extensions
+  FROM c_summary c, p_summary p
+)
+SELECT *, coalesce(nullif(concat_ws(', ',
+    CASE WHEN files_added > 0 THEN '+' || files_added || ' files' END,
+    CASE WHEN files_removed > 0 THEN '-' || files_removed || ' files' END,
+    CASE WHEN new_extensions > 0 THEN new_extensions || ' new extensions' END,
+    CASE WHEN removed_extensions > 0 THEN removed_extensions || ' removed extensions' END,
+    CASE WHEN size_change_bytes <> 0 THEN {_fmt1_abs('size_change_bytes')} || ' change' END), ''),
+  'No changes') AS summary
+FROM d"""
