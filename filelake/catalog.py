@@ -102,3 +102,57 @@ def q_snapshot_diff(spark, sf_dir):
 def q_snapshot_ext_changes(spark, sf_dir):
     cur, prev = _pair(spark, sf_dir)
     return S.ext_changes(cur, prev)
+
+
+# --- sort -------------------------------------------------------------------------
+
+from filelake.operators import classify as CL  # noqa: E402
+from filelake.operators import sort as SO  # noqa: E402
+
+
+@register("detect_type")
+def q_detect_type(spark, sf_dir):
+    d = CL.detect_type(CL.sort_files(FX.manifest(spark, sf_dir), ROOT))
+    return d.select(*[F.col(t).cast("bigint") for t in CL.TYPES], F.col("total").cast("bigint"), "detected_type")
+
+
+def _sorted(sort_type):
+    def q(spark, sf_dir):
+        return CL.classify(FX.manifest(spark, sf_dir), ROOT, sort_type).select("path", "category")
+    return q
+
+
+for _t in ("mixed", "documents", "music", "pictures", "videos"):
+    register(f"sort_{_t}")(_sorted(_t))
+
+
+@register("sort_plan_collisions")
+def q_sort_plan_collisions(spark, sf_dir):
+    return SO.sort_plan(FX.manifest(spark, sf_dir), ROOT).select("path", "action", "dest")
+
+
+@register("sort_summary")
+def q_sort_summary(spark, sf_dir):
+    s = SO.sort_summary(SO.sort_plan(FX.manifest(spark, sf_dir), ROOT))
+    return s.select("total_files", "moved_count", "skipped_count", "space_organized",
+                    F.col("categories").cast("bigint"))
+
+
+# --- rename -----------------------------------------------------------------------
+
+from filelake.operators import rename as RN  # noqa: E402
+
+
+@register("rename_patterns")
+def q_rename_patterns(spark, sf_dir):
+    return RN.rename_candidates(FX.manifest(spark, sf_dir), ROOT).select("path", "pattern", "clean_path")
+
+
+@register("rename_actions")
+def q_rename_actions(spark, sf_dir):
+    return RN.rename_plan(FX.manifest(spark, sf_dir), ROOT).select("path", "clean_path", "action", "dest")
+
+
+@register("rename_summary")
+def q_rename_summary(spark, sf_dir):
+    return RN.rename_summary(RN.rename_plan(FX.manifest(spark, sf_dir), ROOT))

@@ -184,3 +184,146 @@ SELECT *, coalesce(nullif(concat_ws(', ',
     CASE WHEN size_change_bytes <> 0 THEN {_fmt1_abs('size_change_bytes')} || ' change' END), ''),
   'No changes') AS summary
 FROM d"""
+
+
+# --- sort ------------------------------------------------------------------------------
+
+from filelake import constants as C  # noqa: E402
+
+
+def _in(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _any_contains(col: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{n}')" for n in needles) + ")"
+
+
+SFILES = """sfiles AS (
+  SELECT path, name, parent, size, ext, artist, exif_date,
+         CASE WHEN rel_parent = '' THEN '' ELSE split_part(rel_parent, '/', 1) END AS top,
+         regexp_extract(parent, '[^/]*$', 0) AS parent_name
+  FROM m
+)"""
+
+_FAMILY = f"""CASE WHEN ext IN {_in(C.DOCUMENT_EXTS)} THEN 'documents'
+  WHEN ext IN {_in(C.MUSIC_EXTS)} THEN 'music' WHEN ext IN {_in(C.PICTURE_EXTS)} THEN 'pictures'
+  WHEN ext IN {_in(C.VIDEO_EXTS)} THEN 'videos' END"""
+
+_CAT = {
+    "mixed": f"""CASE WHEN ext IN {_in(C.DOCUMENT_EXTS)} THEN 'Documents'
+  WHEN ext IN {_in(C.MUSIC_EXTS)} THEN 'Music' WHEN ext IN {_in(C.PICTURE_EXTS)} THEN 'Pictures'
+  WHEN ext IN {_in(C.VIDEO_EXTS)} THEN 'Videos' ELSE '_Misc' END""",
+    "documents": f"""CASE WHEN ext IN {_in(C.DOCUMENT_EXTS)} OR ext = '' THEN
+  CASE WHEN {_any_contains('lower(top)', C.PROFESSIONNEL_PATTERNS)} THEN '05_Professionnel'
+       WHEN {_any_contains('lower(top)', C.PERSONNEL_PATTERNS)} THEN '07_Personnel'
+       WHEN {_any_contains('lower(top)', C.RESSOURCES_PATTERNS)} THEN '06_Ressources_et_Documentation'
+       WHEN regexp_matches(top, '^_from_[0-9]+$') THEN '07_Personnel'
+       ELSE '_Unclassified' END END""",
+    "music": f"""CASE WHEN ext IN {_in(C.MUSIC_EXTS)} THEN coalesce(
+  CASE WHEN artist <> '' THEN translate(artist, '/\\', '__') END,
+  CASE WHEN starts_with(parent_name, '_from_')
+       THEN '_Various/' || upper(substr(parent_name, 7, 1)) || lower(substr(parent_name, 8)) END,
+  '_Unknown') END""",
+    "pictures": f"""CASE WHEN ext IN {_in(C.DESIGN_EXTS)} THEN '_Design'
+  WHEN ext IN {_in(C.IMAGE_EXTS)} THEN coalesce(CAST(coalesce(
+    nullif(TRY_CAST(regexp_extract(exif_date, '^([0-9]{{4}}):([0-9]{{2}}):([0-9]{{2}})', 1) AS INTEGER), 0),
+    (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '^([0-9]{{4}})[0-9]{{4}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030),
+    (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '(?i)^(?:IMG|VID|PHOTO)_([0-9]{{4}})[0-9]{{4}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030),
+    (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '([0-9]{{4}})[-_][0-9]{{2}}[-_][0-9]{{2}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030)
+  ) AS VARCHAR), '_Undated') END""",
+    "videos": f"""CASE WHEN ext IN {_in(C.VIDEO_EXTS)} THEN
+  CASE WHEN regexp_matches(name, '(?i)^N_[0-9]{{8}}_[0-9]{{6}}\\.mp4$') THEN 'Dashcam'
+       WHEN lower(top) IN {_in(C.FILM_SOURCES)} THEN 'Films'
+       WHEN lower(top) = '{C.WHATSAPP_SOURCE}' THEN 'WhatsApp Video'
+       WHEN lower(top) IN {_in(C.FAMILLE_SOURCES)} THEN 'Famille'
+       ELSE '_Misc' END END""",
+}
+
+ORACLE["detect_type"] = f"""WITH {M}, {SFILES},
+c AS (SELECT count_if(fam = 'documents') AS documents, count_if(fam = 'music') AS music,
+             count_if(fam = 'pictures') AS pictures, count_if(fam = 'videos') AS videos
+      FROM (SELECT {_FAMILY} AS fam FROM sfiles) f),
+t AS (SELECT *, documents + music + pictures + videos AS total FROM c)
+SELECT *, CASE WHEN total > 0 AND documents / total > 0.8 THEN 'documents'
+               WHEN total > 0 AND music / total > 0.8 THEN 'music'
+               WHEN total > 0 AND pictures / total > 0.8 THEN 'pictures'
+               WHEN total > 0 AND videos / total > 0.8 THEN 'videos' ELSE 'mixed' END AS detected_type
+FROM t"""
+
+for _t, _expr in _CAT.items():
+    ORACLE[f"sort_{_t}"] = f"""WITH {M}, {SFILES}
+SELECT path, category FROM (SELECT path, {_expr} AS category FROM sfiles) x WHERE category IS NOT NULL"""
+
+# The fixture is 'mixed'; contenders for one (category, name) are numbered in
+# path order; nothing exists yet in the category folders.
+_SORT_PLAN = f"""sp AS (
+  SELECT path, size, category, name,
+         regexp_extract(name, '^.+([.][^.]+)$', 1) AS sfx,
+         row_number() OVER (PARTITION BY category, name ORDER BY path) - 1 AS k
+  FROM (SELECT path, size, name, {_CAT['mixed']} AS category FROM sfiles) x
+)"""
+ORACLE["sort_plan_collisions"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
+SELECT path, 'move' AS action,
+       '/drive/' || category || '/' || CASE WHEN k = 0 THEN name
+         ELSE left(name, length(name) - length(sfx)) || '_' || CAST(k AS VARCHAR) || sfx END AS dest
+FROM sp"""
+ORACLE["sort_summary"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
+SELECT count(*) AS total_files, count(*) AS moved_count, CAST(0 AS BIGINT) AS skipped_count,
+       CAST(sum(size) AS BIGINT) AS space_organized, count(DISTINCT category) AS categories
+FROM sp"""
+
+
+# --- rename -----------------------------------------------------------------------------
+
+_RENAME_PROTECTED = "(" + " OR ".join(f"contains(rel_parent, '{p}')" for p in C.RENAME_PROTECTED) + ")"
+_RENAME = f"""c0 AS (
+  SELECT path, parent, name, size, md5,
+         regexp_extract(name, '^.+([.][^.]+)$', 1) AS sfx,
+         CASE WHEN regexp_matches(name, ' \\(([0-9]+)\\)\\.') THEN '(N)'
+              WHEN regexp_matches(name, ' - Cop(?:y|ie)(?: \\([0-9]+\\))?\\.')
+                THEN CASE WHEN contains(name, 'Copie') THEN '- Copie' ELSE '- Copy' END END AS pattern,
+         regexp_extract(name, ' \\(([0-9]+)\\)\\.', 1) AS num
+  FROM m WHERE NOT {_RENAME_PROTECTED}
+), c1 AS (
+  SELECT *, left(name, length(name) - length(sfx)) AS stem FROM c0 WHERE pattern IS NOT NULL
+), c AS (
+  SELECT *, parent || '/' || clean_name AS clean_path FROM (
+    SELECT *, CASE WHEN pattern = '(N)' THEN
+                (CASE WHEN suffix(stem, ' (' || num || ')')
+                      THEN left(stem, length(stem) - length(' (' || num || ')')) ELSE stem END) || sfx
+              ELSE regexp_replace(name, ' - Cop(?:y|ie)(?: \\([0-9]+\\))?\\.', '.', 'g') END AS clean_name
+    FROM c1) t
+), r AS (
+  SELECT c.*, o.path IS NOT NULL AS has_orig, o.md5 AS orig_md5,
+         row_number() OVER (PARTITION BY clean_path ORDER BY stem DESC, c.path DESC) AS rn
+  FROM c LEFT JOIN m o ON o.path = c.clean_path
+  WHERE c.clean_path <> c.path
+), f AS (SELECT clean_path, md5 AS first_md5 FROM r WHERE rn = 1
+), a AS (
+  SELECT r.*, CASE
+      WHEN NOT has_orig AND rn = 1 THEN 'rename'
+      WHEN md5 IS NULL OR (CASE WHEN has_orig THEN orig_md5 ELSE first_md5 END) IS NULL THEN 'skip'
+      WHEN md5 = (CASE WHEN has_orig THEN orig_md5 ELSE first_md5 END) THEN 'delete_duplicate'
+      ELSE 'collision_rename' END AS action
+  FROM r JOIN f USING (clean_path)
+), plan AS (
+  SELECT path, size, pattern, clean_path, action,
+         CASE WHEN action = 'rename' THEN clean_path
+              WHEN action = 'collision_rename' THEN
+                parent || '/' || left(clean_name, length(clean_name) - length(regexp_extract(clean_name, '^.+([.][^.]+)$', 1)))
+                || '_' || CAST(row_number() OVER (PARTITION BY clean_path, action ORDER BY stem DESC, path DESC) AS VARCHAR)
+                || regexp_extract(clean_name, '^.+([.][^.]+)$', 1) END AS dest
+  FROM a
+  UNION ALL
+  SELECT path, size, pattern, clean_path, 'skip', NULL FROM c WHERE clean_path = path
+)"""
+
+ORACLE["rename_patterns"] = f"WITH {M}, {_RENAME} SELECT path, pattern, clean_path FROM c"
+ORACLE["rename_actions"] = f"WITH {M}, {_RENAME} SELECT path, clean_path, action, dest FROM plan"
+ORACLE["rename_summary"] = f"""WITH {M}, {_RENAME}
+SELECT count(*) AS total_scanned, count(*) AS pattern_files_found,
+       count_if(action = 'rename') AS renamed, count_if(action = 'delete_duplicate') AS duplicates_deleted,
+       count_if(action = 'collision_rename') AS collision_renamed, count_if(action = 'skip') AS skipped,
+       CAST(coalesce(sum(CASE WHEN action = 'delete_duplicate' THEN size END), 0) AS BIGINT) AS space_freed
+FROM plan"""
