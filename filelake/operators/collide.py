@@ -24,11 +24,12 @@ _SLOT_SUFFIX = r"^(.*)_([1-9][0-9]*)$"
 
 
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column],
-                  hot_rows: int = HOT_GROUP_ROWS, out: str = "rk") -> DataFrame:
+                  hot_rows: int = HOT_GROUP_ROWS, out: str = "rk",
+                  spread_by: list[str] = ("path",)) -> DataFrame:
     """0-based position of each row in its key group.
 
     Groups up to ``hot_rows`` rows are ranked in ``order``.  Larger groups are
-    first spread over ceil(n / hot_rows) buckets by a hash of the row order, each
+    first spread over ceil(n / hot_rows) buckets by a hash of ``spread_by``, each
     bucket ranked on its own, and bucket offsets (a tiny per-bucket count
     with a running sum) added -- so one hot key never sits in one task.  The
     order inside a hot group is then (bucket, order), still deterministic.
@@ -37,7 +38,7 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[Column],
     t = df.join(sizes, keys, "inner")
     n_buckets = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("bigint")
     t = t.withColumn("_b", F.when(F.col("_n") > hot_rows,
-                                  F.pmod(F.xxhash64(*order), n_buckets)).otherwise(F.lit(0).cast("bigint")))
+                                  F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), n_buckets)).otherwise(F.lit(0).cast("bigint")))
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     t = t.withColumn("_lr", F.row_number().over(w) - 1)
     counts = t.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelake.session import ensure_checkpoint_dir
+
 ROOT = "/drive"
 TARGET = "/drive/Library"
 
@@ -75,7 +77,15 @@ def fixture_manifest(documents: DataFrame, keep: Column | None = None) -> DataFr
 
 
 def manifest(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
-    return fixture_manifest(load_table(spark, sf_dir, "documents"), keep)
+    """The fixture manifest, materialised like a stored inventory table.
+
+    The derivation is one long expression chain; left inline, the optimizer
+    copies it into every downstream expression and pushed-down filter (the
+    generated code outgrows the JVM method limit).  A reliable checkpoint in
+    the session's checkpoint folder cuts that lineage, as reading a written
+    inventory table would."""
+    ensure_checkpoint_dir(spark)
+    return fixture_manifest(load_table(spark, sf_dir, "documents"), keep).checkpoint(eager=True)
 
 
 def previous_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
