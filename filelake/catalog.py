@@ -156,3 +156,50 @@ def q_rename_actions(spark, sf_dir):
 @register("rename_summary")
 def q_rename_summary(spark, sf_dir):
     return RN.rename_summary(RN.rename_plan(FX.manifest(spark, sf_dir), ROOT))
+
+
+# --- consolidate -------------------------------------------------------------------
+
+from filelake.operators import consolidate as CO  # noqa: E402
+
+TARGET = FX.TARGET
+
+
+@register("consolidate_plan")
+def q_consolidate_plan(spark, sf_dir):
+    return CO.consolidate_plan(FX.manifest(spark, sf_dir), ROOT, TARGET).select("path", "size", "action", "dest")
+
+
+@register("consolidate_summary")
+def q_consolidate_summary(spark, sf_dir):
+    return CO.consolidate_summary(FX.manifest(spark, sf_dir), ROOT, TARGET)
+
+
+# --- clean ---------------------------------------------------------------------------
+
+from filelake.operators import clean as CLN  # noqa: E402
+
+
+@register("junk_files")
+def q_junk_files(spark, sf_dir):
+    return CLN.junk_plan(FX.manifest(spark, sf_dir), ROOT).select("path", "size")
+
+
+@register("empty_dirs")
+def q_empty_dirs(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    return CLN.empty_dirs_plan(FX.directories(spark, man), man, ROOT).select(
+        "path", F.col("height").cast("bigint"))
+
+
+@register("permission_plan")
+def q_permission_plan(spark, sf_dir):
+    return CLN.permission_plan(FX.manifest(spark, sf_dir)).select(
+        "path", F.col("mode").cast("bigint"), F.col("new_mode").cast("bigint"))
+
+
+@register("clean_summary")
+def q_clean_summary(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    plan = CLN.clean_plan(man, ROOT, dirs=FX.directories(spark, man))
+    return CLN.clean_summary(plan)

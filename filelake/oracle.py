@@ -327,3 +327,84 @@ SELECT count(*) AS total_scanned, count(*) AS pattern_files_found,
        count_if(action = 'collision_rename') AS collision_renamed, count_if(action = 'skip') AS skipped,
        CAST(coalesce(sum(CASE WHEN action = 'delete_duplicate' THEN size END), 0) AS BIGINT) AS space_freed
 FROM plan"""
+
+
+# --- consolidate ------------------------------------------------------------------------
+
+_ALL_PRESET = sorted({e for v in C.PRESETS.values() for e in v})
+_CONS_SKIP = r"(^|/)(\$RECYCLE\.BIN|System Volume Information|\.Trash-[^/]*|__pycache__|\.git|node_modules|\.vscode|\.idea)(/|$)"
+_CONSOLIDATE = f"""cs AS (
+  SELECT path, size, md5, name,
+         starts_with(lower(path), '/drive/library/')
+           AND NOT list_contains(string_split(lower(path), '/'), '_staging') AS in_target,
+         string_split(rel, '/') AS parts
+  FROM m
+  WHERE NOT regexp_matches(rel_parent, '{_CONS_SKIP}') AND ext IN {_in(_ALL_PRESET)} AND size >= 100
+), keys AS (SELECT DISTINCT md5, size FROM cs WHERE in_target AND md5 IS NOT NULL
+), cp AS (
+  SELECT o.path, o.size,
+         CASE WHEN k.md5 IS NOT NULL THEN 'delete' ELSE 'move' END AS action,
+         CASE WHEN k.md5 IS NULL THEN '/drive/Library/_STAGING/' ||
+           CASE WHEN len(parts) < 2 THEN '_from_root'
+                WHEN parts[-2] IN ('source', 'files', 'data') AND len(parts) >= 3
+                  THEN '_from_' || parts[-3] || '_' || parts[-2]
+                ELSE '_from_' || parts[-2] END || '/' || name END AS dest
+  FROM cs o LEFT JOIN keys k ON o.md5 = k.md5 AND o.size = k.size
+  WHERE NOT o.in_target AND o.md5 IS NOT NULL
+)"""
+ORACLE["consolidate_plan"] = f"WITH {M}, {_CONSOLIDATE} SELECT * FROM cp"
+ORACLE["consolidate_summary"] = f"""WITH {M}, {_CONSOLIDATE}
+SELECT count_if(action = 'move') AS files_moved, count_if(action = 'delete') AS files_deleted,
+       CAST(coalesce(sum(CASE WHEN action = 'move' THEN size END), 0) AS BIGINT) AS space_organized,
+       CAST(coalesce(sum(CASE WHEN action = 'delete' THEN size END), 0) AS BIGINT) AS space_freed,
+       (SELECT count(*) FROM cs WHERE in_target AND md5 IS NOT NULL) AS already_in_target,
+       (SELECT count(*) FROM cs WHERE md5 IS NULL) AS failed_hash_files
+FROM cp"""
+
+
+# --- clean --------------------------------------------------------------------------------
+
+_CLEAN_PROT = "(" + " OR ".join(f"contains(rel_parent, '{p}')" for p in C.CLEAN_PROTECTED) + ")"
+_JUNK = r"^(desktop\.ini|Desktop\.ini|Thumbs\.db|thumbs\.db|\.DS_Store|ntuser\.ini|ntuser\.dat.*|NTUSER\.DAT.*|~\$.*|~WRL.*\.tmp|~WRF.*\.tmp|.*\.tmp|\.~lock\..*)$"
+ORACLE["junk_files"] = f"""WITH {M}
+SELECT path, size FROM m WHERE NOT {_CLEAN_PROT} AND regexp_matches(name, '{_JUNK}')"""
+
+# folders: ancestors of every file (root included) and the fixed empty chains
+_DIRS = f"""alld AS (
+  SELECT DISTINCT CASE WHEN i = 0 THEN '/drive'
+           ELSE '/drive/' || array_to_string(list_slice(string_split(rel_parent, '/'), 1, i), '/') END AS path
+  FROM (SELECT rel_parent, unnest(generate_series(0, CASE WHEN rel_parent = '' THEN 0
+                 ELSE len(string_split(rel_parent, '/')) END)) AS i FROM m) t
+  UNION SELECT '/drive/' || rel FROM (VALUES {_EXTRA_DIRS}) v(rel)
+), dd AS (
+  SELECT path, len(string_split(path, '/')) AS depth,
+         {" OR ".join(f"contains(substr(path, 8), '{p}')" for p in C.CLEAN_PROTECTED)} AS prot
+  FROM alld
+)"""
+ORACLE["empty_dirs"] = f"""WITH {M}, {_DIRS},
+stays AS (SELECT path FROM m UNION ALL SELECT path FROM dd WHERE prot),
+blocked AS (SELECT DISTINCT d.path FROM dd d JOIN stays s ON starts_with(s.path, d.path || '/')),
+h AS (SELECT a.path, max(b.depth - a.depth) AS height FROM dd a JOIN dd b
+        ON b.path = a.path OR starts_with(b.path, a.path || '/') GROUP BY a.path)
+SELECT d.path, h.height FROM dd d JOIN h USING (path)
+WHERE NOT d.prot AND d.path NOT IN (SELECT path FROM blocked) AND h.height < 10"""
+
+ORACLE["permission_plan"] = f"""WITH {M}
+SELECT path, CAST(mode AS BIGINT) AS mode,
+       CAST(mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END AS BIGINT) AS new_mode
+FROM m WHERE mode <> (mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END)"""
+
+ORACLE["clean_summary"] = f"""WITH {M}, {_DIRS},
+junk AS (SELECT path, size FROM m WHERE NOT {_CLEAN_PROT} AND regexp_matches(name, '{_JUNK}')),
+surv AS (SELECT * FROM m WHERE path NOT IN (SELECT path FROM junk)),
+stays AS (SELECT path FROM surv UNION ALL SELECT path FROM dd WHERE prot),
+blocked AS (SELECT DISTINCT d.path FROM dd d JOIN stays s ON starts_with(s.path, d.path || '/')),
+h AS (SELECT a.path, max(b.depth - a.depth) AS height FROM dd a JOIN dd b
+        ON b.path = a.path OR starts_with(b.path, a.path || '/') GROUP BY a.path),
+ed AS (SELECT d.path FROM dd d JOIN h USING (path)
+       WHERE NOT d.prot AND d.path NOT IN (SELECT path FROM blocked) AND h.height < 10)
+SELECT (SELECT count(*) FROM junk) AS junk_deleted,
+       (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM junk) AS junk_size,
+       (SELECT count(*) FROM ed) AS dirs_removed,
+       (SELECT count(*) FROM surv WHERE mode <> (mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END))
+         AS permissions_to_fix"""

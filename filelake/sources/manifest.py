@@ -67,11 +67,13 @@ def ancestors(path_col, root: str):
     r = P.norm_root(root)
     rel = P.rel_parent(path_col, root)
     parts = F.when(rel == "", F.array().cast("array<string>")).otherwise(F.split(rel, "/"))
-    return F.concat(
-        F.array(F.lit(r if r else "/")),
-        F.transform(F.sequence(F.lit(1), F.size(parts)),
-                    lambda i: F.concat(F.lit(r + "/"), F.array_join(F.slice(parts, 1, i), "/"))),
-    )
+    # sequence(1, 0) counts down in Spark, so an empty chain is spelled out
+    below = F.when(F.size(parts) > 0, F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.concat(F.lit(r + "/"), F.array_join(F.slice(parts, 1, i), "/")),
+    )).otherwise(F.array().cast("array<string>"))
+    chain = F.concat(F.array(F.lit(r if r else "/")), below)
+    return F.when(rel.isNull(), F.array().cast("array<string>")).otherwise(chain)
 
 
 def directories_of(manifest: DataFrame, root: str, extra: DataFrame | None = None) -> DataFrame:
