@@ -203,3 +203,110 @@ def q_clean_summary(spark, sf_dir):
     man = FX.manifest(spark, sf_dir)
     plan = CLN.clean_plan(man, ROOT, dirs=FX.directories(spark, man))
     return CLN.clean_summary(plan)
+
+
+# --- dedup facets ---------------------------------------------------------------------
+
+from filelake.functions import paths as P  # noqa: E402
+
+
+@register("duplicate_size_groups")
+def q_duplicate_size_groups(spark, sf_dir):
+    cand = D.candidates(FX.manifest(spark, sf_dir), ROOT, min_size=100)
+    return D.shared_sizes(cand)
+
+
+@register("duplicate_hash_groups")
+def q_duplicate_hash_groups(spark, sf_dir):
+    cand = D.candidates(FX.manifest(spark, sf_dir), ROOT, min_size=100)
+    return D.groups(D.hashed(cand)).select("md5", "size", "n_files", "keeper_path")
+
+
+@register("keeper_score")
+def q_keeper_score(spark, sf_dir):
+    cand = D.candidates(FX.manifest(spark, sf_dir), ROOT, min_size=100)
+    s = P.keeper_score("path", "name")
+    return cand.select("path", *[s[f].cast("bigint").alias(f) for f in ("depth", "copy_rank", "uuid_rank", "parens_rank")])
+
+
+@register("dedup_include_exclude")
+def q_dedup_include_exclude(spark, sf_dir):
+    plan = D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100,
+                        include=["*.txt", "*.PDF", "*.jp?g", "*.jpg"], exclude=["* - Copy.*", "[!f]*(1).txt"])
+    return plan.select("path", "keeper_path", "action")
+
+
+@register("dedup_skip_dirs")
+def q_dedup_skip_dirs(spark, sf_dir):
+    plan = D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100, skip_dirs=["Library", "_from_*"])
+    return plan.select("path", "keeper_path", "action")
+
+
+# --- plans ------------------------------------------------------------------------------
+
+from filelake.plans import apply as AP  # noqa: E402
+from filelake.plans import batches as BA  # noqa: E402
+from filelake.plans import oplog as OL  # noqa: E402
+from filelake.plans import workflow as WF  # noqa: E402
+
+
+@register("apply_plan_dedup")
+def q_apply_plan_dedup(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    plan = D.dedup_plan(man, ROOT, min_size=100)
+    return AP.apply_plan(man, plan).select("path", "size", "md5")
+
+
+@register("apply_plan_sort")
+def q_apply_plan_sort(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    return AP.apply_plan(man, SO.sort_plan(man, ROOT)).select("path", "size", "md5")
+
+
+@register("verify_plan")
+def q_verify_plan(spark, sf_dir):
+    prev = FX.previous_manifest(spark, sf_dir)
+    cur = FX.current_manifest(spark, sf_dir)
+    plan = D.dedup_plan(prev, ROOT, min_size=100)
+    return AP.verify_plan(plan, cur).select("path", "action", "status")
+
+
+@register("oplog_recover")
+def q_oplog_recover(spark, sf_dir):
+    return OL.op_log_recover(FX.oplog_events(spark, sf_dir)).select(
+        F.col("op_id").cast("bigint").alias("op_id"), "status")
+
+
+@register("delete_batches")
+def q_delete_batches(spark, sf_dir):
+    plan = D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100)
+    b = BA.delete_batches(plan, 500)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"),
+                                     F.sum("size").cast("bigint").alias("bytes"),
+                                     F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+
+
+@register("reorganize_summary")
+def q_reorganize_summary(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    r = WF.reorganize(man, ROOT, dedup_min_size=100, dirs=FX.directories(spark, man).select("path"))
+    return r.summary()
+
+
+# --- formats ------------------------------------------------------------------------------
+
+from filelake.functions import fmt as FM  # noqa: E402
+
+
+@register("format_sizes")
+def q_format_sizes(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    s = F.col("size")
+    return man.select(
+        "path",
+        FM.size_text_signed(s).alias("f1"),
+        FM.size_text_signed(-s * 1536).alias("f1_neg"),
+        FM.size_text(s * 1024 * 7).alias("f2"),
+        FM.size_text_2(s * 1048576).alias("f3"),
+        FM.size_text_2(s * (1 << 40)).alias("f3_big"),
+        FM.size_text(s * (1 << 44)).alias("f2_big"))

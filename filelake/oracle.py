@@ -408,3 +408,125 @@ SELECT (SELECT count(*) FROM junk) AS junk_deleted,
        (SELECT count(*) FROM ed) AS dirs_removed,
        (SELECT count(*) FROM surv WHERE mode <> (mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END))
          AS permissions_to_fix"""
+
+
+# --- dedup facets ---------------------------------------------------------------------------
+
+ORACLE["duplicate_size_groups"] = f"""WITH {M}, {CAND}
+SELECT size, count(*) AS n_files FROM cand GROUP BY size HAVING count(*) >= 2"""
+
+ORACLE["duplicate_hash_groups"] = f"""WITH {M}, {CAND}, {_dedup_plan_sql(_DEEPEST).split('SELECT r.path')[0].strip()}
+SELECT md5, size, n AS n_files, path AS keeper_path FROM ranked WHERE rn = 1 AND n >= 2"""
+
+ORACLE["keeper_score"] = f"""WITH {M}, {CAND}
+SELECT path, len(string_split(path, '/')) AS depth,
+  CASE WHEN lower(name) LIKE '%copy of %' OR lower(name) LIKE '% - copy%' OR lower(name) LIKE '% - copie%'
+        OR name LIKE '%(1)%' OR name LIKE '%(2)%' OR name LIKE '%(3)%' THEN 0 ELSE 1 END AS copy_rank,
+  CASE WHEN regexp_matches(lower(path), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') THEN 0 ELSE 1 END AS uuid_rank,
+  CASE WHEN regexp_matches(name, '\\([0-9]+\\)') THEN 0 ELSE 1 END AS parens_rank
+FROM cand"""
+
+_INCL = r"^(.*\.txt|.*\.PDF|.*\.jp.g|.*\.jpg)$"
+_EXCL = r"^(.* - Copy\..*|[^f].*\(1\)\.txt)$"
+ORACLE["dedup_include_exclude"] = f"""WITH {M}, {CAND},
+cand2 AS (SELECT * FROM cand WHERE regexp_matches(name, '{_INCL}') AND NOT regexp_matches(name, '{_EXCL}')),
+{_dedup_plan_sql(_DEEPEST, 'cand2').replace('r.size, r.md5, k.path AS keeper_path', 'k.path AS keeper_path')}"""
+
+_CUSTOM_SKIP = r"(^|/)(Library|_from_\*|_from_[^/]*)(/|$)"
+ORACLE["dedup_skip_dirs"] = f"""WITH {M},
+cand3 AS (SELECT * FROM m WHERE size >= 100 AND NOT is_symlink AND NOT starts_with(name, '.')
+          AND NOT regexp_matches(rel_parent, '{_CUSTOM_SKIP}')),
+{_dedup_plan_sql(_DEEPEST, 'cand3').replace('r.size, r.md5, k.path AS keeper_path', 'k.path AS keeper_path')}"""
+
+
+# --- plans ------------------------------------------------------------------------------------
+
+_PLAN_DEEPEST = "plan AS (" + _dedup_plan_sql(_DEEPEST).replace("\nranked AS", "WITH ranked AS", 1) + ")"
+ORACLE["apply_plan_dedup"] = f"""WITH {M}, {CAND}, {_PLAN_DEEPEST}
+SELECT path, size, md5 FROM m WHERE path NOT IN (SELECT path FROM plan WHERE action = 'delete')"""
+
+ORACLE["apply_plan_sort"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
+SELECT '/drive/' || category || '/' || CASE WHEN k = 0 THEN sp.name
+         ELSE left(sp.name, length(sp.name) - length(sfx)) || '_' || CAST(k AS VARCHAR) || sfx END AS path,
+       m.size, m.md5
+FROM sp JOIN m USING (path)"""
+
+_PREV = f"""m AS (SELECT *, substr(path, 8) AS rel, regexp_replace(substr(path, 8), '/?[^/]*$', '') AS rel_parent
+          FROM {manifest_sql('doc_id % 10 <> 0')} x)"""
+_CUR = f"cur AS (SELECT * FROM {manifest_sql('doc_id % 13 <> 0')} y)"
+ORACLE["verify_plan"] = f"""WITH {_PREV}, {_CUR}, {CAND}, {_PLAN_DEEPEST}
+SELECT p.path, p.action,
+       CASE WHEN k.path IS NULL THEN 'keeper_missing' WHEN k.size <> p.size THEN 'keeper_changed'
+            WHEN c.path IS NULL THEN 'already_gone' WHEN c.size <> p.size THEN 'size_changed'
+            ELSE 'ok' END AS status
+FROM plan p LEFT JOIN cur c ON c.path = p.path LEFT JOIN cur k ON k.path = p.keeper_path"""
+
+ORACLE["oplog_recover"] = """
+SELECT op_id, status FROM (
+  SELECT user_id AS op_id,
+         arg_max(CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'pending' END,
+                 event_id) AS status
+  FROM events GROUP BY user_id) t
+WHERE status <> 'done'"""
+
+ORACLE["delete_batches"] = f"""WITH {M}, {CAND}, {_PLAN_DEEPEST},
+d AS (SELECT path, size, (row_number() OVER (ORDER BY path) - 1) // 500 AS batch_id
+      FROM plan WHERE action = 'delete')
+SELECT batch_id, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes,
+       min(path) AS first_path, max(path) AS last_path
+FROM d GROUP BY batch_id"""
+
+
+def _fmt(x: str, decimals: int, use_abs: bool, units, last: str) -> str:
+    test = f"abs({x})" if use_abs else x
+    whens = " ".join(
+        f"WHEN {test} < {1024 ** (k + 1)} THEN printf('%.{decimals}f', {x} / {float(1024 ** k)}) || ' {u}'"
+        for k, u in enumerate(units))
+    return (f"(CASE {whens} ELSE printf('%.{decimals}f', {x} / {float(1024 ** len(units))}) "
+            f"|| ' {last}' END)")
+
+
+_U5 = ["B", "KB", "MB", "GB", "TB"]
+ORACLE["format_sizes"] = f"""WITH {M}
+SELECT path,
+  {_fmt('size', 1, True, _U5, 'PB')} AS f1,
+  {_fmt('(-size * 1536)', 1, True, _U5, 'PB')} AS f1_neg,
+  {_fmt('(size * 1024 * 7)', 1, False, _U5, 'PB')} AS f2,
+  {_fmt('(size * 1048576)', 2, False, _U5[:4], 'TB')} AS f3,
+  {_fmt('(CAST(size AS HUGEINT) * 1099511627776)', 2, False, _U5[:4], 'TB')} AS f3_big,
+  {_fmt('(CAST(size AS HUGEINT) * 17592186044416)', 1, False, _U5, 'PB')} AS f2_big
+FROM m"""
+
+# Chained reorganisation: junk removed, duplicates removed (deepest keeper),
+# the rest sorted ('mixed'), snapshots before / after.
+ORACLE["reorganize_summary"] = f"""WITH {M},
+junk AS (SELECT path FROM m WHERE NOT {_CLEAN_PROT} AND regexp_matches(name, '{_JUNK}')),
+m1 AS (SELECT * FROM m WHERE path NOT IN (SELECT path FROM junk)),
+cand AS (SELECT * FROM m1 WHERE size >= 100 AND NOT is_symlink AND NOT starts_with(name, '.')
+         AND NOT regexp_matches(rel_parent, '{_DEDUP_SKIP}')),
+{_PLAN_DEEPEST},
+m2 AS (SELECT * FROM m1 WHERE path NOT IN (SELECT path FROM plan WHERE action = 'delete')),
+fam AS (SELECT {_FAMILY} AS f FROM m2),
+det AS (SELECT CASE WHEN count(f) > 0 AND (count_if(f = 'documents') / count(f) > 0.8 OR count_if(f = 'music') / count(f) > 0.8
+                 OR count_if(f = 'pictures') / count(f) > 0.8 OR count_if(f = 'videos') / count(f) > 0.8)
+               THEN 'not mixed' ELSE 'mixed' END AS t FROM fam),
+b AS (SELECT path, size, ext FROM m WHERE NOT regexp_matches(rel_parent, '{_SNAP_SKIP}')),
+be AS (SELECT DISTINCT ext FROM b), ae AS (SELECT DISTINCT ext FROM m2),
+d AS (
+  SELECT (SELECT count(*) FROM junk) AS junk_deleted,
+         (SELECT count(*) FROM plan WHERE action = 'delete') AS duplicates_deleted,
+         (SELECT CASE WHEN t = 'mixed' THEN (SELECT count(*) FROM m2) END FROM det) AS files_sorted,
+         (SELECT count(*) FROM b) AS files_before, (SELECT count(*) FROM m2) AS files_after,
+         CAST((SELECT sum(size) FROM m2) - (SELECT sum(size) FROM b) AS BIGINT) AS size_change_bytes,
+         (SELECT count(*) FROM ae WHERE ext NOT IN (SELECT ext FROM be)) AS n_new,
+         (SELECT count(*) FROM be WHERE ext NOT IN (SELECT ext FROM ae)) AS n_removed
+)
+SELECT junk_deleted, duplicates_deleted, files_sorted, files_before, files_after, size_change_bytes,
+  coalesce(nullif(concat_ws(', ',
+    CASE WHEN files_after > files_before THEN '+' || (files_after - files_before) || ' files' END,
+    CASE WHEN files_before > files_after THEN '-' || (files_before - files_after) || ' files' END,
+    CASE WHEN n_new > 0 THEN n_new || ' new extensions' END,
+    CASE WHEN n_removed > 0 THEN n_removed || ' removed extensions' END,
+    CASE WHEN size_change_bytes <> 0 THEN {_fmt1_abs('size_change_bytes')} || ' change' END), ''),
+  'No changes') AS summary
+FROM d"""

@@ -1,0 +1,2 @@
+"""Plan tables: applying, verifying, logging and batching them, and the
+chained reorganisation."""
