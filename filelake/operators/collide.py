@@ -4,12 +4,20 @@ consolidate.
 Each mover wants ``dir/stem+suffix``; slot 0 is that bare name, slot k is
 ``stem_k+suffix``.  Slots already taken (existing files, and other movers'
 bare names that look like ``stem_k+suffix``) are skipped; the r-th mover of
-a group (in path order) gets the r-th free slot.
+a group (in the given order, path by default) gets the r-th free slot.
 
 With the taken slots of a group sorted as t_0 < t_1 < ... the r-th free slot
-is ``r + #{i : t_i - i <= r}``, so only the (small) taken list is carried per
-group -- never an array as long as the group.  Ranks inside a group come from
-``rank_in_group``, which splits hot groups so no task ranks one whole.
+is ``r + #{i : t_i - i <= r}``, so only the (small) taken list travels with
+a group -- never an array as long as the group.
+
+Stages: one aggregation gives every contested group its mover count and
+taken slots (existing names are first reduced to contested groups by a semi
+join, which AQE broadcasts when the movers' keys are few); one join brings
+that to the movers; one shuffle by (group, bucket) ranks them.  A group with
+more than ``hot_rows`` movers is spread over ceil(n / hot_rows) buckets by a
+hash of the path, so no task ranks a hot group whole; the bucket offsets come
+from a per-bucket count of the hot groups only (a table bounded by
+#hot groups x buckets, broadcast as such).
 """
 
 from __future__ import annotations
@@ -21,79 +29,63 @@ from filelake.functions import paths as P
 
 HOT_GROUP_ROWS = 2_000_000
 _SLOT_SUFFIX = r"^(.*)_([1-9][0-9]*)$"
-
-
-def rank_in_group(df: DataFrame, keys: list[str], order: list[Column],
-                  hot_rows: int = HOT_GROUP_ROWS, out: str = "rk",
-                  spread_by: list[str] = ("path",)) -> DataFrame:
-    """0-based position of each row in its key group.
-
-    Groups up to ``hot_rows`` rows are ranked in ``order``.  Larger groups are
-    first spread over ceil(n / hot_rows) buckets by a hash of ``spread_by``, each
-    bucket ranked on its own, and bucket offsets (a tiny per-bucket count
-    with a running sum) added -- so one hot key never sits in one task.  The
-    order inside a hot group is then (bucket, order), still deterministic.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    t = df.join(sizes, keys, "inner")
-    n_buckets = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("bigint")
-    t = t.withColumn("_b", F.when(F.col("_n") > hot_rows,
-                                  F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), n_buckets)).otherwise(F.lit(0).cast("bigint")))
-    w = Window.partitionBy(*keys, "_b").orderBy(*order)
-    t = t.withColumn("_lr", F.row_number().over(w) - 1)
-    counts = t.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    wo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wo), F.lit(0))).drop("_bn")
-    return (t.join(offsets, [*keys, "_b"], "inner")
-             .withColumn(out, (F.col("_off") + F.col("_lr")).cast("bigint"))
-             .drop("_n", "_b", "_lr", "_off"))
-
-
-def _split_name(df: DataFrame, name_col: str) -> DataFrame:
-    n = F.col(name_col)
-    return df.withColumn("_suffix", P.raw_suffix(n)).withColumn("_stem", P.stem_of(n))
+_KEY = "struct<d:string,s:string,x:string>"
 
 
 def name_slots(dir_col: Column, name_col: Column, bare: bool = True) -> Column:
-    """Array of (dir, stem, suffix, slot) keys a name occupies: its own bare
-    name (slot 0) and, when the stem ends in ``_<k>``, slot k of the shorter
-    stem."""
+    """Array of (key, slot) a name occupies: its own bare name (slot 0) and,
+    when the stem ends in ``_<k>``, slot k of the shorter stem."""
     suffix = P.raw_suffix(name_col)
     stem = P.stem_of(name_col)
     k = F.regexp_extract(stem, _SLOT_SUFFIX, 2)
-    as_k = F.struct(dir_col.alias("d"), F.regexp_extract(stem, _SLOT_SUFFIX, 1).alias("s"),
-                    suffix.alias("x"), k.try_cast("int").alias("slot"))
-    own = F.struct(dir_col.alias("d"), stem.alias("s"), suffix.alias("x"), F.lit(0).alias("slot"))
-    arr_k = F.when(k != "", F.array(as_k)).otherwise(F.array().cast(
-        "array<struct<d:string,s:string,x:string,slot:int>>"))
+    as_k = F.struct(F.struct(dir_col.alias("d"), F.regexp_extract(stem, _SLOT_SUFFIX, 1).alias("s"),
+                             suffix.alias("x")).alias("k"), k.try_cast("int").alias("slot"))
+    own = F.struct(F.struct(dir_col.alias("d"), stem.alias("s"), suffix.alias("x")).alias("k"),
+                   F.lit(0).alias("slot"))
+    empty = F.array().cast(f"array<struct<k:{_KEY},slot:int>>")
+    arr_k = F.when(k != "", F.array(as_k)).otherwise(empty)
     return F.concat(F.array(own), arr_k) if bare else arr_k
 
 
+def _buckets(n: Column, hot_rows: int) -> Column:
+    return F.when(n > hot_rows, F.ceil(n / F.lit(hot_rows))).otherwise(F.lit(1)).cast("bigint")
+
+
 def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataFrame,
-                 order: list[Column] | None = None) -> DataFrame:
+                 order: list[Column] | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Add ``dest_name`` and ``dest`` to each mover.
 
-    ``existing``: (dir, name) rows that occupy names in destination folders.
+    ``existing``: (dir, name) rows occupying names in destination folders --
+    filter it to the destination area first where the caller can.
     ``order``: which mover of a group comes first (default: path).
     """
-    m = _split_name(movers, name_col)
-    keys = F.struct(F.col(dir_col).alias("d"), F.col("_stem").alias("s"), F.col("_suffix").alias("x"))
-    m = m.withColumn("_k", keys)
-    contested = m.select("_k").distinct()
+    order = order or [F.col("path")]
+    name = F.col(name_col)
+    m = movers.withColumn("_k", F.struct(F.col(dir_col).alias("d"), P.stem_of(name).alias("s"),
+                                         P.raw_suffix(name).alias("x")))
     occupied = (existing.select(F.explode(name_slots(F.col("dir"), F.col("name"))).alias("t"))
-                .unionByName(movers.select(F.explode(
-                    name_slots(F.col(dir_col), F.col(name_col), bare=False)).alias("t"))))
-    occupied = occupied.select(F.struct("t.d", "t.s", "t.x").alias("_k"), F.col("t.slot").alias("slot"))
-    taken = (occupied.join(contested, "_k", "left_semi")
-                     .groupBy("_k").agg(F.array_sort(F.collect_set("slot")).alias("_taken")))
-    ranked = rank_in_group(m, ["_k"], order or [F.col("path")])
-    j = ranked.join(taken, "_k", "left")
+                .unionByName(m.select(F.explode(name_slots(F.col(dir_col), name, bare=False)).alias("t")))
+                .select(F.col("t.k").alias("_k"), F.col("t.slot").alias("slot"))
+                .join(m.select("_k"), "_k", "left_semi"))
+    grp = (m.select("_k", F.lit(1).alias("_one"), F.lit(None).cast("int").alias("slot"))
+            .unionByName(occupied.select("_k", F.lit(0).alias("_one"), "slot"))
+            .groupBy("_k").agg(F.sum("_one").alias("_n"), F.array_sort(F.collect_set("slot")).alias("_taken"))
+            .filter(F.col("_n") > 0))
+    j = m.join(grp, "_k", "inner")
+    j = j.withColumn("_b", F.pmod(F.xxhash64("path"), _buckets(F.col("_n"), hot_rows)))
+    w = Window.partitionBy("_k", "_b").orderBy(*order)
+    ranked = j.repartition("_k", "_b").withColumn("_lr", F.row_number().over(w) - 1)
+    hot_counts = (j.filter(F.col("_n") > hot_rows).groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_bn")))
+    wo = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hot_counts.select("_k", "_b", F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"))
+    ranked = (ranked.join(F.broadcast(offsets), ["_k", "_b"], "left")
+                    .withColumn("_r", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_lr")).cast("bigint")))
     adj = F.transform(F.coalesce(F.col("_taken"), F.array().cast("array<int>")), lambda x, i: x - i)
-    slot = F.col("rk") + F.size(F.filter(adj, lambda x: x <= F.col("rk")))
-    dest_name = F.when(slot == 0, F.col(name_col)).otherwise(
-        F.concat(F.col("_stem"), F.lit("_"), slot.cast("string"), F.col("_suffix")))
+    slot = F.col("_r") + F.size(F.filter(adj, lambda x: x <= F.col("_r")))
+    dest_name = F.when(slot == 0, name).otherwise(
+        F.concat(F.col("_k.s"), F.lit("_"), slot.cast("string"), F.col("_k.x")))
     d = F.col(dir_col)
-    return (j.withColumn("dest_name", dest_name)
-             .withColumn("dest", F.when(d.endswith("/"), F.concat(d, "dest_name"))
-                         .otherwise(F.concat(d, F.lit("/"), F.col("dest_name"))))
-             .drop("_k", "_taken", "_stem", "_suffix", "rk"))
+    return (ranked.withColumn("dest_name", dest_name)
+                  .withColumn("dest", F.when(d.endswith("/"), F.concat(d, "dest_name"))
+                              .otherwise(F.concat(d, F.lit("/"), F.col("dest_name"))))
+                  .drop("_k", "_taken", "_n", "_b", "_lr", "_off", "_r"))

@@ -17,6 +17,7 @@ from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
+from filelake.session import materialize
 
 
 def in_target(path: Column, target: str) -> Column:
@@ -66,15 +67,19 @@ def consolidate_plan(manifest: DataFrame, source: str, target: str,
     files = scan(manifest, source, target, min_size, file_type, skip_dirs).filter(F.col("md5").isNotNull())
     keys = (files.filter("in_target").select("md5", "size").distinct()
                  .withColumn("in_target_copy", F.lit(True)))
-    outside = files.filter(~F.col("in_target")).join(keys, ["md5", "size"], "left")
-    dup = F.coalesce(F.col("in_target_copy"), F.lit(False))
+    # judged once (one left join on the content key), then read by both branches
+    outside = materialize(files.filter(~F.col("in_target")).join(keys, ["md5", "size"], "left")
+                          .select("path", "size", "md5", "name",
+                                  F.coalesce(F.col("in_target_copy"), F.lit(False)).alias("dup")), "consolidate")
+    dup = F.col("dup")
     deletes = outside.filter(dup).select("path", "size", "md5", F.lit("delete").alias("action"),
                                          F.lit(None).cast("string").alias("dest"),
                                          F.lit("content already in target").alias("reason"))
     staging = P.norm_root(target) + "/_STAGING/"
     movers = (outside.filter(~dup)
                      .withColumn("dest_dir", F.concat(F.lit(staging), staging_subdir(F.col("path"), source))))
-    existing = manifest.select(P.parent_of("path").alias("dir"), P.name_of("path").alias("name"))
+    existing = (manifest.filter(F.col("path").startswith(staging))  # pushed to the scan
+                        .select(P.parent_of("path").alias("dir"), P.name_of("path").alias("name")))
     moves = assign_slots(movers, "dest_dir", "name", existing).select(
         "path", "size", "md5", F.lit("move").alias("action"), "dest", F.lit("unique content").alias("reason"))
     return moves.unionByName(deletes)

@@ -25,6 +25,7 @@ from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
+from filelake.session import materialize
 
 
 def copy_pattern(name) -> "F.Column":
@@ -65,24 +66,30 @@ def rename_candidates(manifest: DataFrame, root: str, protected=C.RENAME_PROTECT
 
 def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) -> DataFrame:
     """Plan rows: path, size, md5, pattern, clean_path, action
-    (rename / delete_duplicate / collision_rename / skip), dest."""
-    cands = rename_candidates(manifest, root, protected)
-    selfish = cands.filter(F.col("clean_path") == F.col("path"))
-    c = cands.filter(F.col("clean_path") != F.col("path"))
+    (rename / delete_duplicate / collision_rename / skip), dest.
+
+    The judged candidates (copy-marked files only, a small share of the
+    manifest) are materialised once; the collision numbering and the final
+    union read them instead of re-deriving them from the manifest."""
+    c = rename_candidates(manifest, root, protected)
+    is_self = F.col("clean_path") == F.col("path")
     originals = (manifest.select(F.col("path").alias("clean_path"), F.col("md5").alias("orig_md5"),
                                  F.lit(True).alias("has_orig"))
-                 .join(c.select("clean_path").distinct(), "clean_path", "left_semi"))
-    first = c.groupBy("clean_path").agg(
-        F.max(F.struct("stem", "path", "md5")).alias("_first"))
-    j = (c.join(originals, "clean_path", "left").join(first, "clean_path", "inner")
+                 .join(c.filter(~is_self).select("clean_path"), "clean_path", "left_semi"))
+    first = (c.filter(~is_self).groupBy("clean_path")
+              .agg(F.max(F.struct("stem", "path", "md5")).alias("_first")))
+    j = (c.join(originals, "clean_path", "left").join(first, "clean_path", "left")
           .withColumn("has_orig", F.coalesce("has_orig", F.lit(False))))
     is_first = F.col("path") == F.col("_first.path")
     base_md5 = F.when(F.col("has_orig"), F.col("orig_md5")).otherwise(F.col("_first.md5"))
     judged = (F.when(F.col("md5").isNull() | base_md5.isNull(), "skip")
                .when(F.col("md5") == base_md5, "delete_duplicate")
                .otherwise("collision_rename"))
-    action = F.when(~F.col("has_orig") & is_first, "rename").otherwise(judged)
-    j = j.withColumn("action", action).drop("_first", "orig_md5", "has_orig")
+    action = (F.when(is_self, "skip")
+               .when(~F.col("has_orig") & is_first, "rename").otherwise(judged))
+    j = materialize(j.withColumn("action", action)
+                     .select("path", "parent", "size", "md5", "pattern", "clean_name", "clean_path", "stem",
+                             "action"), "rename")
 
     keep = ["path", "size", "md5", "pattern", "clean_path", "action"]
     movers = j.filter(F.col("action") == "collision_rename")
@@ -92,12 +99,9 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
                               .select(F.col("parent").alias("dir"), F.col("clean_name").alias("name"))))
     collided = assign_slots(movers, "parent", "clean_name", existing,
                             order=[F.col("stem").desc(), F.col("path").desc()])
-    out = (collided.select(*keep, "dest")
-           .unionByName(j.filter(F.col("action") != "collision_rename")
-                         .select(*keep, F.when(F.col("action") == "rename", F.col("clean_path")).alias("dest")))
-           .unionByName(selfish.select("path", "size", "md5", "pattern", "clean_path",
-                                       F.lit("skip").alias("action"), F.lit(None).cast("string").alias("dest"))))
-    return out
+    return (collided.select(*keep, "dest")
+            .unionByName(j.filter(F.col("action") != "collision_rename")
+                          .select(*keep, F.when(F.col("action") == "rename", F.col("clean_path")).alias("dest"))))
 
 
 def rename_summary(plan: DataFrame) -> DataFrame:

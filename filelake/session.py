@@ -50,3 +50,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="filelake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, tag: str = "step"):
+    """Write ``df`` as parquet under the session's checkpoint folder and read
+    it back: lineage is cut, several later branches read the stored result
+    instead of recomputing it, and the read gets column pruning and filter
+    pushdown.  One job; the folder is the reliable (shared) checkpoint
+    location, so a lost executor does not lose the data."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    location = f"{base}/filelake-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(location)
+    return spark.read.parquet(location)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelake.session import ensure_checkpoint_dir
+from filelake.session import materialize
 
 ROOT = "/drive"
 TARGET = "/drive/Library"
@@ -81,11 +81,10 @@ def manifest(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> Da
 
     The derivation is one long expression chain; left inline, the optimizer
     copies it into every downstream expression and pushed-down filter (the
-    generated code outgrows the JVM method limit).  A reliable checkpoint in
-    the session's checkpoint folder cuts that lineage, as reading a written
-    inventory table would."""
-    ensure_checkpoint_dir(spark)
-    return fixture_manifest(load_table(spark, sf_dir, "documents"), keep).checkpoint(eager=True)
+    generated code outgrows the JVM method limit).  Writing it once to the
+    session's checkpoint folder cuts that lineage: queries then read a stored
+    inventory table, as they would in production."""
+    return materialize(fixture_manifest(load_table(spark, sf_dir, "documents"), keep), "manifest")
 
 
 def previous_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
