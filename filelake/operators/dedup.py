@@ -50,9 +50,17 @@ def shared_sizes(files: DataFrame) -> DataFrame:
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    """Rows with an md5; content is hashed only for rows of a shared size."""
+    """Rows with an md5.  Without an ``md5`` column, only rows of a shared
+    size are hashed: from ``content`` (JVM ``md5``, content dropped before any
+    shuffle) or, for a real folder tree, by reading the files in chunks."""
     if "md5" not in files.columns:
-        files = with_md5(files.join(shared_sizes(files).select("size"), "size", "left_semi"))
+        candidates = files.join(shared_sizes(files).select("size"), "size", "left_semi")
+        if "content" in files.columns:
+            files = with_md5(candidates)
+        else:
+            from filelake.sources.files import hash_paths
+            files = hash_paths(candidates.select("path", "size", *[c for c in ("name", "mtime_s")
+                                                                   if c in candidates.columns]))
     return files.filter(FL.readable(F.col("md5")))
 
 
