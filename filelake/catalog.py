@@ -310,3 +310,32 @@ def q_format_sizes(spark, sf_dir):
         FM.size_text_2(s * 1048576).alias("f3"),
         FM.size_text_2(s * (1 << 40)).alias("f3_big"),
         FM.size_text(s * (1 << 44)).alias("f2_big"))
+
+
+# --- per-file projections ---------------------------------------------------------------------
+
+@register("picture_years")
+def q_picture_years(spark, sf_dir):
+    files = CL.sort_files(FX.manifest(spark, sf_dir), ROOT)
+    from filelake import constants as C
+    imgs = files.filter(F.col("ext").isin(list(C.IMAGE_EXTS)))
+    return imgs.select("path", CL.year_from_exif(F.col("exif_date")).cast("bigint").alias("exif_year"),
+                       CL.year_from_name(F.col("name")).cast("bigint").alias("name_year"))
+
+
+@register("staging_subdirs")
+def q_staging_subdirs(spark, sf_dir):
+    files = CO.scan(FX.manifest(spark, sf_dir), ROOT, TARGET)
+    return files.select("path", "in_target", CO.staging_subdir(F.col("path"), ROOT).alias("subdir"))
+
+
+@register("normalized_names")
+def q_normalized_names(spark, sf_dir):
+    names = FX.manifest(spark, sf_dir).select("name").distinct()
+    return names.select("name", P.normalized_name(F.col("name")).alias("normalized"))
+
+
+@register("oplog_from_plan")
+def q_oplog_from_plan(spark, sf_dir):
+    plan = D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100)
+    return OL.op_log_from_plan(plan).select("op_id", "op_type", "source", "hash", "expected_size", "status")

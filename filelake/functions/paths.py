@@ -8,6 +8,7 @@ same text works in Java regex and RE2.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -171,3 +172,31 @@ def derive(manifest, root: str):
         df = df.withColumn("ext", ext_of("name"))
     return (df.withColumn("rel_parent", rel_parent("path", root))
               .withColumn("top", top_of("path", root)))
+
+
+# --- accent-insensitive form of a name (PF17) -------------------------------------
+
+def _normalize_one(x):
+    import unicodedata
+    if x is None:
+        return None
+    x = unicodedata.normalize("NFD", x.strip())
+    return "".join(ch for ch in x if unicodedata.category(ch) != "Mn").lower()
+
+
+def _normalize_series(s: pd.Series) -> pd.Series:
+    return s.map(_normalize_one)
+
+
+_NORMALIZE_UDF = None
+
+
+def normalized_name(name: ColumnOrName) -> Column:
+    """strip, NFD, drop combining marks, lower-case.  Spark has no Unicode
+    normalisation function, so this is a small Arrow-batched pandas UDF;
+    apply it to distinct names and join back when names repeat.  (For
+    comparisons only, ``collate(x, 'UNICODE_CI_AI')`` needs no Python.)"""
+    global _NORMALIZE_UDF
+    if _NORMALIZE_UDF is None:  # built on first use: a UDF needs a live session
+        _NORMALIZE_UDF = F.pandas_udf(_normalize_series, "string")
+    return _NORMALIZE_UDF(_c(name))

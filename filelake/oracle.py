@@ -530,3 +530,31 @@ SELECT junk_deleted, duplicates_deleted, files_sorted, files_before, files_after
     CASE WHEN size_change_bytes <> 0 THEN {_fmt1_abs('size_change_bytes')} || ' change' END), ''),
   'No changes') AS summary
 FROM d"""
+
+
+# --- per-file projections ----------------------------------------------------------------------
+
+ORACLE["picture_years"] = f"""WITH {M}
+SELECT path,
+  CAST(nullif(TRY_CAST(regexp_extract(exif_date, '^([0-9]{{4}}):([0-9]{{2}}):([0-9]{{2}})', 1) AS INTEGER), 0) AS BIGINT) AS exif_year,
+  CAST(coalesce(
+    (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '^([0-9]{{4}})[0-9]{{4}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030),
+    (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '(?i)^(?:IMG|VID|PHOTO)_([0-9]{{4}})[0-9]{{4}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030),
+    (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '([0-9]{{4}})[-_][0-9]{{2}}[-_][0-9]{{2}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030)
+  ) AS BIGINT) AS name_year
+FROM m WHERE ext IN {_in(C.IMAGE_EXTS)}"""
+
+ORACLE["staging_subdirs"] = f"""WITH {M}, {_CONSOLIDATE.replace('AS in_target,', 'AS in_target, rel,')}
+SELECT path, in_target,
+  CASE WHEN len(parts) < 2 THEN '_from_root'
+       WHEN parts[-2] IN ('source', 'files', 'data') AND len(parts) >= 3 THEN '_from_' || parts[-3] || '_' || parts[-2]
+       ELSE '_from_' || parts[-2] END AS subdir
+FROM cs"""
+
+ORACLE["normalized_names"] = f"""WITH {M}
+SELECT DISTINCT name, lower(strip_accents(trim(name))) AS normalized FROM m"""
+
+ORACLE["oplog_from_plan"] = f"""WITH {M}, {CAND}, {_PLAN_DEEPEST}
+SELECT sha256(action || ':' || path) AS op_id, action AS op_type, path AS source, md5 AS hash,
+       size AS expected_size, 'pending' AS status
+FROM plan WHERE action = 'delete'"""

@@ -15,8 +15,9 @@ OP_LOG_SCHEMA = ("op_id STRING, op_type STRING, source STRING, dest STRING, hash
 
 
 def op_id(action, path):
-    """Deterministic id of one planned operation."""
-    return F.sha2(F.concat_ws("\u0000", action, path), 256)
+    """Deterministic id of one planned operation: sha-256 of 'action:path'
+    (actions hold no ':', so the text is unambiguous)."""
+    return F.sha2(F.concat(action, F.lit(":"), path), 256)
 
 
 def op_log_from_plan(plan: DataFrame, seq: int = 0) -> DataFrame:

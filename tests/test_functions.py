@@ -83,3 +83,13 @@ def test_keeper_score_flags(spark):
     s = df.select(P.keeper_score("path", P.name_of("path")).alias("s")).collect()
     assert [(x.s.copy_rank, x.s.uuid_rank, x.s.parens_rank) for x in s] == [
         (0, 1, 1), (0, 1, 0), (1, 0, 1), (1, 1, 1)]
+
+
+def test_normalized_name(spark):
+    import unicodedata
+    words = [" Vidéos ", "ÉTÉ", "Crème Brûlée", "plain", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [r[0] for r in df.select(P.normalized_name(F.col("w"))).collect()]
+    exp = [None if w is None else "".join(c for c in unicodedata.normalize("NFD", w.strip())
+                                          if unicodedata.category(c) != "Mn").lower() for w in words]
+    assert got == exp
