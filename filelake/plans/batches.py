@@ -6,6 +6,11 @@ by path, sort inside each partition, take the per-partition position from
 ``monotonically_increasing_id`` (partition id in the high bits), and add the
 partition's offset -- a running sum over one count per partition, a table
 bounded by the partition count and broadcast as such.
+
+The numbered rows are materialised before the counts are taken: range
+partitioning samples its input to pick bounds, and an input whose row order
+varies between runs (any shuffle output) would otherwise get different
+bounds in the two branches that read it.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelake import constants as C
+from filelake.session import materialize
 
 
 def ordered_index(df: DataFrame, order_col: str = "path", partitions: int | None = None) -> DataFrame:
@@ -23,14 +29,16 @@ def ordered_index(df: DataFrame, order_col: str = "path", partitions: int | None
     t = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    t = materialize(t.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+                     .drop("_mid"), "ordered")
+    local = F.col("_local")
     counts = t.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     # ``offsets`` has one row per partition: a proven bound, so broadcast it.
     return (t.join(F.broadcast(offsets), "_pid", "inner")
              .withColumn("idx", (F.col("_off") + local).cast("bigint"))
-             .drop("_pid", "_mid", "_off"))
+             .drop("_pid", "_local", "_off"))
 
 
 def delete_batches(plan: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:

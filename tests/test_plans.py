@@ -58,3 +58,12 @@ def test_reorganize(mk):
     s = r.summary().first()
     assert (s.junk_deleted, s.duplicates_deleted, s.files_sorted, s.files_before, s.files_after) == (1, 1, 2, 4, 2)
     assert sorted(x.path for x in r.final_manifest.collect()) == ["/r/Documents/x.pdf", "/r/Music/y.mp3"]
+
+
+def test_batches_exact_on_shuffled_input(spark):
+    # input straight out of a shuffle: row order inside partitions varies between reads
+    base = spark.range(0, 20000).groupBy((F.col("id") * 7919 % 20000).alias("k")).agg(F.count("*").alias("c"))
+    plan = base.select(F.format_string("/r/f%05d", "k").alias("path"), F.lit("delete").alias("action"),
+                       F.lit(1).cast("bigint").alias("size"))
+    rows = BA.delete_batches(plan, 500).groupBy("batch_id").count().collect()
+    assert sorted(r["count"] for r in rows) == [500] * 40
