@@ -27,14 +27,24 @@ def junk_plan(manifest: DataFrame, root: str, patterns=None,
               protected=C.CLEAN_PROTECTED) -> DataFrame:
     """V5: files outside protected folders whose name matches a junk glob
     (defaults plus ``patterns``): path, size, action 'delete'."""
-    df = _files(manifest).filter(P.under_root("path", root))
-    name = P.name_of("path")
-    rp = P.rel_parent("path", root)
-    return (df.filter(FL.not_protected(rp, protected) & FL.is_junk(name, patterns))
+    return (_files(manifest).filter(junk_predicate(root, patterns, protected))
               .select("path", "size", F.lit("delete").alias("action"),
                       F.lit(None).cast("string").alias("dest"), F.lit("junk").alias("reason")))
 
 
+def junk_predicate(root: str, patterns=None, protected=C.CLEAN_PROTECTED) -> "F.Column":
+    """Row predicate of ``junk_plan``: removing junk is a filter, no join."""
+    name = P.name_of("path")
+    rp = P.rel_parent("path", root)
+    return P.under_root("path", root) & FL.not_protected(rp, protected) & FL.is_junk(name, patterns)
+
+
+def without_junk(manifest: DataFrame, root: str, patterns=None) -> DataFrame:
+    """The manifest after ``junk_plan`` is applied (same rows as
+    ``apply_plan(manifest, junk_plan(...))``, as a filter)."""
+    return manifest.filter(~F.coalesce(junk_predicate(root, patterns), F.lit(False)))
+
+
 def _protected_dir(path, root: str, protected) -> "F.Column":
     """A folder is protected when one of its names below root contains a
     protected string (its own name included)."""
@@ -106,7 +116,7 @@ def clean_plan(manifest: DataFrame, root: str, dirs: DataFrame | None = None, ju
     if apply_all or junk or patterns:
         j = junk_plan(files, root, patterns)
         parts.append(j.select("path", "action", "size"))
-        survivors = files.join(j.select("path"), "path", "left_anti")
+        survivors = without_junk(files, root, patterns)
     if apply_all or empty_dirs:
         if dirs is None:
             from filelake.sources.manifest import directories_of

@@ -1,10 +1,11 @@
 """Full reorganisation (V12): clean -> dedup -> sort -> snapshot -> diff,
 each step planned on the manifest the previous step's ``apply_plan`` yields.
 
-Between steps the intermediate manifest is checkpointed to the session's
-reliable checkpoint folder (``spark.checkpoint.dir``): the lineage stays
-short, the md5 / classification work of one step is never recomputed by the
-next, and a lost executor costs one step, not the chain.
+Junk removal is a row filter.  After the dedup and sort steps the
+intermediate manifest is written to the session's reliable checkpoint folder
+(``spark.checkpoint.dir``) and read back: the lineage stays short, the md5 /
+slot work of one step is never recomputed by the next step's several
+branches, and a lost executor costs one step, not the chain.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from filelake.operators import dedup as D
 from filelake.operators import snapshot as S
 from filelake.operators import sort as SO
 from filelake.plans.apply import apply_plan
-from filelake.session import ensure_checkpoint_dir
+from filelake.session import materialize
 
 
 @dataclass
@@ -45,8 +46,7 @@ class Reorganisation:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "reorganize")
 
 
 def reorganize(manifest: DataFrame, root: str, dedup_min_size: int = C.DEDUP_MIN_SIZE,
@@ -54,7 +54,7 @@ def reorganize(manifest: DataFrame, root: str, dedup_min_size: int = C.DEDUP_MIN
                checkpoint: bool = True) -> Reorganisation:
     cut = _cut if checkpoint else (lambda d: d)
     junk = CLN.junk_plan(manifest, root)
-    m1 = cut(apply_plan(manifest, junk))
+    m1 = CLN.without_junk(manifest, root)  # a filter: nothing to cut
     dplan = D.dedup_plan(m1, root, min_size=dedup_min_size, strategy=strategy)
     m2 = cut(apply_plan(m1, dplan))
     splan = SO.sort_plan(m2, root, sort_type)

@@ -76,6 +76,9 @@ def fixture_manifest(documents: DataFrame, keep: Column | None = None) -> DataFr
     )
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def manifest(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
     """The fixture manifest, materialised like a stored inventory table.
 
@@ -83,8 +86,19 @@ def manifest(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> Da
     copies it into every downstream expression and pushed-down filter (the
     generated code outgrows the JVM method limit).  Writing it once to the
     session's checkpoint folder cuts that lineage: queries then read a stored
-    inventory table, as they would in production."""
-    return materialize(fixture_manifest(load_table(spark, sf_dir, "documents"), keep), "manifest")
+    inventory table, as they would in production.  Within one application
+    the stored table is written once per (folder, filter) and then read."""
+    import os
+    key = (spark.sparkContext.applicationId, os.path.realpath(sf_dir), None if keep is None else str(keep))
+    location = _STORED.get(key)
+    if location is not None:
+        try:
+            return spark.read.parquet(location)
+        except Exception:  # noqa: BLE001 - folder gone: derive it again
+            _STORED.pop(key, None)
+    df = materialize(fixture_manifest(load_table(spark, sf_dir, "documents"), keep), "manifest")
+    _STORED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
+    return df
 
 
 def previous_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
