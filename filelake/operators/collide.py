@@ -7,17 +7,21 @@ bare names that look like ``stem_k+suffix``) are skipped; the r-th mover of
 a group (in the given order, path by default) gets the r-th free slot.
 
 With the taken slots of a group sorted as t_0 < t_1 < ... the r-th free slot
-is ``r + #{i : t_i - i <= r}``, so only the (small) taken list travels with
-a group -- never an array as long as the group.
-
-Stages: one aggregation gives every contested group its mover count and
-taken slots (existing names are first reduced to contested groups by a semi
-join, which AQE broadcasts when the movers' keys are few); one join brings
-that to the movers; one shuffle by (group, bucket) ranks them.  A group with
-more than ``hot_rows`` movers is spread over ceil(n / hot_rows) buckets by a
-hash of the path, so no task ranks a hot group whole; the bucket offsets come
-from a per-bucket count of the hot groups only (a table bounded by
-#hot groups x buckets, broadcast as such).
+is ``r + #{i : t_i - i <= r}``, so only the (short) taken list travels with a
+group -- never an array as long as the group.
+
+Work per call:
+
+* taken slots: existing names are cut to the destination folders (semi join
+  on the distinct folders), exploded into the (group, slot) keys they
+  occupy, cut to contested groups, and collected per group.  The result is
+  written once; it is broadcast only when its row count (read from the
+  written files) is under ``BROADCAST_ROWS``, else joined by shuffle;
+* hot groups: groups with more than ``hot_rows`` movers -- at most
+  movers / hot_rows of them, a proven bound, so broadcast -- are spread over
+  ceil(n / hot_rows) buckets by a hash of the path; per-bucket counts of the
+  hot groups give each bucket's offset (bounded by the same rule);
+* ranking: one shuffle of the movers by (group, bucket) and a row_number.
 """
 
 from __future__ import annotations
@@ -26,66 +30,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelake.functions import paths as P
+from filelake.session import materialize
 
 HOT_GROUP_ROWS = 2_000_000
+BROADCAST_ROWS = 2_000_000
 _SLOT_SUFFIX = r"^(.*)_([1-9][0-9]*)$"
-_KEY = "struct<d:string,s:string,x:string>"
+_K = ["_d", "_s", "_x"]
 
 
 def name_slots(dir_col: Column, name_col: Column, bare: bool = True) -> Column:
-    """Array of (key, slot) a name occupies: its own bare name (slot 0) and,
-    when the stem ends in ``_<k>``, slot k of the shorter stem."""
+    """Array of (d, s, x, slot) keys a name occupies: its own bare name
+    (slot 0) and, when the stem ends in ``_<k>``, slot k of the shorter stem."""
     suffix = P.raw_suffix(name_col)
     stem = P.stem_of(name_col)
     k = F.regexp_extract(stem, _SLOT_SUFFIX, 2)
-    as_k = F.struct(F.struct(dir_col.alias("d"), F.regexp_extract(stem, _SLOT_SUFFIX, 1).alias("s"),
-                             suffix.alias("x")).alias("k"), k.try_cast("int").alias("slot"))
-    own = F.struct(F.struct(dir_col.alias("d"), stem.alias("s"), suffix.alias("x")).alias("k"),
-                   F.lit(0).alias("slot"))
-    empty = F.array().cast(f"array<struct<k:{_KEY},slot:int>>")
+    as_k = F.struct(dir_col.alias("_d"), F.regexp_extract(stem, _SLOT_SUFFIX, 1).alias("_s"),
+                    suffix.alias("_x"), k.try_cast("int").alias("slot"))
+    own = F.struct(dir_col.alias("_d"), stem.alias("_s"), suffix.alias("_x"), F.lit(0).alias("slot"))
+    empty = F.array().cast("array<struct<_d:string,_s:string,_x:string,slot:int>>")
     arr_k = F.when(k != "", F.array(as_k)).otherwise(empty)
     return F.concat(F.array(own), arr_k) if bare else arr_k
 
 
-def _buckets(n: Column, hot_rows: int) -> Column:
-    return F.when(n > hot_rows, F.ceil(n / F.lit(hot_rows))).otherwise(F.lit(1)).cast("bigint")
+def taken_slots(m: DataFrame, dir_col: str, name_col: str, existing: DataFrame) -> DataFrame:
+    """(_d, _s, _x, _taken) for contested groups with at least one taken slot."""
+    dirs = m.select(F.col(dir_col).alias("dir")).distinct()
+    ex = existing.join(dirs, "dir", "left_semi")
+    occupied = (ex.select(F.explode(name_slots(F.col("dir"), F.col("name"))).alias("t"))
+                .unionByName(m.select(F.explode(name_slots(F.col(dir_col), F.col(name_col), bare=False)).alias("t")))
+                .select("t._d", "t._s", "t._x", "t.slot"))
+    return (occupied.join(m.select(*_K), _K, "left_semi")
+                    .groupBy(*_K).agg(F.array_sort(F.collect_set("slot")).alias("_taken")))
+
+
+def _checked(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a written table only when its row count is under the bound
+    (parquet footers give the count without a scan); else leave the join to
+    the planner."""
+    return F.broadcast(small) if small.count() <= max_rows else small
 
 
 def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataFrame,
                  order: list[Column] | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Add ``dest_name`` and ``dest`` to each mover.
 
-    ``existing``: (dir, name) rows occupying names in destination folders --
-    filter it to the destination area first where the caller can.
+    ``existing``: (dir, name) rows occupying names in destination folders.
     ``order``: which mover of a group comes first (default: path).
     """
     order = order or [F.col("path")]
     name = F.col(name_col)
-    m = movers.withColumn("_k", F.struct(F.col(dir_col).alias("d"), P.stem_of(name).alias("s"),
-                                         P.raw_suffix(name).alias("x")))
-    occupied = (existing.select(F.explode(name_slots(F.col("dir"), F.col("name"))).alias("t"))
-                .unionByName(m.select(F.explode(name_slots(F.col(dir_col), name, bare=False)).alias("t")))
-                .select(F.col("t.k").alias("_k"), F.col("t.slot").alias("slot"))
-                .join(m.select("_k"), "_k", "left_semi"))
-    grp = (m.select("_k", F.lit(1).alias("_one"), F.lit(None).cast("int").alias("slot"))
-            .unionByName(occupied.select("_k", F.lit(0).alias("_one"), "slot"))
-            .groupBy("_k").agg(F.sum("_one").alias("_n"), F.array_sort(F.collect_set("slot")).alias("_taken"))
-            .filter(F.col("_n") > 0))
-    j = m.join(grp, "_k", "inner")
-    j = j.withColumn("_b", F.pmod(F.xxhash64("path"), _buckets(F.col("_n"), hot_rows)))
-    w = Window.partitionBy("_k", "_b").orderBy(*order)
-    ranked = j.repartition("_k", "_b").withColumn("_lr", F.row_number().over(w) - 1)
-    hot_counts = (j.filter(F.col("_n") > hot_rows).groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_bn")))
-    wo = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hot_counts.select("_k", "_b", F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"))
-    ranked = (ranked.join(F.broadcast(offsets), ["_k", "_b"], "left")
-                    .withColumn("_r", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_lr")).cast("bigint")))
+    m = movers.withColumns({"_d": F.col(dir_col), "_s": P.stem_of(name), "_x": P.raw_suffix(name)})
+
+    taken = _checked(materialize(taken_slots(m, dir_col, name_col, existing), "taken"))
+    hot = F.broadcast(m.groupBy(*_K).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows))
+    mb = (m.join(hot, _K, "left")
+           .withColumn("_b", F.when(F.col("_n").isNotNull(),
+                                    F.pmod(F.xxhash64("path"), F.ceil(F.col("_n") / F.lit(hot_rows))))
+                       .otherwise(F.lit(0)).cast("bigint")))
+    w = Window.partitionBy(*_K, "_b").orderBy(*order)
+    ranked = mb.repartition(*_K, "_b").withColumn("_lr", F.row_number().over(w) - 1)
+    bucket_counts = mb.filter(F.col("_n").isNotNull()).groupBy(*_K, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    wo = Window.partitionBy(*_K).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(bucket_counts.select(*_K, "_b", F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off")))
+    r = (ranked.join(offsets, [*_K, "_b"], "left").join(taken, _K, "left")
+               .withColumn("_r", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_lr")).cast("bigint")))
     adj = F.transform(F.coalesce(F.col("_taken"), F.array().cast("array<int>")), lambda x, i: x - i)
     slot = F.col("_r") + F.size(F.filter(adj, lambda x: x <= F.col("_r")))
-    dest_name = F.when(slot == 0, name).otherwise(
-        F.concat(F.col("_k.s"), F.lit("_"), slot.cast("string"), F.col("_k.x")))
+    dest_name = F.when(slot == 0, name).otherwise(F.concat(F.col("_s"), F.lit("_"), slot.cast("string"), F.col("_x")))
     d = F.col(dir_col)
-    return (ranked.withColumn("dest_name", dest_name)
-                  .withColumn("dest", F.when(d.endswith("/"), F.concat(d, "dest_name"))
-                              .otherwise(F.concat(d, F.lit("/"), F.col("dest_name"))))
-                  .drop("_k", "_taken", "_n", "_b", "_lr", "_off", "_r"))
+    return (r.withColumn("dest_name", dest_name)
+             .withColumn("dest", F.when(d.endswith("/"), F.concat(d, "dest_name"))
+                         .otherwise(F.concat(d, F.lit("/"), F.col("dest_name"))))
+             .drop(*_K, "_taken", "_n", "_b", "_lr", "_off", "_r"))

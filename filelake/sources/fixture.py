@@ -130,3 +130,21 @@ def oplog_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(F.col("event_type") == "error", "failed").otherwise("pending"))
     return ev.select(F.col("user_id").alias("op_id"), F.col("event_id").alias("seq"),
                      status.alias("status"), F.col("ts"))
+
+
+def replicated_manifest(spark: SparkSession, sf_dir: str, copies: int) -> DataFrame:
+    """The fixture manifest ``copies`` times over, each copy under its own
+    first-level folder (``/drive/rep<i>/...``).  Content hashes repeat, so
+    every duplicate group grows ``copies``-fold: a scaling and skew input for
+    the bench, derived by Spark from the given tables."""
+    base = manifest(spark, sf_dir)
+    rep = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_rep")
+    out = base.select(rep, *base.columns)
+    new_path = F.concat(F.lit(ROOT + "/rep"), F.col("_rep").cast("string"), F.col("path").substr(len(ROOT) + 1, 1 << 30))
+    out = (out.withColumn("path", new_path)
+              .withColumn("parent", F.concat(F.lit(ROOT + "/rep"), F.col("_rep").cast("string"),
+                                             F.col("parent").substr(len(ROOT) + 1, 1 << 30)))
+              .drop("_rep"))
+    # one input file would make every later scan a single task: spread it
+    parts = max(spark.sparkContext.defaultParallelism * 2, copies // 4)
+    return materialize(out.repartition(parts, "path"), f"manifest-x{copies}")
