@@ -68,25 +68,36 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
     """Plan rows: path, size, md5, pattern, clean_path, action
     (rename / delete_duplicate / collision_rename / skip), dest.
 
-    The judged candidates (copy-marked files only, a small share of the
-    manifest) are materialised once; the collision numbering and the final
-    union read them instead of re-deriving them from the manifest."""
-    c = rename_candidates(manifest, root, protected)
+    Copy-marked files (a small share of a real manifest) are extracted once
+    and written.  One aggregation keyed by clean path, over those candidates
+    plus the manifest's own paths, yields per clean path whether an original
+    exists, its md5 and the first contender -- partial-aggregated, so a hot
+    clean path is combined map-side -- and one join brings it back to the
+    candidates.  The judged rows are written once more, because collision
+    numbering and the final union both read them."""
+    c = materialize(rename_candidates(manifest, root, protected)
+                    .select("path", "parent", "size", "md5", "pattern", "clean_name", "clean_path", "stem"),
+                    "rename-candidates")
     is_self = F.col("clean_path") == F.col("path")
-    originals = (manifest.select(F.col("path").alias("clean_path"), F.col("md5").alias("orig_md5"),
-                                 F.lit(True).alias("has_orig"))
-                 .join(c.filter(~is_self).select("clean_path"), "clean_path", "left_semi"))
-    first = (c.filter(~is_self).groupBy("clean_path")
-              .agg(F.max(F.struct("stem", "path", "md5")).alias("_first")))
-    j = (c.join(originals, "clean_path", "left").join(first, "clean_path", "left")
-          .withColumn("has_orig", F.coalesce("has_orig", F.lit(False))))
+    contender = F.when(~is_self, F.struct("stem", "path", "md5"))
+    per_key = (c.select(F.col("clean_path").alias("_key"), F.lit(1).alias("_copy"), contender.alias("_c"),
+                        F.lit(0).alias("_orig"), F.lit(None).cast("string").alias("_orig_md5"))
+               .unionByName(manifest.select(F.col("path").alias("_key"), F.lit(0).alias("_copy"),
+                                            F.lit(None).cast("struct<stem:string,path:string,md5:string>").alias("_c"),
+                                            F.lit(1).alias("_orig"), F.col("md5").alias("_orig_md5")))
+               .groupBy("_key")
+               .agg(F.sum("_copy").alias("_n"), F.max("_orig").alias("_has_orig"),
+                    F.max("_orig_md5").alias("orig_md5"), F.max("_c").alias("_first"))
+               .filter(F.col("_n") > 0))
+    j = c.join(per_key.withColumnRenamed("_key", "clean_path"), "clean_path", "inner")
+    has_orig = F.col("_has_orig") == 1
     is_first = F.col("path") == F.col("_first.path")
-    base_md5 = F.when(F.col("has_orig"), F.col("orig_md5")).otherwise(F.col("_first.md5"))
+    base_md5 = F.when(has_orig, F.col("orig_md5")).otherwise(F.col("_first.md5"))
     judged = (F.when(F.col("md5").isNull() | base_md5.isNull(), "skip")
                .when(F.col("md5") == base_md5, "delete_duplicate")
                .otherwise("collision_rename"))
     action = (F.when(is_self, "skip")
-               .when(~F.col("has_orig") & is_first, "rename").otherwise(judged))
+               .when(~has_orig & is_first, "rename").otherwise(judged))
     j = materialize(j.withColumn("action", action)
                      .select("path", "parent", "size", "md5", "pattern", "clean_name", "clean_path", "stem",
                              "action"), "rename")
