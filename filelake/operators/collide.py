@@ -12,11 +12,12 @@ group -- never an array as long as the group.
 
 Work per call:
 
-* taken slots: existing names are cut to the destination folders (semi join
-  on the distinct folders), exploded into the (group, slot) keys they
-  occupy, cut to contested groups, and collected per group.  The result is
-  written once; it is broadcast only when its row count (read from the
-  written files) is under ``BROADCAST_ROWS``, else joined by shuffle;
+* group stats: existing names are cut to the destination folders (semi
+  join on the distinct folders) and exploded into the (group, slot) keys
+  they occupy; one aggregation over those and the movers' keys gives each
+  contested group its mover count and taken slots.  The result is written
+  once; the groups with taken slots are broadcast only when their row count
+  is under ``BROADCAST_ROWS``, else joined by shuffle;
 * hot groups: groups with more than ``hot_rows`` movers -- at most
   movers / hot_rows of them, a proven bound, so broadcast -- are spread over
   ceil(n / hot_rows) buckets by a hash of the path; per-bucket counts of the
@@ -52,21 +53,30 @@ def name_slots(dir_col: Column, name_col: Column, bare: bool = True) -> Column:
     return F.concat(F.array(own), arr_k) if bare else arr_k
 
 
-def taken_slots(m: DataFrame, dir_col: str, name_col: str, existing: DataFrame) -> DataFrame:
-    """(_d, _s, _x, _taken) for contested groups with at least one taken slot."""
+def group_stats(m: DataFrame, dir_col: str, name_col: str, existing: DataFrame) -> DataFrame:
+    """One row per contested group: mover count ``_n`` and sorted taken
+    slots ``_taken``.  Existing names are first cut to the destination
+    folders (semi join on the distinct folders, a runtime-sized aggregate),
+    then one aggregation over movers' keys and occupied slots -- no broadcast
+    of the movers themselves."""
     dirs = m.select(F.col(dir_col).alias("dir")).distinct()
     ex = existing.join(dirs, "dir", "left_semi")
     occupied = (ex.select(F.explode(name_slots(F.col("dir"), F.col("name"))).alias("t"))
                 .unionByName(m.select(F.explode(name_slots(F.col(dir_col), F.col(name_col), bare=False)).alias("t")))
-                .select("t._d", "t._s", "t._x", "t.slot"))
-    return (occupied.join(m.select(*_K), _K, "left_semi")
-                    .groupBy(*_K).agg(F.array_sort(F.collect_set("slot")).alias("_taken")))
+                .select("t._d", "t._s", "t._x", "t.slot", F.lit(0).alias("_one")))
+    keys = m.select(*_K, F.lit(None).cast("int").alias("slot"), F.lit(1).alias("_one"))
+    # a plain hash aggregate first collapses the movers to one row per group
+    # (slot NULL) and occupied slots to one row each; the object aggregate
+    # (collect_set) then sees only those
+    per_slot = keys.unionByName(occupied).groupBy(*_K, "slot").agg(F.sum("_one").alias("_c"))
+    return (per_slot.groupBy(*_K)
+                    .agg(F.sum("_c").alias("_n"), F.array_sort(F.collect_set("slot")).alias("_taken"))
+                    .filter(F.col("_n") > 0))
 
 
 def _checked(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a written table only when its row count is under the bound
-    (parquet footers give the count without a scan); else leave the join to
-    the planner."""
+    """Broadcast a (written) table only when its row count is under the
+    bound; else leave the join to the planner."""
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
@@ -81,8 +91,10 @@ def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataF
     name = F.col(name_col)
     m = movers.withColumns({"_d": F.col(dir_col), "_s": P.stem_of(name), "_x": P.raw_suffix(name)})
 
-    taken = _checked(materialize(taken_slots(m, dir_col, name_col, existing), "taken"))
-    hot = F.broadcast(m.groupBy(*_K).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows))
+    stats = materialize(group_stats(m, dir_col, name_col, existing), "groups")
+    taken = _checked(stats.filter(F.size("_taken") > 0).select(*_K, "_taken"))
+    # at most movers / hot_rows groups: a proven bound
+    hot = F.broadcast(stats.filter(F.col("_n") > hot_rows).select(*_K, "_n"))
     mb = (m.join(hot, _K, "left")
            .withColumn("_b", F.when(F.col("_n").isNotNull(),
                                     F.pmod(F.xxhash64("path"), F.ceil(F.col("_n") / F.lit(hot_rows))))
