@@ -49,15 +49,29 @@ def shared_sizes(files: DataFrame) -> DataFrame:
     return files.groupBy("size").agg(F.count(F.lit(1)).alias("n_files")).filter("n_files >= 2")
 
 
+SIZE_LIST_BROADCAST_ROWS = 5_000_000
+
+
 def hashed(files: DataFrame) -> DataFrame:
     """Rows with an md5.  Without an ``md5`` column, only rows of a shared
-    size are hashed: from ``content`` (JVM ``md5``, content dropped before any
-    shuffle) or, for a real folder tree, by reading the files in chunks."""
+    size are hashed: from ``content`` (JVM ``md5``) or, for a real folder
+    tree, by reading the files in chunks.
+
+    Content must never cross a shuffle.  The shared-size list is written once
+    and its row count checked: under ``SIZE_LIST_BROADCAST_ROWS`` it is
+    broadcast, so the semi join runs map-side next to the content; above it,
+    every row is hashed at the scan and the semi join runs on narrow rows."""
     if "md5" not in files.columns:
-        candidates = files.join(shared_sizes(files).select("size"), "size", "left_semi")
+        from filelake.session import materialize
+        sizes = materialize(shared_sizes(files.select("size")).select("size"), "shared-sizes")
+        small = sizes.count() <= SIZE_LIST_BROADCAST_ROWS
         if "content" in files.columns:
-            files = with_md5(candidates)
+            if small:
+                files = with_md5(files.join(F.broadcast(sizes), "size", "left_semi"))
+            else:
+                files = with_md5(files).join(sizes, "size", "left_semi")
         else:
+            candidates = files.join(F.broadcast(sizes) if small else sizes, "size", "left_semi")
             from filelake.sources.files import hash_paths
             files = hash_paths(candidates.select("path", "size", *[c for c in ("name", "mtime_s")
                                                                    if c in candidates.columns]))

@@ -80,6 +80,19 @@ def test_content_path_hashes_only_shared_sizes(spark):
     assert {(r.path, r.action) for r in plan.collect()} == {("/t/1.txt", "keep"), ("/t/2.txt", "delete")}
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in text  # size pre-filter before md5
+    # content is hashed next to the scan: no shuffle ever carries it
+    phys = plan._jdf.queryExecution().executedPlan().toString()
+    for line in phys.splitlines():
+        if "Exchange" in line and "Broadcast" not in line:
+            assert "text" not in line and "content" not in line
+
+
+def test_content_path_with_large_size_list(spark, monkeypatch):
+    monkeypatch.setattr(D, "SIZE_LIST_BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(1, "aaaa"), (2, "aaaa"), (3, "bbbbbbbb"), (4, "cc")], "id int, text string")
+    m = from_table(docs, "concat('/t/', cast(id as string), '.txt')", "text")
+    plan = D.dedup_plan(m, "/t", min_size=1)
+    assert {(r.path, r.action) for r in plan.collect()} == {("/t/1.txt", "keep"), ("/t/2.txt", "delete")}
 
 
 def test_invariants_after_apply(mk):
