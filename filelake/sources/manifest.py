@@ -40,20 +40,10 @@ def from_table(df: DataFrame, path_expr, content_expr=None, **columns) -> DataFr
     return out
 
 
-def from_files(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """List a real folder tree with Spark's ``binaryFile`` source.
-
-    The listing is distributed and a ``size`` filter is pushed into it.
-    Note: the source skips names starting with '_' or '.', and empty
-    folders, so junk, staging and ``_from_*`` logic need an inventory table.
-    """
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    cols = [F.regexp_replace("path", r"^file:", "").alias("path"),
-            F.col("length").cast("bigint").alias("size"),
-            F.unix_seconds("modificationTime").alias("mtime_s")]
-    if with_content:
-        cols.append(F.col("content"))
-    return df.select(*cols)
+def from_files(spark: SparkSession, root: str, min_size: int | None = None) -> DataFrame:
+    """List a real folder tree (see ``sources.files.list_files``)."""
+    from filelake.sources.files import list_files
+    return list_files(spark, root, min_size)
 
 
 def with_md5(manifest: DataFrame) -> DataFrame:

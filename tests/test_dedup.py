@@ -105,3 +105,16 @@ def test_invariants_after_apply(mk):
     assert D.dedup_plan(after, "/t", min_size=10).count() == 0
     deleted = plan.filter("action = 'delete'").select("md5").distinct()
     assert deleted.join(after, "md5", "left_anti").count() == 0  # content still exists
+
+
+def test_hot_group_third_of_rows(spark):
+    n = 30_000
+    rows = spark.range(n).select(
+        F.format_string("/t/d%03d/f%05d.bin", F.col("id") % 500, F.col("id")).alias("path"),
+        F.lit(4096).cast("bigint").alias("size"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.md5(F.col("id").cast("string"))).alias("md5"))
+    plan = D.dedup_plan(rows, "/t", min_size=1)
+    s = D.dedup_summary(rows, "/t", min_size=1).first()
+    assert (s.duplicate_groups, s.files_to_delete) == (1, n // 3 - 1)
+    assert plan.filter("action = 'keep'").first().path == "/t/d000/f00000.bin"
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
