@@ -301,7 +301,7 @@ from filelake.functions import fmt as FM  # noqa: E402
 @register("format_sizes")
 def q_format_sizes(spark, sf_dir):
     man = FX.manifest(spark, sf_dir)
-    s = F.col("size")
+    s = F.col("size").cast("decimal(38,0)")  # scaled sizes must not overflow BIGINT (ANSI mode)
     return man.select(
         "path",
         FM.size_text_signed(s).alias("f1"),
