@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.operators import filters as FL
-from filelake.sources.manifest import ancestors
+from filelake.sources.manifest import ancestor_rows
 
 
 def _files(manifest: DataFrame) -> DataFrame:
@@ -63,12 +63,9 @@ def empty_dirs_plan(dirs: DataFrame, files: DataFrame, root: str,
     # anything that stays blocks all of its ancestors
     stays = (files.select("path").filter(P.under_root("path", root))
              .unionByName(d.filter(prot).select("path")))
-    blocked = stays.select(F.explode(ancestors(F.col("path"), root)).alias("path")).distinct()
+    blocked = ancestor_rows(stays, root).select(F.col("anc").alias("path")).distinct()
     # height: deepest folder below (self = 0)
-    depth = P.depth_of("path")
-    below = d.select(F.explode(F.concat(F.array(F.col("path")), ancestors(F.col("path"), root))).alias("anc"),
-                     depth.alias("dd"))
-    height = below.groupBy("anc").agg(F.max(F.col("dd") - P.depth_of("anc")).alias("height"))
+    height = ancestor_rows(d, root, include_self=True).groupBy("anc").agg(F.max("up").alias("height"))
     cand = d.filter(~prot)
     return (cand.join(blocked, "path", "left_anti")
                 .join(height.withColumnRenamed("anc", "path"), "path", "inner")

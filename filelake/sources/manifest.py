@@ -51,25 +51,43 @@ def with_md5(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("md5", F.md5("content")).drop("content")
 
 
-def ancestors(path_col, root: str):
-    """Array of the proper ancestor folders of a path that lie at or below
-    ``root`` (root itself included)."""
+def _root_parts(root: str) -> int:
+    """``substring_index`` count giving the root itself ('/drive' -> 2).  For
+    the root '/' the first folder below it ('/a', count 2) is the start; '/'
+    itself is added separately."""
     r = P.norm_root(root)
-    rel = P.rel_parent(path_col, root)
-    parts = F.when(rel == "", F.array().cast("array<string>")).otherwise(F.split(rel, "/"))
-    # sequence(1, 0) counts down in Spark, so an empty chain is spelled out
-    below = F.when(F.size(parts) > 0, F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.concat(F.lit(r + "/"), F.array_join(F.slice(parts, 1, i), "/")),
-    )).otherwise(F.array().cast("array<string>"))
-    chain = F.concat(F.array(F.lit(r if r else "/")), below)
-    return F.when(rel.isNull(), F.array().cast("array<string>")).otherwise(chain)
+    return len(r.split("/")) if r else 2
+
+
+def ancestor_rows(df: DataFrame, root: str, path_col: str = "path", include_self: bool = False,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per ancestor folder (at or below ``root``) of each path:
+    columns ``anc`` and ``up`` (how many levels above the path), plus
+    ``keep``.  Built from ``sequence`` + ``substring_index`` -- compiled
+    expressions, no higher-order functions -- so exploding billions of paths
+    stays in generated code."""
+    r = P.norm_root(root)
+    k0 = _root_parts(root)
+    p = F.col(path_col)
+    n = P.depth_of(p)
+    last = n if include_self else n - 1
+    inside = (p == (r or "/")) if include_self else F.lit(False)
+    inside = inside | P.under_root(p, root)
+    ks = F.when(inside & (last >= k0), F.sequence(F.lit(k0), last)).otherwise(F.array().cast("array<int>"))
+    out = df.select(*keep, p.alias("_p"), n.alias("_n"), F.explode(ks).alias("_k"))
+    # the SQL form takes the count as an expression; the Python helper wants an int
+    out = out.select(*keep, F.expr("substring_index(_p, '/', _k)").alias("anc"),
+                     (F.col("_n") - F.col("_k")).alias("up"))
+    if not r:  # root '/' is an ancestor of everything below it
+        out = out.unionByName(df.filter(P.under_root(p, root)).select(*keep, F.lit("/").alias("anc"),
+                                                                     (n - 1).alias("up")))
+    return out
 
 
 def directories_of(manifest: DataFrame, root: str, extra: DataFrame | None = None) -> DataFrame:
     """Folder rows implied by the file paths (distinct ancestors at or below
     root), plus optional explicit folder rows (``path``)."""
-    dirs = manifest.select(F.explode(ancestors(F.col("path"), root)).alias("path"))
+    dirs = ancestor_rows(manifest, root).select(F.col("anc").alias("path"))
     if extra is not None:
         dirs = dirs.unionByName(extra.select("path"))
     return dirs.distinct().withColumn("is_dir", F.lit(True))

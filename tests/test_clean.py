@@ -50,3 +50,14 @@ def test_clean_plan_junk_before_empty_dirs(mk, spark):
     assert got == {("/c/only_junk/Thumbs.db", "delete"), ("/c/only_junk", "rmdir")}
     s = CLN.clean_summary(plan).first()
     assert (s.junk_deleted, s.dirs_removed) == (1, 1)
+
+
+def test_ancestors_root_slash_and_nested(spark):
+    from filelake.sources.manifest import ancestor_rows, directories_of
+    df = spark.createDataFrame([("/a/b/c.txt",), ("/d.txt",)], "path string")
+    assert {r.path for r in directories_of(df, "/").collect()} == {"/", "/a", "/a/b"}
+    rows = {(r.anc, r.up) for r in ancestor_rows(df, "/drive").collect()}
+    assert rows == set()  # nothing below /drive
+    d2 = spark.createDataFrame([("/r/x/y",), ("/r",)], "path string")
+    got = {(r.anc, r.up) for r in ancestor_rows(d2, "/r", include_self=True).collect()}
+    assert got == {("/r", 2), ("/r/x", 1), ("/r/x/y", 0), ("/r", 0)}
