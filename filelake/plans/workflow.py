@@ -32,13 +32,16 @@ class Reorganisation:
     before: S.Snapshot
     after: S.Snapshot
     final_manifest: DataFrame
+    dedup_input: DataFrame
+    dedup_output: DataFrame
 
     def summary(self) -> DataFrame:
         diff = S.snapshot_diff(self.after, self.before)
         return diff.select(
             self.junk.select(F.count(F.lit(1))).scalar().alias("junk_deleted"),
-            self.dedup.filter(F.col("action") == "delete").select(F.count(F.lit(1))).scalar()
-                .alias("duplicates_deleted"),
+            # paths are unique, so deletes = rows before - rows after (no re-run of the plan)
+            (self.dedup_input.select(F.count(F.lit(1))).scalar()
+             - self.dedup_output.select(F.count(F.lit(1))).scalar()).alias("duplicates_deleted"),
             self.sort.filter(F.col("action") == "move").select(F.count(F.lit(1))).scalar().alias("files_sorted"),
             self.before.summary.select("total_files").scalar().alias("files_before"),
             self.after.summary.select("total_files").scalar().alias("files_after"),
@@ -61,4 +64,4 @@ def reorganize(manifest: DataFrame, root: str, dedup_min_size: int = C.DEDUP_MIN
     m3 = cut(apply_plan(m2, splan))
     before = S.snapshot(manifest, root, dirs=dirs)
     after = S.snapshot(m3, root)
-    return Reorganisation(junk, dplan, splan, before, after, m3)
+    return Reorganisation(junk, dplan, splan, before, after, m3, m1, m2)
