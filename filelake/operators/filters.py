@@ -4,8 +4,6 @@ source allows it) before any shuffle."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,10 +97,3 @@ def not_protected(rel_parent: Column, protected) -> Column:
 def readable(md5: Column) -> Column:
     """FL14: rows with a hash take part in grouping; the rest is reported."""
     return md5.isNotNull()
-
-
-def compile_check(regex: str) -> str:
-    """Validate a regex on the driver (Python syntax is close enough to catch
-    typos before a job starts)."""
-    re.compile(regex)
-    return regex
