@@ -33,3 +33,13 @@ def facets_from_record(record: DataFrame):
     snapshot can be diffed against a fresh one."""
     return record.select(F.explode("by_extension").alias("ext", "v")).select(
         "ext", F.col("v.count").alias("count"), F.col("v.size_bytes").alias("size_bytes"))
+
+
+def diff_record(diff: DataFrame, root: str | None = None) -> DataFrame:
+    """Snapshot difference in document layout (SK2): the new-extension map
+    under ``new_extensions``, counts of added / removed files, size change
+    and the summary sentence."""
+    return diff.select(
+        *([F.lit(root).alias("path")] if root else []),
+        "files_added", "files_removed", "size_change_bytes",
+        F.col("new_extension_counts").alias("new_extensions"), "summary")

@@ -1,7 +1,7 @@
 import json
 
 from filelake.operators import snapshot as S
-from filelake.sources.snapshot_io import read_snapshot, write_snapshot
+from filelake.sources.snapshot_io import diff_record, read_snapshot, write_snapshot
 
 
 def _snap(mk, rows, root="/s", **kw):
@@ -68,3 +68,14 @@ def test_json_round_trip(mk, spark, tmp_path):
     diff_doc.write_text(json.dumps({"path": "/s", "files_added": 3, "new_extensions": {".x": 1}}))
     d = read_snapshot(spark, str(diff_doc)).first()
     assert d.is_diff and d.files_added == 3
+
+
+def test_diff_json_round_trip_and_quick(mk, spark, tmp_path):
+    before = _snap(mk, [("/s/file1.txt", "a")])
+    after = _snap(mk, [("/s/file1.txt", "a"), ("/s/file2.pdf", "bb")], quick=True)
+    assert after.largest is None
+    assert after.record().first().largest_files == []
+    out = str(tmp_path / "diff")
+    write_snapshot(diff_record(S.snapshot_diff(after, before), "/s"), out)
+    d = read_snapshot(spark, out).first()
+    assert d.is_diff and d.files_added == 1 and d.new_extensions == {".pdf": 1}
