@@ -12,7 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelake import constants as C
+from filelake.functions import fmt as FM
+from filelake.functions import paths as P
+from filelake.operators import classify as CL
+from filelake.operators import clean as CLN
+from filelake.operators import consolidate as CO
 from filelake.operators import dedup as D
+from filelake.operators import rename as RN
+from filelake.operators import snapshot as S
+from filelake.operators import sort as SO
+from filelake.plans import apply as AP
+from filelake.plans import batches as BA
+from filelake.plans import oplog as OL
+from filelake.plans import workflow as WF
 from filelake.sources import fixture as FX
 
 ROOT = FX.ROOT
@@ -54,8 +67,6 @@ def q_dedup_plan_largest(spark, sf_dir):
 
 # --- snapshot ------------------------------------------------------------------
 
-from filelake.operators import snapshot as S  # noqa: E402
-
 
 def _snap(spark, sf_dir, keep=None):
     man = FX.manifest(spark, sf_dir, keep)
@@ -106,9 +117,6 @@ def q_snapshot_ext_changes(spark, sf_dir):
 
 # --- sort -------------------------------------------------------------------------
 
-from filelake.operators import classify as CL  # noqa: E402
-from filelake.operators import sort as SO  # noqa: E402
-
 
 @register("detect_type")
 def q_detect_type(spark, sf_dir):
@@ -140,8 +148,6 @@ def q_sort_summary(spark, sf_dir):
 
 # --- rename -----------------------------------------------------------------------
 
-from filelake.operators import rename as RN  # noqa: E402
-
 
 @register("rename_patterns")
 def q_rename_patterns(spark, sf_dir):
@@ -160,7 +166,6 @@ def q_rename_summary(spark, sf_dir):
 
 # --- consolidate -------------------------------------------------------------------
 
-from filelake.operators import consolidate as CO  # noqa: E402
 
 TARGET = FX.TARGET
 
@@ -177,8 +182,6 @@ def q_consolidate_summary(spark, sf_dir):
 
 # --- clean ---------------------------------------------------------------------------
 
-from filelake.operators import clean as CLN  # noqa: E402
-
 
 @register("junk_files")
 def q_junk_files(spark, sf_dir):
@@ -207,8 +210,6 @@ def q_clean_summary(spark, sf_dir):
 
 # --- dedup facets ---------------------------------------------------------------------
 
-from filelake.functions import paths as P  # noqa: E402
-
 
 @register("duplicate_size_groups")
 def q_duplicate_size_groups(spark, sf_dir):
@@ -244,11 +245,6 @@ def q_dedup_skip_dirs(spark, sf_dir):
 
 # --- plans ------------------------------------------------------------------------------
 
-from filelake.plans import apply as AP  # noqa: E402
-from filelake.plans import batches as BA  # noqa: E402
-from filelake.plans import oplog as OL  # noqa: E402
-from filelake.plans import workflow as WF  # noqa: E402
-
 
 @register("apply_plan_dedup")
 def q_apply_plan_dedup(spark, sf_dir):
@@ -295,8 +291,6 @@ def q_reorganize_summary(spark, sf_dir):
 
 # --- formats ------------------------------------------------------------------------------
 
-from filelake.functions import fmt as FM  # noqa: E402
-
 
 @register("format_sizes")
 def q_format_sizes(spark, sf_dir):
@@ -317,7 +311,6 @@ def q_format_sizes(spark, sf_dir):
 @register("picture_years")
 def q_picture_years(spark, sf_dir):
     files = CL.sort_files(FX.manifest(spark, sf_dir), ROOT)
-    from filelake import constants as C
     imgs = files.filter(F.col("ext").isin(list(C.IMAGE_EXTS)))
     return imgs.select("path", CL.year_from_exif(F.col("exif_date")).cast("bigint").alias("exif_year"),
                        CL.year_from_name(F.col("name")).cast("bigint").alias("name_year"))
