@@ -18,6 +18,7 @@ from filelake.functions import paths as P
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
 from filelake.session import materialize
+from filelake.sources.manifest import prune_root, prune_skipped
 
 
 def in_target(path: Column, target: str) -> Column:
@@ -50,7 +51,8 @@ def scan(manifest: DataFrame, source: str, target: str, min_size: int = C.CONSOL
         df = df.filter(~F.coalesce(F.col("is_dir"), F.lit(False)))
     name = P.name_of("path")
     rp = P.rel_parent("path", source)
-    return (df.filter(P.under_root("path", source)
+    return (df.filter(prune_root(df, source) & prune_skipped(df, source, skip_dirs)
+                      & P.under_root("path", source)
                       & FL.not_in_dirs(rp, FL.skip_regex_prefix(skip_dirs))
                       & FL.ext_in_preset(P.ext_of(name), file_type)
                       & FL.min_size(F.col("size"), min_size))

@@ -35,8 +35,10 @@ def candidates(manifest: DataFrame, root: str, min_size: int = C.DEDUP_MIN_SIZE,
     skip = C.DEDUP_SKIP_DIRS if skip_dirs is None else tuple(skip_dirs)
     df = P.derive(manifest, root)
     name, size = F.col("name"), F.col("size")
+    from filelake.sources.manifest import prune_root, prune_skipped
     return df.filter(
-        P.under_root("path", root)
+        prune_root(df, root) & prune_skipped(df, root, skip)
+        & P.under_root("path", root)
         & FL.min_size(size, min_size) & FL.non_empty(size)
         & FL.not_symlink(df) & FL.not_hidden(name)
         & FL.include_any(name, include) & FL.exclude_all(name, exclude)

@@ -18,7 +18,7 @@ from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.functions.fmt import size_text_signed
 from filelake.operators import filters as FL
-from filelake.sources.manifest import directories_of
+from filelake.sources.manifest import directories_of, prune_root, prune_skipped
 
 
 def _files_only(df: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def snapshot_files(manifest: DataFrame, root: str, skip_dirs=None) -> DataFrame:
     df = _files_only(manifest)
     name = P.name_of("path")
     rp = P.rel_parent("path", root)
-    return (df.filter(P.under_root("path", root) & FL.not_in_dirs(rp, FL.skip_regex_exact(skip)))
+    return (df.filter(prune_root(df, root) & prune_skipped(df, root, skip)
+                      & P.under_root("path", root) & FL.not_in_dirs(rp, FL.skip_regex_exact(skip)))
               .select("path", "size", P.ext_of(name).alias("ext"), P.top_of("path", root).alias("top")))
 
 

@@ -91,3 +91,57 @@ def directories_of(manifest: DataFrame, root: str, extra: DataFrame | None = Non
     if extra is not None:
         dirs = dirs.unionByName(extra.select("path"))
     return dirs.distinct().withColumn("is_dir", F.lit(True))
+
+
+# --- stored manifests with folder partitions ---------------------------------------
+
+PART_ROOT, PART_TOP = "manifest_root", "top_dir"
+
+
+def write_manifest(manifest: DataFrame, location: str, root: str, mode: str = "overwrite") -> None:
+    """Store a manifest partitioned by (``manifest_root``, ``top_dir``): the
+    root it was taken under and each row's first-level folder, stored as
+    '_' + name ('_' for files in the root) so that no value is empty (read
+    back as NULL) or numeric-looking (read back as a number).  Verbs add predicates on these two columns that their own
+    filters imply (skip lists, "below this folder"), so Catalyst prunes whole
+    partitions before any file is opened.  Rows are sorted by folder inside
+    each task instead of shuffled, so a huge first-level folder does not
+    become one task."""
+    r = P.norm_root(root) or "/"
+    out = (manifest.withColumn(PART_ROOT, F.lit(r))
+                   .withColumn(PART_TOP, F.concat(F.lit("_"), F.coalesce(P.top_of("path", root), F.lit(""))))
+                   .sortWithinPartitions(PART_TOP))
+    out.write.mode(mode).partitionBy(PART_ROOT, PART_TOP).parquet(location)
+
+
+def _has_parts(df: DataFrame) -> bool:
+    return PART_ROOT in df.columns and PART_TOP in df.columns
+
+
+def prune_root(df: DataFrame, root: str):
+    """Partition predicate implied by 'path is below ``root``': if the stored
+    root is an ancestor of ``root``, only one first-level folder can hold
+    such paths."""
+    if not _has_parts(df):
+        return F.lit(True)
+    r = P.norm_root(root)
+    parts = [x for x in r.split("/") if x]
+    cond = None
+    ancestors = []
+    for i in range(len(parts)):
+        anc = "/" + "/".join(parts[:i]) if i else "/"
+        ancestors.append(anc)
+        term = (F.col(PART_ROOT) == anc) & (F.col(PART_TOP) == "_" + parts[i])
+        cond = term if cond is None else cond | term
+    other = ~F.col(PART_ROOT).isin(ancestors) if ancestors else F.lit(True)
+    return other if cond is None else (cond | other)
+
+
+def prune_skipped(df: DataFrame, root: str, names) -> "F.Column":
+    """Partition predicate implied by a skip list of exact folder names: the
+    first-level folder of a stored manifest taken under the same root is not
+    one of them."""
+    if not _has_parts(df) or not names:
+        return F.lit(True)
+    r = P.norm_root(root) or "/"
+    return (F.col(PART_ROOT) != r) | ~F.col(PART_TOP).isin(["_" + n for n in names])

@@ -70,3 +70,23 @@ def test_extension_totals_stream(spark, tmp_path):
         assert got == {".txt": (2, 7)}
     finally:
         q.stop()
+
+
+def test_partitioned_manifest_prunes(spark, mk, tmp_path):
+    from filelake.operators import snapshot as S
+    from filelake.sources.manifest import write_manifest
+    m = mk([("/lake/a/x/1.txt", "0123456789"), ("/lake/a/2.txt", "0123456789"),
+            ("/lake/b/3.txt", "0123456789"), ("/lake/node_modules/4.txt", "0123456789"), ("/lake/5.txt", "xx")])
+    loc = str(tmp_path / "inv")
+    write_manifest(m, loc, "/lake")
+    stored = spark.read.parquet(loc)
+    plan = D.dedup_plan(stored, "/lake/a", min_size=1)
+    assert {r.path for r in plan.collect()} == {"/lake/a/x/1.txt", "/lake/a/2.txt"}
+    assert "PartitionFilters" in plan._jdf.queryExecution().executedPlan().toString()
+    files = S.snapshot_files(stored, "/lake")
+    assert {r.path for r in files.collect()} == {"/lake/a/x/1.txt", "/lake/a/2.txt", "/lake/b/3.txt", "/lake/5.txt"}
+    scan = [ln for ln in files._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln]
+    assert scan and "PartitionFilters: [" in scan[0] and "_node_modules" in scan[0]
+    # a different root over the same store is not pruned wrongly
+    assert {r.path for r in S.snapshot_files(stored, "/").collect()} == {
+        "/lake/a/x/1.txt", "/lake/a/2.txt", "/lake/b/3.txt", "/lake/5.txt"}
