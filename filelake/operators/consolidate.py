@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from filelake import constants as C
 from filelake.functions import paths as P
+from filelake.functions.fmt import size_text
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
 from filelake.session import materialize
@@ -103,4 +104,6 @@ def consolidate_summary(manifest: DataFrame, source: str, target: str,
         F.coalesce(F.sum(F.when(a == "move", F.col("size"))), F.lit(0)).cast("bigint").alias("space_organized"),
         F.coalesce(F.sum(F.when(a == "delete", F.col("size"))), F.lit(0)).cast("bigint").alias("space_freed"),
     ).select("*", counts.select("t").scalar().alias("already_in_target"),
-             counts.select("f").scalar().alias("failed_hash_files"))
+             counts.select("f").scalar().alias("failed_hash_files"),
+             size_text(F.col("space_organized")).alias("space_organized_human"),
+             size_text(F.col("space_freed")).alias("space_freed_human"))

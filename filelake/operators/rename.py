@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from filelake import constants as C
 from filelake.functions import paths as P
+from filelake.functions.fmt import size_text_2
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
 from filelake.session import materialize
@@ -127,4 +128,4 @@ def rename_summary(plan: DataFrame) -> DataFrame:
         F.count_if(a == "skip").alias("skipped"),
         F.coalesce(F.sum(F.when(a == "delete_duplicate", F.col("size"))), F.lit(0)).cast("bigint")
          .alias("space_freed"),
-    )
+    ).withColumn("space_freed_human", size_text_2(F.col("space_freed")))

@@ -159,6 +159,15 @@ _EXT_CHANGES = """ch AS (
 )"""
 
 
+def _fmt(x: str, decimals: int, use_abs: bool, units, last: str) -> str:
+    test = f"abs({x})" if use_abs else x
+    whens = " ".join(
+        f"WHEN {test} < {1024 ** (k + 1)} THEN printf('%.{decimals}f', {x} / {float(1024 ** k)}) || ' {u}'"
+        for k, u in enumerate(units))
+    return (f"(CASE {whens} ELSE printf('%.{decimals}f', {x} / {float(1024 ** len(units))}) "
+            f"|| ' {last}' END)")
+
+
 def _fmt1_abs(x: str) -> str:
     """Size text, 1 decimal, unit by absolute value (printf rounds like Python)."""
     steps = ["B", "KB", "MB", "GB", "TB"]
@@ -326,7 +335,9 @@ ORACLE["rename_summary"] = f"""WITH {M}, {_RENAME}
 SELECT count(*) AS total_scanned, count(*) AS pattern_files_found,
        count_if(action = 'rename') AS renamed, count_if(action = 'delete_duplicate') AS duplicates_deleted,
        count_if(action = 'collision_rename') AS collision_renamed, count_if(action = 'skip') AS skipped,
-       CAST(coalesce(sum(CASE WHEN action = 'delete_duplicate' THEN size END), 0) AS BIGINT) AS space_freed
+       CAST(coalesce(sum(CASE WHEN action = 'delete_duplicate' THEN size END), 0) AS BIGINT) AS space_freed,
+       {_fmt("coalesce(sum(CASE WHEN action = 'delete_duplicate' THEN size END), 0)", 2, False, ["B", "KB", "MB", "GB"], "TB")}
+         AS space_freed_human
 FROM plan"""
 
 
@@ -359,7 +370,11 @@ SELECT count_if(action = 'move') AS files_moved, count_if(action = 'delete') AS
        CAST(coalesce(sum(CASE WHEN action = 'move' THEN size END), 0) AS BIGINT) AS space_organized,
        CAST(coalesce(sum(CASE WHEN action = 'delete' THEN size END), 0) AS BIGINT) AS space_freed,
        (SELECT count(*) FROM cs WHERE in_target AND md5 IS NOT NULL) AS already_in_target,
-       (SELECT count(*) FROM cs WHERE md5 IS NULL) AS failed_hash_files
+       (SELECT count(*) FROM cs WHERE md5 IS NULL) AS failed_hash_files,
+       {_fmt("coalesce(sum(CASE WHEN action = 'move' THEN size END), 0)", 1, False, ["B", "KB", "MB", "GB", "TB"], "PB")}
+         AS space_organized_human,
+       {_fmt("coalesce(sum(CASE WHEN action = 'delete' THEN size END), 0)", 1, False, ["B", "KB", "MB", "GB", "TB"], "PB")}
+         AS space_freed_human
 FROM cp"""
 
 
@@ -478,15 +493,6 @@ SELECT batch_id, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes,
 FROM d GROUP BY batch_id"""
 
 
-def _fmt(x: str, decimals: int, use_abs: bool, units, last: str) -> str:
-    test = f"abs({x})" if use_abs else x
-    whens = " ".join(
-        f"WHEN {test} < {1024 ** (k + 1)} THEN printf('%.{decimals}f', {x} / {float(1024 ** k)}) || ' {u}'"
-        for k, u in enumerate(units))
-    return (f"(CASE {whens} ELSE printf('%.{decimals}f', {x} / {float(1024 ** len(units))}) "
-            f"|| ' {last}' END)")
-
-
 _U5 = ["B", "KB", "MB", "GB", "TB"]
 ORACLE["format_sizes"] = f"""WITH {M}
 SELECT path,
