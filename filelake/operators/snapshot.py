@@ -132,10 +132,9 @@ def snapshot(manifest: DataFrame, root: str, skip_dirs=None, max_samples: int =
     derived from the manifest paths.  ``quick`` leaves out the largest files."""
     files = snapshot_files(manifest, root, skip_dirs)
     if dirs is None:
-        dirs = (manifest.filter(F.col("is_dir")).select("path") if "is_dir" in manifest.columns
-                else directories_of(manifest, root).select("path"))
-        if "is_dir" in manifest.columns:
-            dirs = dirs.unionByName(directories_of(_files_only(manifest), root).select("path"))
+        dirs = directories_of(_files_only(manifest), root).select("path")
+        if "is_dir" in manifest.columns:  # explicit folder rows, empty ones included
+            dirs = dirs.unionByName(manifest.filter(F.col("is_dir")).select("path"))
     return Snapshot(root, files, summary(files, dirs, root), by_extension(files),
                     samples(files, max_samples), top_dirs(files, root, dirs, skip_dirs),
                     None if quick else largest(files))

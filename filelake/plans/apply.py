@@ -39,6 +39,7 @@ def verify_plan(plan: DataFrame, current: DataFrame) -> DataFrame:
       'keeper_changed' (the whole group is skipped);
     * the file itself gone -> 'already_gone' (counts as done);
     * its size changed -> 'size_changed' (fails);
+    * a move whose destination now exists -> 'dest_exists';
     * otherwise 'ok'.
     """
     cur = current.select("path", F.col("size").alias("_cur_size"))
@@ -51,9 +52,16 @@ def verify_plan(plan: DataFrame, current: DataFrame) -> DataFrame:
         keeper_changed = F.col("keeper_path").isNotNull() & (F.col("_keeper_size") != F.col("size"))
     else:
         keeper_missing = keeper_changed = F.lit(False)
+    if "dest" in plan.columns:
+        taken = current.select(F.col("path").alias("dest"), F.lit(True).alias("_dest_taken"))
+        j = j.join(taken, "dest", "left")
+        dest_exists = (F.col("action") == "move") & F.coalesce(F.col("_dest_taken"), F.lit(False))
+    else:
+        dest_exists = F.lit(False)
     status = (F.when(keeper_missing, "keeper_missing")
                .when(keeper_changed, "keeper_changed")
                .when(F.col("_cur_size").isNull(), "already_gone")
                .when(F.col("_cur_size") != F.col("size"), "size_changed")
+               .when(dest_exists, "dest_exists")
                .otherwise("ok"))
-    return j.withColumn("status", status).drop("_cur_size", "_keeper_size")
+    return j.withColumn("status", status).drop("_cur_size", "_keeper_size", "_dest_taken")

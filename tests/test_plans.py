@@ -67,3 +67,11 @@ def test_batches_exact_on_shuffled_input(spark):
                        F.lit(1).cast("bigint").alias("size"))
     rows = BA.delete_batches(plan, 500).groupBy("batch_id").count().collect()
     assert sorted(r["count"] for r in rows) == [500] * 40
+
+
+def test_verify_move_plan_dest_exists(mk, spark):
+    m = mk([("/r/a.pdf", "1"), ("/r/x/b.pdf", "2")])
+    plan = SO.sort_plan(m, "/r", "mixed")
+    cur = spark.createDataFrame([("/r/a.pdf", 1), ("/r/x/b.pdf", 1), ("/r/Documents/b.pdf", 7)], "path string, size bigint")
+    got = {r.path: r.status for r in verify_plan(plan, cur).collect()}
+    assert got == {"/r/a.pdf": "ok", "/r/x/b.pdf": "dest_exists"}
