@@ -31,10 +31,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelake.functions import paths as P
-from filelake.session import materialize
+from filelake.session import BROADCAST_ROWS, materialize
 
 HOT_GROUP_ROWS = 2_000_000
-BROADCAST_ROWS = 2_000_000
 _SLOT_SUFFIX = r"^(.*)_([1-9][0-9]*)$"
 _K = ["_d", "_s", "_x"]
 
@@ -75,8 +74,8 @@ def group_stats(m: DataFrame, dir_col: str, name_col: str, existing: DataFrame)
 
 
 def _checked(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a (written) table only when its row count is under the
-    bound; else leave the join to the planner."""
+    """Broadcast an already written table only when its row count is under
+    the bound; else leave the join to the planner."""
     return F.broadcast(small) if small.count() <= max_rows else small
 
 

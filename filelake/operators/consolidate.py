@@ -18,7 +18,7 @@ from filelake.functions import paths as P
 from filelake.functions.fmt import size_text
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
-from filelake.session import materialize
+from filelake.session import materialize, small_side
 from filelake.sources.manifest import prune_root, prune_skipped
 
 
@@ -68,8 +68,8 @@ def consolidate_plan(manifest: DataFrame, source: str, target: str,
     if P.norm_root(source) == P.norm_root(target):
         raise ValueError("source and target cannot be the same")
     files = scan(manifest, source, target, min_size, file_type, skip_dirs).filter(F.col("md5").isNotNull())
-    keys = (files.filter("in_target").select("md5", "size").distinct()
-                 .withColumn("in_target_copy", F.lit(True)))
+    keys = small_side(files.filter("in_target").select("md5", "size").distinct()
+                      .withColumn("in_target_copy", F.lit(True)), "consolidate-keys")
     # judged once (one left join on the content key), then read by both branches
     outside = materialize(files.filter(~F.col("in_target")).join(keys, ["md5", "size"], "left")
                           .select("path", "size", "md5", "name",

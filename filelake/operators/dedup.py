@@ -11,8 +11,10 @@ Plan shape (one shuffle-aggregate + one join, both on ``(md5, size)``):
 3. ``groupBy(md5, size)`` with ``count`` and ``min(struct(score, path))`` --
    partial aggregation, so a group holding a third of all rows is combined
    map-side and never lands whole in one task;
-4. join the groups back to their members (skewed keys are split by AQE's
-   skew-join handling) to label ``keep`` / ``delete``.
+4. join the groups back to their members to label ``keep`` / ``delete``:
+   the group table is written once and broadcast when its row count is
+   under the bound; otherwise a shuffle join, whose hot keys AQE's skew-join
+   handling splits.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.operators import filters as FL
+from filelake.session import small_side
 from filelake.sources.manifest import with_md5
 
 STRATEGIES = ("deepest", "newest", "largest")
@@ -113,7 +116,9 @@ def dedup_plan(manifest: DataFrame, root: str, min_size: int = C.DEDUP_MIN_SIZE,
     """Plan rows for every member of a duplicate group: path, size, md5,
     keeper_path, action ('keep' / 'delete'), reason."""
     files = hashed(candidates(manifest, root, min_size, include, exclude, skip_dirs))
-    g = groups(files, strategy)
+    # the group table is written once and broadcast when its row count allows,
+    # so the members are not shuffled a second time for the join back
+    g = small_side(groups(files, strategy), "dedup-groups")
     members = files.select("path", "size", "md5").join(g, ["md5", "size"], "inner")
     action = F.when(F.col("path") == F.col("keeper_path"), "keep").otherwise("delete")
     return members.select(

@@ -26,7 +26,7 @@ from filelake.functions import paths as P
 from filelake.functions.fmt import size_text_2
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
-from filelake.session import materialize
+from filelake.session import materialize, small_side
 
 
 def copy_pattern(name) -> "F.Column":
@@ -81,9 +81,13 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
                     "rename-candidates")
     is_self = F.col("clean_path") == F.col("path")
     contender = F.when(~is_self, F.struct("stem", "path", "md5"))
+    # only manifest rows sitting at some clean path can be originals: when the
+    # clean paths are few (checked count) the manifest is cut map-side
+    clean = small_side(c.select(F.col("clean_path").alias("path")).distinct(), "rename-clean-paths")
+    originals = manifest.select("path", "md5").join(clean, "path", "left_semi")
     per_key = (c.select(F.col("clean_path").alias("_key"), F.lit(1).alias("_copy"), contender.alias("_c"),
                         F.lit(0).alias("_orig"), F.lit(None).cast("string").alias("_orig_md5"))
-               .unionByName(manifest.select(F.col("path").alias("_key"), F.lit(0).alias("_copy"),
+               .unionByName(originals.select(F.col("path").alias("_key"), F.lit(0).alias("_copy"),
                                             F.lit(None).cast("struct<stem:string,path:string,md5:string>").alias("_c"),
                                             F.lit(1).alias("_orig"), F.col("md5").alias("_orig_md5")))
                .groupBy("_key")

@@ -65,3 +65,18 @@ def materialize(df, tag: str = "step"):
     location = f"{base}/filelake-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(location)
     return spark.read.parquet(location)
+
+
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df, tag: str, max_rows: int = BROADCAST_ROWS):
+    """Write the build side of a join once and broadcast it only when its
+    row count is at most ``max_rows``; above that return it plain so the
+    planner keeps a shuffle join.  The count comes from the written files,
+    so the size is checked, not estimated -- and the big side is never
+    shuffled first only to learn that a broadcast would have done."""
+    from pyspark.sql import functions as F
+
+    stored = materialize(df, tag)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
