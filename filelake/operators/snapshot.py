@@ -159,20 +159,21 @@ def snapshot_diff(current: Snapshot, previous: Snapshot) -> DataFrame:
     change, new and removed extension counts, the new-extension map and the
     summary sentence."""
     ch = ext_changes(current, previous)
-    prev_files = previous.summary.select("total_files").scalar()
-    prev_size = previous.summary.select("total_size_bytes").scalar()
-    n_new = ch.filter(F.col("change") == "new").select(F.count(F.lit(1))).scalar()
-    n_removed = ch.filter(F.col("change") == "removed").select(F.count(F.lit(1))).scalar()
-    new_map = ch.filter(F.col("change") == "new").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "count")))).alias("m")).select("m").scalar()
-    delta = F.col("total_files") - prev_files
-    added = F.greatest(delta, F.lit(0)).cast("bigint")
-    removed = F.greatest(-delta, F.lit(0)).cast("bigint")
-    size_change = (F.col("total_size_bytes") - prev_size).cast("bigint")
+    # one struct-valued scalar subquery per input instead of one per field
+    prev = previous.summary.select(F.struct("total_files", "total_size_bytes")).scalar()
+    changes = ch.agg(F.struct(
+        F.count_if(F.col("change") == "new").alias("n_new"),
+        F.count_if(F.col("change") == "removed").alias("n_removed"),
+        F.map_from_entries(F.array_sort(F.collect_list(
+            F.when(F.col("change") == "new", F.struct("ext", "count"))))).alias("new_map"))).scalar()
+    delta = F.col("total_files") - prev["total_files"]
     out = current.summary.select(
-        added.alias("files_added"), removed.alias("files_removed"), size_change.alias("size_change_bytes"),
-        n_new.cast("bigint").alias("new_extensions"), n_removed.cast("bigint").alias("removed_extensions"),
-        new_map.alias("new_extension_counts"))
+        F.greatest(delta, F.lit(0)).cast("bigint").alias("files_added"),
+        F.greatest(-delta, F.lit(0)).cast("bigint").alias("files_removed"),
+        (F.col("total_size_bytes") - prev["total_size_bytes"]).cast("bigint").alias("size_change_bytes"),
+        changes["n_new"].cast("bigint").alias("new_extensions"),
+        changes["n_removed"].cast("bigint").alias("removed_extensions"),
+        changes["new_map"].alias("new_extension_counts"))
     parts = F.concat_ws(", ",
                         F.when(F.col("files_added") > 0, F.format_string("+%d files", "files_added")),
                         F.when(F.col("files_removed") > 0, F.format_string("-%d files", "files_removed")),
