@@ -19,7 +19,7 @@ from filelake.functions.fmt import size_text
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
 from filelake.session import materialize, small_side
-from filelake.sources.manifest import prune_root, prune_skipped
+from filelake.sources.manifest import ensure_md5, prune_root, prune_skipped
 
 
 def in_target(path: Column, target: str) -> Column:
@@ -52,13 +52,16 @@ def scan(manifest: DataFrame, source: str, target: str, min_size: int = C.CONSOL
         df = df.filter(~F.coalesce(F.col("is_dir"), F.lit(False)))
     name = P.name_of("path")
     rp = P.rel_parent("path", source)
-    return (df.filter(prune_root(df, source) & prune_skipped(df, source, skip_dirs)
-                      & P.under_root("path", source)
-                      & FL.not_in_dirs(rp, FL.skip_regex_prefix(skip_dirs))
-                      & FL.ext_in_preset(P.ext_of(name), file_type)
-                      & FL.min_size(F.col("size"), min_size))
-              .select("path", "size", "md5", name.alias("name"),
-                      in_target(F.col("path"), target).alias("in_target")))
+    matched = df.filter(prune_root(df, source) & prune_skipped(df, source, skip_dirs)
+                        & P.under_root("path", source)
+                        & FL.not_in_dirs(rp, FL.skip_regex_prefix(skip_dirs))
+                        & FL.ext_in_preset(P.ext_of(name), file_type)
+                        & FL.min_size(F.col("size"), min_size))
+    # every matching file is compared (the tool hashes them all): hash here
+    # when the manifest has no md5, after the cheap filters
+    matched = ensure_md5(matched.select("path", "size", *[x for x in ("md5", "content") if x in df.columns]))
+    return matched.select("path", "size", "md5", name.alias("name"),
+                          in_target(F.col("path"), target).alias("in_target"))
 
 
 def consolidate_plan(manifest: DataFrame, source: str, target: str,

@@ -27,6 +27,7 @@ from filelake.functions.fmt import size_text_2
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
 from filelake.session import materialize, small_side
+from filelake.sources.manifest import ensure_md5
 
 
 def copy_pattern(name) -> "F.Column":
@@ -76,15 +77,17 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
     clean path is combined map-side -- and one join brings it back to the
     candidates.  The judged rows are written once more, because collision
     numbering and the final union both read them."""
-    c = materialize(rename_candidates(manifest, root, protected)
-                    .select("path", "parent", "size", "md5", "pattern", "clean_name", "clean_path", "stem"),
+    cands = rename_candidates(manifest, root, protected)
+    c = materialize(ensure_md5(cands.select("path", "parent", "size", "pattern", "clean_name", "clean_path", "stem",
+                                            *[x for x in ("md5", "content") if x in cands.columns])),
                     "rename-candidates")
     is_self = F.col("clean_path") == F.col("path")
     contender = F.when(~is_self, F.struct("stem", "path", "md5"))
     # only manifest rows sitting at some clean path can be originals: when the
     # clean paths are few (checked count) the manifest is cut map-side
     clean = small_side(c.select(F.col("clean_path").alias("path")).distinct(), "rename-clean-paths")
-    originals = manifest.select("path", "md5").join(clean, "path", "left_semi")
+    originals = ensure_md5(manifest.select("path", *[x for x in ("md5", "content") if x in manifest.columns])
+                           .join(clean, "path", "left_semi"))
     per_key = (c.select(F.col("clean_path").alias("_key"), F.lit(1).alias("_copy"), contender.alias("_c"),
                         F.lit(0).alias("_orig"), F.lit(None).cast("string").alias("_orig_md5"))
                .unionByName(originals.select(F.col("path").alias("_key"), F.lit(0).alias("_copy"),

@@ -36,7 +36,10 @@ def list_files(spark: SparkSession, root: str, min_size: int | None = None) -> D
 def _md5_of(uri: str, chunk_size: int) -> str | None:
     import pyarrow.fs as pafs
     try:
-        fs, p = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+        if "://" in uri:  # a real URI (percent-encoded as the listing gives it)
+            fs, p = pafs.FileSystem.from_uri(uri)
+        else:  # a plain local path: no URI parsing, so spaces etc. stay as they are
+            fs, p = pafs.LocalFileSystem(), uri
         h = hashlib.md5()
         with fs.open_input_stream(p) as f:
             while True:

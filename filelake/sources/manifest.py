@@ -145,3 +145,16 @@ def prune_skipped(df: DataFrame, root: str, names) -> "F.Column":
         return F.lit(True)
     r = P.norm_root(root) or "/"
     return (F.col(PART_ROOT) != r) | ~F.col(PART_TOP).isin(["_" + n for n in names])
+
+
+def ensure_md5(df: DataFrame) -> DataFrame:
+    """``df`` with an ``md5`` column: kept when present, else taken from
+    ``content`` (JVM md5, content dropped), else read from the files in
+    chunks.  Verbs call it on the rows they compare, never on the whole
+    manifest."""
+    if "md5" in df.columns:
+        return df
+    if "content" in df.columns:
+        return with_md5(df)
+    from filelake.sources.files import hash_paths
+    return hash_paths(df)

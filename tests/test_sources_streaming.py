@@ -90,3 +90,18 @@ def test_partitioned_manifest_prunes(spark, mk, tmp_path):
     # a different root over the same store is not pruned wrongly
     assert {r.path for r in S.snapshot_files(stored, "/").collect()} == {
         "/lake/a/x/1.txt", "/lake/a/2.txt", "/lake/b/3.txt", "/lake/5.txt"}
+
+
+def test_rename_and_consolidate_on_a_real_tree(spark, tmp_path):
+    from filelake.operators import consolidate as CO
+    from filelake.operators import rename as RN
+    body = b"same bytes " * 20
+    _tree(tmp_path, {"docs/a.txt": body, "docs/a (1).txt": body, "docs/b - Copy.txt": b"only copy" * 20,
+                     "lib/keep.txt": b"kept " * 40, "docs/keep.txt": b"kept " * 40})
+    root = str(tmp_path)
+    files = list_files(spark, root)
+    got = {r.path.rsplit("/", 1)[1]: r.action for r in RN.rename_plan(files, root).collect()}
+    assert got == {"a (1).txt": "delete_duplicate", "b - Copy.txt": "rename"}
+    cons = {r.path.rsplit("/", 2)[-2] + "/" + r.path.rsplit("/", 1)[1]: r.action
+            for r in CO.consolidate_plan(files, root, root + "/lib").collect()}
+    assert cons["docs/keep.txt"] == "delete" and cons["docs/a.txt"] == "move"
