@@ -85,7 +85,8 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
     contender = F.when(~is_self, F.struct("stem", "path", "md5"))
     # only manifest rows sitting at some clean path can be originals: when the
     # clean paths are few (checked count) the manifest is cut map-side
-    clean = small_side(c.select(F.col("clean_path").alias("path")).distinct(), "rename-clean-paths")
+    clean = small_side(c.select(F.col("clean_path").alias("path")).distinct(), "rename-clean-paths",
+                       store=False)  # ``c`` is stored: recomputing the distinct is cheap
     originals = ensure_md5(manifest.select("path", *[x for x in ("md5", "content") if x in manifest.columns])
                            .join(clean, "path", "left_semi"))
     per_key = (c.select(F.col("clean_path").alias("_key"), F.lit(1).alias("_copy"), contender.alias("_c"),

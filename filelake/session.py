@@ -76,13 +76,14 @@ def materialize(df, tag: str = "step"):
 BROADCAST_ROWS = 2_000_000
 
 
-def small_side(df, tag: str, max_rows: int = BROADCAST_ROWS):
+def small_side(df, tag: str, max_rows: int = BROADCAST_ROWS, store: bool = True):
     """Write the build side of a join once and broadcast it only when its
     row count is at most ``max_rows``; above that return it plain so the
-    planner keeps a shuffle join.  The count comes from the written files,
-    so the size is checked, not estimated -- and the big side is never
-    shuffled first only to learn that a broadcast would have done."""
+    planner keeps a shuffle join.  The size is counted, not estimated, and
+    the big side is never shuffled first only to learn that a broadcast
+    would have done.  ``store=False`` skips the write when ``df`` is cheap to
+    recompute (derived from an already stored table)."""
     from pyspark.sql import functions as F
 
-    stored = materialize(df, tag)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    side = materialize(df, tag) if store else df
+    return F.broadcast(side) if side.count() <= max_rows else side
