@@ -17,7 +17,7 @@ Work per call:
   they occupy; one aggregation over those and the movers' keys gives each
   contested group its mover count and taken slots.  The result is written
   once; the groups with taken slots are broadcast only when their row count
-  is under ``BROADCAST_ROWS``, else joined by shuffle;
+  is under ``session.BROADCAST_ROWS``, else joined by shuffle;
 * hot groups: groups with more than ``hot_rows`` movers -- at most
   movers / hot_rows of them, a proven bound, so broadcast -- are spread over
   ceil(n / hot_rows) buckets by a hash of the path; per-bucket counts of the
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelake.functions import paths as P
-from filelake.session import BROADCAST_ROWS, materialize
+from filelake.session import materialize, small_side
 
 HOT_GROUP_ROWS = 2_000_000
 _SLOT_SUFFIX = r"^(.*)_([1-9][0-9]*)$"
@@ -73,12 +73,6 @@ def group_stats(m: DataFrame, dir_col: str, name_col: str, existing: DataFrame)
                     .filter(F.col("_n") > 0))
 
 
-def _checked(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast an already written table only when its row count is under
-    the bound; else leave the join to the planner."""
-    return F.broadcast(small) if small.count() <= max_rows else small
-
-
 def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataFrame,
                  order: list[Column] | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Add ``dest_name`` and ``dest`` to each mover.
@@ -91,7 +85,7 @@ def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataF
     m = movers.withColumns({"_d": F.col(dir_col), "_s": P.stem_of(name), "_x": P.raw_suffix(name)})
 
     stats = materialize(group_stats(m, dir_col, name_col, existing), "groups")
-    taken = _checked(stats.filter(F.size("_taken") > 0).select(*_K, "_taken"))
+    taken = small_side(stats.filter(F.size("_taken") > 0).select(*_K, "_taken"), "taken", store=False)
     # at most movers / hot_rows groups: a proven bound
     hot = F.broadcast(stats.filter(F.col("_n") > hot_rows).select(*_K, "_n"))
     mb = (m.join(hot, _K, "left")

@@ -71,8 +71,10 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
     (rename / delete_duplicate / collision_rename / skip), dest.
 
     Copy-marked files (a small share of a real manifest) are extracted once
-    and written.  One aggregation keyed by clean path, over those candidates
-    plus the manifest's own paths, yields per clean path whether an original
+    and written.  The manifest rows sitting at their clean paths (cut by a
+    semi join, broadcast behind a row-count check) are the possible
+    originals.  One aggregation keyed by clean path, over candidates and
+    those rows, yields per clean path whether an original
     exists, its md5 and the first contender -- partial-aggregated, so a hot
     clean path is combined map-side -- and one join brings it back to the
     candidates.  The judged rows are written once more, because collision
