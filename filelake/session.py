@@ -73,7 +73,10 @@ def materialize(df, tag: str = "step"):
     return spark.read.parquet(location)
 
 
-BROADCAST_ROWS = 2_000_000
+# Row bound for broadcasting a checked build side.  The tables broadcast this
+# way (clean paths, content keys with a keeper path, taken-slot lists) are
+# roughly 100-150 bytes a row, so 500k rows stay near 50-75 MB per broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def small_side(df, tag: str, max_rows: int = BROADCAST_ROWS, store: bool = True):
