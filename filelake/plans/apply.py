@@ -15,13 +15,22 @@ from filelake.functions import paths as P
 _DERIVED = ("parent", "name", "ext")
 
 
+DELETE_ACTIONS = ("delete", "delete_duplicate", "rmdir")
+MOVE_ACTIONS = ("move", "rename", "collision_rename")
+
+
 def apply_plan(manifest: DataFrame, plan: DataFrame) -> DataFrame:
-    """Manifest after the plan: 'delete' rows removed, 'move' rows take
-    ``dest`` as their path, everything else unchanged."""
-    p = plan.filter(F.col("action").isin("delete", "move")).select(
-        "path", F.col("action").alias("_action"), F.col("dest").alias("_dest"))
-    j = manifest.join(p, "path", "left").filter(F.coalesce(F.col("_action"), F.lit("")) != "delete")
-    moved = F.col("_action") == "move"
+    """Manifest after the plan: delete-like rows (delete, delete_duplicate,
+    rmdir) removed, move-like rows (move, rename, collision_rename) take
+    ``dest`` as their path, chmod rows take ``new_mode``; everything else
+    unchanged.  One left join on the (unique) path."""
+    acts = list(DELETE_ACTIONS + MOVE_ACTIONS) + (["chmod"] if "new_mode" in plan.columns else [])
+    p = plan.filter(F.col("action").isin(acts)).select(
+        "path", F.col("action").alias("_action"),
+        (F.col("dest") if "dest" in plan.columns else F.lit(None).cast("string")).alias("_dest"),
+        *([F.col("new_mode").alias("_new_mode")] if "new_mode" in plan.columns else []))
+    j = manifest.join(p, "path", "left").filter(~F.coalesce(F.col("_action").isin(list(DELETE_ACTIONS)), F.lit(False)))
+    moved = F.coalesce(F.col("_action").isin(list(MOVE_ACTIONS)), F.lit(False))
     out = j.withColumn("path", F.when(moved, F.col("_dest")).otherwise(F.col("path")))
     if "parent" in manifest.columns:
         out = out.withColumn("parent", F.when(moved, P.parent_of("path")).otherwise(F.col("parent")))
@@ -29,6 +38,8 @@ def apply_plan(manifest: DataFrame, plan: DataFrame) -> DataFrame:
         out = out.withColumn("name", F.when(moved, P.name_of("path")).otherwise(F.col("name")))
     if "ext" in manifest.columns:
         out = out.withColumn("ext", F.when(moved, P.ext_of(P.name_of("path"))).otherwise(F.col("ext")))
+    if "mode" in manifest.columns and "new_mode" in plan.columns:
+        out = out.withColumn("mode", F.when(F.col("_action") == "chmod", F.col("_new_mode")).otherwise(F.col("mode")))
     return out.select(*manifest.columns)
 
 

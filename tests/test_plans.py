@@ -75,3 +75,36 @@ def test_verify_move_plan_dest_exists(mk, spark):
     cur = spark.createDataFrame([("/r/a.pdf", 1), ("/r/x/b.pdf", 1), ("/r/Documents/b.pdf", 7)], "path string, size bigint")
     got = {r.path: r.status for r in verify_plan(plan, cur).collect()}
     assert got == {"/r/a.pdf": "ok", "/r/x/b.pdf": "dest_exists"}
+
+
+def test_apply_invariants_on_fixture(spark):
+    from pathlib import Path
+
+    import pytest
+
+    from filelake.operators import clean as CLN
+    from filelake.operators import consolidate as CO
+    from filelake.operators import rename as RN
+    from filelake.sources import fixture as FX
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("test data not present")
+    m = FX.manifest(spark, sf)
+    n = m.count()
+    plans = {
+        "dedup": D.dedup_plan(m, FX.ROOT, min_size=100),
+        "sort": SO.sort_plan(m, FX.ROOT),
+        "consolidate": CO.consolidate_plan(m, FX.ROOT, FX.TARGET),
+        "rename": RN.rename_plan(m, FX.ROOT),
+        "junk": CLN.junk_plan(m, FX.ROOT),
+    }
+    for name, plan in plans.items():
+        deletes = plan.filter(F.col("action").isin("delete", "delete_duplicate")).count()
+        after = apply_plan(m, plan)
+        assert after.count() == n - deletes, name
+        assert after.select("path").distinct().count() == n - deletes, name  # no two rows end on one path
+    after = apply_plan(m, plans["dedup"])
+    assert D.dedup_plan(after, FX.ROOT, min_size=100).count() == 0
+    perms = CLN.permission_plan(m)
+    fixed = apply_plan(m, perms)
+    assert CLN.permission_plan(fixed).count() == 0
