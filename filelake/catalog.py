@@ -332,3 +332,9 @@ def q_normalized_names(spark, sf_dir):
 def q_oplog_from_plan(spark, sf_dir):
     plan = D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100)
     return OL.op_log_from_plan(plan).select("op_id", "op_type", "source", "hash", "expected_size", "status")
+
+
+@register("apply_plan_rename")
+def q_apply_plan_rename(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    return AP.apply_plan(man, RN.rename_plan(man, ROOT)).select("path", "size", "md5")

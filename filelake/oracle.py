@@ -565,3 +565,8 @@ ORACLE["oplog_from_plan"] = f"""WITH {M}, {CAND}, {_PLAN_DEEPEST}
 SELECT sha256(action || ':' || path) AS op_id, action AS op_type, path AS source, md5 AS hash,
        size AS expected_size, 'pending' AS status
 FROM plan WHERE action = 'delete'"""
+
+ORACLE["apply_plan_rename"] = f"""WITH {M}, {_RENAME}
+SELECT coalesce(p.dest, m.path) AS path, m.size, m.md5
+FROM m LEFT JOIN plan p ON p.path = m.path
+WHERE p.action IS NULL OR p.action <> 'delete_duplicate'"""
