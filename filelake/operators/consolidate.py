@@ -64,13 +64,34 @@ def scan(manifest: DataFrame, source: str, target: str, min_size: int = C.CONSOL
                           in_target(F.col("path"), target).alias("in_target"))
 
 
+def _with_target(manifest: DataFrame, target_manifest: DataFrame | None) -> DataFrame:
+    """One inventory holding both trees: the target's rows are added when it
+    lies outside the source manifest (rows with the same path kept once)."""
+    if target_manifest is None:
+        return manifest
+    return manifest.unionByName(target_manifest, allowMissingColumns=True).dropDuplicates(["path"])
+
+
+def _files(manifest: DataFrame, source: str, target: str, min_size: int, file_type: str, skip_dirs,
+           outside_target: bool) -> DataFrame:
+    """The source walk, plus the target walk when the target is its own tree."""
+    f = scan(manifest, source, target, min_size, file_type, skip_dirs)
+    if outside_target:
+        t = manifest.filter(P.under_root("path", target) & ~P.under_root("path", source))
+        f = f.unionByName(scan(t, target, target, min_size, file_type, skip_dirs))
+    return f
+
+
 def consolidate_plan(manifest: DataFrame, source: str, target: str,
                      min_size: int = C.CONSOLIDATE_MIN_SIZE, file_type: str = "all",
-                     skip_dirs=C.CONSOLIDATE_SKIP_DIRS) -> DataFrame:
-    """Plan rows: path, size, md5, action ('delete' / 'move'), dest, reason."""
+                     skip_dirs=C.CONSOLIDATE_SKIP_DIRS, target_manifest: DataFrame | None = None) -> DataFrame:
+    """Plan rows: path, size, md5, action ('delete' / 'move'), dest, reason.
+    ``target_manifest``: inventory of a target outside the source tree."""
     if P.norm_root(source) == P.norm_root(target):
         raise ValueError("source and target cannot be the same")
-    files = scan(manifest, source, target, min_size, file_type, skip_dirs).filter(F.col("md5").isNotNull())
+    manifest = _with_target(manifest, target_manifest)
+    files = _files(manifest, source, target, min_size, file_type, skip_dirs, target_manifest is not None)
+    files = files.filter(F.col("md5").isNotNull())
     keys = small_side(files.filter("in_target").select("md5", "size").distinct()
                       .withColumn("in_target_copy", F.lit(True)), "consolidate-keys")
     # judged once (one left join on the content key), then read by both branches
@@ -93,11 +114,12 @@ def consolidate_plan(manifest: DataFrame, source: str, target: str,
 
 def consolidate_summary(manifest: DataFrame, source: str, target: str,
                         min_size: int = C.CONSOLIDATE_MIN_SIZE, file_type: str = "all",
-                        skip_dirs=C.CONSOLIDATE_SKIP_DIRS) -> DataFrame:
+                        skip_dirs=C.CONSOLIDATE_SKIP_DIRS, target_manifest: DataFrame | None = None) -> DataFrame:
     """AG12: files_moved, files_deleted, space_organized, space_freed,
     already_in_target, failed_hash_files (planned counts)."""
-    files = scan(manifest, source, target, min_size, file_type, skip_dirs)
-    plan = consolidate_plan(manifest, source, target, min_size, file_type, skip_dirs)
+    plan = consolidate_plan(manifest, source, target, min_size, file_type, skip_dirs, target_manifest)
+    manifest = _with_target(manifest, target_manifest)
+    files = _files(manifest, source, target, min_size, file_type, skip_dirs, target_manifest is not None)
     a = F.col("action")
     counts = files.agg(F.count_if(F.col("in_target") & F.col("md5").isNotNull()).alias("t"),
                        F.count_if(F.col("md5").isNull()).alias("f"))

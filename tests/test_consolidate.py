@@ -46,3 +46,17 @@ def test_staging_in_target_is_outside(mk):
 def test_same_source_and_target_rejected(mk):
     with pytest.raises(ValueError):
         CO.consolidate_plan(mk([("/b/a.txt", BIG)]), "/b", "/b/")
+
+
+def test_target_outside_source(mk):
+    src = mk([("/src/a/dup.txt", "same " + BIG), ("/src/a/new.txt", "fresh " + BIG)])
+    tgt = mk([("/tgt/old/dup.txt", "same " + BIG)])
+    got = {r.path: (r.action, r.dest) for r in CO.consolidate_plan(src, "/src", "/tgt", target_manifest=tgt).collect()}
+    assert got == {"/src/a/dup.txt": ("delete", None), "/src/a/new.txt": ("move", "/tgt/_STAGING/_from_a/new.txt")}
+
+
+def test_target_outside_source_summary(mk):
+    src = mk([("/src/a/dup.txt", "same " + BIG), ("/src/a/new.txt", "fresh " + BIG)])
+    tgt = mk([("/tgt/old/dup.txt", "same " + BIG)])
+    s = CO.consolidate_summary(src, "/src", "/tgt", target_manifest=tgt).first()
+    assert (s.files_moved, s.files_deleted, s.already_in_target) == (1, 1, 1)
