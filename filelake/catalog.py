@@ -338,3 +338,22 @@ def q_oplog_from_plan(spark, sf_dir):
 def q_apply_plan_rename(spark, sf_dir):
     man = FX.manifest(spark, sf_dir)
     return AP.apply_plan(man, RN.rename_plan(man, ROOT)).select("path", "size", "md5")
+
+
+@register("snapshot_record_shape")
+def q_snapshot_record_shape(spark, sf_dir):
+    rec = _snap(spark, sf_dir).record()
+    return rec.select("path", F.col("summary.total_files").alias("total_files"),
+                      F.col("summary.total_size_bytes").alias("total_size_bytes"),
+                      F.size("by_extension").cast("bigint").alias("n_extensions"),
+                      F.size("top_level_dirs").cast("bigint").alias("n_top_dirs"),
+                      F.size("largest_files").cast("bigint").alias("n_largest"),
+                      F.col("largest_files")[0]["path"].alias("largest_path"),
+                      F.aggregate(F.map_values("by_extension"), F.lit(0).cast("bigint"),
+                                  lambda acc, v: acc + F.size(v["sample_paths"])).alias("n_samples"))
+
+
+@register("clean_plan_rows")
+def q_clean_plan_rows(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    return CLN.clean_plan(man, ROOT, dirs=FX.directories(spark, man)).select("path", "action")

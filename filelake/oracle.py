@@ -570,3 +570,31 @@ ORACLE["apply_plan_rename"] = f"""WITH {M}, {_RENAME}
 SELECT coalesce(p.dest, m.path) AS path, m.size, m.md5
 FROM m LEFT JOIN plan p ON p.path = m.path
 WHERE p.action IS NULL OR p.action <> 'delete_duplicate'"""
+
+ORACLE["snapshot_record_shape"] = f"""WITH {_snap_ctes()},
+samp AS (SELECT count(*) AS n FROM (
+  SELECT row_number() OVER (PARTITION BY ext ORDER BY path) AS r FROM sf) t WHERE r <= 3),
+tops AS (SELECT count(*) AS n FROM (
+  SELECT top FROM sf WHERE top IS NOT NULL
+  UNION SELECT rel FROM dirs WHERE NOT contains(rel, '/')
+     AND rel NOT IN ('.git', '.svn', '.hg', 'node_modules', '__pycache__', '.venv', 'venv', '.pytest_cache', '.tox')) u)
+SELECT '/drive' AS path, s.total_files, s.total_size_bytes,
+       (SELECT count(*) FROM byext) AS n_extensions, (SELECT n FROM tops) AS n_top_dirs,
+       (SELECT CAST(least(count(*), 50) AS BIGINT) FROM sf) AS n_largest,
+       (SELECT path FROM sf ORDER BY size DESC, path LIMIT 1) AS largest_path,
+       (SELECT n FROM samp) AS n_samples
+FROM summary s"""
+
+ORACLE["clean_plan_rows"] = f"""WITH {M}, {_DIRS},
+junk AS (SELECT path FROM m WHERE NOT {_CLEAN_PROT} AND regexp_matches(name, '{_JUNK}')),
+surv AS (SELECT * FROM m WHERE path NOT IN (SELECT path FROM junk)),
+stays AS (SELECT path FROM surv UNION ALL SELECT path FROM dd WHERE prot),
+blocked AS (SELECT DISTINCT d.path FROM dd d JOIN stays s ON starts_with(s.path, d.path || '/')),
+h AS (SELECT a.path, max(b.depth - a.depth) AS height FROM dd a JOIN dd b
+        ON b.path = a.path OR starts_with(b.path, a.path || '/') GROUP BY a.path)
+SELECT path, 'delete' AS action FROM junk
+UNION ALL
+SELECT d.path, 'rmdir' FROM dd d JOIN h USING (path)
+  WHERE NOT d.prot AND d.path NOT IN (SELECT path FROM blocked) AND h.height < 10
+UNION ALL
+SELECT path, 'chmod' FROM surv WHERE mode <> (mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END)"""
