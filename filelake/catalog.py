@@ -357,3 +357,15 @@ def q_snapshot_record_shape(spark, sf_dir):
 def q_clean_plan_rows(spark, sf_dir):
     man = FX.manifest(spark, sf_dir)
     return CLN.clean_plan(man, ROOT, dirs=FX.directories(spark, man)).select("path", "action")
+
+
+@register("permission_plan_ntfs")
+def q_permission_plan_ntfs(spark, sf_dir):
+    return CLN.permission_plan_ntfs(FX.manifest(spark, sf_dir)).select(
+        "path", F.col("mode").cast("bigint"), F.col("new_mode").cast("bigint"),
+        F.col("new_uid").cast("bigint"), F.col("new_gid").cast("bigint"))
+
+
+@register("sort_plan_target")
+def q_sort_plan_target(spark, sf_dir):
+    return SO.sort_plan(FX.manifest(spark, sf_dir), ROOT, target_root="/sorted").select("path", "action", "dest")

@@ -598,3 +598,16 @@ SELECT d.path, 'rmdir' FROM dd d JOIN h USING (path)
   WHERE NOT d.prot AND d.path NOT IN (SELECT path FROM blocked) AND h.height < 10
 UNION ALL
 SELECT path, 'chmod' FROM surv WHERE mode <> (mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END)"""
+
+# no owner columns in the fixture: every row gets the owner change
+ORACLE["permission_plan_ntfs"] = f"""WITH {M}
+SELECT path, CAST(mode AS BIGINT) AS mode,
+       CAST(mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END AS BIGINT) AS new_mode,
+       CAST(1000 AS BIGINT) AS new_uid, CAST(1000 AS BIGINT) AS new_gid
+FROM m"""
+
+ORACLE["sort_plan_target"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
+SELECT path, 'move' AS action,
+       '/sorted/' || category || '/' || CASE WHEN k = 0 THEN name
+         ELSE left(name, length(name) - length(sfx)) || '_' || CAST(k AS VARCHAR) || sfx END AS dest
+FROM sp"""
