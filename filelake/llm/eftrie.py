@@ -109,15 +109,18 @@ class EliasFano:
         (the successor, when it equals x), else -1."""
         i, end = self.bucket((x >> _u(self.l)).astype(np.int64) if self.l else x.astype(np.int64))
         want = x & _u((1 << self.l) - 1)
-        i = i.copy()
-        todo = np.flatnonzero(i < end)
+        i, stop = i.copy(), end.copy()
+        todo = np.flatnonzero(i < stop)
+        while len(todo):  # by halves: a frequent context fills its buckets
+            mid = (i[todo] + stop[todo]) >> 1
+            less = self.lows(mid) < want[todo]
+            i[todo] = np.where(less, mid + 1, i[todo])
+            stop[todo] = np.where(less, stop[todo], mid)
+            todo = todo[i[todo] < stop[todo]]
         out = np.full(len(x), -1, np.int64)
-        while len(todo):
-            v = self.lows(i[todo])
-            out[todo[v == want[todo]]] = i[todo[v == want[todo]]]
-            go = todo[v < want[todo]]
-            i[go] += 1
-            todo = go[i[go] < end[go]]
+        at = np.flatnonzero(i < end)
+        at = at[self.lows(i[at]) == want[at]]
+        out[at] = i[at]
         return out
 
 
