@@ -135,14 +135,17 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
     unigrams, unseen, high = model
     spark = docs.sparkSession
     # the sample is bounded by TRAIN_WORDS, so are its words and bigrams
-    uni = unigrams.toPandas().sort_values("w")
-    names = uni["w"].to_numpy(np.int64)
-    grams = high.select("v", "w").toPandas()
-    key = mix(grams["v"].to_numpy(np.int64).view(np.uint64), grams["w"].to_numpy(np.int64).view(np.uint64))
+    uni = unigrams.select("w", F.col("lower").cast("float"), F.col("back").cast("float")).toArrow()
+    names, low, off = (uni.column(c).to_numpy() for c in ("w", "lower", "back"))
+    by = np.argsort(names)
+    names, low, off = names[by], low[by], off[by]
+    keys = _keyed(high).select("key").toArrow().column("key")
     flags = np.zeros(1 << BLOOM_BITS, bool)
-    for place in _places(key, BLOOM_BITS, BLOOM_HASHES):
-        flags[place] = True
-    given = spark.sparkContext.broadcast((names, uni["lower"].to_numpy(np.float32), uni["back"].to_numpy(np.float32), np.packbits(flags)))
+    for part in keys.chunks:
+        for place in _places(part.to_numpy().view(np.uint64), BLOOM_BITS, BLOOM_HASHES):
+            flags[place] = True
+    given = spark.sparkContext.broadcast((names, low, off, np.packbits(flags)))
+    del uni, keys, flags
 
     def first(batches):
         from pyspark import TaskContext
@@ -212,8 +215,8 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
         """A shard's counts meet what the blocks ask of it."""
         if not left.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-        v, w = (right.column(c).to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64) for c in ("v", "w"))
-        keys, high = mix(v, w), right.column("high").to_numpy() if right.num_rows else np.zeros(0)
+        keys = right.column("key").to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
+        high = right.column("high").to_numpy() if right.num_rows else np.zeros(0)
         order = np.argsort(keys)
         keys, high = keys[order], high[order]
         out = []
@@ -232,23 +235,23 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
     return _finish(asked, high, join, extra)
 
 
-def _shard_of(table: DataFrame, parts: int) -> DataFrame:
-    """The counts with their shard, once for each part of the blocks."""
+def _keyed(high: DataFrame) -> DataFrame:
+    """key (one name for a bigram), shard, high."""
     def run(batches):
         for b in batches:
             key = mix(b.column("v").to_numpy().view(np.uint64), b.column("w").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((key % np.uint64(SHARDS)).astype(np.int32))],
-                                             names=[*b.schema.names, "shard"])
-    return (table.mapInArrow(run, "v long, w long, high double, shard int")
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((key % np.uint64(SHARDS)).astype(np.int32)), b.column("high")],
+                                             names=["key", "shard", "high"])
+    return high.mapInArrow(run, "key long, shard int, high double")
 
 
 def _finish(asked, high, join, extra):
     # a shard meets at most about PART_BLOCKS blocks at a time; its counts are bounded by the sample
     parts = max(1, -(-asked.where("shard < 0").count() // PART_BLOCKS))
     part = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part")
+    counts = _keyed(high).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     gains = (asked.where("shard >= 0").select("block", "shard", "data", part).groupBy("shard", "part")
-             .cogroup(_shard_of(high, parts).groupBy("shard", "part")).applyInArrow(join, "block long, data binary"))
+             .cogroup(counts.groupBy("shard", "part")).applyInArrow(join, "block long, data binary"))
     base = asked.where("shard < 0").select("block", "data", "ids", "tks", "langs")
 
     def last(left, right):
