@@ -209,12 +209,17 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"),
                        F.col(extra).cast("string").alias("x"), F.col("text").cast("binary").alias("_t"))
-    asked = store(rows.mapInArrow(first, "block long, shard int, data binary, ids array<long>, tks array<int>, langs array<string>"), "asked")
+    # a shard meets at most about PART_BLOCKS blocks at a time; its counts are bounded by the sample
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, -(-size // (PART_BLOCKS * BLOCK_BYTES)))
+    asked = (rows.mapInArrow(first, "block long, shard int, data binary, ids array<long>, tks array<int>, langs array<string>")
+             .withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")))
 
     def join(left, right):
-        """A shard's counts meet what the blocks ask of it."""
-        if not left.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+        """A shard's counts meet what the blocks ask of it; the blocks' own
+        sums (shard -1) pass through."""
+        if not left.num_rows or left.column("shard")[0].as_py() < 0:
+            return left.select(["block", "shard", "data", "ids", "tks", "langs"])
         keys = right.column("key").to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
         high = right.column("high").to_numpy() if right.num_rows else np.zeros(0)
         order = np.argsort(keys)
@@ -230,9 +235,23 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
                 low = 10.0 ** miss[hit].astype(np.float64)
                 gain[hit] = np.log10(high[at[hit]] + low) - miss[hit]
             out.append(_pack(np.bincount(doc, weights=gain, minlength=int(n[0])).astype(np.float32)))
-        return pa.table({"block": left.column("block"), "data": pa.array(out, pa.binary())})
+        return left.select(["block", "shard", "data", "ids", "tks", "langs"]).set_column(2, "data", pa.array(out, pa.binary()))
 
-    return _finish(asked, high, join, extra)
+    def last(key, table):
+        t = table.combine_chunks()
+        own = t.column("shard").to_pylist().index(-1)
+        n, total = _unpack(t.column("data")[own].as_buffer(), np.int64, np.float64)
+        total = total.copy()
+        for shard, d in zip(t.column("shard").to_pylist(), t.column("data")):
+            if shard >= 0:
+                total += _unpack(d.as_buffer(), np.float32)[0]
+        flat = [t.column(c).slice(own, 1).combine_chunks().flatten() for c in ("ids", "tks", "langs")]
+        return pa.table([*flat, pa.array(n), pa.array(total)], names=["doc_id", "tk", extra, "n_tokens", "log10_prob"])
+
+    counts = _keyed(high).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    gains = (asked.groupBy("shard", "part").cogroup(counts.groupBy("shard", "part"))
+             .applyInArrow(join, "block long, shard int, data binary, ids array<long>, tks array<int>, langs array<string>"))
+    return gains.groupBy("block").applyInArrow(last, f"doc_id long, tk int, {extra} string, n_tokens long, log10_prob double")
 
 
 def _keyed(high: DataFrame) -> DataFrame:
@@ -245,28 +264,6 @@ def _keyed(high: DataFrame) -> DataFrame:
     return high.mapInArrow(run, "key long, shard int, high double")
 
 
-def _finish(asked, high, join, extra):
-    # a shard meets at most about PART_BLOCKS blocks at a time; its counts are bounded by the sample
-    parts = max(1, -(-asked.where("shard < 0").count() // PART_BLOCKS))
-    part = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part")
-    counts = _keyed(high).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    gains = (asked.where("shard >= 0").select("block", "shard", "data", part).groupBy("shard", "part")
-             .cogroup(counts.groupBy("shard", "part")).applyInArrow(join, "block long, data binary"))
-    base = asked.where("shard < 0").select("block", "data", "ids", "tks", "langs")
-
-    def last(left, right):
-        t = left.combine_chunks()
-        n, total = _unpack(t.column("data")[0].as_buffer(), np.int64, np.float64)
-        total = total.copy()
-        for d in right.column("data"):
-            total += _unpack(d.as_buffer(), np.float32)[0]
-        flat = [t.column(c).combine_chunks().flatten() for c in ("ids", "tks", "langs")]
-        return pa.table([*flat, pa.array(n), pa.array(total)], names=["doc_id", "tk", extra, "n_tokens", "log10_prob"])
-
-    return (base.groupBy("block").cogroup(gains.groupBy("block"))
-            .applyInArrow(last, f"doc_id long, tk int, {extra} string, n_tokens long, log10_prob double"))
-
-
 def sample(docs: DataFrame, good: DataFrame) -> DataFrame:
     """The bounded training sample: texts of trusted documents not held out."""
     ids = good.where("not held").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
