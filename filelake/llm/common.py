@@ -43,6 +43,19 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's Arrow batches to ``ARROW_ROWS`` rows: texts are long,
+    and a worker holds a batch several times over while it works on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if not 0 < now <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def text_key(text) -> F.Column:
     """A second key beside the document id, so that rows which share an id are
     told apart by their texts (rows equal in both are interchangeable)."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm.common import WordHash, by_value, chunks, span_hashes, store
+from filelake.llm.common import WordHash, by_value, chunks, small_batches, span_hashes, store
 
 by_value(__name__)
 
@@ -50,7 +50,7 @@ def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(size, pa.int32()), pa.array(item, pa.int64())],
                                              names=["words", "k", "item"])
 
-    rows = (bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("_t"))
+    rows = (small_batches(bench).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("_t"))
             .mapInArrow(run, "words binary, k int, item long"))
     return rows.groupBy("words", "k").agg(F.collect_set("item").alias("items"))
 
@@ -122,7 +122,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block: i
     """The columns of ``docs`` (but any named like a new one), then n_words,
     n_hit, items (sorted ids) and clean_text (without the hit words)."""
     docs = docs.drop("n_words", "n_hit", "items", "clean_text", "_t", "_spans", "_items")
-    df = docs.withColumn("_t", F.col("text").cast("binary"))
+    df = small_batches(docs).withColumn("_t", F.col("text").cast("binary"))
     df = df.withColumn("_spans", F.array().cast("array<int>")).withColumn("_items", F.array().cast("array<long>"))
     names, before = docs.columns, df.schema
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filelake.llm.common import WordHash, by_value, chunks, mix, scramble, store, text_key
+from filelake.llm.common import WordHash, by_value, chunks, mix, scramble, small_batches, store, text_key
 from filelake.llm.lmscore import END, _pack, _unpack
 
 by_value(__name__)
@@ -45,7 +45,7 @@ SHARDS = 24
 PART_BLOCKS = 64
 BLOOM_BITS = 25
 BLOOM_HASHES = 4
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 CHUNK_BYTES = 2_000_000
 ACCURACY = 10_000    # of the quantile sketch
 
@@ -85,7 +85,7 @@ def bigram_counts(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)),
                                                   pa.array(np.diff(np.append(first, len(v))))], names=["v", "w", "c"])
 
-    rows = texts.select(F.col("text").cast("binary").alias("_t")).mapInArrow(run, "v long, w long, c long")
+    rows = small_batches(texts).select(F.col("text").cast("binary").alias("_t")).mapInArrow(run, "v long, w long, c long")
     return rows.groupBy("v", "w").agg(F.sum("c").alias("c"))
 
 
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
         if held:
             yield emit()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"),
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"),
                        F.col(extra).cast("string").alias("x"), F.col("text").cast("binary").alias("_t"))
     # a shard meets at most about PART_BLOCKS blocks at a time; its counts are bounded by the sample
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm.common import WordHash, by_value, chunks, store
+from filelake.llm.common import WordHash, by_value, chunks, small_batches, store
 from filelake.llm.eftrie import NAME_BITS, PROBABILITY, Trie, weight
 
 by_value(__name__)
 
 DISCOUNT = 0.75
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 CHUNK_BYTES = 2_000_000
 SHARD_TOKENS = 2_000_000
 SHARDS = 32          # at least
@@ -61,7 +61,7 @@ def _unpack(data, *kinds):
 def encode_blocks(docs: DataFrame, train) -> DataFrame:
     """block, tokens, doc_ids, trained, data (lengths of texts with the end
     token, word names by falling frequency, number of each token)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"),
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"),
                        F.col("text").cast("binary").alias("_t"))
 
     def run(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filelake.llm.common import by_value, store
+from filelake.llm.common import by_value, small_batches, store
 
 by_value(__name__)
 
@@ -39,7 +39,7 @@ def lengths(docs: DataFrame) -> DataFrame:
             n = [len(t.split()) if t else 0 for t in batch.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n"])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_t"))
+    return (small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_t"))
             .mapInArrow(run, "doc_id long, n long"))
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm.common import WordHash, by_value, chunks, mix, scramble, span_hashes, store, text_key
+from filelake.llm.common import WordHash, by_value, chunks, mix, scramble, small_batches, span_hashes, store, text_key
 
 by_value(__name__)
 
@@ -44,7 +44,7 @@ WINDOW = 35
 ROUNDS = 5        # runs once, then pairs four times
 RUN_ROUNDS = (0,)
 LONG = 5          # symbols of more words count as equally long
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def _round(names, r):
@@ -183,7 +183,7 @@ def window_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _binary(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"),
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"),
                        F.col("text").cast("binary").alias("_t"), *more)
 
 

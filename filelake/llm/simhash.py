@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm.common import by_value, store
+from filelake.llm.common import by_value, small_batches, store
 from filelake.llm.components import components, spanning_links
 
 by_value(__name__)
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 out[i] = np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_t"))
+    return (small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_t"))
             .mapInArrow(run, "doc_id long, fp long"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm.common import by_value
+from filelake.llm.common import by_value, small_batches
 
 by_value(__name__)
 
@@ -93,7 +93,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return (rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
             .withColumn("over_limit", F.col("n_tokens") > limit))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelake.llm.common import by_value, shared_folder, store
+from filelake.llm.common import by_value, shared_folder, small_batches, store
 
 by_value(__name__)
 
@@ -81,7 +81,7 @@ def revisits(narrow: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 def write_archive(pages: DataFrame, where: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes all pages below ``where`` and returns the manifest."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     narrow = store(rows.select("page_id", "digest", F.octet_length("payload").alias("n_bytes")), "digests")
     total = narrow.agg(F.sum(F.col("n_bytes").cast("long"))).first()[0] or 0
