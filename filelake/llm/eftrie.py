@@ -91,9 +91,8 @@ class EliasFano:
 
     def bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index range of the values whose high part is h."""
-        end = np.int64(self.zeros[-1])
         zero, flip = self.zeros.astype(np.int64), ~self.high
-        inside = h < end
+        inside = h < np.uint64(self.zeros[-1])
         hi = np.where(inside, h, 0).astype(np.int64)
         stop = self._select(flip, zero, hi) - hi
         prev = np.maximum(hi - 1, 0)
@@ -107,7 +106,7 @@ class EliasFano:
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value >= x among those that share its high part
         (the successor, when it equals x), else -1."""
-        i, end = self.bucket((x >> _u(self.l)).astype(np.int64) if self.l else x.astype(np.int64))
+        i, end = self.bucket(x >> _u(self.l) if self.l else x)
         want = x & _u((1 << self.l) - 1)
         i, stop = i.copy(), end.copy()
         todo = np.flatnonzero(i < stop)

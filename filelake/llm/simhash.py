@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm.common import by_value, small_batches, store
+from filelake.llm.common import by_value, small_batches, store, text_key
 from filelake.llm.components import components, spanning_links
 
 by_value(__name__)
@@ -38,7 +38,7 @@ TILE = 4096
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, tk (second key), fp (the 64 bits as a signed long)."""
 
     def run(batches):
         import xxhash
@@ -60,10 +60,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     bits = np.unpackbits(h[a:a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     ones += bits.sum(axis=0, dtype=np.int32)
                 out[i] = np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(out.view(np.int64))], names=["doc_id", "tk", "fp"])
 
-    return (small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_t"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.col("text").cast("binary").alias("_t"))
+            .mapInArrow(run, "doc_id long, tk int, fp long"))
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -164,8 +164,8 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of the component), one row per
-    row of ``docs``."""
+    """doc_id, tk, fp, component_id (smallest doc_id of the component), grp (the
+    component, known by one of its fingerprints), one row per row of ``docs``."""
     if distance != 4:
         raise ValueError("the chain keys are laid out for a distance of 4")
     marks = store(fingerprints(docs, shingle), "fingerprints")
@@ -174,8 +174,8 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     classes = store(fps.join(label.withColumnRenamed("node", "fp"), "fp", "left")
                     .select("fp", "least", F.coalesce("label", "fp").alias("label")), "classes")
     names = store(classes.groupBy("label").agg(F.min("least").alias("component_id")), "names")
-    named = store(classes.join(names, "label").select("fp", "component_id"), "named")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = store(classes.join(names, "label").select("fp", "component_id", F.col("label").alias("grp")), "named")
+    return marks.join(named, "fp").select("doc_id", "tk", "fp", "component_id", "grp")
 
 
 def simhash_result(docs: DataFrame) -> DataFrame:
