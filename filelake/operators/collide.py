@@ -18,11 +18,12 @@ Work per call:
   contested group its mover count and taken slots.  The result is written
   once; the groups with taken slots are broadcast only when their row count
   is under ``session.BROADCAST_ROWS``, else joined by shuffle;
+* ranking: one shuffle of the movers by group and a row_number;
 * hot groups: groups with more than ``hot_rows`` movers -- at most
-  movers / hot_rows of them, a proven bound, so broadcast -- are spread over
-  ceil(n / hot_rows) buckets by a hash of the path; per-bucket counts of the
-  hot groups give each bucket's offset (bounded by the same rule);
-* ranking: one shuffle of the movers by (group, bucket) and a row_number.
+  movers / hot_rows of them, a proven bound, so broadcast -- are ranked
+  instead by a range partitioning on (group, order), which splits a group at
+  any row; the counts per group and partition give the offsets.  Both ways
+  follow the same order, so a group's size never changes a result.
 """
 
 from __future__ import annotations
@@ -88,17 +89,13 @@ def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataF
     taken = small_side(stats.filter(F.size("_taken") > 0).select(*_K, "_taken"), "taken", store=False)
     # at most movers / hot_rows groups: a proven bound
     hot = F.broadcast(stats.filter(F.col("_n") > hot_rows).select(*_K, "_n"))
-    mb = (m.join(hot, _K, "left")
-           .withColumn("_b", F.when(F.col("_n").isNotNull(),
-                                    F.pmod(F.xxhash64("path"), F.ceil(F.col("_n") / F.lit(hot_rows))))
-                       .otherwise(F.lit(0)).cast("bigint")))
-    w = Window.partitionBy(*_K, "_b").orderBy(*order)
-    ranked = mb.repartition(*_K, "_b").withColumn("_lr", F.row_number().over(w) - 1)
-    bucket_counts = mb.filter(F.col("_n").isNotNull()).groupBy(*_K, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    wo = Window.partitionBy(*_K).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(bucket_counts.select(*_K, "_b", F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off")))
-    r = (ranked.join(offsets, [*_K, "_b"], "left").join(taken, _K, "left")
-               .withColumn("_r", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_lr")).cast("bigint")))
+    rank = (F.row_number().over(Window.partitionBy(*_K).orderBy(*order)) - 1).cast("bigint")
+    if hot.isEmpty():
+        ranked = m.withColumn("_r", rank)
+    else:
+        ranked = (m.join(hot, _K, "left_anti").withColumn("_r", rank)
+                   .unionByName(_rank_by_range(m.join(hot, _K, "left_semi"), order)))
+    r = ranked.join(taken, _K, "left")
     adj = F.transform(F.coalesce(F.col("_taken"), F.array().cast("array<int>")), lambda x, i: x - i)
     slot = F.col("_r") + F.size(F.filter(adj, lambda x: x <= F.col("_r")))
     dest_name = F.when(slot == 0, name).otherwise(F.concat(F.col("_s"), F.lit("_"), slot.cast("string"), F.col("_x")))
@@ -106,4 +103,19 @@ def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataF
     return (r.withColumn("dest_name", dest_name)
              .withColumn("dest", F.when(d.endswith("/"), F.concat(d, "dest_name"))
                          .otherwise(F.concat(d, F.lit("/"), F.col("dest_name"))))
-             .drop(*_K, "_taken", "_n", "_b", "_lr", "_off", "_r"))
+             .drop(*_K, "_taken", "_r"))
+
+
+def _rank_by_range(m: DataFrame, order: list[Column]) -> DataFrame:
+    """``_r``: 0-based place of each mover in its group, for groups too large
+    for one task.  The numbered rows are written before they are counted."""
+    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = (m.repartitionByRange(parts, *_K, *order).sortWithinPartitions(*_K, *order)
+          .withColumn("_p", F.spark_partition_id())
+          .withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    t = materialize(t, "ranked")
+    counts = t.groupBy(*_K, "_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_first"))
+    before = Window.partitionBy(*_K).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one row per hot group and partition: a proven bound
+    shift = F.broadcast(counts.select(*_K, "_p", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_s0")))
+    return t.join(shift, [*_K, "_p"]).withColumn("_r", F.col("_i") + F.col("_s0")).drop("_p", "_i", "_s0")

@@ -7,6 +7,7 @@ busy op_id cannot pin a task) picking each op's latest status.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +15,21 @@ OP_LOG_SCHEMA = ("op_id STRING, op_type STRING, source STRING, dest STRING, hash
                  "expected_size BIGINT, status STRING, seq BIGINT, ts TIMESTAMP")
 
 
-def op_id(action, path):
+def op_id(action, path, run: str | None = None):
     """Deterministic id of one planned operation: sha-256 of 'action:path'
-    (actions hold no ':', so the text is unambiguous)."""
-    return F.sha2(F.concat(action, F.lit(":"), path), 256)
+    (actions hold no ':', so the text is unambiguous), or of 'run/action:path'
+    when the planning run has a name, so that work planned again is new work."""
+    head = F.lit(f"{run}/") if run is not None else F.lit("")
+    return F.sha2(F.concat(head, action, F.lit(":"), path), 256)
 
 
-def op_log_from_plan(plan: DataFrame, seq: int = 0) -> DataFrame:
-    """One 'pending' row per actionable plan row (keep/skip rows excluded)."""
+def op_log_from_plan(plan: DataFrame, seq: int = 0, run: str | None = None) -> DataFrame:
+    """One 'pending' row per actionable plan row (keep/skip rows excluded).
+    ``run`` names the planning run: an earlier run's 'done' does not hide it."""
     p = plan.filter(F.col("action").isin("delete", "move", "rmdir", "chmod",
                                          "rename", "delete_duplicate", "collision_rename"))
     return p.select(
-        op_id(F.col("action"), F.col("path")).alias("op_id"),
+        op_id(F.col("action"), F.col("path"), run).alias("op_id"),
         F.col("action").alias("op_type"), F.col("path").alias("source"),
         (F.col("dest") if "dest" in plan.columns else F.lit(None).cast("string")).alias("dest"),
         (F.col("md5") if "md5" in plan.columns else F.lit(None).cast("string")).alias("hash"),
@@ -58,8 +62,12 @@ def append_op_log(rows: DataFrame, location: str) -> None:
 
 
 def load_op_log(spark: SparkSession, location: str) -> DataFrame:
-    """SR4: read the log; a missing or unreadable location is an empty log."""
+    """SR4: read the log; a location that does not exist is an empty log.  Any
+    other error (permission, network, a damaged file) is raised: taking it for
+    "no pending work" would lose work."""
     try:
         return spark.read.schema(OP_LOG_SCHEMA).parquet(location)
-    except Exception:  # noqa: BLE001 - absent or corrupt log means no pending work
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], OP_LOG_SCHEMA)

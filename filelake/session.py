@@ -6,7 +6,9 @@ helpers exist for tests, the bench and command-line use on one machine.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -53,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="filelake-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -70,7 +75,7 @@ def materialize(df, tag: str = "step"):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     location = f"{base}/filelake-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(location)
-    return spark.read.parquet(location)
+    return spark.read.schema(df.schema).parquet(location)
 
 
 # Row bound for broadcasting a checked build side.  The tables broadcast this

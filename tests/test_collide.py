@@ -24,6 +24,17 @@ def test_hot_group_is_split_but_slots_stay_dense(spark):
     out = assign_slots(_movers(spark, 50), "dir", "name", existing, hot_rows=7).collect()
     slots = sorted(_slot(r.dest) for r in out)
     assert slots == [s for s in range(51) if s != 2]
+    whole = assign_slots(_movers(spark, 50), "dir", "name", existing).collect()
+    assert {r.path: r.dest for r in out} == {r.path: r.dest for r in whole}
+
+
+def test_split_keeps_a_descending_order_and_the_other_groups(spark):
+    movers = _movers(spark, 30).unionByName(_movers(spark, 3).withColumn("dir", F.lit("/other")).withColumn("path", F.concat(F.lit("/o"), "path")))
+    existing = spark.createDataFrame([("/dst", "x_1.txt"), ("/other", "x.txt")], "dir string, name string")
+    order = [F.col("path").desc()]
+    cut = assign_slots(movers, "dir", "name", existing, order, hot_rows=4).collect()
+    whole = assign_slots(movers, "dir", "name", existing, order).collect()
+    assert {r.path: r.dest for r in cut} == {r.path: r.dest for r in whole} and len(cut) == 33
 
 
 def test_mover_bare_name_blocks_slot_of_other_group(spark):
