@@ -105,7 +105,9 @@ def clean_plan(manifest: DataFrame, root: str, dirs: DataFrame | None = None, ju
                max_passes: int = C.EMPTY_DIR_MAX_PASSES) -> DataFrame:
     """V13: no flag -> all three; custom patterns alone imply junk.  Junk is
     planned first, so folders holding only junk empty out.  Rows: path,
-    action (delete / rmdir / chmod), size."""
+    action (delete / rmdir / chmod), size, and what a chmod row sets: new_mode,
+    new_uid, new_gid.  Folder rows of the manifest (``is_dir``) that stay get
+    their permissions too; a manifest without ``mode`` has no chmod rows."""
     apply_all = not (junk or empty_dirs or permissions or patterns)
     files = _files(manifest).filter(P.under_root("path", root))
     parts = []
@@ -121,11 +123,20 @@ def clean_plan(manifest: DataFrame, root: str, dirs: DataFrame | None = None, ju
         parts.append(empty_dirs_plan(dirs, survivors, root, max_passes)
                      .select("path", "action", F.lit(None).cast("bigint").alias("size")))
     if apply_all or permissions:
-        parts.append(permission_plan(survivors, uid, gid)
-                     .select("path", "action", F.lit(None).cast("bigint").alias("size")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        entries = survivors
+        if "is_dir" in manifest.columns:
+            folders = manifest.filter(F.col("is_dir") & (P.under_root("path", root) | (F.col("path") == root)))
+            for p in parts:
+                folders = folders.join(p.filter(F.col("action") == "rmdir").select("path"), "path", "left_anti")
+            entries = survivors.unionByName(folders.select(*survivors.columns))
+        if "mode" in entries.columns:
+            fix = permission_plan(entries, uid, gid)
+            parts.append(fix.withColumns({c: F.lit(None).cast("int") for c in ("new_uid", "new_gid") if c not in fix.columns})
+                            .select("path", "action", F.lit(None).cast("bigint").alias("size"), "new_mode", "new_uid", "new_gid"))
+    schema = "path string, action string, size bigint, new_mode int, new_uid int, new_gid int"
+    out = manifest.sparkSession.createDataFrame([], schema)
+    for p in parts:
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 

@@ -61,3 +61,20 @@ def test_ancestors_root_slash_and_nested(spark):
     d2 = spark.createDataFrame([("/r/x/y",), ("/r",)], "path string")
     got = {(r.anc, r.up) for r in ancestor_rows(d2, "/r", include_self=True).collect()}
     assert got == {("/r", 2), ("/r/x", 1), ("/r/x/y", 0), ("/r", 0)}
+
+
+def test_clean_plan_carries_modes_and_includes_folders(spark):
+    m = spark.createDataFrame([("/c/a.txt", 5, 0o600, False), ("/c/d", 0, 0o700, True), ("/c/gone", 0, 0o700, True), ("/c/d/b.sh", 5, 0o755, False)],
+                              "path string, size bigint, mode int, is_dir boolean")
+    dirs = spark.createDataFrame([("/c/d", True), ("/c/gone", True)], "path string, is_dir boolean")
+    plan = CLN.clean_plan(m, "/c", dirs=dirs)
+    got = {(r.path, r.action): r.new_mode for r in plan.collect()}
+    assert got == {("/c/a.txt", "chmod"): 0o644, ("/c/d", "chmod"): 0o755, ("/c/gone", "rmdir"): None}
+    from filelake.plans.apply import apply_plan
+    after = {r.path: r.mode for r in apply_plan(m, plan).collect()}
+    assert after == {"/c/a.txt": 0o644, "/c/d": 0o755, "/c/d/b.sh": 0o755}
+
+
+def test_clean_plan_without_modes(spark):
+    m = spark.createDataFrame([("/c/Thumbs.db", 5), ("/c/a.txt", 5)], "path string, size bigint")
+    assert {(r.path, r.action) for r in CLN.clean_plan(m, "/c").collect()} == {("/c/Thumbs.db", "delete")}

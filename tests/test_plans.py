@@ -108,3 +108,17 @@ def test_apply_invariants_on_fixture(spark):
     perms = CLN.permission_plan(m)
     fixed = apply_plan(m, perms)
     assert CLN.permission_plan(fixed).count() == 0
+
+
+def test_work_planned_again_is_not_hidden_by_an_earlier_run(spark):
+    plan = spark.createDataFrame([("/a", "delete")], "path string, action string")
+    first = OL.op_log_from_plan(plan, run="one")
+    log = first.unionByName(OL.op_log_update(first, "done", 1)).unionByName(OL.op_log_from_plan(plan, run="two"))
+    assert [r.status for r in OL.op_log_recover(log).collect()] == ["pending"]
+
+
+def test_a_damaged_log_is_an_error(spark, tmp_path):
+    import pytest
+    (tmp_path / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        OL.load_op_log(spark, str(tmp_path)).collect()
