@@ -7,6 +7,7 @@ with the data.  Output columns are aliased to the names the SQL oracle uses.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,10 @@ from filelake.plans import apply as AP
 from filelake.plans import batches as BA
 from filelake.plans import oplog as OL
 from filelake.plans import workflow as WF
+from filelake.session import ensure_checkpoint_dir
 from filelake.sources import fixture as FX
+from filelake.sources.manifest import from_table
+from filelake.sources.snapshot_io import read_snapshot, snapshot_from_record, write_snapshot
 
 ROOT = FX.ROOT
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,8 +72,10 @@ def q_dedup_plan_largest(spark, sf_dir):
 # --- snapshot ------------------------------------------------------------------
 
 
-def _snap(spark, sf_dir, keep=None):
+def _snap(spark, sf_dir, keep=None, gone=None):
     man = FX.manifest(spark, sf_dir, keep)
+    if gone:
+        man = man.filter(F.col("ext") != gone)
     return S.snapshot(man, ROOT, dirs=FX.directories(spark, man).select("path"))
 
 
@@ -99,8 +105,9 @@ def q_snapshot_summary(spark, sf_dir):
 
 
 def _pair(spark, sf_dir):
-    return (_snap(spark, sf_dir, F.col("doc_id") % 13 != 0),
-            _snap(spark, sf_dir, F.col("doc_id") % 10 != 0))
+    # the pair of the difference: some files and one extension only before, some only after
+    return (_snap(spark, sf_dir, F.col("doc_id") % 13 != 0, ".gz"),
+            _snap(spark, sf_dir, F.col("doc_id") % 10 != 0, ".psd"))
 
 
 @register("snapshot_diff")
@@ -115,6 +122,16 @@ def q_snapshot_ext_changes(spark, sf_dir):
     return S.ext_changes(cur, prev)
 
 
+@register("snapshot_diff_stored")
+def q_snapshot_diff_stored(spark, sf_dir):
+    """The previous snapshot is written as a document and read back."""
+    cur, prev = _pair(spark, sf_dir)
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/filelake-snapshot-{uuid.uuid4().hex}"
+    write_snapshot(prev.record(), place)
+    d = S.snapshot_diff(cur, snapshot_from_record(read_snapshot(spark, place), ROOT))
+    return d.withColumn("new_extension_counts", F.to_json("new_extension_counts"))
+
+
 # --- sort -------------------------------------------------------------------------
 
 
@@ -146,6 +163,11 @@ def q_sort_summary(spark, sf_dir):
                     F.col("categories").cast("bigint"))
 
 
+@register("sort_by_category")
+def q_sort_by_category(spark, sf_dir):
+    return SO.by_category(SO.sort_plan(FX.manifest(spark, sf_dir), ROOT))
+
+
 # --- rename -----------------------------------------------------------------------
 
 
@@ -262,7 +284,8 @@ def q_apply_plan_sort(spark, sf_dir):
 @register("verify_plan")
 def q_verify_plan(spark, sf_dir):
     prev = FX.previous_manifest(spark, sf_dir)
-    cur = FX.current_manifest(spark, sf_dir)
+    cur = FX.current_manifest(spark, sf_dir).withColumn(
+        "size", F.when(F.col("mtime_s") % 11 == 0, F.col("size") + 1).otherwise(F.col("size")))  # grown since
     plan = D.dedup_plan(prev, ROOT, min_size=100)
     return AP.verify_plan(plan, cur).select("path", "action", "status")
 
@@ -276,7 +299,7 @@ def q_oplog_recover(spark, sf_dir):
 @register("delete_batches")
 def q_delete_batches(spark, sf_dir):
     plan = D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100)
-    b = BA.delete_batches(plan, 500)
+    b = BA.delete_batches(plan, 50)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"),
                                      F.sum("size").cast("bigint").alias("bytes"),
                                      F.min("path").alias("first_path"), F.max("path").alias("last_path"))
@@ -369,3 +392,24 @@ def q_permission_plan_ntfs(spark, sf_dir):
 @register("sort_plan_target")
 def q_sort_plan_target(spark, sf_dir):
     return SO.sort_plan(FX.manifest(spark, sf_dir), ROOT, target_root="/sorted").select("path", "action", "dest")
+
+
+# --- from content: documents as files, hashed by the verbs themselves ------------------------
+
+
+def _content(spark, sf_dir):
+    docs = FX.load_table(spark, sf_dir, "documents")
+    return from_table(docs, F.concat(F.lit("/docs/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")),
+                      F.coalesce("text", F.lit("")), mtime_s=F.col("doc_id").cast("bigint"))
+
+
+@register("dedup_from_content")
+def q_dedup_from_content(spark, sf_dir):
+    return _plan_cols(D.dedup_plan(_content(spark, sf_dir), "/docs", min_size=1, strategy="newest"))
+
+
+@register("consolidate_from_content")
+def q_consolidate_from_content(spark, sf_dir):
+    m = _content(spark, sf_dir).withColumn("path", F.when(F.col("mtime_s") % 3 == 0, F.concat(F.lit("/docs/kept"), F.col("path").substr(6, 1 << 30)))
+                                           .otherwise(F.col("path")))
+    return CO.consolidate_summary(m, "/docs", "/docs/kept", min_size=1)

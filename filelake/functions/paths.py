@@ -176,27 +176,18 @@ def derive(manifest, root: str):
 
 # --- accent-insensitive form of a name (PF17) -------------------------------------
 
-def _normalize_one(x):
-    import unicodedata
-    if x is None:
-        return None
-    x = unicodedata.normalize("NFD", x.strip())
-    return "".join(ch for ch in x if unicodedata.category(ch) != "Mn").lower()
-
-
-def _normalize_series(s: pd.Series) -> pd.Series:
-    return s.map(_normalize_one)
-
-
-_NORMALIZE_UDF = None
+_NFD_UDF = None
 
 
 def normalized_name(name: ColumnOrName) -> Column:
     """strip, NFD, drop combining marks, lower-case.  Spark has no Unicode
-    normalisation function, so this is a small Arrow-batched pandas UDF;
+    normalisation function, so a vectorised pandas UDF does that step alone;
     apply it to distinct names and join back when names repeat.  (For
     comparisons only, ``collate(x, 'UNICODE_CI_AI')`` needs no Python.)"""
-    global _NORMALIZE_UDF
-    if _NORMALIZE_UDF is None:  # built on first use: a UDF needs a live session
-        _NORMALIZE_UDF = F.pandas_udf(_normalize_series, "string")
-    return _NORMALIZE_UDF(_c(name))
+    global _NFD_UDF
+    if _NFD_UDF is None:  # built on first use: a UDF needs a live session
+        def nfd(s: pd.Series) -> pd.Series:  # nested, so it travels by value: workers need no package
+            return s.str.strip().str.normalize("NFD")
+
+        _NFD_UDF = F.pandas_udf(nfd, "string")
+    return F.lower(F.regexp_replace(_NFD_UDF(_c(name)), r"\p{Mn}+", ""))

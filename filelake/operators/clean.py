@@ -3,7 +3,7 @@
 Empty folders are found in closed form instead of repeated passes: a folder
 goes iff nothing that stays (a surviving file or a protected folder) lies
 below it and its height (deepest folder chain under it) is below the number
-of passes.  Both are one explode of ancestors plus an aggregation.
+of passes.  Both explode the chains of distinct folders, never of every file.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.operators import filters as FL
-from filelake.sources.manifest import ancestor_rows
+from filelake.sources.manifest import ancestor_rows, folders_above
 
 
 def _files(manifest: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def empty_dirs_plan(dirs: DataFrame, files: DataFrame, root: str,
     # anything that stays blocks all of its ancestors
     stays = (files.select("path").filter(P.under_root("path", root))
              .unionByName(d.filter(prot).select("path")))
-    blocked = ancestor_rows(stays, root).select(F.col("anc").alias("path")).distinct()
+    blocked = folders_above(stays, root)
     # height: deepest folder below (self = 0)
     height = ancestor_rows(d, root, include_self=True).groupBy("anc").agg(F.max("up").alias("height"))
     cand = d.filter(~prot)
@@ -73,13 +73,26 @@ def empty_dirs_plan(dirs: DataFrame, files: DataFrame, root: str,
                 .select("path", F.lit("rmdir").alias("action"), "height"))
 
 
-def permission_plan(entries: DataFrame, uid: int | None = None, gid: int | None = None) -> DataFrame:
-    """V11: rows whose mode (or owner) differs from ``u+rwX,go+rX`` (and the
-    requested owner): new mode = mode | 0644 | (folder or any x bit ? 0111 : 0)."""
+def fixed_mode(entries: DataFrame) -> "F.Column":
+    """mode | 0644 | (folder or any x bit ? 0111 : 0)."""
     is_dir = F.coalesce(F.col("is_dir"), F.lit(False)) if "is_dir" in entries.columns else F.lit(False)
     mode = F.col("mode")
     x = F.when(is_dir | (mode.bitwiseAND(0o111) != 0), F.lit(0o111)).otherwise(F.lit(0))
-    new_mode = mode.bitwiseOR(F.lit(0o644)).bitwiseOR(x)
+    return mode.bitwiseOR(F.lit(0o644)).bitwiseOR(x)
+
+
+def with_permissions(manifest: DataFrame, root: str) -> DataFrame:
+    """The manifest with the modes ``permission_plan`` sets below root."""
+    if "mode" not in manifest.columns:
+        return manifest
+    below = P.under_root("path", root) | (F.col("path") == (P.norm_root(root) or "/"))
+    return manifest.withColumn("mode", F.when(below, fixed_mode(manifest)).otherwise(F.col("mode")))
+
+
+def permission_plan(entries: DataFrame, uid: int | None = None, gid: int | None = None) -> DataFrame:
+    """V11: rows whose mode (or owner) differs from ``u+rwX,go+rX`` (and the
+    requested owner): new mode = mode | 0644 | (folder or any x bit ? 0111 : 0)."""
+    mode, new_mode = F.col("mode"), fixed_mode(entries)
     out = entries.filter(mode.isNotNull()).select("path", mode.alias("mode"), new_mode.alias("new_mode"),
                                                   *([F.col("uid")] if "uid" in entries.columns else []),
                                                   *([F.col("gid")] if "gid" in entries.columns else []))

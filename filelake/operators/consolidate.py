@@ -64,12 +64,14 @@ def scan(manifest: DataFrame, source: str, target: str, min_size: int = C.CONSOL
                           in_target(F.col("path"), target).alias("in_target"))
 
 
-def _with_target(manifest: DataFrame, target_manifest: DataFrame | None) -> DataFrame:
-    """One inventory holding both trees: the target's rows are added when it
-    lies outside the source manifest (rows with the same path kept once)."""
+def _with_target(manifest: DataFrame, target: str, target_manifest: DataFrame | None) -> DataFrame:
+    """One inventory holding both trees.  ``target_manifest`` is the inventory
+    of the target: its rows below the target stand for that tree, so each path
+    comes from one side and no row is compared to tell."""
     if target_manifest is None:
         return manifest
-    return manifest.unionByName(target_manifest, allowMissingColumns=True).dropDuplicates(["path"])
+    below = P.under_root("path", target)
+    return manifest.filter(~below).unionByName(target_manifest.filter(below), allowMissingColumns=True)
 
 
 def _files(manifest: DataFrame, source: str, target: str, min_size: int, file_type: str, skip_dirs,
@@ -89,8 +91,19 @@ def consolidate_plan(manifest: DataFrame, source: str, target: str,
     ``target_manifest``: inventory of a target outside the source tree."""
     if P.norm_root(source) == P.norm_root(target):
         raise ValueError("source and target cannot be the same")
-    manifest = _with_target(manifest, target_manifest)
+    manifest = _with_target(manifest, target, target_manifest)
+    return _judge(manifest, target, source, _compared(manifest, source, target, min_size, file_type, skip_dirs, target_manifest))
+
+
+def _compared(manifest: DataFrame, source: str, target: str, min_size: int, file_type: str, skip_dirs,
+              target_manifest: DataFrame | None) -> DataFrame:
+    """The files both sides compare, hashed: written once when they had to be
+    read for it."""
     files = _files(manifest, source, target, min_size, file_type, skip_dirs, target_manifest is not None)
+    return files if "md5" in manifest.columns else materialize(files, "consolidate-files")
+
+
+def _judge(manifest: DataFrame, target: str, source: str, files: DataFrame) -> DataFrame:
     files = files.filter(F.col("md5").isNotNull())
     keys = small_side(files.filter("in_target").select("md5", "size").distinct()
                       .withColumn("in_target_copy", F.lit(True)), "consolidate-keys")
@@ -117,9 +130,11 @@ def consolidate_summary(manifest: DataFrame, source: str, target: str,
                         skip_dirs=C.CONSOLIDATE_SKIP_DIRS, target_manifest: DataFrame | None = None) -> DataFrame:
     """AG12: files_moved, files_deleted, space_organized, space_freed,
     already_in_target, failed_hash_files (planned counts)."""
-    plan = consolidate_plan(manifest, source, target, min_size, file_type, skip_dirs, target_manifest)
-    manifest = _with_target(manifest, target_manifest)
-    files = _files(manifest, source, target, min_size, file_type, skip_dirs, target_manifest is not None)
+    if P.norm_root(source) == P.norm_root(target):
+        raise ValueError("source and target cannot be the same")
+    manifest = _with_target(manifest, target, target_manifest)
+    files = _compared(manifest, source, target, min_size, file_type, skip_dirs, target_manifest)
+    plan = _judge(manifest, target, source, files)
     a = F.col("action")
     counts = files.agg(F.count_if(F.col("in_target") & F.col("md5").isNotNull()).alias("t"),
                        F.count_if(F.col("md5").isNull()).alias("f"))

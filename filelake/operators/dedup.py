@@ -5,9 +5,8 @@ Plan shape (one shuffle-aggregate + one join, both on ``(md5, size)``):
 
 1. scan filters in the scan stage;
 2. if the manifest has no ``md5``: sizes shared by >= 2 files (a partial/final
-   aggregate), a semi join (AQE turns it into a broadcast when the size list
-   is small at run time), then ``md5`` map-side and the content dropped, so
-   content never crosses a shuffle;
+   aggregate) as a broadcast bitmap beside the content, ``md5`` map-side, and
+   the narrow rows written once: content is read once and never shuffled;
 3. ``groupBy(md5, size)`` with ``count`` and ``min(struct(score, path))`` --
    partial aggregation, so a group holding a third of all rows is combined
    map-side and never lands whole in one task;
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.operators import filters as FL
-from filelake.session import small_side
+from filelake.session import materialize, small_side
+from filelake.sources.files import hash_paths
 from filelake.sources.manifest import with_md5
 
 STRATEGIES = ("deepest", "newest", "largest")
@@ -54,32 +54,39 @@ def shared_sizes(files: DataFrame) -> DataFrame:
     return files.groupBy("size").agg(F.count(F.lit(1)).alias("n_files")).filter("n_files >= 2")
 
 
-SIZE_LIST_BROADCAST_ROWS = 5_000_000
+SIZE_BITS = 27  # bits of the size filter: at most 2^21 words of 64, whatever the data
+
+
+def size_filter(sizes: DataFrame) -> DataFrame:
+    """``word``, ``bits``: a bitmap of the hashed shared sizes.  It has at most
+    2^21 rows, so it can be broadcast beside content of any amount."""
+    slot = F.pmod(F.xxhash64("size"), F.lit(1 << SIZE_BITS))
+    s = sizes.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("_b"))
+    return s.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("bits"))
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    """Rows with an md5.  Without an ``md5`` column, only rows of a shared
-    size are hashed: from ``content`` (JVM ``md5``) or, for a real folder
-    tree, by reading the files in chunks.
-
-    Content must never cross a shuffle.  The shared-size list is written once
-    and its row count checked: under ``SIZE_LIST_BROADCAST_ROWS`` it is
-    broadcast, so the semi join runs map-side next to the content; above it,
-    every row is hashed at the scan and the semi join runs on narrow rows."""
+    """Readable rows with an md5: path, size, md5 and what the keepers need.
+    Without an ``md5`` column, only rows of a shared size are hashed: from
+    ``content`` (JVM ``md5``) or, for a real folder tree, by reading the files
+    in chunks.  The narrow rows are written once, so no later branch reads or
+    hashes content again.
+
+    Content never crosses a shuffle: a broadcast bitmap of the shared sizes
+    cuts the rows next to it, and the exact semi join runs on the narrow rows
+    after hashing."""
     if "md5" not in files.columns:
-        from filelake.session import materialize
+        narrow = ["path", "size", *[c for c in ("name", "mtime_s", "mtime") if c in files.columns]]
         sizes = materialize(shared_sizes(files.select("size")).select("size"), "shared-sizes")
-        small = sizes.count() <= SIZE_LIST_BROADCAST_ROWS
         if "content" in files.columns:
-            if small:
-                files = with_md5(files.join(F.broadcast(sizes), "size", "left_semi"))
-            else:
-                files = with_md5(files).join(sizes, "size", "left_semi")
+            slot = F.pmod(F.xxhash64("size"), F.lit(1 << SIZE_BITS))
+            cut = (files.select(*narrow, "content").withColumn("word", F.shiftright(slot, 6))
+                   .join(F.broadcast(size_filter(sizes)), "word")
+                   .where(F.expr(f"getbit(bits, cast(pmod(xxhash64(size), {1 << SIZE_BITS}) & 63 as int)) = 1")))
+            files = with_md5(cut.select(*narrow, "content")).join(sizes, "size", "left_semi")
         else:
-            candidates = files.join(F.broadcast(sizes) if small else sizes, "size", "left_semi")
-            from filelake.sources.files import hash_paths
-            files = hash_paths(candidates.select("path", "size", *[c for c in ("name", "mtime_s")
-                                                                   if c in candidates.columns]))
+            files = hash_paths(files.select(*narrow).join(sizes, "size", "left_semi"))
+        files = materialize(files, "hashed")
     return files.filter(FL.readable(F.col("md5")))
 
 

@@ -12,33 +12,47 @@ from filelake import constants as C
 # Fixture manifest, as SQL (DuckDB dialect: strlen = byte length).
 _MANIFEST = """
   WITH base AS (
-    SELECT doc_id, lang, text, doc_id % 8 AS d, CAST(floor(doc_id / 8) AS BIGINT) AS k
+    SELECT doc_id, lang, coalesce(text, '') AS text, doc_id % 8 AS d, CAST(floor(doc_id / 8) AS BIGINT) AS k
     FROM documents {where}
   ), grp AS (
     SELECT *, CAST(floor(k / 3) AS BIGINT) AS g, k % 3 AS v FROM base
+  ), ex AS (
+    SELECT *, 0 AS e FROM grp
+    UNION ALL SELECT *, 1 FROM grp WHERE v = 0 AND g % 2 = 0
+    UNION ALL SELECT *, 2 FROM grp WHERE v = 0 AND g % 2 = 0
+    UNION ALL SELECT *, 3 FROM grp WHERE k % 29 = 0
   ), named AS (
-    SELECT doc_id, d, g, v,
-      CASE d WHEN 0 THEN concat('/drive/Documents/', lang) WHEN 1 THEN '/drive/Desktop'
+    SELECT doc_id, d, g, v, e, k, text,
+      CASE WHEN d = 0 THEN concat('/drive/Documents/', lang)
+           WHEN g % 7 = 3 THEN CASE d WHEN 1 THEN '/drive' WHEN 2 THEN '/drive/OneDrive' WHEN 3 THEN '/drive/_from_2019'
+             WHEN 4 THEN '/drive/Music' WHEN 5 THEN '/drive/src/.git/objects'
+             WHEN 6 THEN '/drive/_from_whatsapp video' ELSE '/drive/_from_pellicule' END
+           ELSE CASE d WHEN 1 THEN '/drive/Desktop'
              WHEN 2 THEN '/drive/SOFITEL/2024'  WHEN 3 THEN '/drive/_from_movies'
              WHEN 4 THEN '/drive/Library/Archive' WHEN 5 THEN '/drive/node_modules/pkg'
-             WHEN 6 THEN '/drive/Library/_STAGING/old' ELSE '/drive/Inbox/data' END AS parent,
-      CASE g % 6 WHEN 2 THEN concat('IMG_', CAST(1985 + g % 50 AS VARCHAR), '0115_', CAST(g AS VARCHAR))
-                 WHEN 4 THEN concat('N_20240115_', lpad(CAST(g AS VARCHAR), 6, '0'))
-                 ELSE concat('f', CAST(g AS VARCHAR)) END AS stem,
-      CASE v WHEN 0 THEN '' WHEN 1 THEN ' (1)' ELSE ' - Copy' END AS marker,
-      CASE g % 6 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' WHEN 2 THEN '.jpg'
-                 WHEN 3 THEN '.mp3' WHEN 4 THEN '.mp4' ELSE '.tmp' END AS ext0,
-      CASE WHEN g % 2 = 0 THEN concat('stub ', repeat(concat(CAST(g AS VARCHAR), ' '), 60))
-           ELSE text END AS content
-    FROM grp WHERE NOT (v = 0 AND g % 5 = 0)
+             WHEN 6 THEN '/drive/Library/_STAGING/old' ELSE '/drive/Inbox/data' END END AS parent,
+      concat(CASE WHEN e = 0 AND v = 0 AND g % 5 = 0 THEN 'only_' ELSE '' END,
+        CASE WHEN g % 23 = 3 THEN concat('Été déjà ', g)
+             WHEN g % 23 = 5 THEN regexp_replace(md5(CAST(g AS VARCHAR)), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')
+             WHEN g % 23 = 7 THEN concat('.hidden', g) WHEN g % 23 = 13 THEN concat('~$f', g)
+             WHEN g % 6 = 2 THEN concat('IMG_', CAST(1985 + g % 50 AS VARCHAR), '0115_', CAST(g AS VARCHAR))
+             WHEN g % 6 = 4 THEN concat('N_20240115_', lpad(CAST(g AS VARCHAR), 6, '0'))
+             ELSE concat('f', CAST(g AS VARCHAR)) END) AS stem,
+      CASE WHEN e = 1 THEN ' (2)' WHEN e = 2 THEN ' - Copie' WHEN v = 0 THEN '' WHEN v = 1 THEN ' (1)' ELSE ' - Copy' END AS marker,
+      CASE WHEN g % 23 = 9 THEN '.tar.gz' WHEN g % 23 = 11 THEN '.psd'
+           ELSE CASE g % 6 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' WHEN 2 THEN '.jpg'
+                WHEN 3 THEN '.mp3' WHEN 4 THEN '.mp4' ELSE '.tmp' END END AS ext0
+    FROM ex
+  ), nn AS (
+    SELECT doc_id, e, parent, CASE WHEN e = 3 THEN concat('blank_', k, '.txt') ELSE concat(stem, marker, ext0) END AS name,
+           CASE WHEN e = 3 THEN '' ELSE text END AS content FROM named
   ), mm AS (
-    SELECT concat(parent, '/', stem, marker, ext0) AS path, parent,
-           concat(stem, marker, ext0) AS name, content, doc_id FROM named
+    SELECT concat(parent, '/', name) AS path, * FROM nn
   )
   SELECT path, parent, name, CAST(strlen(content) AS BIGINT) AS size,
     lower(regexp_extract(name, '^.+([.][^.]+)$', 1)) AS ext,
     CASE WHEN doc_id % 97 = 0 THEN NULL ELSE md5(content) END AS md5,
-    CAST(1704067200 + (doc_id * 7919) % 2592000 AS BIGINT) AS mtime_s,
+    CAST(1704067200 + (doc_id * 7919) % 2592000 + e AS BIGINT) AS mtime_s,
     doc_id % 53 = 0 AS is_symlink,
     CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('Artist/', CAST(doc_id % 5 AS VARCHAR)) END AS artist,
     CASE WHEN doc_id % 4 = 0 THEN concat(CAST(2000 + doc_id % 25 AS VARCHAR), ':01:15 00:00:00') END AS exif_date,
@@ -110,11 +124,11 @@ _SNAP_SKIP = r"(^|/)(\.git|\.svn|\.hg|node_modules|__pycache__|\.venv|venv|\.pyt
 _EXTRA_DIRS = "('empty'), ('e1'), ('e1/e2'), ('e1/e2/e3'), ('e4'), ('e4/.git')"
 
 
-def _snap_ctes(where: str = "", p: str = "") -> str:
+def _snap_ctes(where: str = "", p: str = "", gone: str = "") -> str:
     """files (sf), folders below root (dirs) for one manifest; names prefixed by p."""
     return f"""{p}m AS (
   SELECT *, substr(path, 8) AS rel, regexp_replace(substr(path, 8), '/?[^/]*$', '') AS rel_parent
-  FROM {manifest_sql(where)} x
+  FROM {manifest_sql(where)} x {f"WHERE ext <> '{gone}'" if gone else ''}
 ), {p}sf AS (
   SELECT path, size, lower(regexp_extract(name, '^.+([.][^.]+)$', 1)) AS ext,
          CASE WHEN rel_parent = '' THEN NULL ELSE split_part(rel_parent, '/', 1) END AS top
@@ -149,7 +163,7 @@ SELECT row_number() OVER (ORDER BY size DESC, path) AS rank, path, size AS size_
 FROM sf ORDER BY size DESC, path LIMIT 50"""
 ORACLE["snapshot_summary"] = f"WITH {_snap_ctes()} SELECT * FROM summary"
 
-_PAIR = _snap_ctes("doc_id % 13 <> 0", "c_") + ", " + _snap_ctes("doc_id % 10 <> 0", "p_")
+_PAIR = _snap_ctes("doc_id % 13 <> 0", "c_", ".gz") + ", " + _snap_ctes("doc_id % 10 <> 0", "p_", ".psd")
 _EXT_CHANGES = """ch AS (
   SELECT coalesce(c.ext, p.ext) AS ext,
          CASE WHEN p.ext IS NULL THEN 'new' ELSE 'removed' END AS change,
@@ -195,6 +209,9 @@ SELECT *, coalesce(nullif(concat_ws(', ',
     CASE WHEN size_change_bytes <> 0 THEN {_fmt1_abs('size_change_bytes')} || ' change' END), ''),
   'No changes') AS summary
 FROM d"""
+ORACLE["snapshot_diff_stored"] = ORACLE["snapshot_diff"].replace("FROM d", """, (SELECT '{' || coalesce(string_agg('"' || ext || '":' || count, ',' ORDER BY ext), '') || '}'
+  FROM ch WHERE change = 'new') AS new_extension_counts
+FROM d""")
 
 
 # --- sort ------------------------------------------------------------------------------
@@ -233,7 +250,8 @@ _CAT = {
     "music": f"""CASE WHEN ext IN {_in(C.MUSIC_EXTS)} THEN coalesce(
   CASE WHEN artist <> '' THEN translate(artist, '/\\', '__') END,
   CASE WHEN starts_with(parent_name, '_from_')
-       THEN '_Various/' || upper(substr(parent_name, 7, 1)) || lower(substr(parent_name, 8)) END,
+       THEN '_Various/' || array_to_string(list_transform(string_split(substr(parent_name, 7), ' '),
+         lambda w: upper(w[1]) || lower(w[2:])), ' ') END,
   '_Unknown') END""",
     "pictures": f"""CASE WHEN ext IN {_in(C.DESIGN_EXTS)} THEN '_Design'
   WHEN ext IN {_in(C.IMAGE_EXTS)} THEN coalesce(CAST(coalesce(
@@ -266,22 +284,31 @@ for _t, _expr in _CAT.items():
 SELECT path, category FROM (SELECT path, {_expr} AS category FROM sfiles) x WHERE category IS NOT NULL"""
 
 # The fixture is 'mixed'; contenders for one (category, name) are numbered in
-# path order; nothing exists yet in the category folders.
-_SORT_PLAN = f"""sp AS (
-  SELECT path, size, category, name,
-         regexp_extract(name, '^.+([.][^.]+)$', 1) AS sfx,
-         row_number() OVER (PARTITION BY category, name ORDER BY path) - 1 AS k
-  FROM (SELECT path, size, name, {_CAT['mixed']} AS category FROM sfiles) x
+# path order, after the file of that name that lies in the folder already.
+def _sort_plan(root: str) -> str:
+    return f"""sp AS (
+  SELECT path, size, category, name, stay, regexp_extract(name, '^.+([.][^.]+)$', 1) AS sfx,
+         row_number() OVER (PARTITION BY category, name, stay ORDER BY path) - 1
+           + max(CAST(stay AS INTEGER)) OVER (PARTITION BY category, name) AS k
+  FROM (SELECT *, parent = '{root}/' || category AS stay
+        FROM (SELECT path, size, name, parent, {_CAT['mixed']} AS category FROM sfiles) y) x
+), spl AS (
+  SELECT path, size, category, CASE WHEN stay THEN 'skip' ELSE 'move' END AS action,
+         CASE WHEN stay THEN path ELSE '{root}/' || category || '/' || CASE WHEN k = 0 THEN name
+           ELSE left(name, length(name) - length(sfx)) || '_' || CAST(k AS VARCHAR) || sfx END END AS dest
+  FROM sp
 )"""
-ORACLE["sort_plan_collisions"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
-SELECT path, 'move' AS action,
-       '/drive/' || category || '/' || CASE WHEN k = 0 THEN name
-         ELSE left(name, length(name) - length(sfx)) || '_' || CAST(k AS VARCHAR) || sfx END AS dest
-FROM sp"""
+
+
+_SORT_PLAN = _sort_plan("/drive")
+ORACLE["sort_plan_collisions"] = f"WITH {M}, {SFILES}, {_SORT_PLAN} SELECT path, action, dest FROM spl"
 ORACLE["sort_summary"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
-SELECT count(*) AS total_files, count(*) AS moved_count, CAST(0 AS BIGINT) AS skipped_count,
-       CAST(sum(size) AS BIGINT) AS space_organized, count(DISTINCT category) AS categories
-FROM sp"""
+SELECT count(*) AS total_files, count_if(action = 'move') AS moved_count, count_if(action = 'skip') AS skipped_count,
+       CAST(sum(CASE WHEN action = 'move' THEN size END) AS BIGINT) AS space_organized,
+       count(DISTINCT CASE WHEN action = 'move' THEN category END) AS categories
+FROM spl"""
+ORACLE["sort_by_category"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
+SELECT category, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM spl GROUP BY category"""
 
 
 # --- rename -----------------------------------------------------------------------------
@@ -410,15 +437,15 @@ SELECT path, CAST(mode AS BIGINT) AS mode,
        CAST(mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END AS BIGINT) AS new_mode
 FROM m WHERE mode <> (mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END)"""
 
-ORACLE["clean_summary"] = f"""WITH {M}, {_DIRS},
-junk AS (SELECT path, size FROM m WHERE NOT {_CLEAN_PROT} AND regexp_matches(name, '{_JUNK}')),
+_CLEAN = f"""junk AS (SELECT path, size FROM m WHERE NOT {_CLEAN_PROT} AND regexp_matches(name, '{_JUNK}')),
 surv AS (SELECT * FROM m WHERE path NOT IN (SELECT path FROM junk)),
 stays AS (SELECT path FROM surv UNION ALL SELECT path FROM dd WHERE prot),
 blocked AS (SELECT DISTINCT d.path FROM dd d JOIN stays s ON starts_with(s.path, d.path || '/')),
 h AS (SELECT a.path, max(b.depth - a.depth) AS height FROM dd a JOIN dd b
         ON b.path = a.path OR starts_with(b.path, a.path || '/') GROUP BY a.path),
 ed AS (SELECT d.path FROM dd d JOIN h USING (path)
-       WHERE NOT d.prot AND d.path NOT IN (SELECT path FROM blocked) AND h.height < 10)
+       WHERE NOT d.prot AND d.path NOT IN (SELECT path FROM blocked) AND h.height < 10)"""
+ORACLE["clean_summary"] = f"""WITH {M}, {_DIRS}, {_CLEAN}
 SELECT (SELECT count(*) FROM junk) AS junk_deleted,
        (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM junk) AS junk_size,
        (SELECT count(*) FROM ed) AS dirs_removed,
@@ -462,14 +489,11 @@ ORACLE["apply_plan_dedup"] = f"""WITH {M}, {CAND}, {_PLAN_DEEPEST}
 SELECT path, size, md5 FROM m WHERE path NOT IN (SELECT path FROM plan WHERE action = 'delete')"""
 
 ORACLE["apply_plan_sort"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
-SELECT '/drive/' || category || '/' || CASE WHEN k = 0 THEN sp.name
-         ELSE left(sp.name, length(sp.name) - length(sfx)) || '_' || CAST(k AS VARCHAR) || sfx END AS path,
-       m.size, m.md5
-FROM sp JOIN m USING (path)"""
+SELECT dest AS path, m.size, m.md5 FROM spl JOIN m USING (path)"""
 
 _PREV = f"""m AS (SELECT *, substr(path, 8) AS rel, regexp_replace(substr(path, 8), '/?[^/]*$', '') AS rel_parent
           FROM {manifest_sql('doc_id % 10 <> 0')} x)"""
-_CUR = f"cur AS (SELECT * FROM {manifest_sql('doc_id % 13 <> 0')} y)"
+_CUR = f"cur AS (SELECT path, CASE WHEN mtime_s % 11 = 0 THEN size + 1 ELSE size END AS size FROM {manifest_sql('doc_id % 13 <> 0')} y)"
 ORACLE["verify_plan"] = f"""WITH {_PREV}, {_CUR}, {CAND}, {_PLAN_DEEPEST}
 SELECT p.path, p.action,
        CASE WHEN k.path IS NULL THEN 'keeper_missing' WHEN k.size <> p.size THEN 'keeper_changed'
@@ -486,7 +510,7 @@ SELECT op_id, status FROM (
 WHERE status <> 'done'"""
 
 ORACLE["delete_batches"] = f"""WITH {M}, {CAND}, {_PLAN_DEEPEST},
-d AS (SELECT path, size, (row_number() OVER (ORDER BY path) - 1) // 500 AS batch_id
+d AS (SELECT path, size, (row_number() OVER (ORDER BY path) - 1) // 50 AS batch_id
       FROM plan WHERE action = 'delete')
 SELECT batch_id, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes,
        min(path) AS first_path, max(path) AS last_path
@@ -506,8 +530,7 @@ FROM m"""
 
 # Chained reorganisation: junk removed, duplicates removed (deepest keeper),
 # the rest sorted ('mixed'), snapshots before / after.
-ORACLE["reorganize_summary"] = f"""WITH {M},
-junk AS (SELECT path FROM m WHERE NOT {_CLEAN_PROT} AND regexp_matches(name, '{_JUNK}')),
+ORACLE["reorganize_summary"] = f"""WITH {M}, {_DIRS}, {_CLEAN},
 m1 AS (SELECT * FROM m WHERE path NOT IN (SELECT path FROM junk)),
 cand AS (SELECT * FROM m1 WHERE size >= 100 AND NOT is_symlink AND NOT starts_with(name, '.')
          AND NOT regexp_matches(rel_parent, '{_DEDUP_SKIP}')),
@@ -520,15 +543,17 @@ det AS (SELECT CASE WHEN count(f) > 0 AND (count_if(f = 'documents') / count(f)
 b AS (SELECT path, size, ext FROM m WHERE NOT regexp_matches(rel_parent, '{_SNAP_SKIP}')),
 be AS (SELECT DISTINCT ext FROM b), ae AS (SELECT DISTINCT ext FROM m2),
 d AS (
-  SELECT (SELECT count(*) FROM junk) AS junk_deleted,
+  SELECT (SELECT count(*) FROM junk) AS junk_deleted, (SELECT count(*) FROM ed) AS dirs_removed,
+         (SELECT count(*) FROM surv WHERE mode <> (mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END))
+           AS permissions_fixed,
          (SELECT count(*) FROM plan WHERE action = 'delete') AS duplicates_deleted,
-         (SELECT CASE WHEN t = 'mixed' THEN (SELECT count(*) FROM m2) END FROM det) AS files_sorted,
+         (SELECT CASE WHEN t = 'mixed' THEN (SELECT count_if(parent <> '/drive/' || {_CAT['mixed']}) FROM m2) END FROM det) AS files_sorted,
          (SELECT count(*) FROM b) AS files_before, (SELECT count(*) FROM m2) AS files_after,
          CAST((SELECT sum(size) FROM m2) - (SELECT sum(size) FROM b) AS BIGINT) AS size_change_bytes,
          (SELECT count(*) FROM ae WHERE ext NOT IN (SELECT ext FROM be)) AS n_new,
          (SELECT count(*) FROM be WHERE ext NOT IN (SELECT ext FROM ae)) AS n_removed
 )
-SELECT junk_deleted, duplicates_deleted, files_sorted, files_before, files_after, size_change_bytes,
+SELECT junk_deleted, dirs_removed, permissions_fixed, duplicates_deleted, files_sorted, files_before, files_after, size_change_bytes,
   coalesce(nullif(concat_ws(', ',
     CASE WHEN files_after > files_before THEN '+' || (files_after - files_before) || ' files' END,
     CASE WHEN files_before > files_after THEN '-' || (files_before - files_after) || ' files' END,
@@ -606,8 +631,24 @@ SELECT path, CAST(mode AS BIGINT) AS mode,
        CAST(1000 AS BIGINT) AS new_uid, CAST(1000 AS BIGINT) AS new_gid
 FROM m"""
 
-ORACLE["sort_plan_target"] = f"""WITH {M}, {SFILES}, {_SORT_PLAN}
-SELECT path, 'move' AS action,
-       '/sorted/' || category || '/' || CASE WHEN k = 0 THEN name
-         ELSE left(name, length(name) - length(sfx)) || '_' || CAST(k AS VARCHAR) || sfx END AS dest
-FROM sp"""
+ORACLE["sort_plan_target"] = f"""WITH {M}, {SFILES}, {_sort_plan('/sorted')}
+SELECT path, action, dest FROM spl"""
+
+
+_DOCS = """dx AS (
+  SELECT '/docs/' || coalesce(source, 'none') || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS t, doc_id FROM documents
+), m AS (SELECT path, CAST(strlen(t) AS BIGINT) AS size, md5(t) AS md5, doc_id AS mtime_s, path AS name FROM dx WHERE strlen(t) > 0)"""
+ORACLE["dedup_from_content"] = f"WITH {_DOCS}, " + _dedup_plan_sql("mtime_s DESC, path", "m")
+ORACLE["consolidate_from_content"] = f"""WITH {_DOCS},
+keys AS (SELECT DISTINCT md5, size FROM m WHERE mtime_s % 3 = 0),
+cp AS (SELECT m.size, CASE WHEN k.md5 IS NULL THEN 'move' ELSE 'delete' END AS action
+       FROM m LEFT JOIN keys k ON m.md5 = k.md5 AND m.size = k.size WHERE mtime_s % 3 <> 0)
+SELECT count_if(action = 'move') AS files_moved, count_if(action = 'delete') AS files_deleted,
+       CAST(coalesce(sum(CASE WHEN action = 'move' THEN size END), 0) AS BIGINT) AS space_organized,
+       CAST(coalesce(sum(CASE WHEN action = 'delete' THEN size END), 0) AS BIGINT) AS space_freed,
+       (SELECT count(*) FROM m WHERE mtime_s % 3 = 0) AS already_in_target, CAST(0 AS BIGINT) AS failed_hash_files,
+       {_fmt("coalesce(sum(CASE WHEN action = 'move' THEN size END), 0)", 1, False, ["B", "KB", "MB", "GB", "TB"], "PB")}
+         AS space_organized_human,
+       {_fmt("coalesce(sum(CASE WHEN action = 'delete' THEN size END), 0)", 1, False, ["B", "KB", "MB", "GB", "TB"], "PB")}
+         AS space_freed_human
+FROM cp"""

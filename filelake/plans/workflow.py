@@ -1,7 +1,8 @@
 """Full reorganisation (V12): clean -> dedup -> sort -> snapshot -> diff,
 each step planned on the manifest the previous step's ``apply_plan`` yields.
 
-Junk removal is a row filter.  After the dedup and sort steps the
+Clean is the whole verb: junk, empty folders, permissions.  Junk removal is a
+row filter and a new mode an expression of the row.  After the dedup and sort steps the
 intermediate manifest is written to the session's reliable checkpoint folder
 (``spark.checkpoint.dir``) and read back: the lineage stays short, the md5 /
 slot work of one step is never recomputed by the next step's several
@@ -22,11 +23,12 @@ from filelake.operators import snapshot as S
 from filelake.operators import sort as SO
 from filelake.plans.apply import apply_plan
 from filelake.session import materialize
+from filelake.sources.manifest import with_md5
 
 
 @dataclass
 class Reorganisation:
-    junk: DataFrame
+    clean: DataFrame
     dedup: DataFrame
     sort: DataFrame
     before: S.Snapshot
@@ -37,8 +39,10 @@ class Reorganisation:
 
     def summary(self) -> DataFrame:
         diff = S.snapshot_diff(self.after, self.before)
+        done = CLN.clean_summary(self.clean).select(F.struct("junk_deleted", "dirs_removed", "permissions_to_fix")).scalar()
         return diff.select(
-            self.junk.select(F.count(F.lit(1))).scalar().alias("junk_deleted"),
+            done["junk_deleted"].alias("junk_deleted"), done["dirs_removed"].alias("dirs_removed"),
+            done["permissions_to_fix"].alias("permissions_fixed"),
             # paths are unique, so deletes = rows before - rows after (no re-run of the plan)
             (self.dedup_input.select(F.count(F.lit(1))).scalar()
              - self.dedup_output.select(F.count(F.lit(1))).scalar()).alias("duplicates_deleted"),
@@ -56,12 +60,15 @@ def reorganize(manifest: DataFrame, root: str, dedup_min_size: int = C.DEDUP_MIN
                strategy: str = "deepest", sort_type: str = "auto", dirs: DataFrame | None = None,
                checkpoint: bool = True) -> Reorganisation:
     cut = _cut if checkpoint else (lambda d: d)
-    junk = CLN.junk_plan(manifest, root)
-    m1 = CLN.without_junk(manifest, root)  # a filter: nothing to cut
+    if "content" in manifest.columns and "md5" not in manifest.columns:
+        manifest = cut(with_md5(manifest))  # hashed once: content goes no further
+    clean = cut(CLN.clean_plan(manifest, root, dirs=dirs))
+    # the file part of that plan on each row itself: no join, nothing to cut
+    m1 = CLN.with_permissions(CLN.without_junk(manifest, root), root)
     dplan = D.dedup_plan(m1, root, min_size=dedup_min_size, strategy=strategy)
     m2 = cut(apply_plan(m1, dplan))
     splan = SO.sort_plan(m2, root, sort_type)
     m3 = cut(apply_plan(m2, splan))
     before = S.snapshot(manifest, root, dirs=dirs)
     after = S.snapshot(m3, root)
-    return Reorganisation(junk, dplan, splan, before, after, m3, m1, m2)
+    return Reorganisation(clean, dplan, splan, before, after, m3, m1, m2)

@@ -1,55 +1,88 @@
 """Real folder trees (SR1, SR2): a distributed listing and chunked hashing.
 
-Listing uses Spark's ``binaryFile`` source with ``content`` pruned away, so
-only metadata is read and a ``size`` filter is pushed into the listing.
-Hashing streams each file in 64 KB chunks inside ``mapInPandas`` tasks
-(files larger than a binary value cannot go through a column); it opens
-any URI pyarrow understands, so the same code reads local, HDFS or object
-storage paths.  It runs only on the rows handed to it -- dedup hands it the
+The listing walks the tree level by level: tasks list the folders of a level,
+the entries found are written, and its folders are the next level.  The driver
+keeps no index, only the number of levels.  Every name is listed: hidden ones,
+names starting with ``_``, empty folders and symbolic links (not followed).
+Hashing streams each file in 64 KB chunks inside tasks (files larger than a
+binary value cannot go through a column); it opens any URI pyarrow
+understands.  It runs only on the rows handed to it -- dedup hands it the
 files whose size is shared.
+
+The functions that run in tasks are nested, so they travel by value and the
+workers need no copy of this package.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelake.session import materialize
+
 CHUNK_SIZE = 65536  # fixed value: read block of the hashing loop
+LISTING_ROWS = 10_000  # entries handed on at a time, however large a folder is
+TREE_SCHEMA = "path string, is_dir boolean, is_symlink boolean, size bigint, mtime_s bigint, mode int, uid int, gid int"
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every entry below ``root``: path, is_dir, is_symlink, size (null for
+    folders), mtime_s, and on a local or mounted file system mode, uid, gid
+    (null elsewhere).  A folder that cannot be read lists as empty."""
+    root = root.removeprefix("file://").removeprefix("file:").rstrip("/") or "/"
+    step = LISTING_ROWS
+
+    def entries(folder):
+        import os
+        import stat
+        if "://" not in folder:
+            try:
+                with os.scandir(folder) as found:
+                    for e in found:
+                        try:
+                            st = e.stat(follow_symlinks=False)
+                        except OSError:
+                            continue  # gone since the folder was read
+                        d = stat.S_ISDIR(st.st_mode)
+                        yield (e.path, d, e.is_symlink(), None if d else st.st_size, int(st.st_mtime),
+                               stat.S_IMODE(st.st_mode), st.st_uid, st.st_gid)
+            except OSError:
+                return
+            return
+        import pyarrow.fs as pafs
+        fs, inner = pafs.FileSystem.from_uri(folder)
+        scheme = folder[:folder.rindex(inner)]  # what the listed paths lack
+        for info in fs.get_file_info(pafs.FileSelector(inner, recursive=False)):
+            d = info.type == pafs.FileType.Directory
+            seen = info.mtime
+            yield (scheme + info.path, d, False, None if d else info.size, int(seen.timestamp()) if seen else None, None, None, None)
+
+    def run(batches):
+        import itertools
+
+        import pyarrow as pa
+        names = ["path", "is_dir", "is_symlink", "size", "mtime_s", "mode", "uid", "gid"]
+        types = [pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        for batch in batches:
+            found = (e for folder in batch.column("path").to_pylist() for e in entries(folder))
+            while rows := list(itertools.islice(found, step)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, out = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        found = materialize(folders.repartition(parts, "path").mapInArrow(run, TREE_SCHEMA), "listing")
+        out = found if out is None else out.unionByName(found)
+        folders = found.filter("is_dir").select("path")
+        if folders.isEmpty():
+            return out
 
 
 def list_files(spark: SparkSession, root: str, min_size: int | None = None) -> DataFrame:
-    """path, size, mtime_s for every file below ``root``.
-
-    Note: Spark's file listing skips names starting with '_' or '.', and
-    folders with no files; junk, staging and ``_from_*`` handling therefore
-    needs an inventory table (see ``manifest.from_inventory``)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if min_size is not None:
-        df = df.filter(F.col("length") >= min_size)
-    return df.select(F.regexp_replace("path", r"^file:", "").alias("path"),
-                     F.col("length").cast("bigint").alias("size"),
-                     F.unix_seconds("modificationTime").alias("mtime_s"))
-
-
-def _md5_of(uri: str, chunk_size: int) -> str | None:
-    import pyarrow.fs as pafs
-    try:
-        if "://" in uri:  # a real URI (percent-encoded as the listing gives it)
-            fs, p = pafs.FileSystem.from_uri(uri)
-        else:  # a plain local path: no URI parsing, so spaces etc. stay as they are
-            fs, p = pafs.LocalFileSystem(), uri
-        h = hashlib.md5()
-        with fs.open_input_stream(p) as f:
-            while True:
-                block = f.read(chunk_size)
-                if not block:
-                    break
-                h.update(block)
-        return h.hexdigest()
-    except (OSError, ValueError):
-        return None  # unreadable -> NULL, reported as a failed hash
+    """path, is_symlink, size, mtime_s, mode, uid, gid for every file below
+    ``root``."""
+    df = list_tree(spark, root).filter("not is_dir").drop("is_dir")
+    return df if min_size is None else df.filter(F.col("size") >= min_size)
 
 
 def hash_paths(files: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
@@ -58,9 +91,26 @@ def hash_paths(files: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     # a new StructType: ``schema.add`` would mutate the input's cached schema
     schema = StructType([*files.schema.fields, StructField("md5", StringType(), True)])
 
+    def md5_of(uri):
+        import hashlib
+
+        import pyarrow.fs as pafs
+        try:
+            if "://" in uri:  # a real URI (percent-encoded as the listing gives it)
+                fs, p = pafs.FileSystem.from_uri(uri)
+            else:  # a plain local path: no URI parsing, so spaces etc. stay as they are
+                fs, p = pafs.LocalFileSystem(), uri
+            h = hashlib.md5()
+            with fs.open_input_stream(p) as f:
+                while block := f.read(chunk_size):
+                    h.update(block)
+            return h.hexdigest()
+        except (OSError, ValueError):
+            return None  # unreadable -> NULL, reported as a failed hash
+
     def run(batches):
-        for pdf in batches:
-            pdf["md5"] = [_md5_of(p, chunk_size) for p in pdf["path"]]
-            yield pdf
+        import pyarrow as pa
+        for batch in batches:
+            yield batch.append_column("md5", pa.array([md5_of(p) for p in batch.column("path").to_pylist()], pa.string()))
 
-    return files.mapInPandas(run, schema)
+    return files.mapInArrow(run, schema)

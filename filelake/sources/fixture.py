@@ -1,8 +1,8 @@
 """The fixture manifest: a file inventory derived from the ``documents``
 table, so that every verb runs on real, growing input and can be checked
-against an independent SQL engine.  Layout: eight folders under ``/drive``,
-names with copy markers, content shared within groups of three, some
-unreadable (NULL md5) and symlinked rows.
+against an independent SQL engine.  Layout: fifteen folders under ``/drive``,
+every document one file with its whole text, names with copy markers, copies
+of some files, some unreadable (NULL md5), zero-byte and symlinked rows.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from filelake.session import materialize
 ROOT = "/drive"
 TARGET = "/drive/Library"
 
-# Parent folder per doc_id % 8 (fixed layout of the fixture).
+# Parent folder per doc_id % 8, and the one used instead when g % 7 = 3.
 _PARENTS = ["/drive/Documents/{lang}", "/drive/Desktop", "/drive/SOFITEL/2024", "/drive/_from_movies",
             "/drive/Library/Archive", "/drive/node_modules/pkg", "/drive/Library/_STAGING/old",
             "/drive/Inbox/data"]
+_OTHER_PARENTS = ["/drive/Documents/{lang}", "/drive", "/drive/OneDrive", "/drive/_from_2019", "/drive/Music",
+                  "/drive/src/.git/objects", "/drive/_from_whatsapp video", "/drive/_from_pellicule"]
 
 
 def _case(key: Column, mapping: dict, default: Column) -> Column:
@@ -35,30 +37,44 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture_manifest(documents: DataFrame, keep: Column | None = None) -> DataFrame:
     """Manifest rows (path, parent, name, size, ext, md5, mtime_s, is_symlink,
     artist, exif_date, mode).  ``keep`` filters documents first (used for the
-    snapshot pair)."""
+    snapshot pair).  Every document is a file holding its whole text (null:
+    empty); the first of an even group also lies there twice as a marked copy,
+    and some documents have a zero-byte file beside them."""
     docs = documents if keep is None else documents.filter(keep)
     d = F.col("doc_id") % 8
     k = F.floor(F.col("doc_id") / 8).cast("bigint")
-    base = docs.select("doc_id", "lang", "text", d.alias("d"), k.alias("k"))
+    base = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), d.alias("d"), k.alias("k"))
     grp = base.select("*", F.floor(F.col("k") / 3).cast("bigint").alias("g"), (F.col("k") % 3).alias("v"))
-    g, v = F.col("g"), F.col("v")
-    g6 = g % 6
-    parent = _case(F.col("d"), {0: F.concat(F.lit("/drive/Documents/"), F.col("lang")),
-                                1: F.lit(_PARENTS[1]), 2: F.lit(_PARENTS[2]), 3: F.lit(_PARENTS[3]),
-                                4: F.lit(_PARENTS[4]), 5: F.lit(_PARENTS[5]), 6: F.lit(_PARENTS[6])},
-                   F.lit(_PARENTS[7]))
+    g, v, e = F.col("g"), F.col("v"), F.col("e")
+    none = F.array().cast("array<int>")
+    # e: 0 the file, 1 and 2 its copies, 3 the zero-byte file
+    grp = grp.withColumn("e", F.explode(F.concat(
+        F.array(F.lit(0)), F.when((v == 0) & (g % 2 == 0), F.array(F.lit(1), F.lit(2))).otherwise(none),
+        F.when(F.col("k") % 29 == 0, F.array(F.lit(3))).otherwise(none))))
+    g6, g23 = g % 6, g % 23
+
+    def folder(names):
+        return _case(F.col("d"), {i: F.concat(F.lit("/drive/Documents/"), F.col("lang")) if i == 0 else F.lit(n)
+                                  for i, n in enumerate(names[:7])}, F.lit(names[7]))
+
+    parent = F.when(g % 7 == 3, folder(_OTHER_PARENTS)).otherwise(folder(_PARENTS))
     gs = g.cast("string")
-    stem = _case(g6, {2: F.concat(F.lit("IMG_"), (F.lit(1985) + g % 50).cast("string"), F.lit("0115_"), gs),
-                      4: F.concat(F.lit("N_20240115_"), F.lpad(gs, 6, "0"))},
-                 F.concat(F.lit("f"), gs))
-    marker = _case(v, {0: F.lit(""), 1: F.lit(" (1)")}, F.lit(" - Copy"))
-    ext0 = _case(g6, {0: F.lit(".txt"), 1: F.lit(".PDF"), 2: F.lit(".jpg"), 3: F.lit(".mp3"),
-                      4: F.lit(".mp4")}, F.lit(".tmp"))
-    content = F.when(g % 2 == 0, F.concat(F.lit("stub "), F.repeat(F.concat(gs, F.lit(" ")), 60))) \
-               .otherwise(F.col("text"))
-    named = (grp.filter(~((v == 0) & (g % 5 == 0)))
-                .select("doc_id", parent.alias("parent"),
-                        F.concat(stem, marker, ext0).alias("name"), content.alias("content")))
+    h = F.md5(gs)
+    uuid = F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))
+    plain = _case(g6, {2: F.concat(F.lit("IMG_"), (F.lit(1985) + g % 50).cast("string"), F.lit("0115_"), gs),
+                       4: F.concat(F.lit("N_20240115_"), F.lpad(gs, 6, "0"))},
+                  F.concat(F.lit("f"), gs))
+    stem = _case(g23, {3: F.concat(F.lit("Été déjà "), gs), 5: uuid, 7: F.concat(F.lit(".hidden"), gs),
+                       13: F.concat(F.lit("~$f"), gs)}, plain)
+    # no file lies at the clean path of these groups' copies
+    stem = F.when((e == 0) & (v == 0) & (g % 5 == 0), F.concat(F.lit("only_"), stem)).otherwise(stem)
+    marker = _case(e, {1: F.lit(" (2)"), 2: F.lit(" - Copie")}, _case(v, {0: F.lit(""), 1: F.lit(" (1)")}, F.lit(" - Copy")))
+    ext0 = _case(g23, {9: F.lit(".tar.gz"), 11: F.lit(".psd")},
+                 _case(g6, {0: F.lit(".txt"), 1: F.lit(".PDF"), 2: F.lit(".jpg"), 3: F.lit(".mp3"),
+                            4: F.lit(".mp4")}, F.lit(".tmp")))
+    name = F.when(e == 3, F.concat(F.lit("blank_"), F.col("k").cast("string"), F.lit(".txt"))).otherwise(F.concat(stem, marker, ext0))
+    content = F.when(e == 3, F.lit("")).otherwise(F.col("text"))
+    named = grp.select("doc_id", "e", parent.alias("parent"), name.alias("name"), content.alias("content"))
     doc = F.col("doc_id")
     return named.select(
         F.concat("parent", F.lit("/"), "name").alias("path"),
@@ -66,7 +82,7 @@ def fixture_manifest(documents: DataFrame, keep: Column | None = None) -> DataFr
         F.octet_length("content").cast("bigint").alias("size"),
         F.lower(F.regexp_extract("name", r"^.+([.][^.]+)$", 1)).alias("ext"),
         F.when(doc % 97 == 0, F.lit(None).cast("string")).otherwise(F.md5("content")).alias("md5"),
-        (F.lit(1704067200) + (doc * 7919) % 2592000).cast("bigint").alias("mtime_s"),
+        (F.lit(1704067200) + (doc * 7919) % 2592000 + F.col("e")).cast("bigint").alias("mtime_s"),
         (doc % 53 == 0).alias("is_symlink"),
         F.when(doc % 3 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("Artist/"), (doc % 5).cast("string"))).alias("artist"),

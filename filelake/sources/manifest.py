@@ -41,9 +41,11 @@ def from_table(df: DataFrame, path_expr, content_expr=None, **columns) -> DataFr
 
 
 def from_files(spark: SparkSession, root: str, min_size: int | None = None) -> DataFrame:
-    """List a real folder tree (see ``sources.files.list_files``)."""
-    from filelake.sources.files import list_files
-    return list_files(spark, root, min_size)
+    """List a real folder tree, folders included (see ``sources.files.list_tree``);
+    ``min_size`` keeps files of that size and all folders."""
+    from filelake.sources.files import list_tree
+    df = list_tree(spark, root)
+    return df if min_size is None else df.filter(F.col("is_dir") | (F.col("size") >= min_size))
 
 
 def with_md5(manifest: DataFrame) -> DataFrame:
@@ -84,13 +86,24 @@ def ancestor_rows(df: DataFrame, root: str, path_col: str = "path", include_self
     return out
 
 
+def folders_above(paths: DataFrame, root: str) -> DataFrame:
+    """``path``: distinct folders at or below root that hold one of ``paths``
+    at any depth.  Each folder's own chain is exploded once, not every file's:
+    the distinct parents are far fewer rows."""
+    r = P.norm_root(root) or "/"
+    below = paths.select("path").filter(P.under_root("path", root))
+    parents = below.select(P.parent_of("path").alias("path")).distinct()
+    up = ancestor_rows(parents, root, include_self=True).select(F.col("anc").alias("path"))
+    return (up if r != "/" else up.unionByName(parents.where("path = '/'"))).distinct()
+
+
 def directories_of(manifest: DataFrame, root: str, extra: DataFrame | None = None) -> DataFrame:
     """Folder rows implied by the file paths (distinct ancestors at or below
     root), plus optional explicit folder rows (``path``)."""
-    dirs = ancestor_rows(manifest, root).select(F.col("anc").alias("path"))
+    dirs = folders_above(manifest, root)
     if extra is not None:
-        dirs = dirs.unionByName(extra.select("path"))
-    return dirs.distinct().withColumn("is_dir", F.lit(True))
+        dirs = dirs.unionByName(extra.select("path")).distinct()
+    return dirs.withColumn("is_dir", F.lit(True))
 
 
 # --- stored manifests with folder partitions ---------------------------------------

@@ -11,6 +11,7 @@ SNAPSHOT_SCHEMA = """
   by_extension MAP<STRING, STRUCT<count: BIGINT, size_bytes: BIGINT, sample_paths: ARRAY<STRING>>>,
   top_level_dirs MAP<STRING, STRUCT<size_bytes: BIGINT, file_count: BIGINT>>,
   largest_files ARRAY<STRUCT<path: STRING, size_bytes: BIGINT>>,
+  current_timestamp STRING, previous_timestamp STRING,
   files_added BIGINT, files_removed BIGINT, size_change_bytes BIGINT,
   new_extensions MAP<STRING, BIGINT>
 """
@@ -22,24 +23,43 @@ def write_snapshot(record: DataFrame, location: str, mode: str = "overwrite") ->
 
 
 def read_snapshot(spark: SparkSession, location: str) -> DataFrame:
-    """SR3: read a previous snapshot.  Rows without ``by_extension`` are diff
-    documents and are passed through as they are (``is_diff``)."""
-    df = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", "true").json(location)
-    return df.withColumn("is_diff", F.col("by_extension").isNull())
+    """SR3: read previous snapshot documents, one per file.  Rows without
+    ``by_extension`` are diff documents (``is_diff``): ``document`` holds the
+    text as it was, ``summary_text`` its sentence."""
+    raw = spark.read.option("wholetext", "true").text(location).filter(F.trim("value") != "")
+    doc = raw.select(F.from_json("value", SNAPSHOT_SCHEMA).alias("s"), F.col("value").alias("document"))
+    is_diff = F.get_json_object("document", "$.by_extension").isNull()
+    return doc.select("s.*", is_diff.alias("is_diff"),
+                      F.when(is_diff, F.get_json_object("document", "$.summary")).alias("summary_text"), "document")
 
 
 def facets_from_record(record: DataFrame):
-    """Exploded by-extension facet of a read snapshot record, so that a stored
-    snapshot can be diffed against a fresh one."""
+    """Exploded by-extension facet of a read snapshot record."""
     return record.select(F.explode("by_extension").alias("ext", "v")).select(
         "ext", F.col("v.count").alias("count"), F.col("v.size_bytes").alias("size_bytes"))
 
 
-def diff_record(diff: DataFrame, root: str | None = None) -> DataFrame:
+def snapshot_from_record(record: DataFrame, root: str):
+    """A stored snapshot (one row of ``read_snapshot``) as facets again, so that
+    a fresh one can be compared with it by ``snapshot_diff``."""
+    from filelake.operators.snapshot import Snapshot
+    samples = record.select(F.explode("by_extension").alias("ext", "v")).select(
+        "ext", F.posexplode("v.sample_paths").alias("p", "path")).select("ext", "path", (F.col("p") + 1).alias("sample_rank"))
+    tops = record.select(F.explode("top_level_dirs").alias("top", "v")).select("top", "v.size_bytes", "v.file_count")
+    big = record.select(F.posexplode("largest_files").alias("p", "f")).select(
+        (F.col("p") + 1).alias("rank"), F.col("f.path").alias("path"), F.col("f.size_bytes").alias("size_bytes"))
+    return Snapshot(root, big.select("path", F.col("size_bytes").alias("size")), record.select("summary.*"),
+                    facets_from_record(record), samples, tops, big)
+
+
+def diff_record(diff: DataFrame, root: str | None = None, current: DataFrame | None = None,
+                previous: DataFrame | None = None) -> DataFrame:
     """Snapshot difference in document layout (SK2): the new-extension map
-    under ``new_extensions``, counts of added / removed files, size change
-    and the summary sentence."""
+    under ``new_extensions``, counts of added / removed files, size change, the
+    summary sentence and, of the two records when given, their timestamps."""
+    stamps = [r.select("timestamp").scalar().alias(n) for r, n in
+              ((current, "current_timestamp"), (previous, "previous_timestamp")) if r is not None]
     return diff.select(
-        *([F.lit(root).alias("path")] if root else []),
+        *([F.lit(root).alias("path")] if root else []), *stamps,
         "files_added", "files_removed", "size_change_bytes",
         F.col("new_extension_counts").alias("new_extensions"), "summary")

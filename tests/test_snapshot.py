@@ -79,3 +79,21 @@ def test_diff_json_round_trip_and_quick(mk, spark, tmp_path):
     write_snapshot(diff_record(S.snapshot_diff(after, before), "/s"), out)
     d = read_snapshot(spark, out).first()
     assert d.is_diff and d.files_added == 1 and d.new_extensions == {".pdf": 1}
+
+
+def test_diff_against_a_stored_snapshot(spark, mk, tmp_path):
+    from filelake.sources.snapshot_io import snapshot_from_record
+    before = _snap(mk, [("/s/a.txt", "x"), ("/s/b.old", "yy")])
+    after = _snap(mk, [("/s/a.txt", "x"), ("/s/c.new", "zzz"), ("/s/d/e.new", "z")])
+    write_snapshot(before.record(), str(tmp_path / "before"))
+    stored = read_snapshot(spark, str(tmp_path / "before"))
+    d = S.snapshot_diff(after, snapshot_from_record(stored, "/s"))
+    assert d.collect() == S.snapshot_diff(after, before).collect()
+    assert d.first().new_extension_counts == {".new": 2} and d.first().removed_extensions == 1
+    doc = diff_record(d, "/s", after.record(), stored)
+    write_snapshot(doc, str(tmp_path / "diff"))
+    r = read_snapshot(spark, str(tmp_path / "diff")).first()
+    assert r.is_diff and r.summary_text == d.first().summary
+    kept = json.loads(r.document)
+    assert kept["previous_timestamp"] == stored.first().timestamp and kept["current_timestamp"]
+    assert kept["new_extensions"] == {".new": 2}

@@ -105,3 +105,51 @@ def test_rename_and_consolidate_on_a_real_tree(spark, tmp_path):
     cons = {r.path.rsplit("/", 2)[-2] + "/" + r.path.rsplit("/", 1)[1]: r.action
             for r in CO.consolidate_plan(files, root, root + "/lib").collect()}
     assert cons["docs/keep.txt"] == "delete" and cons["docs/a.txt"] == "move"
+
+
+def test_listing_is_complete(spark, tmp_path):
+    from filelake.operators import clean as CLN
+    from filelake.sources.manifest import from_files
+    _tree(tmp_path, {"_x/_y.txt": b"1", ".y": b"22", "a/.DS_Store": b"333", "a/b c/é.txt": b""})
+    (tmp_path / "hollow" / "deep").mkdir(parents=True)
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    root = str(tmp_path)
+    rows = {r.path[len(root) + 1:]: r for r in from_files(spark, root).collect()}
+    assert set(rows) == {"_x", "_x/_y.txt", ".y", "a", "a/.DS_Store", "a/b c", "a/b c/é.txt", "hollow", "hollow/deep", "link"}
+    assert {p for p, r in rows.items() if r.is_dir} == {"_x", "a", "a/b c", "hollow", "hollow/deep"}
+    assert rows["link"].is_symlink and not rows["link"].is_dir and rows[".y"].size == 2
+    assert rows["a"].mode == (tmp_path / "a").stat().st_mode & 0o7777 and rows["a"].uid == os.getuid()
+    m = from_files(spark, root)
+    plan = CLN.clean_plan(m, root, dirs=m.filter("is_dir").select("path"))
+    got = {(r.path[len(root) + 1:], r.action) for r in plan.filter("action <> 'chmod'").collect()}
+    assert got == {("a/.DS_Store", "delete"), ("hollow", "rmdir"), ("hollow/deep", "rmdir")}
+    assert list_files(spark, root).filter("size >= 2 and not is_symlink").count() == 2
+
+
+def test_empty_root_and_missing_root_list_nothing(spark, tmp_path):
+    assert list_files(spark, str(tmp_path)).count() == 0
+    assert list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_content_is_hashed_once_and_never_shuffled(spark, tmp_path):
+    rows = [(f"/r/a{i}.txt", "same" * 9 if i % 3 else f"other {i}") for i in range(12)]
+    spark.createDataFrame(rows, "path string, content string").selectExpr("*", "cast(octet_length(content) as bigint) size") \
+        .write.parquet(str(tmp_path / "m"))
+    m = spark.read.parquet(str(tmp_path / "m"))
+    from filelake.operators import consolidate as CO
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [D.dedup_plan(m, "/r", min_size=1), CO.consolidate_plan(m, "/r", "/r/lib", min_size=1)]
+        for plan in plans:  # later branches read narrow stored rows
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "content#" not in text
+        assert plans[0].count() == 8
+        raw = m.filter("size > 0")
+        sizes = D.shared_sizes(raw).select("size")
+        cut = raw.withColumn("word", F.shiftright(F.pmod(F.xxhash64("size"), F.lit(1 << D.SIZE_BITS)), 6)).join(
+            F.broadcast(D.size_filter(sizes)), "word")
+        physical = cut._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in physical and "BroadcastHashJoin" in physical
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
