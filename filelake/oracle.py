@@ -209,7 +209,7 @@ SELECT *, coalesce(nullif(concat_ws(', ',
     CASE WHEN size_change_bytes <> 0 THEN {_fmt1_abs('size_change_bytes')} || ' change' END), ''),
   'No changes') AS summary
 FROM d"""
-ORACLE["snapshot_diff_stored"] = ORACLE["snapshot_diff"].replace("FROM d", """, (SELECT '{' || coalesce(string_agg('"' || ext || '":' || count, ',' ORDER BY ext), '') || '}'
+ORACLE["snapshot_diff_stored"] = ORACLE["snapshot_diff"].rsplit("FROM d", 1)[0] + (""", (SELECT '{' || coalesce(string_agg('"' || ext || '":' || count, ',' ORDER BY ext), '') || '}'
   FROM ch WHERE change = 'new') AS new_extension_counts
 FROM d""")
 
