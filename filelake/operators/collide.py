@@ -7,22 +7,25 @@ bare names that look like ``stem_k+suffix``) are skipped; the r-th mover of
 a group (in the given order, path by default) gets the r-th free slot.
 
 With the taken slots of a group sorted as t_0 < t_1 < ... the r-th free slot
-is ``r + #{i : t_i - i <= r}``, so only the (short) taken list travels with a
-group -- never an array as long as the group.
+is ``r + #{i : t_i - i <= r}``.  Taken slots stay rows: equal ``t_i - i`` (a run
+of neighbouring slots) make one gap row with its count, and one running sum
+over movers (at their rank) and gap rows gives the number to add, so the work
+is movers plus gaps, never their product.
 
 Work per call:
 
-* group stats: existing names are cut to the destination folders (semi
-  join on the distinct folders) and exploded into the (group, slot) keys
-  they occupy; one aggregation over those and the movers' keys gives each
-  contested group its mover count and taken slots.  The result is written
-  once; the groups with taken slots are broadcast only when their row count
-  is under ``session.BROADCAST_ROWS``, else joined by shuffle;
+* slots: existing names are cut to the destination folders (semi join on the
+  distinct folders) and exploded into the (group, slot) keys they occupy; one
+  aggregation over those and the movers' keys is written once: a group's mover
+  count and its taken slots, as rows;
 * ranking: one shuffle of the movers by group and a row_number;
-* hot groups: groups with more than ``hot_rows`` movers -- at most
-  movers / hot_rows of them, a proven bound, so broadcast -- are ranked
+* gaps: only movers of groups with taken slots go through the running sum; the
+  list of those groups is broadcast only when its row count is under
+  ``session.BROADCAST_ROWS``, else joined by shuffle;
+* hot groups: groups with more than ``hot_rows`` rows -- at most rows /
+  hot_rows of them, a proven bound, so broadcast -- are ranked and summed
   instead by a range partitioning on (group, order), which splits a group at
-  any row; the counts per group and partition give the offsets.  Both ways
+  any row; the totals per group and partition give the offsets.  Both ways
   follow the same order, so a group's size never changes a result.
 """
 
@@ -53,25 +56,45 @@ def name_slots(dir_col: Column, name_col: Column, bare: bool = True) -> Column:
     return F.concat(F.array(own), arr_k) if bare else arr_k
 
 
-def group_stats(m: DataFrame, dir_col: str, name_col: str, existing: DataFrame) -> DataFrame:
-    """One row per contested group: mover count ``_n`` and sorted taken
-    slots ``_taken``.  Existing names are first cut to the destination
-    folders (semi join on the distinct folders, a runtime-sized aggregate),
-    then one aggregation over movers' keys and occupied slots -- no broadcast
-    of the movers themselves."""
+def group_slots(m: DataFrame, dir_col: str, name_col: str, existing: DataFrame) -> DataFrame:
+    """Rows (group, slot, _c): the movers of a group at slot NULL with their
+    count, and every slot taken by an existing name or by the look of a
+    mover's own name.  Existing names are first cut to the destination folders
+    (semi join on the distinct folders, a runtime-sized aggregate)."""
     dirs = m.select(F.col(dir_col).alias("dir")).distinct()
     ex = existing.join(dirs, "dir", "left_semi")
     occupied = (ex.select(F.explode(name_slots(F.col("dir"), F.col("name"))).alias("t"))
                 .unionByName(m.select(F.explode(name_slots(F.col(dir_col), F.col(name_col), bare=False)).alias("t")))
-                .select("t._d", "t._s", "t._x", "t.slot", F.lit(0).alias("_one")))
+                .select("t._d", "t._s", "t._x", "t.slot", F.lit(0).alias("_one"))
+                .where("slot is not null"))  # a number beyond every slot takes none
     keys = m.select(*_K, F.lit(None).cast("int").alias("slot"), F.lit(1).alias("_one"))
-    # a plain hash aggregate first collapses the movers to one row per group
-    # (slot NULL) and occupied slots to one row each; the object aggregate
-    # (collect_set) then sees only those
-    per_slot = keys.unionByName(occupied).groupBy(*_K, "slot").agg(F.sum("_one").alias("_c"))
-    return (per_slot.groupBy(*_K)
-                    .agg(F.sum("_c").alias("_n"), F.array_sort(F.collect_set("slot")).alias("_taken"))
-                    .filter(F.col("_n") > 0))
+    return keys.unionByName(occupied).groupBy(*_K, "slot").agg(F.sum("_one").alias("_c"))
+
+
+def _numbered(rows: DataFrame, order: list[Column], hot: DataFrame | None, value: Column | None = None) -> DataFrame:
+    """``_t``: the sum of ``value`` over a group's rows up to each row by
+    ``order``; without ``value`` the row's 0-based place."""
+    upto = Window.partitionBy(*_K).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = (F.sum(value).over(upto) if value is not None else F.count(F.lit(1)).over(upto) - 1).cast("bigint")
+    if hot is None:
+        return rows.withColumn("_t", total)
+    return (rows.join(hot, _K, "left_anti").withColumn("_t", total)
+                .unionByName(_by_range(rows.join(hot, _K, "left_semi"), order, value)))
+
+
+def _by_range(rows: DataFrame, order: list[Column], value: Column | None) -> DataFrame:
+    """``_t`` of groups too large for one task.  The ranges are written before
+    they are summed."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = materialize(rows.repartitionByRange(parts, *_K, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    one = F.lit(1) if value is None else value
+    here = Window.partitionBy(*_K, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*_K).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one row per hot group and range: a proven bound
+    shift = F.broadcast(t.groupBy(*_K, "_p").agg(F.sum(one).alias("_c0"))
+                        .select(*_K, "_p", F.coalesce(F.sum("_c0").over(before), F.lit(0)).alias("_s0")))
+    return (t.withColumn("_t", F.sum(one).over(here)).join(shift, [*_K, "_p"])
+             .withColumn("_t", (F.col("_t") + F.col("_s0") - (1 if value is None else 0)).cast("bigint")).drop("_p", "_s0"))
 
 
 def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataFrame,
@@ -85,37 +108,30 @@ def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataF
     name = F.col(name_col)
     m = movers.withColumns({"_d": F.col(dir_col), "_s": P.stem_of(name), "_x": P.raw_suffix(name)})
 
-    stats = materialize(group_stats(m, dir_col, name_col, existing), "groups")
-    taken = small_side(stats.filter(F.size("_taken") > 0).select(*_K, "_taken"), "taken", store=False)
-    # at most movers / hot_rows groups: a proven bound
-    hot = F.broadcast(stats.filter(F.col("_n") > hot_rows).select(*_K, "_n"))
-    rank = (F.row_number().over(Window.partitionBy(*_K).orderBy(*order)) - 1).cast("bigint")
-    if hot.isEmpty():
-        ranked = m.withColumn("_r", rank)
-    else:
-        ranked = (m.join(hot, _K, "left_anti").withColumn("_r", rank)
-                   .unionByName(_rank_by_range(m.join(hot, _K, "left_semi"), order)))
-    r = ranked.join(taken, _K, "left")
-    adj = F.transform(F.coalesce(F.col("_taken"), F.array().cast("array<int>")), lambda x, i: x - i)
-    slot = F.col("_r") + F.size(F.filter(adj, lambda x: x <= F.col("_r")))
+    slots = materialize(group_slots(m, dir_col, name_col, existing), "slots")
+    groups = slots.where("slot is null").select(*_K, F.col("_c").alias("_n"))
+    taken = slots.where("slot is not null").select(*_K, "slot").join(groups, _K)
+    # at most rows / hot_rows groups: a proven bound
+    rows = F.sum(F.coalesce(F.when(F.col("slot").isNull(), F.col("_c")), F.lit(1)))
+    hot = slots.groupBy(*_K).agg(rows.alias("_n")).where(F.col("_n") > hot_rows).select(*_K)
+    hot = None if hot.isEmpty() else F.broadcast(materialize(hot, "hot"))
+    gap = (F.col("slot") - F.col("_t")).alias("_key")
+    gaps = (_numbered(taken, [F.col("slot")], hot).select(*_K, gap, "_n")
+            .where("_key < _n")  # beyond the last mover's rank
+            .groupBy(*_K, "_key").agg(F.count(F.lit(1)).alias("_c")))
+    gaps = materialize(gaps, "gaps")
+    gapped = small_side(gaps.select(*_K).distinct().withColumn("_gapped", F.lit(True)), "gapped", store=False)
+
+    ranked = _numbered(m, order, hot).withColumnRenamed("_t", "_key").join(gapped, _K, "left")
+    inside = ranked.where("_gapped").drop("_gapped").withColumns({"_kind": F.lit(1), "_c": F.lit(0).cast("bigint")})
+    both = inside.unionByName(gaps.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    summed = _numbered(both, [F.col("_key"), F.col("_kind")], hot, F.col("_c")).where("_kind = 1")
+    r = (ranked.where("_gapped is null").drop("_gapped").withColumn("_slot", F.col("_key")).drop("_key")
+         .unionByName(summed.withColumn("_slot", F.col("_key") + F.col("_t")).drop("_key", "_kind", "_c", "_t")))
+    slot = F.col("_slot")
     dest_name = F.when(slot == 0, name).otherwise(F.concat(F.col("_s"), F.lit("_"), slot.cast("string"), F.col("_x")))
     d = F.col(dir_col)
     return (r.withColumn("dest_name", dest_name)
              .withColumn("dest", F.when(d.endswith("/"), F.concat(d, "dest_name"))
                          .otherwise(F.concat(d, F.lit("/"), F.col("dest_name"))))
-             .drop(*_K, "_taken", "_r"))
-
-
-def _rank_by_range(m: DataFrame, order: list[Column]) -> DataFrame:
-    """``_r``: 0-based place of each mover in its group, for groups too large
-    for one task.  The numbered rows are written before they are counted."""
-    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = (m.repartitionByRange(parts, *_K, *order).sortWithinPartitions(*_K, *order)
-          .withColumn("_p", F.spark_partition_id())
-          .withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    t = materialize(t, "ranked")
-    counts = t.groupBy(*_K, "_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_first"))
-    before = Window.partitionBy(*_K).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    # at most one row per hot group and partition: a proven bound
-    shift = F.broadcast(counts.select(*_K, "_p", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_s0")))
-    return t.join(shift, [*_K, "_p"]).withColumn("_r", F.col("_i") + F.col("_s0")).drop("_p", "_i", "_s0")
+             .drop(*_K, "_slot"))

@@ -43,3 +43,19 @@ def test_mover_bare_name_blocks_slot_of_other_group(spark):
     empty = spark.createDataFrame([], "dir string, name string")
     dests = {r.path: r.dest for r in assign_slots(movers, "dir", "name", empty).collect()}
     assert dests == {"/a/x.txt": "/d/x.txt", "/b/x.txt": "/d/x_2.txt", "/c/x_1.txt": "/d/x_1.txt"}
+
+
+def test_scattered_taken_slots_match_brute_force(spark):
+    taken = [0, 1, 2, 5, 7, 8, 11, 13, 17, 40, 1000]
+    existing = spark.createDataFrame([("/dst", "x.txt" if k == 0 else f"x_{k}.txt") for k in taken], "dir string, name string")
+    free = [s for s in range(60) if s not in taken][:30]
+    for hot_rows in (1_000_000, 5):
+        out = assign_slots(_movers(spark, 30), "dir", "name", existing, hot_rows=hot_rows).orderBy("path").collect()
+        assert [_slot(r.dest) for r in out] == free
+
+
+def test_taken_slots_travel_as_rows(spark):
+    existing = spark.createDataFrame([("/dst", f"x_{k}.txt") for k in range(1, 40, 2)], "dir string, name string")
+    out = assign_slots(_movers(spark, 4), "dir", "name", existing)
+    assert "array<" not in out._jdf.queryExecution().analyzed().toString().lower()
+    assert sorted(_slot(r.dest) for r in out.collect()) == [0, 2, 4, 6]
