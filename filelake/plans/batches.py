@@ -48,5 +48,7 @@ def delete_batches(plan: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame
 
 
 def write_batches(batches: DataFrame, location: str) -> None:
-    """One folder per batch, ready for a bulk remover."""
-    batches.write.mode("overwrite").partitionBy("batch_id").parquet(location)
+    """Range files in batch order with ``batch_id`` as a column, so the number
+    of files follows the data's size and not the number of batches; a remover
+    reads one batch by a filter that prunes files by their statistics."""
+    batches.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "idx").write.mode("overwrite").parquet(location)
