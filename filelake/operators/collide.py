@@ -120,14 +120,17 @@ def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataF
             .where("_key < _n")  # beyond the last mover's rank
             .groupBy(*_K, "_key").agg(F.count(F.lit(1)).alias("_c")))
     gaps = materialize(gaps, "gaps")
-    gapped = small_side(gaps.select(*_K).distinct().withColumn("_gapped", F.lit(True)), "gapped", store=False)
-
-    ranked = _numbered(m, order, hot).withColumnRenamed("_t", "_key").join(gapped, _K, "left")
-    inside = ranked.where("_gapped").drop("_gapped").withColumns({"_kind": F.lit(1), "_c": F.lit(0).cast("bigint")})
-    both = inside.unionByName(gaps.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    summed = _numbered(both, [F.col("_key"), F.col("_kind")], hot, F.col("_c")).where("_kind = 1")
-    r = (ranked.where("_gapped is null").drop("_gapped").withColumn("_slot", F.col("_key")).drop("_key")
-         .unionByName(summed.withColumn("_slot", F.col("_key") + F.col("_t")).drop("_key", "_kind", "_c", "_t")))
+    ranked = _numbered(m, order, hot).withColumnRenamed("_t", "_key")
+    if gaps.isEmpty():
+        r = ranked.withColumnRenamed("_key", "_slot")
+    else:
+        gapped = small_side(gaps.select(*_K).distinct().withColumn("_gapped", F.lit(True)), "gapped", store=False)
+        ranked = materialize(ranked.join(gapped, _K, "left"), "movers")  # read by both branches
+        inside = ranked.where("_gapped").drop("_gapped").withColumns({"_kind": F.lit(1), "_c": F.lit(0).cast("bigint")})
+        both = inside.unionByName(gaps.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+        summed = _numbered(both, [F.col("_key"), F.col("_kind")], hot, F.col("_c")).where("_kind = 1")
+        r = (ranked.where("_gapped is null").drop("_gapped").withColumnRenamed("_key", "_slot")
+             .unionByName(summed.withColumn("_slot", F.col("_key") + F.col("_t")).drop("_key", "_kind", "_c", "_t")))
     slot = F.col("_slot")
     dest_name = F.when(slot == 0, name).otherwise(F.concat(F.col("_s"), F.lit("_"), slot.cast("string"), F.col("_x")))
     d = F.col(dir_col)
