@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,14 @@ def q_snapshot_largest(spark, sf_dir):
     return _snap(spark, sf_dir).largest.select(F.col("rank").cast("bigint"), "path", "size_bytes")
 
 
+@register("snapshot_quick")
+def q_snapshot_quick(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    rec = S.snapshot(man, ROOT, quick=True, dirs=FX.directories(spark, man).select("path")).record()
+    return rec.select("summary.total_files", "summary.total_size_bytes", F.size("by_extension").cast("bigint").alias("n_extensions"),
+                      F.size("largest_files").cast("bigint").alias("n_largest"))
+
+
 @register("snapshot_summary")
 def q_snapshot_summary(spark, sf_dir):
     return _snap(spark, sf_dir).summary
@@ -151,6 +160,16 @@ for _t in ("mixed", "documents", "music", "pictures", "videos"):
     register(f"sort_{_t}")(_sorted(_t))
 
 
+@register("sort_auto_families")
+def q_sort_auto_families(spark, sf_dir):
+    """Files of one extension family at a time, sorted by the detected type."""
+    man = FX.manifest(spark, sf_dir)
+    families = {"documents": C.DOCUMENT_EXTS, "music": C.MUSIC_EXTS, "pictures": C.PICTURE_EXTS, "videos": C.VIDEO_EXTS}
+    parts = [CL.classify(man.filter(F.col("ext").isin(list(exts))), ROOT, "auto").select(F.lit(t).alias("family"), "path", "category")
+             for t, exts in families.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("sort_plan_collisions")
 def q_sort_plan_collisions(spark, sf_dir):
     return SO.sort_plan(FX.manifest(spark, sf_dir), ROOT).select("path", "action", "dest")
@@ -202,6 +221,21 @@ def q_consolidate_summary(spark, sf_dir):
     return CO.consolidate_summary(FX.manifest(spark, sf_dir), ROOT, TARGET)
 
 
+@register("consolidate_presets")
+def q_consolidate_presets(spark, sf_dir):
+    man = FX.manifest(spark, sf_dir)
+    parts = [CO.consolidate_plan(man, ROOT, TARGET, file_type=t).select(F.lit(t).alias("preset"), "path", "size", "action", "dest")
+             for t in C.PRESETS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("consolidate_target_tree")
+def q_consolidate_target_tree(spark, sf_dir):
+    """The target is a tree of its own: an older inventory below /archive."""
+    old = FX.previous_manifest(spark, sf_dir).withColumn("path", F.concat(F.lit("/archive"), "path"))
+    return CO.consolidate_plan(FX.manifest(spark, sf_dir), ROOT, "/archive", target_manifest=old).select("path", "size", "action", "dest")
+
+
 # --- clean ---------------------------------------------------------------------------
 
 
@@ -290,6 +324,16 @@ def q_verify_plan(spark, sf_dir):
     return AP.verify_plan(plan, cur).select("path", "action", "status")
 
 
+@register("verify_plan_sort")
+def q_verify_plan_sort(spark, sf_dir):
+    """A sort planned earlier, when some files lie in the music folder by now."""
+    plan = SO.sort_plan(FX.previous_manifest(spark, sf_dir), ROOT)
+    cur = FX.current_manifest(spark, sf_dir)
+    there = cur.filter(F.col("ext") == ".mp3").select(F.concat(F.lit("/drive/Music/"), "name").alias("path"), "size")
+    cur = cur.select("path", "size").unionByName(there).groupBy("path").agg(F.max("size").alias("size"))
+    return AP.verify_plan(plan, cur).select("path", "action", "status")
+
+
 @register("oplog_recover")
 def q_oplog_recover(spark, sf_dir):
     return OL.op_log_recover(FX.oplog_events(spark, sf_dir)).select(

@@ -18,7 +18,7 @@ from filelake.functions import paths as P
 from filelake.functions.fmt import size_text
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
-from filelake.session import materialize, small_side
+from filelake.session import join_side, materialize
 from filelake.sources.manifest import ensure_md5, prune_root, prune_skipped
 
 
@@ -105,10 +105,9 @@ def _compared(manifest: DataFrame, source: str, target: str, min_size: int, file
 
 def _judge(manifest: DataFrame, target: str, source: str, files: DataFrame) -> DataFrame:
     files = files.filter(F.col("md5").isNotNull())
-    keys = small_side(files.filter("in_target").select("md5", "size").distinct()
-                      .withColumn("in_target_copy", F.lit(True)), "consolidate-keys")
+    keys = files.filter("in_target").select("md5", "size").distinct().withColumn("in_target_copy", F.lit(True))
     # judged once (one left join on the content key), then read by both branches
-    outside = materialize(files.filter(~F.col("in_target")).join(keys, ["md5", "size"], "left")
+    outside = materialize(join_side(files.filter(~F.col("in_target")), keys, ["md5", "size"], "left", "consolidate-keys")
                           .select("path", "size", "md5", "name",
                                   F.coalesce(F.col("in_target_copy"), F.lit(False)).alias("dup")), "consolidate")
     dup = F.col("dup")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.operators import filters as FL
-from filelake.session import materialize, small_side
+from filelake.session import join_side, materialize
 from filelake.sources.files import hash_paths
 from filelake.sources.manifest import with_md5
 
@@ -125,8 +125,7 @@ def dedup_plan(manifest: DataFrame, root: str, min_size: int = C.DEDUP_MIN_SIZE,
     files = hashed(candidates(manifest, root, min_size, include, exclude, skip_dirs))
     # the group table is written once and broadcast when its row count allows,
     # so the members are not shuffled a second time for the join back
-    g = small_side(groups(files, strategy), "dedup-groups")
-    members = files.select("path", "size", "md5").join(g, ["md5", "size"], "inner")
+    members = join_side(files.select("path", "size", "md5"), groups(files, strategy), ["md5", "size"], tag="dedup-groups")
     action = F.when(F.col("path") == F.col("keeper_path"), "keep").otherwise("delete")
     return members.select(
         "path", "size", "md5", "keeper_path", action.alias("action"),

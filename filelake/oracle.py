@@ -7,7 +7,33 @@ Spark derivation cannot hide in both.
 
 from __future__ import annotations
 
-from filelake import constants as C
+# Fixed values, stated here again so that a wrong one in the engine cannot pass.
+_DOCUMENTS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".txt", ".rtf", ".csv", ".odt", ".ods",
+              ".odp")
+_MUSIC = (".mp3", ".flac", ".wav", ".aac", ".ogg", ".wma", ".m4a", ".aiff", ".alac")
+_PICTURES = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".raw", ".psd", ".ai", ".heic", ".heif", ".cr2",
+             ".nef", ".orf", ".sr2", ".dng")
+_VIDEOS = (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".3gp")
+_DESIGN = (".psd", ".psb", ".ai", ".indd", ".svg")
+_IMAGES = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".heic", ".heif", ".raw", ".cr2",
+           ".nef", ".orf", ".sr2", ".dng")
+_PROFESSIONNEL = ("sofitel", "presentation rh", "sem", "thiercelin", "vivawere", "budget", "ceg", "fiscalite",
+                  "fiscalité")
+_PERSONNEL = ("desktop", "downloads", "mes documents", "omar", "nm", "divers", "a_trier", "documents")
+_RESSOURCES = ("pdf", "zips", "a_renommer", "onedrive")
+_FILMS = ("_from_movie", "_from_films", "_from_movies", "_from_film", "_from_ro", "_from_f03")
+_FAMILLE = ("_from_pellicule", "_from_videos", "_from_vidéos", "_from_home videos", "_from_attachments",
+            "_from_sent")
+_RENAME_PROTECTED_NAMES = ("$RECYCLE.BIN", "System Volume Information", ".git", "Ops", "handoff-archive")
+_CLEAN_PROTECTED_NAMES = ("$RECYCLE.BIN", "System Volume Information", ".git")
+_PRESETS = {
+    "documents": (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".txt", ".rtf", ".odt", ".ods", ".odp", ".csv",
+                  ".tsv"),
+    "music": (".mp3", ".m4a", ".flac", ".wma", ".aac", ".ogg", ".wav"),
+    "pictures": (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".heic", ".webp", ".svg", ".raw", ".cr2", ".nef"),
+    "videos": (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".mpg", ".mpeg", ".3gp"),
+    "email": (".pst", ".ost", ".msg", ".eml"),
+}
 
 # Fixture manifest, as SQL (DuckDB dialect: strlen = byte length).
 _MANIFEST = """
@@ -39,7 +65,7 @@ _MANIFEST = """
              WHEN g % 6 = 4 THEN concat('N_20240115_', lpad(CAST(g AS VARCHAR), 6, '0'))
              ELSE concat('f', CAST(g AS VARCHAR)) END) AS stem,
       CASE WHEN e = 1 THEN ' (2)' WHEN e = 2 THEN ' - Copie' WHEN v = 0 THEN '' WHEN v = 1 THEN ' (1)' ELSE ' - Copy' END AS marker,
-      CASE WHEN g % 23 = 9 THEN '.tar.gz' WHEN g % 23 = 11 THEN '.psd'
+      CASE WHEN g % 23 = 9 THEN '.tar.gz' WHEN g % 23 = 11 THEN '.psd' WHEN g % 23 = 15 THEN '.eml'
            ELSE CASE g % 6 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' WHEN 2 THEN '.jpg'
                 WHEN 3 THEN '.mp3' WHEN 4 THEN '.mp4' ELSE '.tmp' END END AS ext0
     FROM ex
@@ -233,38 +259,38 @@ SFILES = """sfiles AS (
   FROM m
 )"""
 
-_FAMILY = f"""CASE WHEN ext IN {_in(C.DOCUMENT_EXTS)} THEN 'documents'
-  WHEN ext IN {_in(C.MUSIC_EXTS)} THEN 'music' WHEN ext IN {_in(C.PICTURE_EXTS)} THEN 'pictures'
-  WHEN ext IN {_in(C.VIDEO_EXTS)} THEN 'videos' END"""
+_FAMILY = f"""CASE WHEN ext IN {_in(_DOCUMENTS)} THEN 'documents'
+  WHEN ext IN {_in(_MUSIC)} THEN 'music' WHEN ext IN {_in(_PICTURES)} THEN 'pictures'
+  WHEN ext IN {_in(_VIDEOS)} THEN 'videos' END"""
 
 _CAT = {
-    "mixed": f"""CASE WHEN ext IN {_in(C.DOCUMENT_EXTS)} THEN 'Documents'
-  WHEN ext IN {_in(C.MUSIC_EXTS)} THEN 'Music' WHEN ext IN {_in(C.PICTURE_EXTS)} THEN 'Pictures'
-  WHEN ext IN {_in(C.VIDEO_EXTS)} THEN 'Videos' ELSE '_Misc' END""",
-    "documents": f"""CASE WHEN ext IN {_in(C.DOCUMENT_EXTS)} OR ext = '' THEN
-  CASE WHEN {_any_contains('lower(top)', C.PROFESSIONNEL_PATTERNS)} THEN '05_Professionnel'
-       WHEN {_any_contains('lower(top)', C.PERSONNEL_PATTERNS)} THEN '07_Personnel'
-       WHEN {_any_contains('lower(top)', C.RESSOURCES_PATTERNS)} THEN '06_Ressources_et_Documentation'
+    "mixed": f"""CASE WHEN ext IN {_in(_DOCUMENTS)} THEN 'Documents'
+  WHEN ext IN {_in(_MUSIC)} THEN 'Music' WHEN ext IN {_in(_PICTURES)} THEN 'Pictures'
+  WHEN ext IN {_in(_VIDEOS)} THEN 'Videos' ELSE '_Misc' END""",
+    "documents": f"""CASE WHEN ext IN {_in(_DOCUMENTS)} OR ext = '' THEN
+  CASE WHEN {_any_contains('lower(top)', _PROFESSIONNEL)} THEN '05_Professionnel'
+       WHEN {_any_contains('lower(top)', _PERSONNEL)} THEN '07_Personnel'
+       WHEN {_any_contains('lower(top)', _RESSOURCES)} THEN '06_Ressources_et_Documentation'
        WHEN regexp_matches(top, '^_from_[0-9]+$') THEN '07_Personnel'
        ELSE '_Unclassified' END END""",
-    "music": f"""CASE WHEN ext IN {_in(C.MUSIC_EXTS)} THEN coalesce(
+    "music": f"""CASE WHEN ext IN {_in(_MUSIC)} THEN coalesce(
   CASE WHEN artist <> '' THEN translate(artist, '/\\', '__') END,
   CASE WHEN starts_with(parent_name, '_from_')
        THEN '_Various/' || array_to_string(list_transform(string_split(substr(parent_name, 7), ' '),
          lambda w: upper(w[1]) || lower(w[2:])), ' ') END,
   '_Unknown') END""",
-    "pictures": f"""CASE WHEN ext IN {_in(C.DESIGN_EXTS)} THEN '_Design'
-  WHEN ext IN {_in(C.IMAGE_EXTS)} THEN coalesce(CAST(coalesce(
+    "pictures": f"""CASE WHEN ext IN {_in(_DESIGN)} THEN '_Design'
+  WHEN ext IN {_in(_IMAGES)} THEN coalesce(CAST(coalesce(
     nullif(TRY_CAST(regexp_extract(exif_date, '^([0-9]{{4}}):([0-9]{{2}}):([0-9]{{2}})', 1) AS INTEGER), 0),
     (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '^([0-9]{{4}})[0-9]{{4}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030),
     (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '(?i)^(?:IMG|VID|PHOTO)_([0-9]{{4}})[0-9]{{4}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030),
     (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '([0-9]{{4}})[-_][0-9]{{2}}[-_][0-9]{{2}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030)
   ) AS VARCHAR), '_Undated') END""",
-    "videos": f"""CASE WHEN ext IN {_in(C.VIDEO_EXTS)} THEN
+    "videos": f"""CASE WHEN ext IN {_in(_VIDEOS)} THEN
   CASE WHEN regexp_matches(name, '(?i)^N_[0-9]{{8}}_[0-9]{{6}}\\.mp4$') THEN 'Dashcam'
-       WHEN lower(top) IN {_in(C.FILM_SOURCES)} THEN 'Films'
-       WHEN lower(top) = '{C.WHATSAPP_SOURCE}' THEN 'WhatsApp Video'
-       WHEN lower(top) IN {_in(C.FAMILLE_SOURCES)} THEN 'Famille'
+       WHEN lower(top) IN {_in(_FILMS)} THEN 'Films'
+       WHEN lower(top) = '_from_whatsapp video' THEN 'WhatsApp Video'
+       WHEN lower(top) IN {_in(_FAMILLE)} THEN 'Famille'
        ELSE '_Misc' END END""",
 }
 
@@ -313,7 +339,7 @@ SELECT category, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM spl
 
 # --- rename -----------------------------------------------------------------------------
 
-_RENAME_PROTECTED = "(" + " OR ".join(f"contains(rel_parent, '{p}')" for p in C.RENAME_PROTECTED) + ")"
+_RENAME_PROTECTED = "(" + " OR ".join(f"contains(rel_parent, '{p}')" for p in _RENAME_PROTECTED_NAMES) + ")"
 _RENAME = f"""c0 AS (
   SELECT path, parent, name, size, md5,
          regexp_extract(name, '^.+([.][^.]+)$', 1) AS sfx,
@@ -370,7 +396,7 @@ FROM plan"""
 
 # --- consolidate ------------------------------------------------------------------------
 
-_ALL_PRESET = sorted({e for v in C.PRESETS.values() for e in v})
+_ALL_PRESET = sorted({e for v in _PRESETS.values() for e in v})
 _CONS_SKIP = r"(^|/)(\$RECYCLE\.BIN|System Volume Information|\.Trash-[^/]*|__pycache__|\.git|node_modules|\.vscode|\.idea)(/|$)"
 _CONSOLIDATE = f"""cs AS (
   SELECT path, size, md5, name,
@@ -407,7 +433,7 @@ FROM cp"""
 
 # --- clean --------------------------------------------------------------------------------
 
-_CLEAN_PROT = "(" + " OR ".join(f"contains(rel_parent, '{p}')" for p in C.CLEAN_PROTECTED) + ")"
+_CLEAN_PROT = "(" + " OR ".join(f"contains(rel_parent, '{p}')" for p in _CLEAN_PROTECTED_NAMES) + ")"
 _JUNK = r"^(desktop\.ini|Desktop\.ini|Thumbs\.db|thumbs\.db|\.DS_Store|ntuser\.ini|ntuser\.dat.*|NTUSER\.DAT.*|~\$.*|~WRL.*\.tmp|~WRF.*\.tmp|.*\.tmp|\.~lock\..*)$"
 ORACLE["junk_files"] = f"""WITH {M}
 SELECT path, size FROM m WHERE NOT {_CLEAN_PROT} AND regexp_matches(name, '{_JUNK}')"""
@@ -421,7 +447,7 @@ _DIRS = f"""alld AS (
   UNION SELECT '/drive/' || rel FROM (VALUES {_EXTRA_DIRS}) v(rel)
 ), dd AS (
   SELECT path, len(string_split(path, '/')) AS depth,
-         {" OR ".join(f"contains(substr(path, 8), '{p}')" for p in C.CLEAN_PROTECTED)} AS prot
+         {" OR ".join(f"contains(substr(path, 8), '{p}')" for p in _CLEAN_PROTECTED_NAMES)} AS prot
   FROM alld
 )"""
 ORACLE["empty_dirs"] = f"""WITH {M}, {_DIRS},
@@ -574,7 +600,7 @@ SELECT path,
     (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '(?i)^(?:IMG|VID|PHOTO)_([0-9]{{4}})[0-9]{{4}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030),
     (SELECT y FROM (SELECT TRY_CAST(regexp_extract(name, '([0-9]{{4}})[-_][0-9]{{2}}[-_][0-9]{{2}}', 1) AS INTEGER) AS y) WHERE y BETWEEN 1990 AND 2030)
   ) AS BIGINT) AS name_year
-FROM m WHERE ext IN {_in(C.IMAGE_EXTS)}"""
+FROM m WHERE ext IN {_in(_IMAGES)}"""
 
 ORACLE["staging_subdirs"] = f"""WITH {M}, {_CONSOLIDATE.replace('AS in_target,', 'AS in_target, rel,')}
 SELECT path, in_target,
@@ -652,3 +678,45 @@ SELECT count_if(action = 'move') AS files_moved, count_if(action = 'delete') AS
        {_fmt("coalesce(sum(CASE WHEN action = 'delete' THEN size END), 0)", 1, False, ["B", "KB", "MB", "GB", "TB"], "PB")}
          AS space_freed_human
 FROM cp"""
+
+ORACLE["consolidate_presets"] = " UNION ALL ".join(
+    f"SELECT * FROM (WITH {M}, {_CONSOLIDATE.replace(_in(_ALL_PRESET), _in(v))} SELECT '{k}' AS preset, * FROM cp)"
+    for k, v in _PRESETS.items())
+
+# the target is its own tree: the files of an older inventory, below /archive
+ORACLE["consolidate_target_tree"] = f"""WITH {M},
+w AS (SELECT path, size, md5, name, rel, false AS archived FROM m
+      UNION ALL SELECT '/archive' || path, size, md5, name, NULL, true FROM {manifest_sql('doc_id % 10 <> 0')} o),
+cs AS (
+  SELECT path, size, md5, name, archived AND NOT list_contains(string_split(lower(path), '/'), '_staging') AS in_target,
+         string_split(rel, '/') AS parts
+  FROM w WHERE NOT regexp_matches(regexp_replace(substr(path, CASE WHEN archived THEN 10 ELSE 8 END), '/?[^/]*$', ''), '{_CONS_SKIP}')
+    AND lower(regexp_extract(name, '^.+([.][^.]+)$', 1)) IN {_in(_ALL_PRESET)} AND size >= 100
+), keys AS (SELECT DISTINCT md5, size FROM cs WHERE in_target AND md5 IS NOT NULL)
+SELECT o.path, o.size, CASE WHEN k.md5 IS NOT NULL THEN 'delete' ELSE 'move' END AS action,
+       CASE WHEN k.md5 IS NULL THEN '/archive/_STAGING/' ||
+         CASE WHEN parts IS NULL OR len(parts) < 2 THEN '_from_root'
+              WHEN parts[-2] IN ('source', 'files', 'data') AND len(parts) >= 3 THEN '_from_' || parts[-3] || '_' || parts[-2]
+              ELSE '_from_' || parts[-2] END || '/' || name END AS dest
+FROM cs o LEFT JOIN keys k ON o.md5 = k.md5 AND o.size = k.size
+WHERE NOT o.in_target AND o.md5 IS NOT NULL"""
+
+ORACLE["snapshot_quick"] = f"""WITH {_snap_ctes()}
+SELECT s.total_files, s.total_size_bytes, (SELECT count(*) FROM byext) AS n_extensions, CAST(0 AS BIGINT) AS n_largest
+FROM summary s"""
+
+# a sort planned on the older inventory, checked when some files lie in the music folder already
+ORACLE["verify_plan_sort"] = f"""WITH {_PREV}, {SFILES}, {_SORT_PLAN},
+c0 AS (SELECT path, name, ext, size FROM {manifest_sql('doc_id % 13 <> 0')} y),
+cur AS (SELECT path, max(size) AS size FROM (
+  SELECT path, size FROM c0 UNION ALL SELECT '/drive/Music/' || name, size FROM c0 WHERE ext = '.mp3') u GROUP BY path)
+SELECT p.path, p.action,
+       CASE WHEN c.path IS NULL THEN 'already_gone' WHEN c.size <> p.size THEN 'size_changed'
+            WHEN p.action = 'move' AND d.path IS NOT NULL THEN 'dest_exists' ELSE 'ok' END AS status
+FROM spl p LEFT JOIN cur c ON c.path = p.path LEFT JOIN cur d ON d.path = p.dest"""
+
+# one lake per extension family: the type is detected, then its rules sort
+ORACLE["sort_auto_families"] = f"WITH {M}, {SFILES}\n" + " UNION ALL ".join(
+    f"SELECT '{t}' AS family, path, category FROM (SELECT path, {_CAT[t]} AS category FROM sfiles WHERE ext IN {_in(v)}) x "
+    "WHERE category IS NOT NULL" for t, v in
+    {"documents": _DOCUMENTS, "music": _MUSIC, "pictures": _PICTURES, "videos": _VIDEOS}.items())

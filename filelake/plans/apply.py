@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelake.functions import paths as P
+from filelake.session import join_side
 
 _DERIVED = ("parent", "name", "ext")
 
@@ -52,13 +53,17 @@ def verify_plan(plan: DataFrame, current: DataFrame) -> DataFrame:
     * its size changed -> 'size_changed' (fails);
     * a move whose destination now exists -> 'dest_exists';
     * otherwise 'ok'.
+
+    One keeper may own any share of the plan, so the distinct keepers are looked
+    up once and joined back by ``session.join_side``.
     """
     cur = current.select("path", F.col("size").alias("_cur_size"))
     j = plan.join(cur, "path", "left")
     has_keeper = "keeper_path" in plan.columns
     if has_keeper:
         kc = current.select(F.col("path").alias("keeper_path"), F.col("size").alias("_keeper_size"))
-        j = j.join(kc, "keeper_path", "left")
+        kept = plan.where("keeper_path is not null").select("keeper_path").distinct().join(kc, "keeper_path")
+        j = join_side(j, kept, ["keeper_path"], "left", "keepers")
         keeper_missing = F.col("keeper_path").isNotNull() & F.col("_keeper_size").isNull()
         keeper_changed = F.col("keeper_path").isNotNull() & (F.col("_keeper_size") != F.col("size"))
     else:

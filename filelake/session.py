@@ -95,3 +95,27 @@ def small_side(df, tag: str, max_rows: int = BROADCAST_ROWS, store: bool = True)
 
     side = materialize(df, tag) if store else df
     return F.broadcast(side) if side.count() <= max_rows else side
+
+
+HOT_KEY_ROWS = 2_000_000  # rows of one key that are still left to one task
+
+
+def join_side(rows, side, on: list[str], how: str = "inner", tag: str = "side",
+              max_rows: int | None = None, hot_rows: int | None = None):
+    """Join ``rows`` to ``side`` (at most one row per key, written once).  Up to
+    ``max_rows`` rows of it are broadcast.  Beyond that it is a shuffle join of
+    all but the keys with more than ``hot_rows`` rows: there are at most rows /
+    ``hot_rows`` of those, a proven bound, so their rows stay where they are and
+    get their part of the side by broadcast."""
+    from pyspark.sql import functions as F
+
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    side = materialize(side, tag)
+    if side.count() <= max_rows:
+        return rows.join(F.broadcast(side), on, how)
+    keys = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*on)
+    hot = F.broadcast(materialize(keys, f"{tag}-hot"))
+    few = F.broadcast(side.join(hot, on, "left_semi"))
+    return (rows.join(hot, on, "left_anti").join(side, on, how)
+            .unionByName(rows.join(hot, on, "left_semi").join(few, on, how)))

@@ -69,7 +69,7 @@ def fixture_manifest(documents: DataFrame, keep: Column | None = None) -> DataFr
     # no file lies at the clean path of these groups' copies
     stem = F.when((e == 0) & (v == 0) & (g % 5 == 0), F.concat(F.lit("only_"), stem)).otherwise(stem)
     marker = _case(e, {1: F.lit(" (2)"), 2: F.lit(" - Copie")}, _case(v, {0: F.lit(""), 1: F.lit(" (1)")}, F.lit(" - Copy")))
-    ext0 = _case(g23, {9: F.lit(".tar.gz"), 11: F.lit(".psd")},
+    ext0 = _case(g23, {9: F.lit(".tar.gz"), 11: F.lit(".psd"), 15: F.lit(".eml")},
                  _case(g6, {0: F.lit(".txt"), 1: F.lit(".PDF"), 2: F.lit(".jpg"), 3: F.lit(".mp3"),
                             4: F.lit(".mp4")}, F.lit(".tmp")))
     name = F.when(e == 3, F.concat(F.lit("blank_"), F.col("k").cast("string"), F.lit(".txt"))).otherwise(F.concat(stem, marker, ext0))
