@@ -58,8 +58,9 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def text_key(text) -> F.Column:
     """A second key beside the document id, so that rows which share an id are
-    told apart by their texts (rows equal in both are interchangeable)."""
-    return F.hash(F.coalesce(text, F.lit("")))
+    told apart by their texts (rows equal in both are interchangeable): the 128
+    bits of the text's md5, as 16 bytes."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 K1, K2, K3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9  # fixed values: odd 64-bit multipliers

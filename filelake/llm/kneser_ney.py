@@ -173,7 +173,7 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
                 pa.array([number] * (SHARDS + 1), pa.int64()), pa.array([*range(SHARDS), -1], pa.int32()),
                 pa.array([*blobs, _pack(n.astype(np.int64), base)], pa.binary()),
                 pa.concat_arrays([none, pa.array([ids], pa.list_(pa.int64()))]),
-                pa.array([None] * SHARDS + [tks], pa.list_(pa.int32())), pa.array([None] * SHARDS + [langs], pa.list_(pa.string()))],
+                pa.array([None] * SHARDS + [tks], pa.list_(pa.binary())), pa.array([None] * SHARDS + [langs], pa.list_(pa.string()))],
                 names=["block", "shard", "data", "ids", "tks", "langs"])
 
         for batch in batches:
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
     # a shard meets at most about PART_BLOCKS blocks at a time; its counts are bounded by the sample
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-size // (PART_BLOCKS * BLOCK_BYTES)))
-    asked = (rows.mapInArrow(first, "block long, shard int, data binary, ids array<long>, tks array<int>, langs array<string>")
+    asked = (rows.mapInArrow(first, "block long, shard int, data binary, ids array<long>, tks array<binary>, langs array<string>")
              .withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")))
 
     def join(left, right):
@@ -250,8 +250,8 @@ def score(docs: DataFrame, model, extra: str = "lang") -> DataFrame:
 
     counts = _keyed(high).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     gains = (asked.groupBy("shard", "part").cogroup(counts.groupBy("shard", "part"))
-             .applyInArrow(join, "block long, shard int, data binary, ids array<long>, tks array<int>, langs array<string>"))
-    return gains.groupBy("block").applyInArrow(last, f"doc_id long, tk int, {extra} string, n_tokens long, log10_prob double")
+             .applyInArrow(join, "block long, shard int, data binary, ids array<long>, tks array<binary>, langs array<string>"))
+    return gains.groupBy("block").applyInArrow(last, f"doc_id long, tk binary, {extra} string, n_tokens long, log10_prob double")
 
 
 def _keyed(high: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def window_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, tk, key, words, w0, cnt: ``cnt`` consecutive windows from word
     ``w0`` on whose anchor is named ``key``; ``words`` hashes their words.
     All windows of a range contain one anchor, so ``cnt`` <= ``window``."""
-    schema = "doc_id long, tk int, key long, words long, w0 int, cnt int"
+    schema = "doc_id long, tk binary, key long, words long, w0 int, cnt int"
 
     def run(batches):
         memo = WordHash()

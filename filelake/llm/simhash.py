@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(out.view(np.int64))], names=["doc_id", "tk", "fp"])
 
     return (small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.col("text").cast("binary").alias("_t"))
-            .mapInArrow(run, "doc_id long, tk int, fp long"))
+            .mapInArrow(run, "doc_id long, tk binary, fp long"))
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
