@@ -21,7 +21,8 @@ from filelake.llm.common import by_value
 by_value(__name__)
 
 NAME_BITS = 40
-STEPS = 32          # steps per factor of ten for probabilities, in a byte
+STEPS = 32          # steps per factor of ten for probabilities, in two bytes
+CODES = 300 * STEPS + 2  # down to 10^-300: none that a count can give is clipped
 FINE = 4096         # steps per factor of ten for back-off weights, in two bytes
 PART = 1 << 16
 
@@ -126,10 +127,10 @@ class EliasFano:
 def quantise(p: np.ndarray) -> np.ndarray:
     """Code 0 for p = 0, else 1 + steps below one."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.rint(-np.log10(p) * STEPS) + 1, 1, 255), 0).astype(np.uint8)
+        return np.where(p > 0, np.clip(np.rint(-np.log10(p) * STEPS) + 1, 1, CODES - 1), 0).astype(np.uint16)
 
 
-PROBABILITY = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
+PROBABILITY = np.concatenate([[0.0], 10.0 ** (-np.arange(CODES - 1) / STEPS)])
 
 
 def quantise_weight(w: np.ndarray) -> np.ndarray:
@@ -170,7 +171,7 @@ class Trie:
     @classmethod
     def view(cls, buffer) -> Trie:
         """The trie in ``buffer`` (bytes or a memory map); nothing is copied."""
-        kinds = [np.uint64, np.uint64, np.uint64, np.uint32] * 3 + [np.uint8, np.uint32, np.uint16]
+        kinds = [np.uint64, np.uint64, np.uint64, np.uint32] * 3 + [np.uint16, np.uint32, np.uint16]
         sizes = np.frombuffer(buffer, np.uint64, len(kinds))
         parts, at = [], 8 * len(kinds)
         for kind, n in zip(kinds, sizes.tolist()):
@@ -188,7 +189,7 @@ class Trie:
         """For each context its count and weight code, and for each of its
         ``sizes`` names the probability code."""
         if not len(self.counts):
-            return np.zeros(len(contexts), np.uint32), np.zeros(len(contexts), np.uint16), np.zeros(len(names), np.uint8)
+            return np.zeros(len(contexts), np.uint32), np.zeros(len(contexts), np.uint16), np.zeros(len(names), np.uint16)
         at = self.contexts.find(contexts)
         known = at >= 0
         place = np.maximum(at, 0)
@@ -199,6 +200,6 @@ class Trie:
         of = owner[ask]
         hit = self.successors.find(place[of].astype(np.uint64) << _u(NAME_BITS) | names[ask])
         hit[(hit < begin[of]) | (hit >= end[of])] = -1
-        codes = np.zeros(len(names), np.uint8)
+        codes = np.zeros(len(names), np.uint16)
         codes[ask] = np.where(hit >= 0, self.codes[np.maximum(hit, 0)], 0)
         return np.where(known, self.counts[place], 0).astype(np.uint32), np.where(known, self.weights[place], 0).astype(np.uint16), codes

@@ -198,7 +198,7 @@ def score_texts(docs: DataFrame, train, discount: float = DISCOUNT) -> DataFrame
         seen, back, high = np.zeros(len(names), np.int64), np.zeros(len(names)), np.zeros(len(left))
         known = np.zeros(len(names), bool)
         for a, b in zip(cut[:-1], cut[1:]):
-            count, weights, codes = _unpack(answers[int(shard[a])].as_buffer(), np.uint32, np.uint16, np.uint8)
+            count, weights, codes = _unpack(answers[int(shard[a])].as_buffer(), np.uint32, np.uint16, np.uint16)
             own = left[a:b]
             ctx = own[np.flatnonzero(np.diff(own, prepend=-1))]
             seen[ctx], known[ctx] = count, count > 0

@@ -1,7 +1,8 @@
 """What the review of round 2 found cut short."""
+import numpy as np
 from pyspark.sql import functions as F
 
-from filelake.llm import recompress
+from filelake.llm import eftrie, recompress
 
 
 def test_texts_of_one_id_with_equal_short_hashes(spark, sf):
@@ -15,3 +16,13 @@ def test_texts_of_one_id_with_equal_short_hashes(spark, sf):
         assert got == {(a, 40), (b, 0), (f"{a} and more", 40)}
         kept = {r.text for r in P.near_dedup(spark, df, sf).collect()}
         assert b in kept and len(kept) > 1
+
+
+def test_rare_successors_of_a_frequent_context_keep_their_probability():
+    count = np.array([1, 2, 40, 3_000_000, 1_000_000_000], np.int64)
+    name, context = np.arange(5, dtype=np.uint64) * np.uint64(999), np.full(5, 7, np.uint64)
+    trie = eftrie.Trie.view(eftrie.Trie.build(context, name, count, 0.75).to_bytes())
+    total, weight, codes = trie.ask(context[:1], np.array([5]), name)
+    want = np.log10((count - 0.75) / count.sum())
+    assert total[0] == count.sum() and np.abs(np.log10(eftrie.PROBABILITY[codes]) - want).max() <= 0.5 / eftrie.STEPS + 1e-9
+    assert abs(np.log10(eftrie.weight(weight)[0]) - np.log10(0.75 * 5 / count.sum())) <= 0.5 / eftrie.FINE + 1e-9
