@@ -1,8 +1,9 @@
 """URL filter by empirical-Bayes host reputation.
 
 A page's labelled outcome is bad (1) or good (0).  The rate of bad pages is
-estimated level by level: all pages, suffix (last label of the host),
-registered domain (last two labels), host.  At each level a group's rate has a
+estimated level by level: all pages, suffix (last label of the host, or one of
+``SUFFIXES``), registered domain (suffix and the label before it), host; a port
+counts for the host alone.  At each level a group's rate has a
 beta prior whose mean is its parent's posterior mean and whose weight is fitted
 by the method of moments over the level's groups (the intra-group correlation
 rho of the beta-binomial; weight = 1 / rho - 1).  A host with few labels is thus
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from filelake.llm.common import store
 
 MAX_BAD = 0.25
+# fixed values: suffixes of several labels; below others the last label is the suffix
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "co.za",
+            "com.br", "com.cn", "com.mx", "com.ar", "com.tr", "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "herokuapp.com",
+            "netlify.app", "vercel.app", "pages.dev")
 Z = 1.645
 # fixed values: (host, path prefix, verdict)
 RULES = [
@@ -73,13 +78,26 @@ def _level(groups: DataFrame, parents: DataFrame | None, own: str, parent: str |
                     F.sqrt(mean * (1 - mean) / (a + b + 1)).alias("sd"))
 
 
-def host_reputation(hosts: DataFrame) -> DataFrame:
+def site_parts(host, suffixes=SUFFIXES):
+    """(suffix, registered domain) columns of a host column; a port is no part of
+    either, and a host that is a suffix is its own domain."""
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    label, size = F.split(name, r"\."), F.lit(1)
+    for s in sorted(suffixes, key=lambda s: s.count(".")):
+        size = F.when((name == s) | F.endswith(name, F.lit("." + s)), F.lit(s.count(".") + 1)).otherwise(size)
+
+    def last(n):
+        n = F.least(n, F.size(label))
+        return F.array_join(F.slice(label, -n, n), ".")
+
+    return last(size), last(size + 1)
+
+
+def host_reputation(hosts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """host, bad_rate, bad_low from (host, bad, n) counts, one row per host
     (n 0 where no page of the host is labelled)."""
-    label = F.split("host", r"\.")
-    h = store(hosts.select("host", F.element_at(label, -1).alias("suffix"),
-                           F.when(F.size(label) > 1, F.concat_ws(".", F.element_at(label, -2), F.element_at(label, -1)))
-                           .otherwise(F.col("host")).alias("domain"), "bad", "n"), "hosts")
+    suffix, domain = site_parts(F.col("host"), suffixes)
+    h = store(hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), "bad", "n"), "hosts")
     total = h.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
     if not total["n"]:
         return h.select("host", F.lit(None).cast("double").alias("bad_rate"), F.lit(None).cast("double").alias("bad_low"))
@@ -94,14 +112,14 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     return by_host.select(F.col("name").alias("host"), F.col("mean").alias("bad_rate"), (F.col("mean") - Z * F.col("sd")).alias("bad_low"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, suffixes=SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate; ``outcomes``: page_id, bad (0/1)."""
     host, path = url_parts(F.col("url"))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     seen = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     known = p.select("page_id", "host").join(seen, "page_id", "left")
     counts = known.groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("n"))
-    rep = store(host_reputation(counts), "reputation")
+    rep = store(host_reputation(counts, suffixes), "reputation")
     name, verdict = rule_column(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_low") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
     return p.join(rep, "host", "left").select("page_id", "host", "path", name.alias("rule"),

@@ -2,7 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from filelake.llm import eftrie, recompress
+from filelake.llm import eftrie, recompress, urlrep
 
 
 def test_texts_of_one_id_with_equal_short_hashes(spark, sf):
@@ -26,3 +26,15 @@ def test_rare_successors_of_a_frequent_context_keep_their_probability():
     want = np.log10((count - 0.75) / count.sum())
     assert total[0] == count.sum() and np.abs(np.log10(eftrie.PROBABILITY[codes]) - want).max() <= 0.5 / eftrie.STEPS + 1e-9
     assert abs(np.log10(eftrie.weight(weight)[0]) - np.log10(0.75 * 5 / count.sum())) <= 0.5 / eftrie.FINE + 1e-9
+
+
+def test_sites_below_a_suffix_of_two_labels_are_not_pooled(spark):
+    hosts = ["a.bad.co.uk", "b.bad.co.uk:8080", "co.uk", "good.co.uk", "x.y.org", "org:80", "", "notco.uk", "n.d0.org:443"]
+    suffix, domain = urlrep.site_parts(F.col("host"))
+    got = {r.host: (r.s, r.d) for r in spark.createDataFrame([(h,) for h in hosts], "host string").select("host", suffix.alias("s"), domain.alias("d")).collect()}
+    assert got == {"a.bad.co.uk": ("co.uk", "bad.co.uk"), "b.bad.co.uk:8080": ("co.uk", "bad.co.uk"), "co.uk": ("co.uk", "co.uk"),
+                   "good.co.uk": ("co.uk", "good.co.uk"), "x.y.org": ("org", "y.org"), "org:80": ("org", "org"), "": ("", ""),
+                   "notco.uk": ("uk", "notco.uk"), "n.d0.org:443": ("org", "d0.org")}
+    rows = [(f"h{i}.d{i % 4}.co.uk", 20 * (i % 4 == 0), 20) for i in range(40)] + [("new.d0.co.uk:81", 0, 0), ("new.d1.co.uk", 0, 0)]
+    rate = {r.host: r.bad_rate for r in urlrep.host_reputation(spark.createDataFrame(rows, "host string, bad long, n long")).collect()}
+    assert rate["new.d0.co.uk:81"] > 0.5 > rate["new.d1.co.uk"]
