@@ -1,10 +1,11 @@
-"""Registered queries of the ten operators: name -> fn(spark, sf_dir)."""
+"""Registered queries of the operators: name -> fn(spark, sf_dir)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filelake.llm import decontam, embdedup, kneser_ney, lmscore, packing, recompress, simhash, tokencount, urlrep, warc
+from filelake.llm import (decontam, embdedup, kneser_ney, linededup, lmscore, packing, recompress, simhash, spelling,
+                          tokalign, tokencount, urlrep, warc)
 from filelake.llm.common import read_table
 
 QUERIES = {}
@@ -69,7 +70,23 @@ def op10_token_counts(spark, sf_dir):
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_HOST = r"""translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+@register
+def op11_token_alignment(spark, sf_dir):
+    import public_tokenizers
+    return tokalign.align_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register
+def op12_line_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.kept_digest(linededup.drop_common_lines(docs))
+
+
+@register
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
 
 ORACLE = {
     "op4_warc": """
@@ -107,5 +124,15 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS c FROM p
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(c, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(t, '')) AS kept_sha256
 FROM dw LEFT JOIN kept USING (doc_id)
+""",
+    "op12_line_dedup": """
+WITH l AS (SELECT doc_id, i, x[i] AS line, translate(trim(x[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)),
+c AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT doc_id, i, line, l.k IN (SELECT k FROM c) AS gone FROM l)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
 """,
 }
