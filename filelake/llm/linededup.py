@@ -26,7 +26,7 @@ their texts, and rows equal in both are separate documents with equal results.
 Null and empty texts are one empty line.  Keys shorter than ``min_chars`` code
 points are never dropped.  An empty table gives no rows.  Other columns of the
 input are carried along by ``drop_common_lines``, except those named like a new
-one.
+one or as one of ``INNER``.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ BUCKET_KEYS = 4_000_000   # rows of a batch's keys for each further bucket
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEW = ("n_lines", "n_dropped", "kept_text")
+INNER = ("_id", "_null", "_tk", "_drop")
 
 
 def line_hashes(text, min_chars: int = MIN_CHARS) -> F.Column:
@@ -133,7 +134,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     """The columns of ``docs`` (doc_id, text and others), then n_lines (long),
     n_dropped (long) and kept_text."""
     spark = docs.sparkSession
-    docs = docs.drop(*NEW, "_id", "_null", "_tk", "_drop", "_n")
+    docs = docs.drop(*NEW, *INNER)
     number = F.col("doc_id").cast("long")
     key = {"_null": number.isNull(), "_id": F.coalesce(number, F.lit(0)), "_tk": text_key(F.col("text"))}
     batch = F.pmod(F.xxhash64("_null", "_id", "_tk"), F.lit(batches)).cast("int").alias("batch")
