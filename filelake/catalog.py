@@ -26,12 +26,15 @@ from filelake.operators import snapshot as S
 from filelake.operators import sort as SO
 from filelake.plans import apply as AP
 from filelake.plans import batches as BA
+from filelake.plans import compose as CM
 from filelake.plans import oplog as OL
 from filelake.plans import workflow as WF
+from filelake.plans.commitlog import CommitLog
 from filelake.session import ensure_checkpoint_dir
 from filelake.sources import fixture as FX
 from filelake.sources.manifest import from_table
 from filelake.sources.snapshot_io import read_snapshot, snapshot_from_record, write_snapshot
+from filelake.sources.store import ManifestStore
 
 ROOT = FX.ROOT
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,6 +343,76 @@ def q_oplog_recover(spark, sf_dir):
         F.col("op_id").cast("bigint").alias("op_id"), "status")
 
 
+@register("verify_plan_rename")
+def q_verify_plan_rename(spark, sf_dir):
+    """A rename planned earlier, when some originals lie at the clean names by now."""
+    plan = RN.rename_plan(FX.previous_manifest(spark, sf_dir), ROOT)
+    return AP.verify_plan(plan, FX.current_manifest(spark, sf_dir)).select("path", "action", "status")
+
+
+def _owned(spark, sf_dir):
+    """The manifest with owners: uid by time, no gid known."""
+    return FX.manifest(spark, sf_dir).withColumns({"uid": (F.col("mtime_s") % 3).cast("int"), "gid": F.lit(None).cast("int")})
+
+
+@register("apply_plan_clean")
+def q_apply_plan_clean(spark, sf_dir):
+    """Junk removed, modes and owners set."""
+    man = _owned(spark, sf_dir)
+    plan = CLN.clean_plan(man, ROOT, dirs=FX.directories(spark, man), uid=1, gid=8)
+    return AP.apply_plan(man, plan).select("path", *[F.col(c).cast("bigint").alias(c) for c in ("mode", "uid", "gid")])
+
+
+def _place(spark, tag):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/filelake-{tag}-{uuid.uuid4().hex}"
+
+
+@register("stored_versions")
+def q_stored_versions(spark, sf_dir):
+    """Clean, then sort, as versions of a co-partitioned store."""
+    v0 = ManifestStore.create(FX.manifest(spark, sf_dir), _place(spark, "store"))
+    v1 = v0.advance(CLN.clean_plan(v0.plain(), ROOT))
+    v2 = v1.advance(SO.sort_plan(v1.plain(), ROOT))
+    for v in (v0, v1, v2):
+        v.forget()
+    return v2.plain().select("path", "size", "md5", F.col("mode").cast("bigint").alias("mode"))
+
+
+@register("stored_verify")
+def q_stored_verify(spark, sf_dir):
+    """``verify_plan`` against a stored manifest: only plan rows move."""
+    cur = FX.current_manifest(spark, sf_dir).withColumn(
+        "size", F.when(F.col("mtime_s") % 11 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    store = ManifestStore.create(cur, _place(spark, "store"))
+    plan = D.dedup_plan(FX.previous_manifest(spark, sf_dir), ROOT, min_size=100)
+    return store.verify(plan).select("path", "action", "status")
+
+
+@register("composed_plan")
+def q_composed_plan(spark, sf_dir):
+    """Clean, dedup and sort, each planned on what is left, as one plan."""
+    man = FX.manifest(spark, sf_dir)
+    plan = WF.reorganize(man, ROOT, dedup_min_size=100, dirs=FX.directories(spark, man).select("path")).plan
+    return plan.select("path", "action", "dest", F.col("new_mode").cast("bigint").alias("new_mode"), "reason")
+
+
+@register("oplog_replan_recover")
+def q_oplog_replan_recover(spark, sf_dir):
+    """The clean plan logged, some of it done or failed, folded into a
+    checkpoint, the dedup plan logged after it; what is left to do, with all
+    that a chmod needs."""
+    man = FX.manifest(spark, sf_dir)
+    log = CommitLog(spark, _place(spark, "oplog"))
+    log.append(OL.op_log_from_plan(CLN.clean_plan(man, ROOT, dirs=FX.directories(spark, man)), run="clean"))
+    todo, part = log.recover(), F.length("source") % 3
+    log.append(OL.op_log_update(todo.where(part == 0), "done", 1))
+    log.append(OL.op_log_update(todo.where(part == 1), "failed", 1))
+    log.checkpoint()
+    log.append(OL.op_log_update(log.recover().where((part == 1) & (F.col("op_type") == "delete")), "done", 2))
+    log.append(OL.op_log_from_plan(D.dedup_plan(man, ROOT, min_size=100), run="dedup"))
+    return log.recover().select("op_id", "op_type", "source", "hash", F.col("new_mode").cast("bigint").alias("new_mode"), "status")
+
+
 @register("delete_batches")
 def q_delete_batches(spark, sf_dir):
     plan = D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from filelake import constants as C
 from filelake.functions import paths as P
 from filelake.operators import filters as FL
-from filelake.sources.manifest import ancestor_rows, folders_above
+from filelake.sources.manifest import ancestor_rows, directories_of, folders_above
 
 
 def _files(manifest: DataFrame) -> DataFrame:
@@ -56,16 +56,19 @@ def empty_dirs_plan(dirs: DataFrame, files: DataFrame, root: str,
                     max_passes: int = C.EMPTY_DIR_MAX_PASSES,
                     protected=C.CLEAN_PROTECTED) -> DataFrame:
     """V6: folders (``dirs.path``, at or below root) that repeated passes of
-    empty-folder removal would delete: path, action 'rmdir'."""
+    empty-folder removal would delete: path, action 'rmdir'.  A folder that could
+    not be read (``dirs.error``) may hold files: it stays, and all above it."""
     r = P.norm_root(root) or "/"
-    d = dirs.select("path").filter((F.col("path") == r) | P.under_root("path", root)).distinct()
-    prot = _protected_dir(F.col("path"), root, protected)
+    unread = F.col("error").isNotNull() if "error" in dirs.columns else F.lit(False)
+    d = (dirs.select("path", unread.alias("_unread")).filter((F.col("path") == r) | P.under_root("path", root))
+         .groupBy("path").agg(F.max("_unread").alias("_unread")))
+    prot = _protected_dir(F.col("path"), root, protected) | F.col("_unread")
     # anything that stays blocks all of its ancestors
     stays = (files.select("path").filter(P.under_root("path", root))
              .unionByName(d.filter(prot).select("path")))
     blocked = folders_above(stays, root)
     # height: deepest folder below (self = 0)
-    height = ancestor_rows(d, root, include_self=True).groupBy("anc").agg(F.max("up").alias("height"))
+    height = ancestor_rows(d.select("path"), root, include_self=True).groupBy("anc").agg(F.max("up").alias("height"))
     cand = d.filter(~prot)
     return (cand.join(blocked, "path", "left_anti")
                 .join(height.withColumnRenamed("anc", "path"), "path", "inner")
@@ -81,12 +84,13 @@ def fixed_mode(entries: DataFrame) -> "F.Column":
     return mode.bitwiseOR(F.lit(0o644)).bitwiseOR(x)
 
 
-def with_permissions(manifest: DataFrame, root: str) -> DataFrame:
-    """The manifest with the modes ``permission_plan`` sets below root."""
-    if "mode" not in manifest.columns:
-        return manifest
+def with_permissions(manifest: DataFrame, root: str, uid: int | None = None, gid: int | None = None) -> DataFrame:
+    """The manifest with the modes and owners ``permission_plan`` sets below root."""
     below = P.under_root("path", root) | (F.col("path") == (P.norm_root(root) or "/"))
-    return manifest.withColumn("mode", F.when(below, fixed_mode(manifest)).otherwise(F.col("mode")))
+    new = {"mode": fixed_mode(manifest)} if "mode" in manifest.columns else {}
+    new |= {c: F.lit(v) for c, v in (("uid", uid), ("gid", gid)) if v is not None and c in manifest.columns}
+    known = F.col("mode").isNotNull() if "mode" in manifest.columns else F.lit(False)
+    return manifest.withColumns({c: F.when(below & known, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
 def permission_plan(entries: DataFrame, uid: int | None = None, gid: int | None = None) -> DataFrame:
@@ -131,14 +135,16 @@ def clean_plan(manifest: DataFrame, root: str, dirs: DataFrame | None = None, ju
         survivors = without_junk(files, root, patterns)
     if apply_all or empty_dirs:
         if dirs is None:
-            from filelake.sources.manifest import directories_of
             dirs = directories_of(files, root)
+            if "is_dir" in manifest.columns:  # folder rows, empty and unreadable ones among them
+                dirs = dirs.select("path").unionByName(manifest.filter("is_dir").select("path", *[c for c in ("error",) if c in manifest.columns]),
+                                                       allowMissingColumns=True)
         parts.append(empty_dirs_plan(dirs, survivors, root, max_passes)
                      .select("path", "action", F.lit(None).cast("bigint").alias("size")))
     if apply_all or permissions:
         entries = survivors
         if "is_dir" in manifest.columns:
-            folders = manifest.filter(F.col("is_dir") & (P.under_root("path", root) | (F.col("path") == root)))
+            folders = manifest.filter(F.col("is_dir") & (P.under_root("path", root) | (F.col("path") == (P.norm_root(root) or "/"))))
             for p in parts:
                 folders = folders.join(p.filter(F.col("action") == "rmdir").select("path"), "path", "left_anti")
             entries = survivors.unionByName(folders.select(*survivors.columns))

@@ -65,19 +65,21 @@ def size_filter(sizes: DataFrame) -> DataFrame:
     return s.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("bits"))
 
 
-def hashed(files: DataFrame) -> DataFrame:
-    """Readable rows with an md5: path, size, md5 and what the keepers need.
-    Without an ``md5`` column, only rows of a shared size are hashed: from
-    ``content`` (JVM ``md5``) or, for a real folder tree, by reading the files
-    in chunks.  The narrow rows are written once, so no later branch reads or
-    hashes content again.
+def with_hashes(files: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Rows with an md5, null where unreadable: path, size, md5 and what the
+    keepers need.  Without an ``md5`` column, only rows of a shared size are
+    hashed: from ``content`` (JVM ``md5``) or, for a real folder tree, by
+    reading the files in chunks.  The narrow rows are written once, so no later
+    branch reads or hashes content again.  ``sizes``: the shared sizes, where
+    they are stored already.
 
     Content never crosses a shuffle: a broadcast bitmap of the shared sizes
     cuts the rows next to it, and the exact semi join runs on the narrow rows
     after hashing."""
     if "md5" not in files.columns:
         narrow = ["path", "size", *[c for c in ("name", "mtime_s", "mtime") if c in files.columns]]
-        sizes = materialize(shared_sizes(files.select("size")).select("size"), "shared-sizes")
+        if sizes is None:
+            sizes = materialize(shared_sizes(files.select("size")).select("size"), "shared-sizes")
         if "content" in files.columns:
             slot = F.pmod(F.xxhash64("size"), F.lit(1 << SIZE_BITS))
             cut = (files.select(*narrow, "content").withColumn("word", F.shiftright(slot, 6))
@@ -87,7 +89,12 @@ def hashed(files: DataFrame) -> DataFrame:
         else:
             files = hash_paths(files.select(*narrow).join(sizes, "size", "left_semi"))
         files = materialize(files, "hashed")
-    return files.filter(FL.readable(F.col("md5")))
+    return files
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """The readable rows of ``with_hashes``."""
+    return with_hashes(files).filter(FL.readable(F.col("md5")))
 
 
 def _keeper_key(strategy: str) -> Column:
@@ -137,13 +144,33 @@ def dedup_plan(manifest: DataFrame, root: str, min_size: int = C.DEDUP_MIN_SIZE,
 def dedup_summary(manifest: DataFrame, root: str, min_size: int = C.DEDUP_MIN_SIZE,
                   strategy: str = "deepest", include=None, exclude=None, skip_dirs=None) -> DataFrame:
     """One row: total_files, duplicate_groups, files_to_delete, space_to_free
-    (AG8).  Computed from the group aggregate, no join needed; the scan total
-    is a scalar subquery, not a driver round trip."""
+    (AG8) and failed_hash_files (FL14: unreadable files of a shared size, the
+    ones that had to be hashed).
+
+    All come from one pass over the rows: counts per (md5, size), unreadable
+    ones among them, summed per size and then over all.  No keeper is needed, so
+    ``strategy`` changes nothing here.  Where content has to be hashed, the
+    counts per size that choose what to hash also give the scan total."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown keeper strategy {strategy!r}; use one of {STRATEGIES}")
     cand = candidates(manifest, root, min_size, include, exclude, skip_dirs)
-    g = groups(hashed(cand), strategy)
-    total = cand.select(F.count(F.lit(1))).scalar()
-    return g.agg(
-        F.count(F.lit(1)).alias("duplicate_groups"),
-        F.coalesce(F.sum(F.col("n_files") - 1), F.lit(0)).cast("bigint").alias("files_to_delete"),
-        F.coalesce(F.sum(F.col("size") * (F.col("n_files") - 1)), F.lit(0)).cast("bigint").alias("space_to_free"),
-    ).select(total.cast("bigint").alias("total_files"), "duplicate_groups", "files_to_delete", "space_to_free")
+    total = None
+    if "md5" in cand.columns:
+        files = cand
+    else:
+        per_size = materialize(cand.groupBy("size").agg(F.count(F.lit(1)).alias("n_files")), "sizes")
+        total = per_size.select(F.sum("n_files")).scalar()
+        files = with_hashes(cand, per_size.where("n_files >= 2").select("size"))
+    n, copies = F.col("n"), F.when(F.col("md5").isNotNull() & (F.col("n") >= 2), F.col("n") - 1)
+    per_size = (files.groupBy("md5", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("size")
+                .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("md5").isNull(), n)).alias("failed"),
+                     F.count(copies).alias("groups"), F.sum(copies).alias("copies")))
+    nil = F.lit(0)
+    return per_size.select("size", "n", "failed", "groups", "copies").agg(
+        F.coalesce(F.sum("n"), nil).cast("bigint").alias("_total"),
+        F.coalesce(F.sum("groups"), nil).cast("bigint").alias("duplicate_groups"),
+        F.coalesce(F.sum("copies"), nil).cast("bigint").alias("files_to_delete"),
+        F.coalesce(F.sum(F.col("size") * F.col("copies")), nil).cast("bigint").alias("space_to_free"),
+        F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("failed"))), nil).cast("bigint").alias("failed_hash_files"),
+    ).select((F.col("_total") if total is None else F.coalesce(total, nil).cast("bigint")).alias("total_files"),
+             "duplicate_groups", "files_to_delete", "space_to_free", "failed_hash_files")

@@ -136,7 +136,9 @@ g AS (SELECT md5, size, count(*) AS n FROM cand WHERE md5 IS NOT NULL GROUP BY m
 SELECT (SELECT count(*) FROM cand) AS total_files,
        count(*) AS duplicate_groups,
        CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS files_to_delete,
-       CAST(coalesce(sum(size * (n - 1)), 0) AS BIGINT) AS space_to_free
+       CAST(coalesce(sum(size * (n - 1)), 0) AS BIGINT) AS space_to_free,
+       (SELECT count(*) FROM cand WHERE md5 IS NULL AND size IN (SELECT size FROM cand GROUP BY size HAVING count(*) >= 2))
+         AS failed_hash_files
 FROM g"""
 
 ORACLE["dedup_plan_deepest"] = f"WITH {M}, {CAND}, " + _dedup_plan_sql(_DEEPEST)
@@ -720,3 +722,54 @@ ORACLE["sort_auto_families"] = f"WITH {M}, {SFILES}\n" + " UNION ALL ".join(
     f"SELECT '{t}' AS family, path, category FROM (SELECT path, {_CAT[t]} AS category FROM sfiles WHERE ext IN {_in(v)}) x "
     "WHERE category IS NOT NULL" for t, v in
     {"documents": _DOCUMENTS, "music": _MUSIC, "pictures": _PICTURES, "videos": _VIDEOS}.items())
+
+# a rename planned on the older inventory, checked against the newer one
+ORACLE["verify_plan_rename"] = f"""WITH {_PREV}, {_RENAME},
+cur AS (SELECT path, size FROM {manifest_sql('doc_id % 13 <> 0')} y)
+SELECT p.path, p.action,
+       CASE WHEN c.path IS NULL THEN 'already_gone' WHEN c.size <> p.size THEN 'size_changed'
+            WHEN d.path IS NOT NULL THEN 'dest_exists' ELSE 'ok' END AS status
+FROM plan p LEFT JOIN cur c ON c.path = p.path LEFT JOIN cur d ON d.path = p.dest"""
+
+_FIXED_MODE = "(mode | 420 | CASE WHEN (mode & 73) <> 0 THEN 73 ELSE 0 END)"
+ORACLE["apply_plan_clean"] = f"""WITH {M}
+SELECT path, CAST({_FIXED_MODE} AS BIGINT) AS mode, CAST(1 AS BIGINT) AS uid, CAST(8 AS BIGINT) AS gid
+FROM m WHERE {_CLEAN_PROT} OR NOT regexp_matches(name, '{_JUNK}')"""
+
+# the sort of what clean leaves: junk is gone, modes are fixed
+_SORT_LEFT = f"""sfiles AS (
+  SELECT path, name, parent, size, ext, artist, exif_date,
+         CASE WHEN rel_parent = '' THEN '' ELSE split_part(rel_parent, '/', 1) END AS top,
+         regexp_extract(parent, '[^/]*$', 0) AS parent_name
+  FROM {{left}}
+)"""
+ORACLE["stored_versions"] = f"""WITH {M}, m1 AS (SELECT * FROM m WHERE {_CLEAN_PROT} OR NOT regexp_matches(name, '{_JUNK}')),
+{_SORT_LEFT.format(left='m1')}, {_SORT_PLAN}
+SELECT dest AS path, m1.size, m1.md5, CAST({_FIXED_MODE} AS BIGINT) AS mode FROM spl JOIN m1 USING (path)"""
+ORACLE["stored_verify"] = ORACLE["verify_plan"]
+
+ORACLE["composed_plan"] = f"""WITH {M}, {_DIRS}, {_CLEAN},
+m1 AS (SELECT * FROM m WHERE path NOT IN (SELECT path FROM junk)),
+cand AS (SELECT * FROM m1 WHERE size >= 100 AND NOT is_symlink AND NOT starts_with(name, '.')
+         AND NOT regexp_matches(rel_parent, '{_DEDUP_SKIP}')),
+{_PLAN_DEEPEST},
+m2 AS (SELECT * FROM m1 WHERE path NOT IN (SELECT path FROM plan WHERE action = 'delete')),
+{_SORT_LEFT.format(left='m2')}, {_SORT_PLAN},
+f AS (SELECT path, CASE WHEN mode <> {_FIXED_MODE} THEN {_FIXED_MODE} END AS fixed FROM m)
+SELECT path, 'delete' AS action, CAST(NULL AS VARCHAR) AS dest, CAST(NULL AS BIGINT) AS new_mode, 'junk' AS reason FROM junk
+UNION ALL SELECT path, 'rmdir', NULL, NULL, NULL FROM ed
+UNION ALL SELECT path, 'delete', NULL, NULL, 'duplicate' FROM plan WHERE action = 'delete'
+UNION ALL SELECT path, 'move', dest, fixed, 'sorted' FROM spl JOIN f USING (path) WHERE dest <> path
+UNION ALL SELECT path, 'chmod', NULL, fixed, NULL FROM spl JOIN f USING (path) WHERE dest = path AND fixed IS NOT NULL"""
+
+ORACLE["oplog_replan_recover"] = f"""WITH {M}, {_DIRS}, {_CLEAN}, {CAND}, {_PLAN_DEEPEST},
+c AS (
+  SELECT 'delete' AS op_type, path AS source, CAST(NULL AS BIGINT) AS new_mode FROM junk
+  UNION ALL SELECT 'rmdir', path, NULL FROM ed
+  UNION ALL SELECT 'chmod', path, CAST({_FIXED_MODE} AS BIGINT) FROM surv WHERE mode <> {_FIXED_MODE}
+)
+SELECT sha256('clean/' || op_type || ':' || source) AS op_id, op_type, source, CAST(NULL AS VARCHAR) AS hash, new_mode,
+       CASE length(source) % 3 WHEN 1 THEN 'failed' ELSE 'pending' END AS status
+FROM c WHERE length(source) % 3 <> 0 AND NOT (length(source) % 3 = 1 AND op_type = 'delete')
+UNION ALL
+SELECT sha256('dedup/' || action || ':' || path), action, path, md5, NULL, 'pending' FROM plan WHERE action = 'delete'"""

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OP_LOG_SCHEMA = ("op_id STRING, op_type STRING, source STRING, dest STRING, hash STRING, "
-                 "expected_size BIGINT, status STRING, seq BIGINT, ts TIMESTAMP")
+                 "expected_size BIGINT, new_mode INT, new_uid INT, new_gid INT, status STRING, seq BIGINT, ts TIMESTAMP")
+#: What an operation does and to what; every status row of it repeats this.
+OPERATION = ("op_id", "op_type", "source", "dest", "hash", "expected_size", "new_mode", "new_uid", "new_gid")
+LOGGED_ACTIONS = ("delete", "move", "rmdir", "chmod", "rename", "delete_duplicate", "collision_rename")
 
 
 def op_id(action, path, run: str | None = None):
@@ -24,27 +27,36 @@ def op_id(action, path, run: str | None = None):
 
 
 def op_log_from_plan(plan: DataFrame, seq: int = 0, run: str | None = None) -> DataFrame:
-    """One 'pending' row per actionable plan row (keep/skip rows excluded).
+    """One 'pending' row per actionable plan row (keep/skip rows excluded), with
+    all that is needed to carry it out: a chmod row has its mode and owner.
     ``run`` names the planning run: an earlier run's 'done' does not hide it."""
-    p = plan.filter(F.col("action").isin("delete", "move", "rmdir", "chmod",
-                                         "rename", "delete_duplicate", "collision_rename"))
-    return p.select(
+    def given(column, kind):
+        return (F.col(column) if column in plan.columns else F.lit(None)).cast(kind)
+
+    return plan.filter(F.col("action").isin(list(LOGGED_ACTIONS))).select(
         op_id(F.col("action"), F.col("path"), run).alias("op_id"),
         F.col("action").alias("op_type"), F.col("path").alias("source"),
-        (F.col("dest") if "dest" in plan.columns else F.lit(None).cast("string")).alias("dest"),
-        (F.col("md5") if "md5" in plan.columns else F.lit(None).cast("string")).alias("hash"),
-        (F.col("size").cast("bigint") if "size" in plan.columns else F.lit(None).cast("bigint")).alias("expected_size"),
+        given("dest", "string").alias("dest"), given("md5", "string").alias("hash"), given("size", "bigint").alias("expected_size"),
+        *[given(c, "int").alias(c) for c in ("new_mode", "new_uid", "new_gid")],
         F.lit("pending").alias("status"), F.lit(seq).cast("bigint").alias("seq"),
         F.current_timestamp().alias("ts"))
 
 
 def op_log_update(entries: DataFrame, status: str, seq: int) -> DataFrame:
-    """Status rows for ``entries`` (op_id ...): mark done / failed / any."""
-    return entries.select("op_id", "op_type", "source", "dest", "hash", "expected_size",
-                          F.lit(status).alias("status"), F.lit(seq).cast("bigint").alias("seq"),
+    """Status rows for ``entries`` (op_id ...): mark done / failed / any.
+    Entries of a log without modes and owners have none."""
+    old = [F.col(c) if c in entries.columns else F.lit(None).cast("int").alias(c) for c in OPERATION]
+    return entries.select(*old, F.lit(status).alias("status"), F.lit(seq).cast("bigint").alias("seq"),
                           F.current_timestamp().alias("ts"))
 
 
+def plan_from_log(entries: DataFrame) -> DataFrame:
+    """The plan that carries out logged operations: path, action, dest, md5,
+    size, new_mode, new_uid, new_gid."""
+    return entries.select(F.col("source").alias("path"), F.col("op_type").alias("action"), "dest", F.col("hash").alias("md5"),
+                          F.col("expected_size").alias("size"), "new_mode", "new_uid", "new_gid")
+
+
 def latest_status(log: DataFrame, order_col: str = "seq") -> DataFrame:
     """op_id, status of each op's latest row (ties: greatest ts)."""
     key = F.struct(F.col(order_col), F.col("ts")) if "ts" in log.columns and order_col != "ts" else F.col(order_col)

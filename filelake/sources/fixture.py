@@ -7,6 +7,7 @@ of some files, some unreadable (NULL md5), zero-byte and symlinked rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,8 +111,10 @@ def manifest(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> Da
     if location is not None:
         try:
             return spark.read.parquet(location)
-        except Exception:  # noqa: BLE001 - folder gone: derive it again
-            _STORED.pop(key, None)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            _STORED.pop(key, None)  # the folder is gone: derived again
     df = materialize(fixture_manifest(load_table(spark, sf_dir, "documents"), keep), "manifest")
     _STORED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
     return df
