@@ -229,3 +229,42 @@ def test_parts_of_a_text_join_to_it():
 def test_queries_are_registered():
     from filelake.llm.queries import ORACLE, QUERIES
     assert {"op11_token_alignment", "op12_line_dedup", "op13_spelling_variants"} <= set(QUERIES) and "op12_line_dedup" in ORACLE
+
+
+def archive_files(pages, **options):
+    from filelake.llm import warc
+    from filelake.llm.common import shared_folder
+    m = warc.write_archive(pages, shared_folder(pages.sparkSession, "test-warc"), **options)
+    return m, sorted((r.shard, r.seq, r.records, r.bytes, r.sha256) for r in m.collect())
+
+
+def test_archives_do_not_depend_on_splits_or_samples(spark):
+    from filelake.llm import warc
+    base = spark.range(50_000).select(
+        F.when(F.col("id") % 97 != 0, F.col("id") % 40_000).alias("page_id"),
+        F.when(F.col("id") % 11 != 0, F.concat(F.lit("http://h/"), (F.col("id") % 7000).cast("string"))).alias("url"),
+        F.when(F.col("id") % 13 != 0, F.repeat(F.md5((F.col("id") % 9000).cast("string")), (F.col("id") % 60).cast("int"))).alias("html"))
+    options = {"roll_bytes": 300_000, "shard_bytes": 4_000_000}
+    m, first = archive_files(base, **options)
+    assert len({x[0] for x in first}) > 8 and sum(x[2] for x in first) == 50_000
+    assert archive_files(base, **options)[1] == first
+    assert archive_files(base.repartition(13, F.col("url")).orderBy(F.rand(5)), **options)[1] == first
+    got = warc.read_archive(m).groupBy("page_id", "payload_digest", "record_type", "refers_to").count()
+    digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    rows = base.select("page_id", digest.alias("payload_digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
+    top = rows.where("n >= 1000").groupBy("payload_digest").agg(F.max("page_id").alias("top"))
+    to = F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
+    want = (rows.join(top, "payload_digest", "left").select("page_id", "payload_digest", F.when(to.isNull(), "response").otherwise("revisit").alias("record_type"), to.alias("refers_to"))
+            .groupBy("page_id", "payload_digest", "record_type", "refers_to").count())
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_archives_cut_a_record_of_many_copies(spark):
+    from filelake.llm import warc
+    rows = [(5, "u", "x" * 1500)] * 700 + [(None, None, None)] * 500 + [(9, "u", "x" * 1500)] * 3 + [(1, "v", "y")] * 4
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    m, first = archive_files(pages.repartition(3), shard_bytes=60_000, hot_copies=30)
+    assert archive_files(pages.repartition(11), shard_bytes=60_000, hot_copies=30)[1] == first
+    assert max(x[2] for x in first) <= 150 and sum(x[2] for x in first) == len(rows)
+    got = collections.Counter((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(m).collect())
+    assert got == {(5, "u", 1500, "revisit", 9): 700, (None, None, 0, "response", None): 500, (9, "u", 1500, "response", None): 3, (1, "v", 1, "response", None): 4}
