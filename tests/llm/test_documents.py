@@ -202,48 +202,111 @@ def test_lm_beats_unigrams_on_held_out_texts(spark, sf):
     assert r[0] > r[1]
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([("a b a b c a d",), ("b b a c",), ("a",)], "text string")
-    uni, unseen, high = kneser_ney.fit(texts)
-    low = {r.w: 10 ** r.lower for r in uni.collect()}
+END = int(np.uint64(kneser_ney.END).view(np.int64))
+
+
+def plain_kneser_ney(texts, order):
+    """prob(history, word) by the formulas, on words; None is the end token."""
+    def d_of(counts):
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        if not all(n[:3]):
+            return [0.5, 0.75, 0.9]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), raw)]
+    cut = lambda c, d: d[min(c, 3) - 1]
+    top = collections.Counter()
+    for t in texts:
+        w = [None] * (order - 1) + t.lower().split() + [None]
+        top.update(tuple(w[i:i + order]) for i in range(len(w) - order + 1))
+    levels = [top]
+    while len(levels) < order - 1:
+        low = collections.Counter()
+        for g, c in levels[-1].items():
+            low[g[1:]] += c if g[1] is None else 1
+        levels.append(low)
+    before = collections.Counter(g[1] for g in levels[-1])
+    d1, types = d_of(before.values()), sum(before.values())
+    unseen = sum(cut(c, d1) for c in before.values()) / types / (len(before) + 1)
+    tables = []
+    for counts in reversed(levels):
+        d, ctx = d_of(counts.values()), collections.defaultdict(dict)
+        for g, c in counts.items():
+            ctx[g[:-1]][g[-1]] = c
+        tables.append({h: ({w: (c - cut(c, d)) / sum(own.values()) for w, c in own.items()},
+                           sum(cut(c, d) for c in own.values()) / sum(own.values())) for h, own in ctx.items()})
+
+    def prob(history, w):
+        p = (before[w] - cut(before[w], d1)) / types + unseen if w in before else unseen
+        for k, table in enumerate(tables, 1):
+            high, back = table.get(tuple(history[len(history) - k:]), ({}, 1.0))
+            p = high.get(w, 0.0) + back * p
+        return p
+    return prob, set(before)
+
+
+LEARNED = ["one two one two quick brown fox", "one the lazy dog", "one two no id", "the quick brown dog one two", "fox fox fox fox the", "a"]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_probabilities_sum_to_one(spark, order):
+    prob, words = plain_kneser_ney(LEARNED, order)
+    for history in ([None, None], ["one", "two"], ["the", "quick"], ["fox", "fox"], ["never", "one"], ["never", "seen"]):
+        assert sum(prob(history, w) for w in words) + prob(history, "unheard") == pytest.approx(1.0)
+    uni, unseen, high, tri = kneser_ney.fit(spark.createDataFrame([(t,) for t in LEARNED], "text string"), order)
+    assert sum(10 ** r.lower for r in uni.collect()) + 10 ** unseen == pytest.approx(1.0)
     back = {r.w: 10 ** r.back for r in uni.collect()}
-    after = collections.defaultdict(dict)
-    for r in high.collect():
-        after[r.v][r.w] = r.high
-    # every word was seen as a successor, so the unseen share is the one left over
-    assert sum(low.values()) + 10 ** unseen == pytest.approx(1.0)
-    for v, own in after.items():
-        assert sum(own.values()) + back[v] == pytest.approx(1.0)
-
-
+    after = collections.defaultdict(float)
+    for r in high.where("high is not null").collect():
+        after[r.v] += r.high
+    assert after and all(x + back[v] == pytest.approx(1.0) for v, x in after.items())
+    if order == 3:
+        deep = {(r.v, r.w): 10 ** r.back for r in high.where("back is not null").collect()}
+        sums = collections.defaultdict(float)
+        for r in tri.collect():
+            sums[r.u, r.v] += r.high
+        assert sums.keys() == deep.keys() and all(x + deep[k] == pytest.approx(1.0) for k, x in sums.items())
+
+
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("name", ["docs", "clash", "empty"])
-def test_quality_scores(request, spark, name, monkeypatch):
+def test_quality_scores(request, spark, name, order):
     df = inputs(request, name, spark)
-    texts = spark.createDataFrame([("one two one two quick brown fox",), ("one the lazy dog",), ("one two no id",)], "text string")
-    uni, unseen, high = kneser_ney.fit(texts)
-    hashes = WordHash(fold=True)
-    low, back = {r.w: r.lower for r in uni.collect()}, {r.w: r.back for r in uni.collect()}
-    pair = {(r.v, r.w): r.high for r in high.collect()}
+    prob, _ = plain_kneser_ney(LEARNED, order)
     want = []
     for i, t in rows_of(df):
-        tok, ctx, _ = kneser_ney._tokens([(t or "").encode()], hashes)
-        s = 0.0
-        for v, w in zip(ctx.view(np.int64).tolist(), tok.view(np.int64).tolist()):
-            s += math.log10(pair.get((v, w), 0.0) + 10 ** (low.get(w, unseen) + back.get(v, 0.0)))
-        want.append((str(i), len(tok), s))
-    got = sorted((str(r.doc_id), r.n_tokens, r.log10_prob) for r in kneser_ney.score(df, (uni, unseen, high)).collect())
+        w = [None, None] + [x.decode() for x in words((t or "").lower())] + [None]
+        want.append((str(i), len(w) - 2, sum(math.log10(prob(w[k - 2:k], w[k])) for k in range(2, len(w)))))
+    model = kneser_ney.fit(spark.createDataFrame([(t,) for t in LEARNED], "text string"), order)
+    got = sorted((str(r.doc_id), r.n_tokens, r.log10_prob) for r in kneser_ney.score(df, model).collect())
     assert len(got) == len(want)
     for g, w in zip(got, sorted(want)):
         assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-4)
 
 
-def test_quality_rejects_noise_and_keeps_trusted(spark):
+def test_quality_sample_is_bounded_and_never_empty(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TRAIN_WORDS", 500)
+    monkeypatch.setattr(kneser_ney, "LONG", 300)
+    rows = [(i, " ".join(f"word{(i * 7 + k * k) % 60}" for k in range(60))) for i in range(40)]
+    rows += [(1000, " ".join(f"word{k % 60}" for k in range(800)))] * 30 + [(None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    good = lambda ids: spark.createDataFrame([(i, False) for i in ids], "doc_id long, held boolean")
+    size = lambda r: sorted(len(x.text.split()) for x in r.collect())
+    assert size(kneser_ney.sample(df, good([*range(40), 1000, 7777]))) == [60] * 9  # the one that reaches the bound is the last
+    assert size(kneser_ney.sample(df, good([1000]))) == [800] and size(kneser_ney.sample(df, good([1000, 3]))) == [60, 800]
+    assert size(kneser_ney.sample(df, good([7777]))) == []
+    monkeypatch.setattr(kneser_ney, "TRAIN_DOCS", 2)
+    assert len(size(kneser_ney.sample(df, good([*range(40), *range(2000, 2400)])))) == 2  # ids without a document take no place
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_quality_rejects_noise_and_keeps_trusted(spark, order):
     good = [(i, " ".join(f"word{(i * 7 + k * k) % 60}" for k in range(60)), "en") for i in range(120)]
     bad = [(1000 + i, " ".join(f"{k}{i}zz#" for k in range(60)), "en") for i in range(10)]
     more = [(2000, None, "en"), (2001, "word1 word2", None), (2002, good[0][1], "de")]
     df = spark.createDataFrame(good + bad + more, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(120)] + [(1000, 0, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
-    r = {x.doc_id: x.kept for x in kneser_ney.classify(df, labels).collect()}
+    r = {x.doc_id: x.kept for x in kneser_ney.classify(df, labels, order).collect()}
     assert not any(r[1000 + i] for i in range(10)) and sum(r[i] for i in range(120)) >= 117 and r[2002]
     assert all(x.kept for x in kneser_ney.classify(df, labels.limit(0)).collect())
     assert kneser_ney.classify(df.limit(0), labels).count() == 0
