@@ -3,7 +3,7 @@
 Empty folders are found in closed form instead of repeated passes: a folder
 goes iff nothing that stays (a surviving file or a protected folder) lies
 below it and its height (deepest folder chain under it) is below the number
-of passes.  Both explode the chains of distinct folders, never of every file.
+of passes.  The chains of distinct folders are exploded, never those of every file.
 """
 
 from __future__ import annotations
@@ -52,28 +52,40 @@ def _protected_dir(path, root: str, protected) -> "F.Column":
     return F.coalesce(P.dir_contains_any(rel, protected), F.lit(False))
 
 
-def empty_dirs_plan(dirs: DataFrame, files: DataFrame, root: str,
-                    max_passes: int = C.EMPTY_DIR_MAX_PASSES,
-                    protected=C.CLEAN_PROTECTED) -> DataFrame:
+def removable_dirs(dirs: DataFrame, files: DataFrame, root: str, max_passes: int = C.EMPTY_DIR_MAX_PASSES,
+                   protected=C.CLEAN_PROTECTED) -> DataFrame:
     """V6: folders (``dirs.path``, at or below root) that repeated passes of
-    empty-folder removal would delete: path, action 'rmdir'.  A folder that could
-    not be read (``dirs.error``) may hold files: it stays, and all above it."""
+    empty-folder removal would delete: path.  A folder that could not be read
+    (``dirs.error``) may hold files: it stays, and all above it.
+
+    One aggregation by folder: what it is (a candidate, protected, above
+    something that stays, above a chain of ``max_passes`` folders) comes as flags.
+    A folder whose height is ``max_passes`` or more is some folder's
+    ``max_passes``-th ancestor, so heights need no chains."""
     r = P.norm_root(root) or "/"
     unread = F.col("error").isNotNull() if "error" in dirs.columns else F.lit(False)
-    d = (dirs.select("path", unread.alias("_unread")).filter((F.col("path") == r) | P.under_root("path", root))
-         .groupBy("path").agg(F.max("_unread").alias("_unread")))
-    prot = _protected_dir(F.col("path"), root, protected) | F.col("_unread")
+    d = dirs.select("path", unread.alias("_unread")).filter((F.col("path") == r) | P.under_root("path", root))
+    stay = _protected_dir(F.col("path"), root, protected) | F.col("_unread")
+    d = d.select("path", F.when(stay, 3).otherwise(1).alias("_flag"))
     # anything that stays blocks all of its ancestors
-    stays = (files.select("path").filter(P.under_root("path", root))
-             .unionByName(d.filter(prot).select("path")))
-    blocked = folders_above(stays, root)
-    # height: deepest folder below (self = 0)
-    height = ancestor_rows(d.select("path"), root, include_self=True).groupBy("anc").agg(F.max("up").alias("height"))
-    cand = d.filter(~prot)
-    return (cand.join(blocked, "path", "left_anti")
-                .join(height.withColumnRenamed("anc", "path"), "path", "inner")
-                .filter(F.col("height") < max_passes)
-                .select("path", F.lit("rmdir").alias("action"), "height"))
+    blocked = folders_above(files.select("path").filter(P.under_root("path", root)).unionByName(d.where("_flag = 3").select("path")), root)
+    n = P.depth_of("path")
+    far = F.expr("substring_index(path, '/', _n)")
+    deep = d.where("path <> '/'").select("path", (n - max_passes).alias("_n")).where("_n > 0").select(F.when(far == "", "/").otherwise(far).alias("path"))
+    flags = d.unionByName(blocked.withColumn("_flag", F.lit(2))).unionByName(deep.withColumn("_flag", F.lit(2)))
+    return flags.groupBy("path").agg(F.bit_or("_flag").alias("_flag")).where("_flag = 1").select("path")
+
+
+def empty_dirs_plan(dirs: DataFrame, files: DataFrame, root: str,
+                    max_passes: int = C.EMPTY_DIR_MAX_PASSES,
+                    protected=C.CLEAN_PROTECTED) -> DataFrame:
+    """V6 as a plan: path, action 'rmdir', height (0: no folder below).  What
+    lies below a removable folder is removable too, so heights are taken among
+    those alone."""
+    gone = removable_dirs(dirs, files, root, max_passes, protected)
+    height = ancestor_rows(gone, root, include_self=True).groupBy("anc").agg(F.max("up").alias("height"))
+    return (gone.join(height.withColumnRenamed("anc", "path"), "path")
+            .select("path", F.lit("rmdir").alias("action"), "height"))
 
 
 def fixed_mode(entries: DataFrame) -> "F.Column":
@@ -139,8 +151,8 @@ def clean_plan(manifest: DataFrame, root: str, dirs: DataFrame | None = None, ju
             if "is_dir" in manifest.columns:  # folder rows, empty and unreadable ones among them
                 dirs = dirs.select("path").unionByName(manifest.filter("is_dir").select("path", *[c for c in ("error",) if c in manifest.columns]),
                                                        allowMissingColumns=True)
-        parts.append(empty_dirs_plan(dirs, survivors, root, max_passes)
-                     .select("path", "action", F.lit(None).cast("bigint").alias("size")))
+        parts.append(removable_dirs(dirs, survivors, root, max_passes)
+                     .select("path", F.lit("rmdir").alias("action"), F.lit(None).cast("bigint").alias("size")))
     if apply_all or permissions:
         entries = survivors
         if "is_dir" in manifest.columns:

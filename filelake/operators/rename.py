@@ -26,7 +26,7 @@ from filelake.functions import paths as P
 from filelake.functions.fmt import size_text_2
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
-from filelake.session import materialize, small_side
+from filelake.session import join_side, materialize, small_side
 from filelake.sources.manifest import ensure_md5
 
 
@@ -100,7 +100,8 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
                .agg(F.sum("_copy").alias("_n"), F.max("_orig").alias("_has_orig"),
                     F.max("_orig_md5").alias("orig_md5"), F.max("_c").alias("_first"))
                .filter(F.col("_n") > 0))
-    j = c.join(per_key.withColumnRenamed("_key", "clean_path"), "clean_path", "inner")
+    # one clean path may have any share of the copies: its row goes to them, split or by broadcast
+    j = join_side(c, per_key.withColumnRenamed("_key", "clean_path"), ["clean_path"], tag="rename-keys")
     has_orig = F.col("_has_orig") == 1
     is_first = F.col("path") == F.col("_first.path")
     base_md5 = F.when(has_orig, F.col("orig_md5")).otherwise(F.col("_first.md5"))
