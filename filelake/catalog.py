@@ -33,6 +33,7 @@ from filelake.plans.commitlog import CommitLog
 from filelake.session import ensure_checkpoint_dir
 from filelake.sources import fixture as FX
 from filelake.sources.manifest import from_table
+from filelake.sources import snapshot_io as IO
 from filelake.sources.snapshot_io import read_snapshot, snapshot_from_record, write_snapshot
 from filelake.sources.store import ManifestStore
 
@@ -125,7 +126,7 @@ def _pair(spark, sf_dir):
 @register("snapshot_diff")
 def q_snapshot_diff(spark, sf_dir):
     cur, prev = _pair(spark, sf_dir)
-    return S.snapshot_diff(cur, prev).drop("new_extension_counts")
+    return S.snapshot_diff(cur, prev, with_map=False)
 
 
 @register("snapshot_ext_changes")
@@ -144,6 +145,29 @@ def q_snapshot_diff_stored(spark, sf_dir):
     return d.withColumn("new_extension_counts", F.to_json("new_extension_counts"))
 
 
+@register("snapshot_diff_sharded")
+def q_snapshot_diff_sharded(spark, sf_dir):
+    """The previous snapshot as a sharded folder, the difference as another."""
+    cur, prev = _pair(spark, sf_dir)
+    old, new = _place(spark, "snapshot"), _place(spark, "diff")
+    IO.write_sharded(prev, old)
+    prev = IO.read_sharded(spark, old)
+    IO.write_sharded_diff(S.snapshot_diff(cur, prev, with_map=False), S.ext_changes(cur, prev), new)
+    head, changes = IO.read_sharded_diff(spark, new)
+    return changes.select("ext", "change", "count", head.select("summary").scalar().alias("summary"))
+
+
+@register("snapshot_diff_document")
+def q_snapshot_diff_document(spark, sf_dir):
+    """The difference written as a document and read back as what it is."""
+    cur, prev = _pair(spark, sf_dir)
+    place = _place(spark, "diff")
+    write_snapshot(IO.diff_record(S.snapshot_diff(cur, prev), ROOT), place)
+    return read_snapshot(spark, place).select(
+        "path", "is_diff", F.col("summary_text").alias("summary"), "files_added", "files_removed", "size_change_bytes",
+        F.size("new_extensions").cast("bigint").alias("new_extensions"))
+
+
 # --- sort -------------------------------------------------------------------------
 
 
@@ -413,6 +437,17 @@ def q_oplog_replan_recover(spark, sf_dir):
     return log.recover().select("op_id", "op_type", "source", "hash", F.col("new_mode").cast("bigint").alias("new_mode"), "status")
 
 
+@register("oplog_recover_stored")
+def q_oplog_recover_stored(spark, sf_dir):
+    """The dedup plan appended to a log, part of it done, read and recovered."""
+    place = _place(spark, "oplog")
+    OL.append_op_log(OL.op_log_from_plan(D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100)), place)
+    done = OL.load_op_log(spark, place).where(F.col("expected_size") % 2 == 0)
+    OL.append_op_log(OL.op_log_update(done, "done", 1), place)
+    log = OL.load_op_log(spark, place)
+    return OL.op_log_recover(log).join(log.where("seq = 0").select("op_id", "source", "hash", "expected_size"), "op_id")
+
+
 @register("delete_batches")
 def q_delete_batches(spark, sf_dir):
     plan = D.dedup_plan(FX.manifest(spark, sf_dir), ROOT, min_size=100)

@@ -154,18 +154,19 @@ def ext_changes(current: Snapshot, previous: Snapshot) -> DataFrame:
         F.coalesce("cur_count", "prev_count").alias("count"))
 
 
-def snapshot_diff(current: Snapshot, previous: Snapshot) -> DataFrame:
+def snapshot_diff(current: Snapshot, previous: Snapshot, with_map: bool = True) -> DataFrame:
     """AG13: one row -- files_added / files_removed are net counts, size
-    change, new and removed extension counts, the new-extension map and the
-    summary sentence."""
+    change, new and removed extension counts, the summary sentence and, unless
+    ``with_map`` is off, the new-extension map.  The map has an entry per new
+    extension in one row; ``ext_changes`` gives the same as rows."""
     ch = ext_changes(current, previous)
     # one struct-valued scalar subquery per input instead of one per field
     prev = previous.summary.select(F.struct("total_files", "total_size_bytes")).scalar()
+    new_map = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("change") == "new", F.struct("ext", "count")))))
     changes = ch.agg(F.struct(
         F.count_if(F.col("change") == "new").alias("n_new"),
         F.count_if(F.col("change") == "removed").alias("n_removed"),
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.when(F.col("change") == "new", F.struct("ext", "count"))))).alias("new_map"))).scalar()
+        *([new_map.alias("new_map")] if with_map else []))).scalar()
     delta = F.col("total_files") - prev["total_files"]
     out = current.summary.select(
         F.greatest(delta, F.lit(0)).cast("bigint").alias("files_added"),
@@ -173,7 +174,7 @@ def snapshot_diff(current: Snapshot, previous: Snapshot) -> DataFrame:
         (F.col("total_size_bytes") - prev["total_size_bytes"]).cast("bigint").alias("size_change_bytes"),
         changes["n_new"].cast("bigint").alias("new_extensions"),
         changes["n_removed"].cast("bigint").alias("removed_extensions"),
-        changes["new_map"].alias("new_extension_counts"))
+        *([changes["new_map"].alias("new_extension_counts")] if with_map else []))
     parts = F.concat_ws(", ",
                         F.when(F.col("files_added") > 0, F.format_string("+%d files", "files_added")),
                         F.when(F.col("files_removed") > 0, F.format_string("-%d files", "files_removed")),

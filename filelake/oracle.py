@@ -773,3 +773,11 @@ SELECT sha256('clean/' || op_type || ':' || source) AS op_id, op_type, source, C
 FROM c WHERE length(source) % 3 <> 0 AND NOT (length(source) % 3 = 1 AND op_type = 'delete')
 UNION ALL
 SELECT sha256('dedup/' || action || ':' || path), action, path, md5, NULL, 'pending' FROM plan WHERE action = 'delete'"""
+
+ORACLE["snapshot_diff_sharded"] = ORACLE["snapshot_diff"].replace("SELECT *, coalesce(nullif(concat_ws", "SELECT ch.*, coalesce(nullif(concat_ws").rsplit(
+    "FROM d", 1)[0] + "FROM d, ch"
+ORACLE["snapshot_diff_document"] = ORACLE["snapshot_diff"].replace(
+    "SELECT *, coalesce(nullif(concat_ws", "SELECT '/drive' AS path, true AS is_diff, files_added, files_removed, size_change_bytes, new_extensions, coalesce(nullif(concat_ws")
+ORACLE["oplog_recover_stored"] = f"""WITH {M}, {CAND}, {_PLAN_DEEPEST}
+SELECT sha256(action || ':' || path) AS op_id, 'pending' AS status, path AS source, md5 AS hash, size AS expected_size
+FROM plan WHERE action = 'delete' AND size % 2 <> 0"""

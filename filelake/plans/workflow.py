@@ -44,7 +44,7 @@ class Reorganisation:
         """One row of counts, all but the snapshots' from one pass over the
         composed plan (a row removed or moved also carries its new mode, which
         the permission count includes)."""
-        diff = S.snapshot_diff(self.after, self.before)
+        diff = S.snapshot_diff(self.after, self.before, with_map=False)
         a, why = F.col("action"), F.col("reason")
         done = self.plan.agg(F.struct(
             F.count_if((a == "delete") & (why == JUNK)).alias("junk_deleted"), F.count_if(a == "rmdir").alias("dirs_removed"),

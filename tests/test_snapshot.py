@@ -97,3 +97,31 @@ def test_diff_against_a_stored_snapshot(spark, mk, tmp_path):
     kept = json.loads(r.document)
     assert kept["previous_timestamp"] == stored.first().timestamp and kept["current_timestamp"]
     assert kept["new_extensions"] == {".new": 2}
+
+
+def test_sharded_snapshot_round_trip_and_document(mk, spark, tmp_path):
+    import json
+
+    from filelake.sources import snapshot_io as IO
+    m = mk([(f"/s/d{i % 7}/f{i}.x{i % 25}", "y" * i) for i in range(200)] + [("/s/r.txt", "a"), ("/s/q", "")])
+    snap = S.snapshot(m, "/s")
+    at = str(tmp_path / "snap")
+    IO.write_sharded(snap, at)
+    back = IO.read_sharded(spark, at)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for facet in ("summary", "by_extension", "top_dirs", "largest"):
+        assert rows(getattr(back, facet)) == rows(getattr(snap, facet)), facet
+    assert rows(back.samples.select("ext", "path", "sample_rank")) == rows(snap.samples.select("ext", "path", "sample_rank"))
+    doc = json.loads("".join(IO.document_lines(spark, at)))
+    want = snap.record().first().asDict(recursive=True)
+    assert {k: v for k, v in doc.items() if k != "timestamp"} == {k: v for k, v in want.items() if k != "timestamp"}
+    assert len(spark.read.json(f"{at}/by_extension").inputFiles()) > 1
+    later = S.snapshot(m.filter("size > 10"), "/s")
+    diff, changes = S.snapshot_diff(later, back, with_map=False), S.ext_changes(later, back)
+    assert "collect_list" not in diff._jdf.queryExecution().optimizedPlan().toString() and "new_extension_counts" not in diff.columns
+    IO.write_sharded_diff(diff, changes, str(tmp_path / "diff"))
+    head, rows_of_it = IO.read_sharded_diff(spark, str(tmp_path / "diff"))
+    assert rows(rows_of_it) == rows(changes) and head.first().summary == diff.first().summary
+    quick = S.snapshot(m, "/s", quick=True)
+    IO.write_sharded(quick, str(tmp_path / "quick"))
+    assert json.loads("".join(IO.document_lines(spark, str(tmp_path / "quick"))))["largest_files"] == []
