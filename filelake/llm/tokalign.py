@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm.common import by_value, small_batches, store
+from filelake.llm.common import by_value, chunks, small_batches, store
 from filelake.llm.lmscore import _pack, _unpack
 from filelake.llm.tokencount import WHITE
 from filelake.session import join_side
@@ -43,7 +43,8 @@ from filelake.session import join_side
 by_value(__name__)
 
 BLOCK_BYTES = 16_000_000
-BLOCK_PARTS = 250_000
+BLOCK_PARTS = 400_000
+ADD_BYTES = 500_000      # of texts that are taken in at a time
 JOIN_BYTES = 1 << 18     # of new parts that are encoded in one call
 MARK = "▁"               # fixed value: U+2581, the space of B's pieces
 CUT = re.compile(f"(?<=[^{WHITE}])(?= )")
@@ -76,6 +77,9 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_size = np.array([1 if self.b.is_byte(i) else 0 if self.b.is_control(i) or self.b.is_unknown(i) else len(p.replace(MARK, " ").encode())
                                 for i, p in enumerate(pieces)], np.int64)
+        # an id as it is written inside a group, and as the last of A's or B's
+        self.a_words = [np.array([f"{i}{c}" for i in range(len(self.a_size))], object) for c in ",|"]
+        self.b_words = [np.array([f"{i}{c}" for i in range(len(self.b_size))], object) for c in ",;"]
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
 
     def parts(self, text: str) -> list[str]:
@@ -92,61 +96,73 @@ class Pair:
         return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64), np.array(b, np.int64)
 
 
-def common_slices(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first, last + 1) of A and of B for every slice between common ends."""
-    a_at, b_at = {e: i for i, e in enumerate(a_ends)}, {e: i for i, e in enumerate(b_ends)}
-    out, i, j = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        x, y = a_at[end] + 1, b_at[end] + 1
-        out.append((i, x, j, y))
-        i, j = x, y
-    return out
-
-
-def slice_links(a_ends, b_ends, i: int, x: int, j: int, y: int) -> list[tuple[int, int]]:
-    """Positions of the A-B pairs of one slice whose byte ranges overlap."""
-    if x - i == 1 or y - j == 1:
-        return [(p, q) for p in range(i, x) for q in range(j, y)]
-    out, p, q = [], i, j
-    while p < x and q < y:
-        out.append((p, q))
-        # inside a slice no two ends are equal but the last
-        if a_ends[p] <= b_ends[q]:
-            p += 1
-        else:
-            q += 1
-    return out
-
-
-def align(pair: Pair, parts: list[str]):
-    """Per part (n_a, n_b, n_groups, groups as text, [(a, b), ...]), or None where
-    the joined tokens differ from it."""
-    out: list = []
-    for group in _joinable(parts):
-        text = " ".join(group)
-        a, b = pair.encode(text)
-        sizes = np.array([len(p.encode()) + 1 for p in group], np.int64)
-        a_ends, b_ends = np.cumsum(pair.a_size[a]).tolist(), np.cumsum(pair.b_size[b]).tolist()
-        stops = np.cumsum(sizes).tolist()
-        whole = bool(a_ends) and bool(b_ends) and a_ends[-1] == stops[-1] == b_ends[-1] and not any(MARK in p for p in group)
-        slices = common_slices(a_ends, b_ends) if whole else []
-        if not whole or not {a_ends[x - 1] for _, x, _, _ in slices} >= set(stops):
-            if len(group) == 1:
-                out.append(None)
-            else:  # one of them is at fault: each by itself
-                out += [r for p in group for r in align(pair, [p])]
-            continue
-        a, b, at = a.tolist(), b.tolist(), 0
-        for stop in stops:
-            n_a = n_b = n = 0
-            words, links = [], []
-            while at < len(slices) and a_ends[slices[at][1] - 1] <= stop:
-                i, x, j, y = slices[at]
-                words.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-                links += [(a[p], b[q]) for p, q in slice_links(a_ends, b_ends, i, x, j, y)]
-                n_a, n_b, n, at = n_a + x - i, n_b + y - j, n + 1, at + 1
-            out.append((n_a, n_b, n, ";".join(words), links))
-    return out
+def common_slices(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every slice between common ends, the number of A's and of B's tokens
+    up to its end."""
+    a_at, b_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1))), dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return (np.fromiter(map(a_at.__getitem__, common), np.int64, len(common)), np.fromiter(map(b_at.__getitem__, common), np.int64, len(common)))
+
+
+def slice_links(a_ends: np.ndarray, b_ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the overlapping A-B pairs of all slices (x, y as above), in
+    order, and the number of pairs of each.  The ends of both cut a slice into
+    pieces; a piece lies in one token of A and one of B, and two tokens share at
+    most one piece.  A slice of m and n tokens has m + n - 1 of them."""
+    ends = np.union1d(a_ends[:x[-1]], b_ends[:y[-1]]) if len(x) else np.zeros(0, np.int64)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), np.diff(x, prepend=0) + np.diff(y, prepend=0) - 1
+
+
+class Aligned:
+    """What is known of some parts: sizes (tokens of A and of B, groups, links;
+    -1: no tokens, as they differ from the part), groups as text with a ; after
+    each, and the links' id pairs one part after another."""
+
+    def __init__(self, sizes, words: list[str], pairs):
+        self.sizes, self.words, self.pairs = sizes, words, pairs
+
+    @classmethod
+    def joined(cls, some: list[Aligned]) -> Aligned:
+        return cls(np.concatenate([x.sizes for x in some]), [w for x in some for w in x.words], np.concatenate([x.pairs for x in some]))
+
+
+NOTHING = np.zeros((0, 4), np.int64)
+
+
+def align(pair: Pair, parts: list[str]) -> Aligned:
+    """The parts in the order given."""
+    done = [_align_group(pair, group) for group in _joinable(parts)]
+    return Aligned.joined(done) if done else Aligned(NOTHING, [], np.zeros(0, np.uint64))
+
+
+def _align_group(pair: Pair, group: list[str]) -> Aligned:
+    a, b = pair.encode(" ".join(group))
+    stops = np.cumsum([len(p.encode()) + 1 for p in group])
+    a_ends, b_ends = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+    whole = len(a) and len(b) and a_ends[-1] == stops[-1] == b_ends[-1] and not any(MARK in p for p in group)
+    if whole:
+        x, y = common_slices(a_ends, b_ends)
+        last = np.searchsorted(a_ends[x - 1], stops)  # each part's last slice
+        whole = (a_ends[x - 1][last] == stops).all()
+    if not whole:
+        if len(group) == 1:
+            return Aligned(np.full((1, 4), -1), [""], np.zeros(0, np.uint64))
+        return Aligned.joined([_align_group(pair, [p]) for p in group])  # one of them is at fault: each by itself
+    i, j, many = slice_links(a_ends, b_ends, x, y)
+    pairs = a[i].astype(np.uint64) << np.uint64(32) | b[j].astype(np.uint64)
+    upto = np.stack([x, y, np.arange(1, len(x) + 1), np.cumsum(many)], axis=1)[last]
+    sizes = np.diff(upto, axis=0, prepend=np.zeros((1, 4), np.int64))
+    # ids in the order of the text: a slice's A ids, a bar, its B ids, a semicolon
+    m, n = np.diff(x, prepend=0), np.diff(y, prepend=0)
+    out = np.empty(len(a) + len(b), object)
+    at = np.arange(len(a)) + np.repeat(y - n, m)
+    out[at] = pair.a_words[0][a]
+    out[at[x - 1]] = pair.a_words[1][a[x - 1]]
+    at = np.arange(len(b)) + np.repeat(x, n)
+    out[at] = pair.b_words[0][b]
+    out[at[y - 1]] = pair.b_words[1][b[y - 1]]
+    flat, cut = out.tolist(), [0, *(upto[:, 0] + upto[:, 1]).tolist()]
+    return Aligned(sizes, ["".join(flat[p:q]) for p, q in zip(cut, cut[1:])], pairs)
 
 
 def _joinable(parts: list[str]):
@@ -171,51 +187,62 @@ class Block:
 
     def __init__(self, pair: Pair):
         self.pair, self.number, self.bytes = pair, {}, 0
-        self.sizes, self.words, self.links = [], [], []   # per part; None and no links where it has no tokens
-        self.docs = []
+        self.sizes, self.words, self.pairs = np.zeros((1 << 14, 4), np.int64), [], []
+        self.docs = []  # ids, totals, digests, and per text its number of distinct parts; parts and how often
 
     def add(self, ids, texts) -> None:
         import hashlib
         split = [self.pair.parts(t) if t else [] for t in texts]
-        new = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in self.number]
-        for p, r in zip(new, align(self.pair, new)):
-            self.number[p] = len(self.sizes)
-            self.sizes.append(r and (r[0], r[1], r[2], len(r[4])))
-            self.words.append(r and r[3])
-            self.links.append(r[4] if r else [])
-        get, words, sizes = self.number.__getitem__, self.words, self.sizes
-        for i, text, ps in zip(ids, texts, split):
-            own = list(map(get, ps))
-            kinds, count = np.unique(np.array(own, np.int64), return_counts=True)
-            if not own or any(sizes[k] is None for k in kinds.tolist()):
-                self.docs.append((i, (0, 0, 0, 0), "", np.zeros(0, np.uint32), np.zeros(0, np.uint32)))
-                continue
-            total = count @ np.array([sizes[k] for k in kinds.tolist()], np.int64)
-            sha = hashlib.sha256(";".join([words[k] for k in own]).encode()).hexdigest()
-            self.docs.append((i, tuple(total.tolist()), sha, kinds.astype(np.uint32), count.astype(np.uint32)))
-            self.bytes += len(text)
+        flat = [p for ps in split for p in ps]
+        new = [p for p in dict.fromkeys(flat) if p not in self.number]
+        found, start = align(self.pair, new), len(self.words)
+        self.number.update(zip(new, range(start, start + len(new))))
+        self.words += found.words
+        self.pairs.append(found.pairs)
+        while len(self.words) > len(self.sizes):
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.sizes[start:len(self.words)] = found.sizes
+        own = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        size = np.array([len(ps) for ps in split], np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        bad = np.bincount(doc[self.sizes[own, 0] < 0], minlength=len(size)) > 0
+        total = np.zeros((len(size), 4), np.int64)
+        np.add.at(total, doc, self.sizes[own])
+        total[bad] = 0
+        ok = ~bad[doc]
+        key, count = np.unique(doc[ok] * len(self.words) + own[ok], return_counts=True)
+        kinds = np.bincount(key // max(len(self.words), 1), minlength=len(size))
+        words, at, sha = self.words, 0, []
+        parts = own.tolist()
+        for n, b in zip(size.tolist(), bad.tolist()):
+            text = "" if b or not n else "".join([words[k] for k in parts[at:at + n]])
+            sha.append(hashlib.sha256(text[:-1].encode()).hexdigest() if text else "")
+            at += n
+        self.docs.append((ids, total, sha, kinds, key % max(len(self.words), 1), count))
+        self.bytes += sum(len(t) for t in texts if t)
 
     def full(self) -> bool:
-        return self.bytes >= BLOCK_BYTES or len(self.sizes) >= BLOCK_PARTS
+        return self.bytes >= BLOCK_BYTES or len(self.words) >= BLOCK_PARTS
 
     def row(self, number: int) -> pa.RecordBatch:
-        flat = np.array([x for ls in self.links for ab in ls for x in ab], np.uint64).reshape(-1, 2)
-        many = np.array([len(x) for x in self.links], np.uint32)
-        pairs, which = np.unique(flat[:, 0] << np.uint64(32) | flat[:, 1], return_inverse=True)
-        start = np.cumsum(many, dtype=np.int64) - many
-        held = np.zeros(len(pairs), np.int64)  # texts that hold the pair
-        for d in self.docs:
-            k = d[3].astype(np.int64)
-            if len(k):
-                n = many[k].astype(np.int64)
-                at = np.arange(n.sum()) + np.repeat(start[k] - (np.cumsum(n) - n), n)
-                held[np.unique(which[at])] += 1
-        data = _pack(pairs, held, many, which.astype(np.uint32), np.array([len(d[3]) for d in self.docs], np.uint32),
-                     np.concatenate([d[3] for d in self.docs]), np.concatenate([d[4] for d in self.docs]))
-        counts = [pa.array([[d[1][c] for d in self.docs]], pa.list_(pa.int64())) for c in range(4)]
+        ids, sha = ([x for d in self.docs for x in d[k]] for k in (0, 2))
+        total, kinds, part, count = (np.concatenate([d[k] for d in self.docs]) for k in (1, 3, 4, 5))
+        many = np.maximum(self.sizes[:len(self.words), 3], 0)
+        pairs, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.pairs]), return_inverse=True)
+        start, held = np.cumsum(many) - many, np.zeros(len(pairs), np.int64)  # held: texts that hold the pair
+        stop = np.cumsum(kinds)
+        for a in range(0, len(kinds), 200):
+            b = min(a + 200, len(kinds))
+            own = slice(stop[a] - kinds[a], stop[b - 1])
+            n = many[part[own]]
+            at = np.arange(n.sum()) + np.repeat(start[part[own]] - (np.cumsum(n) - n), n)
+            doc = np.repeat(np.repeat(np.arange(b - a), kinds[a:b]), n)
+            one = np.unique(doc * len(pairs) + which[at]) % max(len(pairs), 1)
+            held += np.bincount(one, minlength=len(pairs))
+        data = _pack(pairs, held, many.astype(np.uint32), which.astype(np.uint32), kinds.astype(np.uint32), part.astype(np.uint32), count.astype(np.uint32))
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([[d[0] for d in self.docs]], pa.list_(pa.int64())), *counts,
-             pa.array([[d[2] for d in self.docs]], pa.list_(pa.string())), pa.array([data], pa.binary())], names=NAMES)
+            [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([total[:, c].tolist()], pa.list_(pa.int64())) for c in range(4)),
+             pa.array([sha], pa.list_(pa.string())), pa.array([data], pa.binary())], names=NAMES)
 
 
 NAMES = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "data"]
@@ -233,8 +260,8 @@ def align_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         block = Block(pair)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("_t").to_pylist()
-            for a in range(0, len(ids), 100):
-                block.add(ids[a:a + 100], texts[a:a + 100])
+            for a, b in chunks(batch, [len(t) if t else 0 for t in texts], ADD_BYTES):
+                block.add(ids[a:b], texts[a:b])
                 if block.full():
                     yield block.row(number)
                     number, block = number + 1, Block(pair)

@@ -80,15 +80,17 @@ def test_token_alignment(request, spark, name, monkeypatch):
     if name == "odd":  # many blocks, parts encoded together and apart
         monkeypatch.setattr(tokalign, "BLOCK_PARTS", 50)
         monkeypatch.setattr(tokalign, "JOIN_BYTES", 64)
+        monkeypatch.setattr(tokalign, "ADD_BYTES", 300)
     got = [tuple(r) for r in tokalign.align_texts(df, *paths()).collect()]
     assert sorted(got, key=str) == sorted(aligned(rows_of(df)), key=str)
 
 
 def test_slices_and_links():
-    a, b = [2, 5, 6, 9, 12], [1, 2, 4, 6, 7, 12]
-    assert tokalign.common_slices(a, b) == [(0, 1, 0, 2), (1, 3, 2, 4), (3, 5, 4, 6)]
-    assert tokalign.slice_links(a, b, 1, 3, 2, 4) == [(1, 2), (1, 3), (2, 3)]
-    assert tokalign.slice_links(a, b, 3, 5, 4, 6) == [(3, 4), (3, 5), (4, 5)]
+    a, b = np.array([2, 5, 6, 9, 12]), np.array([1, 2, 4, 6, 7, 12])
+    x, y = tokalign.common_slices(a, b)
+    assert list(zip(x.tolist(), y.tolist())) == [(1, 2), (3, 4), (5, 6)]
+    i, j, many = tokalign.slice_links(a, b, x, y)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 3), (3, 4), (3, 5), (4, 5)] and many.tolist() == [2, 3, 3]
 
 
 SPACE = " \t\n\x0b\x0c\r"
