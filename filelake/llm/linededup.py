@@ -153,7 +153,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
 
     places = narrow.select("_null", "_id", "_tk", F.posexplode("hs").alias("at", "h")).where("h is not null")
     hits = join_side(places, common, ["h"], tag="common-lines").groupBy("_null", "_id", "_tk").agg(F.collect_set("at").alias("_drop"))
-    rows = join_side(docs.withColumns(key), hits, ["_null", "_id", "_tk"], "left", "line-hits", max_rows=100_000)
+    # by a shuffle at every size: how many documents have a hit follows the data
+    rows = join_side(docs.withColumns(key), hits, ["_null", "_id", "_tk"], "left", "line-hits", max_rows=0)
     # the split text is bound once per document, places are looked up in it
     keep = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1), F.col("_drop"))
     kept = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), lambda parts: F.array_join(F.transform(keep, lambda i: F.get(parts, i)), "\n")), 1)
