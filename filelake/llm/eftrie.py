@@ -6,10 +6,12 @@ count of zeros before each word for select.  All parts of a trie lie in one
 buffer (a memory map, an Arrow value, bytes) and are only viewed, not copied.
 
 The trie of a bigram model has the contexts (64-bit word names), pointers to
-each context's successors (monotone), and the successors as 40-bit names
-relative to their context, that is rank * 2^40 + name, which makes the level
-monotone.  A lookup finds the context, then the successor by search inside the
-context's range.  Probabilities are quantised in logarithmic steps.
+each context's successors (monotone), and the successors by their names
+relative to their context: rank * 2^40 + the name's upper 40 bits, which makes the
+level monotone, and the lower 24 bits beside it, so that names are whole.  A lookup
+finds the context, then the successor by search inside the context's range, then
+the one of equal upper bits whose lower bits agree.  Probabilities are quantised
+in logarithmic steps; counts have 64 bits.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from filelake.llm.common import by_value
 
 by_value(__name__)
 
-NAME_BITS = 40
+NAME_BITS = 40       # of a name in the monotone level; the other 24 stand beside it
 STEPS = 32          # steps per factor of ten for probabilities, in two bytes
 CODES = 300 * STEPS + 2  # down to 10^-300: none that a count can give is clipped
 FINE = 4096         # steps per factor of ten for back-off weights, in two bytes
@@ -145,33 +147,34 @@ class Trie:
     """Contexts -> successors with quantised discounted probabilities, and per
     context its count and back-off weight."""
 
-    def __init__(self, contexts, pointers, successors, codes, counts, weights):
+    def __init__(self, contexts, pointers, successors, tails, codes, counts, weights):
         self.contexts, self.pointers, self.successors = contexts, pointers, successors
-        self.codes, self.counts, self.weights = codes, counts, weights
+        self.tails, self.codes, self.counts, self.weights = tails, codes, counts, weights
 
     @classmethod
     def build(cls, context: np.ndarray, name: np.ndarray, count: np.ndarray, discount: float) -> Trie:
-        """Rows (context, 40-bit name, count > 0) in any order, each pair once."""
+        """Rows (context, 64-bit name, count > 0) in any order, each pair once."""
         order = np.lexsort((name, context))
         context, name, count = context[order], name[order], count[order]
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(context)))
         total = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
         rank = np.repeat(np.arange(len(first), dtype=np.uint64), size)
+        cut = _u(64 - NAME_BITS)
         return cls(EliasFano.build(context[first]), EliasFano.build(np.append(first, len(context)).astype(np.uint64)),
-                   EliasFano.build(rank << _u(NAME_BITS) | name),
-                   quantise((count - discount) / np.repeat(total, size)), total.astype(np.uint32),
+                   EliasFano.build(rank << _u(NAME_BITS) | name >> cut), (name & ((_u(1) << cut) - _u(1))).astype(np.uint32),
+                   quantise((count - discount) / np.repeat(total, size)), total.astype(np.uint64),
                    quantise_weight(discount * size / np.maximum(total, 1)))
 
     def to_bytes(self) -> bytes:
-        parts = [*self.contexts.parts(), *self.pointers.parts(), *self.successors.parts(), self.codes, self.counts, self.weights]
+        parts = [*self.contexts.parts(), *self.pointers.parts(), *self.successors.parts(), self.tails, self.codes, self.counts, self.weights]
         head = np.array([len(p) for p in parts], np.uint64).tobytes()
         return head + b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts)
 
     @classmethod
     def view(cls, buffer) -> Trie:
         """The trie in ``buffer`` (bytes or a memory map); nothing is copied."""
-        kinds = [np.uint64, np.uint64, np.uint64, np.uint32] * 3 + [np.uint16, np.uint32, np.uint16]
+        kinds = [np.uint64, np.uint64, np.uint64, np.uint32] * 3 + [np.uint32, np.uint16, np.uint64, np.uint16]
         sizes = np.frombuffer(buffer, np.uint64, len(kinds))
         parts, at = [], 8 * len(kinds)
         for kind, n in zip(kinds, sizes.tolist()):
@@ -189,7 +192,7 @@ class Trie:
         """For each context its count and weight code, and for each of its
         ``sizes`` names the probability code."""
         if not len(self.counts):
-            return np.zeros(len(contexts), np.uint32), np.zeros(len(contexts), np.uint16), np.zeros(len(names), np.uint16)
+            return np.zeros(len(contexts), np.uint64), np.zeros(len(contexts), np.uint16), np.zeros(len(names), np.uint16)
         at = self.contexts.find(contexts)
         known = at >= 0
         place = np.maximum(at, 0)
@@ -198,8 +201,19 @@ class Trie:
         owner = np.repeat(np.arange(len(contexts)), sizes)
         ask = np.flatnonzero(known[owner])
         of = owner[ask]
-        hit = self.successors.find(place[of].astype(np.uint64) << _u(NAME_BITS) | names[ask])
+        cut = _u(64 - NAME_BITS)
+        want, tail = place[of].astype(np.uint64) << _u(NAME_BITS) | names[ask] >> cut, (names[ask] & ((_u(1) << cut) - _u(1))).astype(np.uint32)
+        hit = self.successors.find(want)
         hit[(hit < begin[of]) | (hit >= end[of])] = -1
+        wrong = np.flatnonzero((hit >= 0) & (self.tails[np.maximum(hit, 0)] != tail)) if len(hit) else hit
+        while len(wrong):  # names of equal upper bits stand side by side
+            hit[wrong] += 1
+            over = hit[wrong] >= end[of[wrong]]
+            next_ = np.where(over, 0, hit[wrong])
+            gone = over | (self.successors.get(next_) != want[wrong])
+            hit[wrong[gone]] = -1
+            left = wrong[~gone]
+            wrong = left[self.tails[hit[left]] != tail[left]]
         codes = np.zeros(len(names), np.uint16)
-        codes[ask] = np.where(hit >= 0, self.codes[np.maximum(hit, 0)], 0)
-        return np.where(known, self.counts[place], 0).astype(np.uint32), np.where(known, self.weights[place], 0).astype(np.uint16), codes
+        codes[ask] = np.where(hit >= 0, self.codes[np.maximum(hit, 0)], 0) if len(self.codes) else 0
+        return np.where(known, self.counts[place], 0).astype(np.uint64), np.where(known, self.weights[place], 0).astype(np.uint16), codes

@@ -10,17 +10,22 @@ text's first word.
 
 1. Texts are tokenised into blocks of about ``BLOCK_BYTES``: word names (64-bit
    hashes), one local number per token.  Blocks are written.
-2. Each block sends its distinct bigrams to shards by context: the context's
-   name, its successors' names cut to 40 bits, and their training counts.
-   Counting per block first means that a frequent word or pair is one row per
-   block.
-3. A shard adds up the counts, builds its trie, and answers every block from
+2. Contexts that hold more than a shard's share of all tokens are found from
+   each block's own most frequent words: at most ``MOST_HOT`` of them, whatever the
+   data.  Their successors are dealt to several shards by name.
+3. Each block sends its distinct bigrams to shards by context: the context's
+   name, its successors' names, and their training counts.  Counting per block
+   first means that a frequent word or pair is one row per block.
+4. A shard adds up the counts, builds its trie, and answers every block from
    the trie's buffer: a quantised probability per bigram, count and back-off
-   weight per context.  The shards' sums give N and V.
-4. Each block meets its answers and scores its texts.
+   weight per context.  Of a context that was dealt out it knows a part; it says
+   how much that part is, and the parts' sums, a bounded table, are broadcast.
+   The shards' sums give N and V.
+5. Each block meets its answers and scores its texts.
 
 Model size per shard is bounded by the number of shards, which follows the
-input; nothing is broadcast and nothing but N and V reaches the driver.
+input; nothing but the table of dealt contexts is broadcast, and only it, N and V
+reach the driver.
 
 Defined results: null text is empty and has the end token alone; a null doc_id
 is trained on as if its remainder were not 0 and held_out is false.
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelake.llm.common import WordHash, by_value, chunks, small_batches, store
-from filelake.llm.eftrie import NAME_BITS, PROBABILITY, Trie, weight
+from filelake.llm.eftrie import PROBABILITY, Trie, weight
 
 by_value(__name__)
 
@@ -43,6 +48,7 @@ BLOCK_BYTES = 8_000_000
 CHUNK_BYTES = 2_000_000
 SHARD_TOKENS = 2_000_000
 SHARDS = 32          # at least
+MOST_HOT = 10_000    # contexts that are dealt to several shards, at most
 END = 0x9D39247E33776D41  # fixed value: the name of the end token
 
 
@@ -108,24 +114,58 @@ def encode_blocks(docs: DataFrame, train) -> DataFrame:
     return rows.mapInArrow(run, "block long, tokens long, doc_ids array<long>, trained array<boolean>, data binary")
 
 
-def _bigrams(data, trained, shards):
+def _local(data):
+    """Lengths of texts, word names, and the number of each token's word."""
+    lens, names, planes = _unpack(data, np.int64, np.uint64, np.uint8)
+    return lens, names, np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1).astype(np.int64)
+
+
+def hot_contexts(blocks: DataFrame, total: int, shard_tokens: int, most: int = MOST_HOT):
+    """Names (sorted) of contexts with about ``shard_tokens`` tokens or more, and
+    into how many shards each is dealt.  A context with that share of all tokens has
+    half of them in blocks where its share is half as large or larger; those are
+    counted, so none is missed, and what is below half the share is left out."""
+    share = max(shard_tokens / max(total, 1), 2 / most)
+    if share > 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def frequent(batches):
+        for batch in batches:
+            for data in batch.column("data"):
+                _, names, tok = _local(data.as_buffer())
+                n = np.bincount(tok, minlength=len(names))
+                at = np.flatnonzero(n >= share / 2 * len(tok))
+                yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(n[at])], names=["name", "n"])
+
+    rows = (blocks.select("data").mapInArrow(frequent, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= share / 2 * total).toArrow())  # at most 2 / share rows
+    name, n = rows.column("name").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(name)
+    return name[order], np.maximum(2, -(-2 * n[order] // shard_tokens))
+
+
+def _bigrams(data, trained, shards, hot):
     """lens, names, local tokens, the distinct bigrams ordered by (shard,
     context, token), the place of each token's bigram among them, and each
     bigram's training count and shard."""
-    lens, names, planes = _unpack(data, np.int64, np.uint64, np.uint8)
-    tok = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1).astype(np.int64)
+    lens, names, tok = _local(data)
     end = int(np.flatnonzero(names == END)[0])
     ctx = np.concatenate([[end], tok[:-1]])
-    shard = ((names >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
     n = len(names)
-    # contexts renumbered by (shard, number), so that one sort orders the bigrams
-    by = np.argsort(shard, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[by] = np.arange(n)
-    pair, where = np.unique(rank[ctx] * n + tok, return_inverse=True)
+    pair, where = np.unique(ctx * n + tok, return_inverse=True)
+    left, right = pair // n, pair % n
+    shard = ((names >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)[left]
+    hot_names, deals = hot
+    if len(hot_names):
+        at = np.minimum(np.searchsorted(hot_names, names), len(hot_names) - 1)
+        deal = np.where(hot_names[at] == names, deals[at], 1)[left]
+        shard = (shard + (names[right] >> np.uint64(30)).astype(np.int64) % deal) % shards
+    by = np.argsort(shard, kind="stable")  # inside a shard still by context and token
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    where = place[where]
     count = np.bincount(where, weights=np.repeat(np.asarray(trained, np.float64), lens), minlength=len(pair)).astype(np.uint32)
-    left, right = by[pair // n], pair % n
-    return lens, names, tok, left, right, where, count, shard[left]
+    return lens, names, tok, left[by], right[by], where, count, shard[by]
 
 
 def score_texts(docs: DataFrame, train, discount: float = DISCOUNT) -> DataFrame:
@@ -134,57 +174,65 @@ def score_texts(docs: DataFrame, train, discount: float = DISCOUNT) -> DataFrame
     blocks = store(encode_blocks(docs, train), "blocks")
     total = blocks.agg(F.sum("tokens")).first()[0] or 0
     shards = max(SHARDS, -(-total // SHARD_TOKENS))
-    name_of = np.uint64(64 - NAME_BITS)
+    hot = hot_contexts(blocks, total, SHARD_TOKENS)
+    given = docs.sparkSession.sparkContext.broadcast(hot)
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                _, names, _, left, right, _, count, shard = _bigrams(batch.column("data")[i].as_buffer(), batch.column("trained")[i].as_py(), shards)
+                _, names, _, left, right, _, count, shard = _bigrams(batch.column("data")[i].as_buffer(), batch.column("trained")[i].as_py(), shards, given.value)
                 cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
                 for a, b in zip(cut[:-1], cut[1:]):
                     own = left[a:b]
                     first = np.flatnonzero(np.diff(own, prepend=-1))
-                    short = (names[right[a:b]] >> name_of).view(np.uint8).reshape(-1, 8)[:, :NAME_BITS // 8]
-                    data = _pack(names[own[first]], np.diff(np.append(first, b - a)).astype(np.uint32),
-                                 np.ascontiguousarray(short.T), count[a:b])
+                    data = _pack(names[own[first]], np.diff(np.append(first, b - a)).astype(np.uint32), names[right[a:b]], count[a:b])
                     yield pa.RecordBatch.from_arrays([batch.column("block")[i:i + 1], pa.array([shard[a]], pa.int64()), pa.array([data], pa.binary())],
                                                      names=["block", "shard", "data"])
 
     def answer(table):
         asked = []
         for data in table.column("data"):
-            contexts, sizes, short, count = _unpack(data.as_buffer(), np.uint64, np.uint32, np.uint8, np.uint32)
-            wide = np.zeros((len(count), 8), np.uint8)
-            wide[:, :NAME_BITS // 8] = short.reshape(NAME_BITS // 8, -1).T
-            asked.append((contexts, sizes.astype(np.int64), wide.view(np.uint64).reshape(-1), count))
+            contexts, sizes, names, count = _unpack(data.as_buffer(), np.uint64, np.uint32, np.uint64, np.uint32)
+            asked.append((contexts, sizes.astype(np.int64), names, count))
         every = np.unique(np.concatenate([a[0] for a in asked]))
-        keys, counts = [], []
+        ranks, keys, counts = [], [], []
         for contexts, sizes, names, count in asked:
             seen = count > 0
-            at = np.repeat(np.searchsorted(every, contexts).astype(np.uint64), sizes)
-            keys.append((at << np.uint64(NAME_BITS) | names)[seen])
+            ranks.append(np.repeat(np.searchsorted(every, contexts), sizes)[seen])
+            keys.append(names[seen])
             counts.append(count[seen].astype(np.int64))
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        rank, key, count = (np.concatenate(x) for x in (ranks, keys, counts))
+        order = np.lexsort((key, rank))
+        rank, key, count = rank[order], key[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (rank[1:] != rank[:-1])])) if len(key) else np.zeros(0, np.int64)
         sums = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
-        key = key[first]
-        built = Trie.build(every[(key >> np.uint64(NAME_BITS)).astype(np.int64)], key & np.uint64((1 << NAME_BITS) - 1), sums, discount)
-        trie = Trie.view(built.to_bytes())
-        out = []
-        for contexts, sizes, names, _ in asked:
-            count, weights, codes = trie.ask(contexts, sizes, names)
-            out.append(_pack(count, weights, codes))
+        rank, key = rank[first], key[first]
+        trie = Trie.view(Trie.build(every[rank], key, sums, discount).to_bytes())
+        out = [_pack(*trie.ask(contexts, sizes, names)) for contexts, sizes, names, _ in asked]
         n = len(out)
+        dealt = np.isin(every, given.value[0])
+        types, total = np.bincount(rank, minlength=len(every)), np.zeros(len(every), np.int64)
+        np.add.at(total, rank, sums)
+        stats = [{"name": int(a), "total": int(b), "types": int(c)} for a, b, c in zip(every[dealt].view(np.int64), total[dealt], types[dealt])]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "data": pa.array(out, pa.binary()),
                          "n": pa.array([int(sums.sum())] + [0] * (n - 1), pa.int64()),
-                         "v": pa.array([len(trie.counts)] + [0] * (n - 1), pa.int64())})
+                         "v": pa.array([int((types[~dealt] > 0).sum())] + [0] * (n - 1), pa.int64()),
+                         "dealt": pa.array([stats] + [[]] * (n - 1), pa.list_(pa.struct([("name", pa.int64()), ("total", pa.int64()), ("types", pa.int64())])))})
 
     asked = blocks.mapInArrow(ask, "block long, shard long, data binary")
-    answers = store(asked.groupBy("shard").applyInArrow(answer, "block long, shard long, data binary, n long, v long"), "answers")
+    answers = store(asked.groupBy("shard").applyInArrow(answer, "block long, shard long, data binary, n long, v long, dealt array<struct<name:long,total:long,types:long>>"), "answers")
     s = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_train, v_train = s["n"] or 0, s["v"] or 0
+    # parts of dealt contexts: bounded by their number and deals
+    parts = answers.select("shard", F.explode("dealt").alias("d")).select("shard", "d.name", "d.total", "d.types").toArrow()
+    part_name, part_shard = parts.column("name").to_numpy().view(np.uint64), parts.column("shard").to_numpy()
+    order = np.lexsort((part_shard, part_name))
+    part_name, part_shard, part_total, part_types = part_name[order], part_shard[order], parts.column("total").to_numpy()[order], parts.column("types").to_numpy()[order]
+    whole, of = np.unique(part_name, return_inverse=True)
+    whole_total, whole_types = np.zeros(len(whole), np.int64), np.zeros(len(whole), np.int64)
+    np.add.at(whole_total, of, part_total)
+    np.add.at(whole_types, of, part_types)
+    n_train, v_train = s["n"] or 0, (s["v"] or 0) + int((whole_total > 0).sum())
+    sums = docs.sparkSession.sparkContext.broadcast((whole, whole_total, whole_types, part_name, part_shard, part_total))
 
     def score(left_table, right_table):
         if not left_table.num_rows:
@@ -192,18 +240,35 @@ def score_texts(docs: DataFrame, train, discount: float = DISCOUNT) -> DataFrame
                              "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         t = left_table.combine_chunks()
         trained = t.column("trained")[0].as_py()
-        lens, names, tok, left, right, where, _, shard = _bigrams(t.column("data")[0].as_buffer(), trained, shards)
+        lens, names, tok, left, right, where, _, shard = _bigrams(t.column("data")[0].as_buffer(), trained, shards, given.value)
         answers = {s.as_py(): d for s, d in zip(right_table.column("shard"), right_table.column("data"))}
         cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+        whole, whole_total, whole_types, part_name, part_shard, part_total = sums.value
         seen, back, high = np.zeros(len(names), np.int64), np.zeros(len(names)), np.zeros(len(left))
-        known = np.zeros(len(names), bool)
         for a, b in zip(cut[:-1], cut[1:]):
-            count, weights, codes = _unpack(answers[int(shard[a])].as_buffer(), np.uint32, np.uint16, np.uint16)
+            count, weights, codes = _unpack(answers[int(shard[a])].as_buffer(), np.uint64, np.uint16, np.uint16)
             own = left[a:b]
             ctx = own[np.flatnonzero(np.diff(own, prepend=-1))]
-            seen[ctx], known[ctx] = count, count > 0
+            seen[ctx] = count.astype(np.int64)
             back[ctx] = np.where(count > 0, weight(weights), 1.0)
             high[a:b] = PROBABILITY[codes]
+        if len(whole):  # of a dealt context the shards gave shares of their parts
+            at = np.minimum(np.searchsorted(whole, names), len(whole) - 1)
+            dealt = whole[at] == names
+            mine = np.flatnonzero(dealt[left])
+            low, stop = np.searchsorted(part_name, names[left[mine]], "left"), np.searchsorted(part_name, names[left[mine]], "right")
+            todo = np.arange(len(mine))
+            part = np.zeros(len(mine))
+            while len(todo):  # a context's parts, by shard
+                hit = part_shard[low[todo]] == shard[mine[todo]]
+                part[todo[hit]] = part_total[low[todo[hit]]]
+                low[todo] += 1
+                todo = todo[~hit & (low[todo] < stop[todo])]
+            total = whole_total[at]
+            high[mine] *= part / np.maximum(total[left[mine]], 1)
+            seen[dealt] = total[dealt]
+            back[dealt] = np.where(total[dealt] > 0, discount * whole_types[at][dealt] / np.maximum(total[dealt], 1), 1.0)
+        known = seen > 0
         single = (seen + 0.1) / (n_train + 0.1 * (v_train + 1))
         full = np.log10(high + back[left] * single[right])
         start = np.cumsum(lens) - lens

@@ -270,3 +270,39 @@ def test_archives_cut_a_record_of_many_copies(spark):
     assert max(x[2] for x in first) <= 150 and sum(x[2] for x in first) == len(rows)
     got = collections.Counter((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(m).collect())
     assert got == {(5, "u", 1500, "revisit", 9): 700, (None, None, 0, "response", None): 500, (9, "u", 1500, "response", None): 3, (1, "v", 1, "response", None): 4}
+
+
+@pytest.mark.parametrize("tokens, hot", [(200, 10_000), (50, 10_000), (400, 6)])
+def test_scores_do_not_depend_on_how_contexts_are_dealt(spark, monkeypatch, tokens, hot):
+    from filelake.llm import lmscore
+    rnd = random.Random(3)
+    words = ["the"] * 30 + ["of"] * 9 + [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 60)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    train = F.col("doc_id") % 4 != 0
+    key = lambda r: (r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.held_out)
+    whole = sorted(lmscore.score_texts(df, train).collect(), key=key)
+    monkeypatch.setattr(lmscore, "SHARD_TOKENS", tokens)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lmscore, "MOST_HOT", hot)
+    blocks = lmscore.encode_blocks(df, train)
+    total = blocks.agg(F.sum("tokens")).first()[0]
+    names, deals = lmscore.hot_contexts(blocks, total, tokens, hot)
+    assert len(names) >= 1 and deals.max() > 2 and len(names) <= 2 * hot
+    dealt = sorted(lmscore.score_texts(df, train).collect(), key=key)
+    for a, b in zip(whole, dealt):
+        assert key(a) == key(b) and a.base_score == pytest.approx(b.base_score, abs=1e-9)
+        assert abs(a.score - b.score) <= 0.035 * a.n_tokens  # both are quantised
+
+
+def test_counts_beyond_32_bits_and_whole_names():
+    from filelake.llm import eftrie
+    name = np.array([5 << 24, (5 << 24) + 1, (5 << 24) + 77, 6 << 24, 1 << 63], np.uint64)
+    count = np.array([1 << 33, 1, 3_000_000_000, 3_000_000_000, 2], np.int64)
+    trie = eftrie.Trie.view(eftrie.Trie.build(np.array([9, 9, 9, 9, 4], np.uint64), name, count, 0.75).to_bytes())
+    ask = np.concatenate([name, np.array([(5 << 24) + 2, 0, 7 << 24], np.uint64)])
+    total, weight, codes = trie.ask(np.array([9, 4], np.uint64), np.array([7, 1]), np.concatenate([ask[[0, 1, 2, 3, 5, 6, 7]], ask[4:5]]))
+    assert total.tolist() == [(1 << 33) + 6_000_000_001, 2]
+    want = (count - 0.75) / np.array([total[0]] * 4 + [2.0])
+    got = eftrie.PROBABILITY[codes]
+    assert np.abs(np.log10(got[[0, 1, 2, 3, 7]]) - np.log10(want)).max() <= 0.5 / eftrie.STEPS + 1e-9 and not got[4:7].any()
