@@ -45,7 +45,8 @@ by_value(__name__)
 BLOCK_BYTES = 16_000_000
 BLOCK_PARTS = 400_000
 ADD_BYTES = 500_000      # of texts that are taken in at a time
-JOIN_BYTES = 1 << 18     # of new parts that are encoded in one call
+JOIN_BYTES = 1 << 18     # of new parts that are sliced together
+CALL_PARTS = 100         # of them in one string
 MARK = "▁"               # fixed value: U+2581, the space of B's pieces
 CUT = re.compile(f"(?<=[^{WHITE}])(?= )")
 ODD = re.compile(f"^ |[{WHITE}] |[{WHITE}]$")
@@ -90,10 +91,14 @@ class Pair:
             return text.split(" ")
         return [p[1:] for p in CUT.split(" " + text)]
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A for space + text and of B for text (which adds the space)."""
-        b = self.b.encode(text, num_threads=1) if text else [self.b.piece_to_id(MARK)]  # a part that is one space
-        return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64), np.array(b, np.int64)
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A and of B for the parts, each with its space before it; parts
+        between which both may be cut are given ``CALL_PARTS`` to a string."""
+        texts = [" ".join(parts[i:i + CALL_PARTS]) for i in range(0, len(parts), CALL_PARTS)]
+        a = [x for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False) for x in e.ids]
+        # B adds the space itself, but not to an empty string
+        b = [x for t, ids in zip(texts, self.b.encode(texts, num_threads=1)) for x in (ids if t else [self.b.piece_to_id(MARK)])]
+        return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def common_slices(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +141,7 @@ def align(pair: Pair, parts: list[str]) -> Aligned:
 
 
 def _align_group(pair: Pair, group: list[str]) -> Aligned:
-    a, b = pair.encode(" ".join(group))
+    a, b = pair.encode(group)
     stops = np.cumsum([len(p.encode()) + 1 for p in group])
     a_ends, b_ends = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
     whole = len(a) and len(b) and a_ends[-1] == stops[-1] == b_ends[-1] and not any(MARK in p for p in group)
