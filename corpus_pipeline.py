@@ -1,7 +1,8 @@
 """The staged corpus pipeline: classify, near-dedup, substring dedup,
 decontaminate, pack.  Each stage is (name, function); a function takes (spark,
 docs, sf_dir) and its rows are written as Parquet and read as the next one's
-docs.  All but the last return the columns of ``documents``."""
+docs.  All but the last return the columns of ``documents``; other columns of the
+input, whatever their names, are left out.  An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -24,7 +25,9 @@ def _keyed(df: DataFrame, doc_id, tk) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go (rows equal in id and text are judged alike)."""
+    """Rejected documents go (rows equal in id and text are judged alike).  Null
+    and empty texts are judged by their end token and stay; so does every text
+    where nothing is trusted."""
     judged = kneser_ney.classify(docs, read_table(spark, sf_dir, "labels"))
     gone = judged.where("not kept")
     rejected = store(_keyed(gone, gone["doc_id"], gone["tk"]).select(*KEY).distinct(), "rejected")
@@ -32,35 +35,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one document stays: that of the smallest doc_id (of
-    texts sharing it, the one of the smallest key)."""
+    """Of each component one document stays: that of the smallest doc_id, nulls
+    last (of texts sharing it, the one of the smallest key; rows equal in id and
+    text are one).  Null, empty and blank texts are near one another."""
     classes = simhash.simhash_classes(docs.select("doc_id", "text"))
     least = classes.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("m"))
     stay = store(_keyed(least, F.col("m.doc_id"), F.col("m.tk")).select(*KEY), "stay")
-    kept = _keyed(docs, docs["doc_id"], text_key(docs["text"])).join(stay, KEY, "left_semi")
-    return kept.dropDuplicates(KEY).select(*COLUMNS)  # by the join's keys: no further shuffle
+    # rows equal in id and text become one before they are shuffled, and stay where they are for the join
+    once = _keyed(docs, docs["doc_id"], text_key(docs["text"])).select(*KEY, *COLUMNS).dropDuplicates(KEY)
+    return once.join(stay, KEY, "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated windows go; texts without any stay as they are."""
+    """Words of repeated windows go; texts without any, null ones among them, stay
+    as they are."""
     r = recompress.dedup_substrings(docs.select(*COLUMNS))
     return r.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of benchmark windows go; other texts stay as they are."""
+    """Words of benchmark windows go; other texts, null ones among them, stay as
+    they are."""
     r = decontam.find_leaks(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
     return r.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``packing.pack``; a text without words has one row and no batch."""
     return packing.pack(docs)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
           ("decontaminate", decontaminate), ("packing", pack)]
 
-#: The stages are not expressible in SQL together (a language model, components); tests compare them with brute force.
+#: The stages are not expressible in SQL together (a language model, components); tests/llm/test_pipeline.py compares each
+#: with a plain version, texts and kept ids included.
 ORACLE_SQL = None
 
 
