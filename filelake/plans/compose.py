@@ -14,6 +14,10 @@ place where ``first`` leaves a row with the path by which ``second`` names it:
 
 Both sides are shuffled by that place, plan rows only, and a plan has one row
 per path, so no key is hot.
+
+Where all plans but the last leave paths as they are, every plan names a row by
+the same path: ``compose_in_place`` then needs one aggregation by path, however
+many plans there are.
 """
 
 from __future__ import annotations
@@ -69,3 +73,24 @@ def compose(*plans: DataFrame) -> DataFrame:
     ``apply_plan(m, compose(p, q))`` has the rows of
     ``apply_plan(apply_plan(m, p), q)``."""
     return reduce(_compose, [effects(p) for p in plans])
+
+
+def compose_in_place(*plans: DataFrame) -> DataFrame:
+    """``compose`` for plans of which none but the last moves anything."""
+    rows = reduce(DataFrame.unionByName, [effects(p).withColumn("_step", F.lit(i)) for i, p in enumerate(plans)])
+    gone = F.col("action").isin("delete", "rmdir")
+
+    def of(column, which, first=False):
+        return (F.min_by if first else F.max_by)(column, F.when(which, F.col("_step")))
+
+    removed = of("action", gone, first=True)
+    sets = {c: F.when(removed.isNull(), of(c, F.col(c).isNotNull())) for c in ATTRIBUTES}
+    r = rows.groupBy("path").agg(
+        removed.alias("_removed"), of("dest", F.col("action") == "move").alias("_dest"), of("size", F.col("size").isNotNull(), True).alias("size"),
+        of("md5", F.col("md5").isNotNull(), True).alias("md5"), of("reason", gone, True).alias("_why"),
+        of("reason", F.col("reason").isNotNull()).alias("_last"), *[v.alias(c) for c, v in sets.items()])
+    dest = F.when(F.col("_removed").isNull() & (F.col("_dest") != F.col("path")), F.col("_dest"))
+    changed = reduce(lambda x, y: x | y, [F.col(c).isNotNull() for c in ATTRIBUTES])
+    action = F.coalesce("_removed", F.when(dest.isNotNull(), "move").when(changed, "chmod"))
+    why = F.when(F.col("_removed").isNotNull(), F.col("_why")).otherwise(F.col("_last"))
+    return r.select("path", action.alias("action"), dest.alias("dest"), "size", "md5", why.alias("reason"), *ATTRIBUTES).where("action is not null")

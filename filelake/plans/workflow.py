@@ -25,7 +25,7 @@ from filelake.operators import dedup as D
 from filelake.operators import snapshot as S
 from filelake.operators import sort as SO
 from filelake.plans.apply import apply_plan
-from filelake.plans.compose import compose, effects
+from filelake.plans.compose import compose_in_place, effects
 from filelake.session import materialize
 from filelake.sources.manifest import with_md5
 
@@ -80,8 +80,7 @@ def reorganize(manifest: DataFrame, root: str, dedup_min_size: int = C.DEDUP_MIN
     m2 = cut(apply_plan(m1.drop("content"), gone))
     splan = SO.sort_plan(m2, root, sort_type)
     steps = effects(clean.withColumn("reason", F.when(F.col("action") == "delete", JUNK)))
-    composed = compose(steps, gone, effects(splan, SORTED))
     fixed = clean.where("action = 'chmod'").select("path", F.col("new_mode").alias("fixed"))
-    plan = cut(composed.join(fixed, "path", "left"))
+    plan = cut(compose_in_place(steps, gone, effects(splan, SORTED)).join(fixed, "path", "left"))
     m3 = cut(apply_plan(manifest, plan))
     return Reorganisation(clean, dplan, splan, plan, S.snapshot(manifest, root, dirs=dirs), S.snapshot(m3, root), m3)

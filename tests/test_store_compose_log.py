@@ -11,7 +11,7 @@ from filelake.operators import sort as SO
 from filelake.plans import oplog as OL
 from filelake.plans.apply import apply_plan, verify_plan
 from filelake.plans.commitlog import CommitLog, ConflictError, latest
-from filelake.plans.compose import compose
+from filelake.plans.compose import compose, compose_in_place
 from filelake.sources.store import ManifestStore
 
 COLUMNS = "path string, size bigint, md5 string, mode int, uid int, gid int, content binary"
@@ -169,6 +169,23 @@ def test_composed_plans_equal_plans_one_by_one(spark, seed):
     assert rows_of(apply_plan(m, compose(compose(plans[0], plans[1]), plans[2]))) == rows_of(apply_plan(m, compose(plans[0], compose(plans[1], plans[2]))))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_that_move_nothing_are_composed_by_one_aggregation(spark, seed):
+    rnd = random.Random(50 + seed)
+    m = spark.createDataFrame([(f"/r/n{k}", k, f"h{k}", 0o600, 1, 1, b"") for k in range(25)], COLUMNS)
+    now, plans = m, []
+    for step in range(3):
+        rows = random_plan(rnd, [r.path for r in now.select("path").collect()], set())
+        plan = spark.createDataFrame([r for r in rows if step == 2 or r[1] not in ("move", "rename")], PLAN)
+        plans.append(plan.withColumn("reason", F.lit(f"step {step}")))
+        now = spark.createDataFrame(apply_plan(now, plan).collect(), COLUMNS)
+    one = compose_in_place(*plans)
+    assert rows_of(apply_plan(m, one)) == rows_of(now)
+    key = ["path", "action", "dest", "new_mode", "new_uid", "new_gid", "reason"]
+    assert rows_of(one.select(*key)) == rows_of(compose(*plans).select(*key))
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_composition_of_each_kind(spark):
     def plan(*rows):
         return spark.createDataFrame([(*r, *[None] * (6 - len(r))) for r in rows], PLAN)
