@@ -1,11 +1,13 @@
 """Benchmark decontamination by a broadcast hash set of word windows.
 
 Every ``window`` consecutive words of an item (all its words, if it has fewer)
-are a window.  The distinct windows are dealt to blocks by hash, about
-``BLOCK`` (window, item) entries each, a proven bound for one broadcast; the
-documents are passed along all blocks in one stage, so a larger benchmark
-means more blocks, never a larger broadcast.  Each task hashes all windows of
-its texts, looks them up, and verifies a hit word by word.
+are a window.  The distinct windows, each with at most about ``ITEMS`` of its items,
+are entries; they are dealt to blocks by hash, about ``BLOCK`` (window, item) pairs
+each, a proven bound for one broadcast.  The documents meet one block after
+another: only the present block is collected and broadcast, and between blocks the
+documents are written with what was found so far.  So a larger benchmark means
+more steps, never a larger broadcast or more in an executor's memory.  Each task
+hashes all windows of its texts, looks them up, and verifies a hit word by word.
 
 Defined results: null text has no words; an item without words hits nothing; an
 item without an id hits but is not listed; items are listed once however often
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelake.llm.common import WordHash, by_value, chunks, small_batches, span_hashes, store
+from filelake.session import join_side
 
 by_value(__name__)
 
 WINDOW = 10
 BLOCK = 200_000
+ITEMS = 1000   # of a window in one entry, about
 CHUNK_BYTES = 2_000_000
 # fixed values: bytes between words, once A-Z are folded
 BETWEEN = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -35,7 +39,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """words (binary, joined by one space), k (their number), items (ids)."""
+    """words (binary, joined by one space), k (their number), items (ids): the
+    entries; a window of very many items has several."""
 
     def run(batches):
         for batch in batches:
@@ -52,23 +57,26 @@ def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
 
     rows = (small_batches(bench).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("_t"))
             .mapInArrow(run, "words binary, k int, item long"))
-    return rows.groupBy("words", "k").agg(F.collect_set("item").alias("items"))
+    rows = store(rows.distinct(), "item-windows")
+    many = rows.groupBy("words", "k").agg(F.ceil(F.count(F.lit(1)) / ITEMS).alias("cuts")).where("cuts > 1")
+    cut = F.pmod(F.xxhash64("item"), F.coalesce("cuts", F.lit(1)))
+    return join_side(rows, many, ["words", "k"], "left", "hot-windows").groupBy("words", "k", cut.alias("cut")).agg(F.collect_set("item").alias("items"))
 
 
 def _blocks(spark, windows: DataFrame, block: int):
-    """Broadcast handles; each value: {k: {hash: [(words, items), ...]}}."""
-    windows = store(windows, "item-windows")
-    entries = windows.agg(F.sum(F.greatest(F.size("items"), F.lit(1)))).first()[0] or 0
-    n = max(1, -(-entries // block))
+    """One after another the broadcast handles; each value: {k: {hash: [(words,
+    items), ...]}}, then whether it is the last."""
+    windows = store(windows, "entries")
+    pairs = windows.agg(F.sum(F.greatest(F.size("items"), F.lit(1)))).first()[0] or 0
+    n = max(1, -(-pairs // block))
     memo = WordHash()
     for b in range(n):
-        # one entry is one window of one item, so a block is bounded by ``block`` and one window's items
-        rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(n)) == b).collect()
+        # an entry is a window with a bounded number of items, so a block is bounded by about ``block`` pairs
         table: dict[int, dict[int, list]] = {}
-        for r in rows:
+        for r in windows.where(F.pmod(F.xxhash64("words", "cut"), F.lit(n)) == b).collect():
             h = int(span_hashes(memo([bytes(r["words"])])[0], r["k"])[0])
             table.setdefault(r["k"], {}).setdefault(h, []).append((bytes(r["words"]), r["items"]))
-        yield spark.sparkContext.broadcast(table)
+        yield spark.sparkContext.broadcast(table), b == n - 1
 
 
 def _find(batch, tables, hashes):
@@ -158,12 +166,12 @@ def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block: i
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "n_hit", "items", "clean_text"])
         return run
 
-    handles = list(_blocks(docs.sparkSession, item_windows(bench, window), block))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for i, handle in enumerate(handles):
-        last = i == len(handles) - 1
-        df = df.mapInArrow(stage(handle, last), f"{fields}, n_words long, n_hit long, items array<long>, clean_text string" if last else before)
-    return df
+    for handle, last in _blocks(docs.sparkSession, item_windows(bench, window), block):
+        if last:
+            return df.mapInArrow(stage(handle, last), f"{fields}, n_words long, n_hit long, items array<long>, clean_text string")
+        df = store(df.mapInArrow(stage(handle, last), before), "block")
+        handle.destroy()
 
 
 def leak_digest(found: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def test_decontamination(request, spark, name, block):
     if name == "sf":
         bench = spark.read.parquet(request.getfixturevalue("sf") + "/benchmark.parquet")
         if block == 20:
-            pytest.skip("one worker per block: small inputs only")
+            pytest.skip("hundreds of blocks: small inputs only")
     else:
         bench = spark.createDataFrame([(1, "QUICK-brown fox"), (2, None), (3, "p5 p6 p7 p8 p9 p10 p11 p12 p13 p14 p15 p16"), (10, "p6 p7 p8 p9 p10 p11 p12 p13 p14 p15"),
                                        (4, ""), (None, "lazy"), (5, "文字"), (3, "one two")], "item_id long, text string")
@@ -160,6 +160,33 @@ def test_decontamination(request, spark, name, block):
         assert len(ITEM.findall(r["clean_text"].encode().lower())) <= r["n_words"] - r["n_hit"]
 
 
+def test_decontamination_by_many_blocks(spark, monkeypatch):
+    """Twenty blocks, one in memory at a time; a window that very many items share."""
+    monkeypatch.setattr(decontam, "ITEMS", 7)
+    items = [(i, "all share this") for i in range(90)] + [(1000 + i, " ".join(f"b{i}x{k}" for k in range(14))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    entries = decontam.item_windows(bench)
+    assert entries.where("k = 3").count() > 5 and entries.agg(F.max(F.size("items"))).first()[0] < 40
+    live, most = set(), []
+    real = decontam._blocks
+
+    def watched(*a):
+        for handle, last in real(*a):
+            live.add(handle)
+            most.append(sum(len(e[1]) for t in handle.value.values() for es in t.values() for e in es))
+            gone = handle.destroy
+            handle.destroy = lambda h=handle, g=gone: (live.discard(h), g())
+            assert len(live) == 1
+            yield handle, last
+    monkeypatch.setattr(decontam, "_blocks", watched)
+    rows = [(i, f"x all SHARE this b{i}x3 " + " ".join(f"b{i}x{k}" for k in range(2, 13)) + " y") for i in range(0, 40, 3)] + [(77, "b1x1 b1x2"), (78, None)]
+    got = {r.doc_id: r for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, block=13).collect()}
+    assert len(most) >= 19 and max(most) < 60 and sum(most) == 90 + 40 * 5
+    for i in range(0, 40, 3):
+        assert got[i].n_hit == 14 and got[i].items == [*range(90), 1000 + i] and got[i].clean_text.split() == ["x", f"b{i}x3", "y"]
+    assert got[77].n_hit == 0 and got[78].n_words == 0 and got[77].clean_text == "b1x1 b1x2"
+
+
 def test_decontamination_without_items(spark, docs):
     r = decontam.leak_digest(decontam.find_leaks(docs, spark.createDataFrame([], "item_id long, text string"))).collect()
     assert len(r) == docs.count() and not any(x["contaminated"] for x in r)
