@@ -30,19 +30,28 @@ def norm_root(root: str) -> str:
 
 def name_of(path: ColumnOrName) -> Column:
     """Last path component."""
-    return F.regexp_extract(_c(path), r"[^/]*$", 0)
+    return F.substring_index(_c(path), "/", -1)
+
+
+def _above(p: Column) -> Column:
+    """The text before the last '/'; '' when there is none."""
+    return F.when(p.contains("/"), p.substr(F.lit(1), F.length(p) - F.length(name_of(p)) - 1)).otherwise(F.when(p.isNotNull(), ""))
 
 
 def parent_of(path: ColumnOrName) -> Column:
     """Everything before the last '/'; '/' for a file directly under '/'."""
-    p = F.regexp_replace(_c(path), r"/[^/]*$", "")
-    return F.when(p == "", F.lit("/")).otherwise(p)
+    p = _c(path)
+    up = _above(p)
+    return F.when(~p.contains("/"), p).when(up == "", F.lit("/")).otherwise(up)
 
 
 def raw_suffix(name: ColumnOrName) -> Column:
     """Suffix with its dot, original case: 'a.tar.GZ' -> '.GZ'; '.bashrc',
     'f.' and 'README' have none ('')."""
-    return F.regexp_extract(_c(name), r"(?s)^.+([.][^.]+)$", 1)
+    n = _c(name)
+    last = F.substring_index(n, ".", -1)
+    has = n.contains(".") & (last != "") & (F.length(last) + 1 < F.length(n))
+    return F.when(has, F.concat(F.lit("."), last)).otherwise(F.when(n.isNotNull(), ""))
 
 
 def ext_of(name: ColumnOrName) -> Column:
@@ -77,8 +86,7 @@ def rel_path(path: ColumnOrName, root: str) -> Column:
 def rel_parent(path: ColumnOrName, root: str) -> Column:
     """Folder of the file below root: 'Documents/a' for 'Documents/a/b.txt',
     '' for a file directly in root."""
-    rp = rel_path(path, root)
-    return F.regexp_replace(rp, r"/?[^/]*$", "")
+    return _above(rel_path(path, root))
 
 
 def rel_dirs(path: ColumnOrName, root: str) -> Column:

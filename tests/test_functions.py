@@ -93,3 +93,24 @@ def test_normalized_name(spark):
     exp = [None if w is None else "".join(c for c in unicodedata.normalize("NFD", w.strip())
                                           if unicodedata.category(c) != "Mn").lower() for w in words]
     assert got == exp
+
+
+def test_names_and_parents_equal_their_regexes(spark):
+    """The string functions against the patterns that define them."""
+    import re
+    paths = ["/a/b.txt", "/a", "/", "/a/", "a", "", "/r/x/y.tar.GZ", "/r/.bashrc", "/r/f.", "/r/..x", "/r/a.b\n", "/r/é/ü.É", "/r//d", "/r/文.文", "/r/..", "/r/.", "/r/a b.c d", "/rr/x"]
+    rows = [(p, i) for i, p in enumerate(paths)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "path string, i int")
+    got = df.select("path", P.name_of("path").alias("n"), P.parent_of("path").alias("p"), P.raw_suffix(P.name_of("path")).alias("s"),
+                    P.rel_parent("path", "/r").alias("rp"), P.top_of("path", "/r/").alias("top")).collect()
+    for r in got:
+        if r.path is None:
+            assert r[1:] == (None,) * 5
+            continue
+        assert r.n == re.search(r"[^/]*\Z", r.path).group()
+        assert r.p == (re.sub(r"/[^/]*\Z", "", r.path) or "/" if "/" in r.path else r.path)
+        m = re.search(r"(?s)\A.+([.][^.]+)\Z", r.n)
+        assert r.s == (m.group(1) if m else "")
+        rel = r.path[3:] if r.path.startswith("/r/") else None
+        assert r.rp == (None if rel is None else re.sub(r"/?[^/]*\Z", "", rel))
+        assert r.top == (None if not r.rp else r.rp.split("/")[0])
