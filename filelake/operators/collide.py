@@ -124,8 +124,9 @@ def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataF
     m = movers.withColumns({"_d": F.col(dir_col), "_s": P.stem_of(name), "_x": P.raw_suffix(name)})
     taken = taken_slots(m, dir_col, name_col, existing)
     rows = m.withColumn("_kind", F.lit(1)).unionByName(taken.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    # no group has more rows than there are: a mover is one and may take one slot, an existing name two
-    most = 2 * movers.select(F.lit(1)).count() + 2 * existing.select(F.lit(1)).count()
+    # no group has more rows than there are: a mover or a name is at most one row of a group (the slot
+    # it looks like belongs to the group of a shorter stem)
+    most = movers.select(F.lit(1)).count() + existing.select(F.lit(1)).count()
     hot = None
     if most > hot_rows:
         hot = materialize(rows.groupBy(*_K).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*_K), "hot")

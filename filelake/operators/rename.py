@@ -33,8 +33,9 @@ from filelake.sources.manifest import ensure_md5
 def copy_pattern(name) -> "F.Column":
     """PF12: '(N)' when ' (N).' occurs; else '- Copie' / '- Copy' for
     ' - Copy.' / ' - Copie (N).' (Copie if the name contains 'Copie')."""
-    return (F.when(name.rlike(C.COPY_NUMBER_REGEX), "(N)")
-             .when(name.rlike(C.COPY_SUFFIX_REGEX),
+    # a plain search first: most names of a lake hold neither text
+    return (F.when(name.contains(" (") & name.rlike(C.COPY_NUMBER_REGEX), "(N)")
+             .when(name.contains(" - Cop") & name.rlike(C.COPY_SUFFIX_REGEX),
                    F.when(name.contains("Copie"), "- Copie").otherwise("- Copy")))
 
 
