@@ -55,6 +55,7 @@ FREQUENT = 500       # T, at least
 GRAMS = 50_000       # frequent grams of a length, at most
 SPLIT = 300_000      # index rows of a gram in one shard
 SHARD_ROWS = 400_000
+TASK_WORDS = 25_000
 PAIRS = 1 << 21
 HELD_WORDS = 200_000
 FIRST, LAST = "\x02", "\x03"  # fixed values: the marks, which no word holds
@@ -338,8 +339,10 @@ def links_of_shard(key, kind, words: list[str], spans):
 def near_words(words: DataFrame, frequent: int = FREQUENT, split: int = SPLIT, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """word, n_near, near, near_n: the number of near words, and that of largest
     n (ties: the smallest); one row per word that has any."""
+    size, n = words.agg(F.sum(F.char_length("word")), F.count(F.lit(1))).first()
+    size = size or 0
+    words = words.repartition(max(1, -(-n // TASK_WORDS)), "word")  # stored files may be few
     limit, levels = gram_dictionary(words, frequent)
-    size = words.agg(F.sum(F.char_length("word"))).first()[0] or 0
     shards = max(1, -(-3 * size // shard_rows))  # a word has about three grams at each place
 
     def run(table):
