@@ -60,6 +60,37 @@ def test_embeddings(spark, monkeypatch, tile):
     assert embdedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_wide_embeddings_whose_pairs_the_bound_leaves_open(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "TILE", 16)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 1536))
+    x = np.array([base[i % 4] + rng.normal(size=1536) * (0.13 + 0.002 * (i % 9)) for i in range(120)])  # cosines about 0.98
+    rows = [(i, v.tolist(), 3) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = unit @ unit.T
+    link = (cos >= 0.98) & ~np.eye(len(x), dtype=bool)
+    assert np.abs(cos - 0.98).min() > 1e-9 and 200 < link.sum() < 120 * 29
+    label = np.arange(len(x))
+    for _ in label:
+        label = np.minimum(label, np.where(link, label[None], len(x)).min(axis=1))
+    whole = embdedup.unit_links
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_vectors(df).collect()}
+    assert got == {i: (int(link[i].sum()), int(label[i])) for i in range(len(x))}
+    # in one unit: the first pass is never wrong, leaves rows open, and asks for no other row's doubles
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"node": np.arange(120), "copies": np.ones(120, np.int64), "t": np.zeros(120, np.int32), "e": x.tolist()})
+    table = pa.Table.from_batches(list(embdedup.encode([batch])))
+    first = whole(table.drop_columns(["e"]), 3, 0, 0, 0.98, False).to_pylist()
+    ask = [r["node"] for r in first if r["count"] is None and r["v"] is None]
+    second = whole(table.take(ask), 3, 0, 0, 0.98, True).to_pylist()
+    n = np.zeros(120, int)
+    for r in first + second:
+        n[r["node"]] += r["count"] or 0
+    assert 0 < len(ask) and (n == link.sum(axis=1)).all()
+    assert sum(r["count"] or 0 for r in second) > 0
+
+
 def test_quantisation_bound_covers_the_product():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 48))
