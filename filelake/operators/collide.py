@@ -113,11 +113,13 @@ def _by_range(rows: DataFrame, order: list[Column], value: Column, name: str) ->
 
 
 def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataFrame,
-                 order: list[Column] | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                 order: list[Column] | None = None, hot_rows: int = HOT_GROUP_ROWS,
+                 n_movers: int | None = None) -> DataFrame:
     """Add ``dest_name`` and ``dest`` to each mover.
 
     ``existing``: (dir, name) rows occupying names in destination folders.
     ``order``: which mover of a group comes first (default: path).
+    ``n_movers``: the number of movers, where the caller saw it as they were written.
     """
     order = order or [F.col("path")]
     name = F.col(name_col)
@@ -126,7 +128,8 @@ def assign_slots(movers: DataFrame, dir_col: str, name_col: str, existing: DataF
     rows = m.withColumn("_kind", F.lit(1)).unionByName(taken.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     # no group has more rows than there are: a mover or a name is at most one row of a group (the slot
     # it looks like belongs to the group of a shorter stem)
-    most = movers.select(F.lit(1)).count() + existing.select(F.lit(1)).count()
+    most = (existing.select(F.lit(1)).count() + n_movers if n_movers is not None
+            else movers.select(F.lit(1)).unionAll(existing.select(F.lit(1))).count())
     hot = None
     if most > hot_rows:
         hot = materialize(rows.groupBy(*_K).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*_K), "hot")

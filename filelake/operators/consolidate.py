@@ -18,7 +18,7 @@ from filelake.functions import paths as P
 from filelake.functions.fmt import size_text
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
-from filelake.session import join_side, materialize
+from filelake.session import join_side, materialize, materialize_counted
 from filelake.sources.manifest import ensure_md5, prune_root, prune_skipped
 
 
@@ -107,9 +107,10 @@ def _judge(manifest: DataFrame, target: str, source: str, files: DataFrame) -> D
     files = files.filter(F.col("md5").isNotNull())
     keys = files.filter("in_target").select("md5", "size").distinct().withColumn("in_target_copy", F.lit(True))
     # judged once (one left join on the content key), then read by both branches
-    outside = materialize(join_side(files.filter(~F.col("in_target")), keys, ["md5", "size"], "left", "consolidate-keys")
-                          .select("path", "size", "md5", "name",
-                                  F.coalesce(F.col("in_target_copy"), F.lit(False)).alias("dup")), "consolidate")
+    outside, seen = materialize_counted(join_side(files.filter(~F.col("in_target")), keys, ["md5", "size"], "left", "consolidate-keys")
+                                        .select("path", "size", "md5", "name",
+                                                F.coalesce(F.col("in_target_copy"), F.lit(False)).alias("dup")),
+                                        "consolidate", movers=F.count_if(~F.col("dup")))
     dup = F.col("dup")
     deletes = outside.filter(dup).select("path", "size", "md5", F.lit("delete").alias("action"),
                                          F.lit(None).cast("string").alias("dest"),
@@ -119,7 +120,7 @@ def _judge(manifest: DataFrame, target: str, source: str, files: DataFrame) -> D
                      .withColumn("dest_dir", F.concat(F.lit(staging), staging_subdir(F.col("path"), source))))
     existing = (manifest.filter(F.col("path").startswith(staging))  # pushed to the scan
                         .select(P.parent_of("path").alias("dir"), P.name_of("path").alias("name")))
-    moves = assign_slots(movers, "dest_dir", "name", existing).select(
+    moves = assign_slots(movers, "dest_dir", "name", existing, n_movers=seen["movers"]).select(
         "path", "size", "md5", F.lit("move").alias("action"), "dest", F.lit("unique content").alias("reason"))
     return moves.unionByName(deletes)
 

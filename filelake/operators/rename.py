@@ -26,7 +26,7 @@ from filelake.functions import paths as P
 from filelake.functions.fmt import size_text_2
 from filelake.operators import filters as FL
 from filelake.operators.collide import assign_slots
-from filelake.session import join_side, materialize, small_side
+from filelake.session import join_side, materialize_counted, small_side
 from filelake.sources.manifest import ensure_md5
 
 
@@ -81,7 +81,7 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
     candidates.  The judged rows are written once more, because collision
     numbering and the final union both read them."""
     cands = rename_candidates(manifest, root, protected)
-    c = materialize(ensure_md5(cands.select("path", "parent", "size", "pattern", "clean_name", "clean_path", "stem",
+    c, seen = materialize_counted(ensure_md5(cands.select("path", "parent", "size", "pattern", "clean_name", "clean_path", "stem",
                                             *[x for x in ("md5", "content") if x in cands.columns])),
                     "rename-candidates")
     is_self = F.col("clean_path") == F.col("path")
@@ -89,7 +89,7 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
     # only manifest rows sitting at some clean path can be originals: when the
     # clean paths are few (checked count) the manifest is cut map-side
     clean = small_side(c.select(F.col("clean_path").alias("path")).distinct(), "rename-clean-paths",
-                       store=False)  # ``c`` is stored: recomputing the distinct is cheap
+                       store=False, at_most=seen["rows"])  # ``c`` is stored: recomputing the distinct is cheap
     originals = ensure_md5(manifest.select("path", *[x for x in ("md5", "content") if x in manifest.columns])
                            .join(clean, "path", "left_semi"))
     per_key = (c.select(F.col("clean_path").alias("_key"), F.lit(1).alias("_copy"), contender.alias("_c"),
@@ -111,9 +111,9 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
                .otherwise("collision_rename"))
     action = (F.when(is_self, "skip")
                .when(~has_orig & is_first, "rename").otherwise(judged))
-    j = materialize(j.withColumn("action", action)
-                     .select("path", "parent", "size", "md5", "pattern", "clean_name", "clean_path", "stem",
-                             "action"), "rename")
+    j, seen = materialize_counted(j.withColumn("action", action)
+                                  .select("path", "parent", "size", "md5", "pattern", "clean_name", "clean_path", "stem",
+                                          "action"), "rename", movers=F.count_if(F.col("action") == "collision_rename"))
 
     keep = ["path", "size", "md5", "pattern", "clean_path", "action"]
     movers = j.filter(F.col("action") == "collision_rename")
@@ -122,7 +122,7 @@ def rename_plan(manifest: DataFrame, root: str, protected=C.RENAME_PROTECTED) ->
                 .unionByName(j.filter(F.col("action") == "rename")
                               .select(F.col("parent").alias("dir"), F.col("clean_name").alias("name"))))
     collided = assign_slots(movers, "parent", "clean_name", existing,
-                            order=[F.col("stem").desc(), F.col("path").desc()])
+                            order=[F.col("stem").desc(), F.col("path").desc()], n_movers=seen["movers"])
     return (collided.select(*keep, "dest")
             .unionByName(j.filter(F.col("action") != "collision_rename")
                           .select(*keep, F.when(F.col("action") == "rename", F.col("clean_path")).alias("dest"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from filelake.functions import paths as P
 from filelake.operators.classify import classify
 from filelake.operators.collide import assign_slots
-from filelake.session import materialize
+from filelake.session import materialize_counted
 
 
 def sort_plan(manifest: DataFrame, root: str, sort_type: str = "auto",
@@ -19,15 +19,16 @@ def sort_plan(manifest: DataFrame, root: str, sort_type: str = "auto",
     target = P.norm_root(target_root or root)
     files = classify(manifest, root, sort_type)
     # classified once, read by the skip branch, the movers and the slot count
-    files = materialize(files.select("path", "size", "name", "parent", "category",
-                                     F.concat(F.lit(target + "/"), F.col("category")).alias("dest_dir")), "sort")
     at_dest = F.col("parent") == F.col("dest_dir")
+    files, seen = materialize_counted(files.select("path", "size", "name", "parent", "category",
+                                                   F.concat(F.lit(target + "/"), F.col("category")).alias("dest_dir")), "sort",
+                                      movers=F.count_if(~at_dest))
     skips = files.filter(at_dest).select("path", "size", "category", F.lit("skip").alias("action"),
                                          F.col("path").alias("dest"))
     movers = files.filter(~at_dest)
     existing = (manifest.filter(P.under_root("path", target))
                         .select(P.parent_of("path").alias("dir"), P.name_of("path").alias("name")))
-    moved = assign_slots(movers, "dest_dir", "name", existing)
+    moved = assign_slots(movers, "dest_dir", "name", existing, n_movers=seen["movers"])
     moves = moved.select("path", "size", "category", F.lit("move").alias("action"), "dest")
     return moves.unionByName(skips)
 

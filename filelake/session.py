@@ -78,23 +78,40 @@ def materialize(df, tag: str = "step"):
     return spark.read.schema(df.schema).parquet(location)
 
 
+def materialize_counted(df, tag: str = "step", **counts):
+    """``materialize``, with the number of rows and ``counts`` (aggregates by
+    name) observed while they are written: (stored, metrics).  No second pass
+    and no further job; ``metrics["rows"]`` is always there."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation(f"{tag}-{len(counts)}")
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in counts.items()]), tag)
+    return stored, seen.get
+
+
 # Row bound for broadcasting a checked build side.  The tables broadcast this
 # way (clean paths, content keys with a keeper path, taken-slot lists) are
 # roughly 100-150 bytes a row, so 500k rows stay near 50-75 MB per broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def small_side(df, tag: str, max_rows: int = BROADCAST_ROWS, store: bool = True):
+def small_side(df, tag: str, max_rows: int = BROADCAST_ROWS, store: bool = True, at_most: int | None = None):
     """Write the build side of a join once and broadcast it only when its
     row count is at most ``max_rows``; above that return it plain so the
     planner keeps a shuffle join.  The size is counted, not estimated, and
     the big side is never shuffled first only to learn that a broadcast
     would have done.  ``store=False`` skips the write when ``df`` is cheap to
-    recompute (derived from an already stored table)."""
+    recompute (derived from an already stored table); ``at_most``, a known bound
+    on its rows, then saves the count where it is small enough."""
     from pyspark.sql import functions as F
 
-    side = materialize(df, tag) if store else df
-    return F.broadcast(side) if side.count() <= max_rows else side
+    if store:
+        side, seen = materialize_counted(df, tag)
+        rows = seen["rows"]
+    else:
+        side, rows = df, at_most if at_most is not None and at_most <= max_rows else df.count()
+    return F.broadcast(side) if rows <= max_rows else side
 
 
 HOT_KEY_ROWS = 2_000_000  # rows of one key that are still left to one task
@@ -111,8 +128,8 @@ def join_side(rows, side, on: list[str], how: str = "inner", tag: str = "side",
 
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    side = materialize(side, tag)
-    if side.count() <= max_rows:
+    side, seen = materialize_counted(side, tag)
+    if seen["rows"] <= max_rows:
         return rows.join(F.broadcast(side), on, how)
     keys = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*on)
     hot = F.broadcast(materialize(keys, f"{tag}-hot"))

@@ -44,3 +44,32 @@ def test_plan_and_verify_do_not_change_beyond_the_bounds(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(session, "HOT_KEY_ROWS", 3)
     assert run() == whole
+
+
+def test_counts_are_taken_while_a_step_is_written(spark):
+    from filelake.session import materialize_counted, small_side
+    rows = spark.range(0, 1000, 1, 7).withColumn("k", F.col("id") % 10)
+    stored, seen = materialize_counted(rows, "t", zero=F.count_if(F.col("k") == 0), few=F.count_if(F.col("id") < 3))
+    assert dict(seen) == {"rows": 1000, "zero": 100, "few": 3} and stored.count() == 1000 and stored.columns == ["id", "k"]
+    for none in (rows.limit(0), rows.where("id < 0"), rows.join(rows.where("id < 0").select("k"), "k"), spark.createDataFrame([], "id long, k long")):
+        stored, seen = materialize_counted(none, "none", zero=F.count_if(F.col("k") == 0))
+        assert dict(seen) == {"rows": 0, "zero": 0} and stored.count() == 0
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small_side(rows, "t", 1000)) and not hinted(small_side(rows, "t", 999))
+    assert hinted(small_side(rows, "t", 10, store=False, at_most=10))  # the given bound is taken
+    assert not hinted(small_side(rows, "t", 10, store=False, at_most=2000)) and hinted(small_side(rows, "t", 1000, store=False, at_most=2000))
+
+
+def test_rename_and_sort_run_few_jobs(spark):
+    from filelake.operators import rename, sort
+    names = [f"/r/a/f{i}.txt" for i in range(20)] + [f"/r/a/f{i} (1).txt" for i in range(30)] + ["/r/Documents/f3.txt"]
+    man = spark.createDataFrame([(p, 10 + i % 3, f"m{i % 4}") for i, p in enumerate(names)], "path string, size long, md5 string").cache()
+    man.count()
+    sc = spark.sparkContext
+    for group, run in (("rename-jobs", lambda: rename.rename_plan(man, "/r")), ("sort-jobs", lambda: sort.sort_plan(man, "/r"))):
+        sc.setJobGroup(group, group)
+        try:
+            assert run().count() > 0
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert 0 < len(sc.statusTracker().getJobIdsForGroup(group)) <= 14
